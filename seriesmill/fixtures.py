@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.expressions import c, ratio
@@ -50,73 +50,103 @@ def _top_customers(per_day: DataFrame) -> DataFrame:
     )
 
 
-def daily_metrics(
-    spark: SparkSession, sf_dir: str, metrics: Sequence[str] = BASE_METRICS
-) -> DataFrame:
-    """(asset, time DATE, metrics...) with one row per order priority and day.
-
-    Orders are summed per (asset, day, customer) before anything else moves, so a hot
-    asset or customer is reduced in the tasks that read it. After the second aggregate a
-    series holds one row per day, which bounds the windows by the calendar.
-    """
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    orders = read(spark, sf_dir, "orders").select(
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("asset"),
         F.col("o_orderdate").cast("date").alias("time"),
         "o_custkey",
-        cents.alias("cents"),
+        F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
     )
-    per_customer = orders.groupBy("asset", "time", "o_custkey").agg(
+
+
+# Orders at or above these totals, in cents.
+_TIER_BOUNDS = {"t1": 10_000_000, "t2": 25_000_000, "t3": 40_000_000}
+
+
+def _days(spark: SparkSession, sf_dir: str, metrics: Sequence[str]) -> DataFrame:
+    """Totals per (asset, day), summed in the tasks that read the orders.
+
+    Only metrics about customers need a first step per (asset, day, customer); it also
+    stands in for a distinct count, so a hot customer is one row per day.
+    """
+    with_top = "SplyAdrTop1Pct" in metrics
+    sums = ("tx", "cap", *_TIER_BOUNDS)
+    totals = [
         F.count(F.lit(1)).alias("tx"),
         F.sum("cents").alias("cap"),
-        *[
-            F.count_if(F.col("cents") >= bound).alias(name)
-            for name, bound in (("t1", 10_000_000), ("t2", 25_000_000), ("t3", 40_000_000))
-        ],
-    )
-    with_top = "SplyAdrTop1Pct" in metrics
-    if with_top:
-        per_customer = per_customer.join(_top_customers(per_customer), "o_custkey", "left")
-    day = per_customer.groupBy("asset", "time").agg(
-        F.count(F.lit(1)).alias("act"),
-        *[F.sum(n).alias(n) for n in ("tx", "cap", "t1", "t2", "t3")],
-        *([F.sum(F.when(F.col("is_top"), F.col("cap")).otherwise(0)).alias("topc")] if with_top else []),
-    ).withColumn("dn", F.datediff("time", F.lit("1995-01-01").cast("date")).cast("bigint"))
-
-    by_day = Window.partitionBy("asset").orderBy("dn")
-    so_far = by_day.rowsBetween(Window.unboundedPreceding, 0)
-
-    def total(name: str, frame):
-        return F.sum(name).over(frame).cast("double")
-
-    def real(name: str):
-        return F.col(name).cast("double")
-
-    columns = {
-        "PriceUSD": real("cap") / F.col("tx") / 100,
-        "TxCnt": real("tx"),
-        "AdrActCnt": real("act"),
-        "CapMrktCurUSD": real("cap") / 100,
-        "AdrBalCnt": total("tx", so_far),
-        "AdrBalUSD10KCnt": total("t1", so_far),
-        "AdrBalUSD100KCnt": total("t2", so_far),
-        "AdrBalUSD1MCnt": total("t3", so_far),
-        "AdrBal1in10KCnt": total("t3", by_day.rowsBetween(-29, 0)),
-        "AdrBal1in100KCnt": total("t1", by_day.rowsBetween(-29, 0)),
-        "SplyCur": total("cap", so_far),
-        "SplyAct180d": total("cap", by_day.rangeBetween(-179, 0)),
-        "SplyAct1yr": total("cap", by_day.rangeBetween(-364, 0)),
-        "SplyAct2yr": total("cap", by_day.rangeBetween(-729, 0)),
-        "CapMVRVCur": F.lit(2.0) * (real("cap") / F.col("tx"))
-        / (total("cap", so_far) / F.sum("tx").over(so_far)),
-    }
+        *[F.count_if(F.col("cents") >= b).alias(n) for n, b in _TIER_BOUNDS.items()],
+    ]
+    orders = _orders(spark, sf_dir)
+    if not with_top and "AdrActCnt" not in metrics:
+        return orders.groupBy("asset", "time").agg(*totals)
+    rows = orders.groupBy("asset", "time", "o_custkey").agg(*totals)
+    extra = [F.count(F.lit(1)).alias("act")]
     if with_top:
-        columns["SplyAdrTop1Pct"] = total("topc", so_far)
-    base = [m for m in metrics if m in BASE_METRICS]
+        rows = rows.join(_top_customers(rows), "o_custkey", "left")
+        extra.append(F.sum(F.when(F.col("is_top"), F.col("cap")).otherwise(0)).alias("topc"))
+    return rows.groupBy("asset", "time").agg(*[F.sum(n).alias(n) for n in sums], *extra)
+
+
+def _running(name: str, rows: int | None = None) -> Column:
+    by_day = Window.partitionBy("asset").orderBy("time")
+    start = Window.unboundedPreceding if rows is None else 1 - rows
+    return F.sum(name).over(by_day.rowsBetween(start, 0))
+
+
+def _trailing_days(days: int) -> Column:
+    """Supply moved in the last ``days`` days, as a difference of running totals.
+
+    A frame that grows from the start is updated row by row, a sliding one is re-added
+    for every row; in whole cents both give the same sum.
+    """
+    by_number = Window.partitionBy("asset").orderBy("dn")
+    before = F.last("supply").over(by_number.rangeBetween(Window.unboundedPreceding, -days))
+    return F.col("supply") - F.coalesce(before, F.lit(0))
+
+
+def _real(value: str | Column) -> Column:
+    return (F.col(value) if isinstance(value, str) else value).cast("double")
+
+
+_COLUMNS = {
+    "PriceUSD": lambda: _real("cap") / F.col("tx") / 100,
+    "TxCnt": lambda: _real("tx"),
+    "AdrActCnt": lambda: _real("act"),
+    "CapMrktCurUSD": lambda: _real("cap") / 100,
+    "AdrBalCnt": lambda: _real(_running("tx")),
+    "AdrBalUSD10KCnt": lambda: _real(_running("t1")),
+    "AdrBalUSD100KCnt": lambda: _real(_running("t2")),
+    "AdrBalUSD1MCnt": lambda: _real(_running("t3")),
+    "AdrBal1in10KCnt": lambda: _real(_running("t3", 30)),
+    "AdrBal1in100KCnt": lambda: _real(_running("t1", 30)),
+    "SplyCur": lambda: _real(_running("cap")),
+    "SplyAdrTop1Pct": lambda: _real(_running("topc")),
+    "SplyAct180d": lambda: _real(_trailing_days(180)),
+    "SplyAct1yr": lambda: _real(_trailing_days(365)),
+    "SplyAct2yr": lambda: _real(_trailing_days(730)),
+    "CapMVRVCur": lambda: F.lit(2.0)
+    * (_real("cap") / F.col("tx"))
+    / (_real(_running("cap")) / _running("tx")),
+}
+
+
+def daily_metrics(
+    spark: SparkSession, sf_dir: str, metrics: Sequence[str] = BASE_METRICS
+) -> DataFrame:
+    """(asset, time DATE, metrics...) with one row per order priority and day.
+
+    After the aggregate a series holds one row per day, which bounds the windows by the
+    calendar. Only what the wanted metrics need is computed.
+    """
+    base = [m for m in metrics if m in _COLUMNS]
     extra = [m for m in metrics if m in PRICE_METRICS]
     sources = ["PriceUSD", "CapMrktCurUSD", "TxCnt"] if extra else []
     carried = list(dict.fromkeys([*base, *sources]))
-    rows = day.select("asset", "time", *[columns[m].alias(m) for m in carried])
+    rows = _days(spark, sf_dir, metrics)
+    if any(m.startswith("SplyAct") for m in metrics):
+        number = F.datediff("time", F.lit("1995-01-01").cast("date")).cast("bigint")
+        rows = rows.withColumns({"dn": number, "supply": _running("cap")})
+    rows = rows.select("asset", "time", *[_COLUMNS[m]().alias(m) for m in carried])
     if extra:
         rows = _price_metrics(rows, carried)
     return rows.select("asset", "time", *[c(m) for m in metrics])

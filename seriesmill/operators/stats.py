@@ -271,36 +271,39 @@ def ols_fit(df: DataFrame, x: str, y: str, *, keys: Sequence[str] = KEYS) -> Dat
     )
 
 
-def _correlation(a: str, b: str) -> Column:
-    """Pearson r over rows where both are present; NULL when either is constant there."""
-    both = c(a).isNotNull() & c(b).isNotNull()
-    spread = F.stddev_pop(F.when(both, c(a))) * F.stddev_pop(F.when(both, c(b)))
-    return ratio(F.covar_pop(c(a), c(b)), spread)
-
-
 def correlation_matrix(
     df: DataFrame, metrics: Sequence[str], *, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Upper triangle of the pairwise-complete Pearson matrix as (a, b, corr) rows.
+    """Upper triangle of the pairwise-complete Pearson matrix as (pair, a, b, corr) rows.
 
-    All pairs come from one aggregate, combined before the shuffle.
+    Each row is laid out as its metric pairs where it is read; the moments of a pair are
+    combined before the shuffle, which moves one row per task, key and pair. A metric that
+    is constant over the shared rows has no correlation.
     """
     if len(metrics) < 2:
         raise ValueError("a correlation needs at least two metrics")
     require_columns(df, metrics)
     pairs = list(combinations(metrics, 2))
-    names = {p: f"_r_{i}" for i, p in enumerate(pairs)}
-    matrix = df.groupBy(*keys).agg(*[_correlation(a, b).alias(names[a, b]) for a, b in pairs])
     entries = F.array(
         *[
             F.struct(
-                F.lit(i).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"),
-                F.col(names[a, b]).alias("corr"),
+                F.lit(i).alias("pair"),
+                c(a).cast("double").alias("_x"),
+                c(b).cast("double").alias("_y"),
             )
             for i, (a, b) in enumerate(pairs)
         ]
     )
-    return matrix.select(*keys, F.inline(entries))
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    x, y = F.when(both, F.col("_x")), F.when(both, F.col("_y"))
+    moments = (
+        df.select(*keys, F.inline(entries))
+        .groupBy(*keys, "pair")
+        .agg(ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("corr"))
+    )
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    named = moments.withColumn("_names", F.element_at(names, F.col("pair") + 1))
+    return named.select(*keys, "pair", "_names.a", "_names.b", "corr")
 
 
 def correlation_full(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -79,16 +80,62 @@ def _last(w: WindowSpec, rows: int) -> WindowSpec:
 
 
 def average_of(metric: str, windows: Sequence[int] = (7, 30, 90)) -> Feature:
-    """Mean of the last k rows; partial at the start of a series, NULLs skipped."""
-    names = [f"{metric}_MA{k}days" for k in windows]
+    """Mean of the last k rows; partial at the start of a series, NULLs skipped.
+
+    A sliding frame is added up again for every row. A window that is a few times a
+    shorter one is put together from the shorter one's sums instead; only additions are
+    used, so no digits cancel.
+    """
+    names = {k: f"{metric}_MA{k}days" for k in windows}
+    parts = {k: _divisor(k, windows) for k in windows}
+    shared = {p for p in parts.values() if p}
+
+    def total(k: int) -> str:
+        return f"_{metric}_sum{k}"
+
+    def count(k: int) -> str:
+        return f"_{metric}_count{k}"
+
+    def short(w: WindowSpec) -> dict[str, Column]:
+        columns = {}
+        for k, name in names.items():
+            if k in shared:
+                columns[total(k)] = F.sum(c(metric)).over(_last(w, k))
+                columns[count(k)] = F.count(c(metric)).over(_last(w, k))
+            elif not parts[k]:
+                columns[name] = F.avg(c(metric)).over(_last(w, k))
+        return columns
+
+    def long(w: WindowSpec) -> dict[str, Column]:
+        columns = {names[k]: ratio(c(total(k)), c(count(k))) for k in shared}
+        for k, part in parts.items():
+            if part:
+                columns[names[k]] = ratio(
+                    _sum_of_lags(total(part), part, k, w), _sum_of_lags(count(part), part, k, w)
+                )
+        return columns
+
     return Feature(
         (metric,),
-        tuple(names),
-        (lambda w: {n: F.avg(c(metric)).over(_last(w, k)) for n, k in zip(names, windows)},),
+        tuple(names.values()),
+        (short, long) if shared else (short,),
         before=max(windows) - 1,
     )
 
 
+def _divisor(k: int, windows: Sequence[int]) -> int | None:
+    """The longest shorter window that fits into k a whole number of times, at most 8."""
+    fits = [p for p in windows if 1 < p < k and k % p == 0 and k // p <= 8]
+    direct = [p for p in fits if not any(1 < q < p and p % q == 0 for q in windows)]
+    return max(direct, default=None)
+
+
+def _sum_of_lags(name: str, part: int, k: int, w: WindowSpec) -> Column:
+    blocks = [F.coalesce(c(name), F.lit(0))]
+    blocks += [F.coalesce(F.lag(c(name), step).over(w), F.lit(0)) for step in range(part, k, part)]
+    return reduce(lambda a, b: a + b, blocks)
+
+
 def lag_of(metric: str, n: int) -> Feature:
     name = f"{metric}_lag{n}"
     return Feature((metric,), (name,), (lambda w: {name: F.lag(c(metric), n).over(w)},), before=n)
