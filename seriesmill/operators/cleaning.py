@@ -15,7 +15,6 @@ from seriesmill.operators.layout import (
     POS,
     SUMMARY_CHUNK_ROWS,
     TIME,
-    chunk_of,
     with_position,
 )
 
@@ -64,6 +63,7 @@ def interpolate_linear(
     time: str = TIME,
     seq: str | None = None,
     chunk_rows: int = SUMMARY_CHUNK_ROWS,
+    **opts,
 ) -> DataFrame:
     """Fill NULLs linearly by row position; edges take the nearest value.
 
@@ -73,7 +73,7 @@ def interpolate_linear(
     """
     keys = list(keys)
     names = _metrics(df, columns, [*keys, time] + ([seq] if seq else []))
-    rows = with_position(df, keys, time, seq).withColumn(CHUNK, chunk_of(chunk_rows))
+    rows = with_position(df, chunk_rows, keys=keys, time=time, seq=seq, **opts)
 
     def point(name: str):
         return F.when(c(name).isNotNull(), F.struct(F.col(POS).alias("p"), c(name).alias("v")))
@@ -145,11 +145,12 @@ def clean(
     time: str = TIME,
     seq: str,
     chunk_rows: int = SUMMARY_CHUNK_ROWS,
+    **opts,
 ) -> DataFrame:
     """Non-finite to NULL, interpolate by (time, seq) position, then drop duplicate times."""
     names = _metrics(df, columns, [*keys, time, seq])
     finite_rows = clean_nonfinite(df, names)
     filled = interpolate_linear(
-        finite_rows, names, keys=keys, time=time, seq=seq, chunk_rows=chunk_rows
+        finite_rows, names, keys=keys, time=time, seq=seq, chunk_rows=chunk_rows, **opts
     )
     return dedup_keep_last(filled, keys=keys, time=time, seq=seq).drop(seq)

@@ -8,11 +8,13 @@ Row frames need neighbours, so a series must be sorted somewhere. Two layouts:
     rows per century) however large the input was. One shuffle.
 
 ``chunked``
-    For timestamps, where one key may hold any share of all rows. Rows get a position
-    within their series, positions are cut into chunks of equal size, and the rows a
-    frame needs from neighbouring chunks (the halo) are copied into them. Windows run per
-    (key, chunk); the copies are dropped afterwards. Chunk size does not depend on the
-    key, so a hot key spreads over as many tasks as its size asks for.
+    For timestamps, where one key may hold any share of all rows. Rows are counted per
+    calendar slot, the counts are prefix-summed, and successive slots are grouped into
+    chunks of about equal size. A slot whose rows are needed by the frames of a neighbouring
+    chunk (the halo) is copied into it. Windows run per (key, chunk); the copies are
+    dropped afterwards. Chunk size does not depend on the key, so a hot key spreads over as
+    many tasks as its size asks for. One shuffle of the rows, plus the small slot table,
+    which is joined in; Spark broadcasts it only when its size allows.
 """
 
 from __future__ import annotations
@@ -30,18 +32,20 @@ TIME = "time"
 POS = "_pos"
 CHUNK = "_chunk"
 OWNED = "_owned"
+CHUNK_START = "_chunk_start"
 
 # Rows per chunk for frames with a halo: at least this many, and at least 16 halos, so
-# that copies stay under 7 % of the rows.
-MIN_CHUNK_ROWS = 1024
+# that copies stay a small share of the rows.
+MIN_CHUNK_ROWS = 16_384
 HALO_RATIO = 16
 # Rows per chunk where only a summary of each chunk is exchanged.
 SUMMARY_CHUNK_ROWS = 65_536
+# Length of a slot of timestamps. The rows of one slot of one key stay together, so dense
+# series (many rows per second) want shorter slots.
+SLOT_SECONDS = 3600
 
-_LEAF, _BRANCH, _LOT = "_leaf", "_branch", "_lot"
-_LEAVES_PER_BRANCH_BITS = 12
+_SLOT, _LOT = "_slot", "_lot"
 _LOT_ROWS = 65_536
-_SECONDS_PER_LEAF = 3600
 
 
 def choose_layout(df: DataFrame, time: str, layout: str) -> str:
@@ -52,79 +56,99 @@ def choose_layout(df: DataFrame, time: str, layout: str) -> str:
     return layout
 
 
-def _leaf(df: DataFrame, time: str) -> Column:
-    """Calendar slot of a row: the day of a DATE, the hour of a timestamp."""
+def _slot(df: DataFrame, time: str, seconds: int) -> Column:
+    """Calendar slot of a row: the day of a DATE, or a fixed stretch of a timestamp."""
     if is_date(df, time):
         return F.unix_date(c(time)).cast("bigint")
     origin = F.lit("1970-01-01 00:00:00").cast(df.schema[time].dataType)
-    seconds = F.timestamp_diff("SECOND", origin, c(time))
-    return F.floor(seconds / F.lit(_SECONDS_PER_LEAF)).cast("bigint")
+    return F.floor(F.timestamp_diff("SECOND", origin, c(time)) / F.lit(seconds)).cast("bigint")
 
 
-def with_position(
+def _slot_starts(rows: DataFrame, keys: list[str], slot: list[str]) -> DataFrame:
+    """(keys, slot, _n, _start): rows per slot and rows of the series before it.
+
+    The table of plain slots is bounded by the calendar. Where slots are split further by
+    time and sequence they are summed within their slot first, then over slots.
+    """
+    so_far = (Window.unboundedPreceding, 0)
+    counts = rows.groupBy(*keys, *slot).agg(F.count(F.lit(1)).alias("_n"))
+    if len(slot) <= 2:
+        over = Window.partitionBy(*keys).orderBy(*slot).rowsBetween(*so_far)
+        return counts.withColumn("_start", F.sum("_n").over(over) - F.col("_n"))
+    inner = Window.partitionBy(*keys, _SLOT).orderBy(*slot[1:]).rowsBetween(*so_far)
+    outer = Window.partitionBy(*keys).orderBy(_SLOT).rowsBetween(*so_far)
+    slots = counts.groupBy(*keys, _SLOT).agg(F.sum("_n").alias("_m")).select(
+        *keys, _SLOT, (F.sum("_m").over(outer) - F.col("_m")).alias("_slot_start")
+    )
+    within = counts.withColumn("_within", F.sum("_n").over(inner) - F.col("_n"))
+    return within.join(slots, [*keys, _SLOT]).select(
+        *keys, *slot, "_n", (F.col("_slot_start") + F.col("_within")).alias("_start")
+    )
+
+
+def in_chunks(
     df: DataFrame,
+    rows_per_chunk: int,
+    *,
+    before: int = 0,
+    after: int = 0,
     keys: Sequence[str] = KEYS,
     time: str = TIME,
     seq: str | None = None,
+    slot_seconds: int = SLOT_SECONDS,
 ) -> DataFrame:
-    """Add ``_pos``, the 0-based row number of each row in its series.
-
-    A plain ``row_number`` per key would sort a hot key in one task. Here rows are counted
-    per calendar slot, the counts are prefix-summed in two levels (slots within a branch
-    of 4,096 slots, then branches), and only the rows of one slot are ranked together. Both
-    prefix tables are bounded by the calendar, not by the row count. With ``seq`` (a
-    numeric tie-break) equal times are ranked by it, and a time with very many copies is
-    split into lots of 65,536 sequence numbers.
+    """Add ``_chunk``, ``_owned`` and ``_chunk_start`` to rows and their halo copies.
+
+    A chunk is a stretch of whole slots. With a halo, its rows are preceded (followed) by at
+    least ``before`` (``after``) rows of the series, as far as the series has them.
+    ``seq`` (a numeric tie-break) also orders equal times, and splits a time with very many
+    copies into lots of 65,536 sequence numbers. Keys and times must not be NULL.
     """
     keys = list(keys)
-    rows = df.withColumn(_LEAF, _leaf(df, time)).withColumn(
-        _BRANCH, F.shiftright(F.col(_LEAF), _LEAVES_PER_BRANCH_BITS)
-    )
-    slot, order = [_LEAF], [c(time)]
+    rows = df.withColumn(_SLOT, _slot(df, time, slot_seconds))
+    slot = [_SLOT]
     if seq is not None:
         rows = rows.withColumn(_LOT, F.floor(c(seq) / F.lit(_LOT_ROWS)))
-        slot, order = [_LEAF, time, _LOT], [c(time), c(seq)]
-
-    counts = rows.groupBy(*keys, _BRANCH, *slot).agg(F.count(F.lit(1)).alias("_n"))
-    in_branch = (
-        Window.partitionBy(*keys, _BRANCH).orderBy(*slot)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    over_branches = (
-        Window.partitionBy(*keys).orderBy(_BRANCH)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    branches = (
-        counts.groupBy(*keys, _BRANCH).agg(F.sum("_n").alias("_m"))
-        .withColumn("_branch_start", F.sum("_m").over(over_branches) - F.col("_m"))
-        .drop("_m")
-    )
-    starts = (
-        counts.withColumn("_slot_start", F.sum("_n").over(in_branch) - F.col("_n"))
-        .join(branches, [*keys, _BRANCH])
-        .select(
-            *keys, _BRANCH, *slot,
-            (F.col("_slot_start") + F.col("_branch_start")).alias("_start"),
+        slot = [_SLOT, _LOT] if is_date(df, time) else [_SLOT, time, _LOT]
+
+    size = int(rows_per_chunk)
+    slots = _slot_starts(rows, keys, slot).withColumn("_own", F.expr(f"_start div {size}"))
+    # The furthest chunk that reads these rows as its past, the first that reads them as
+    # its future: the chunk of the slot that holds the row ``after`` places earlier.
+    last = F.expr(f"(_start + _n - 1 + {int(before)}) div {size}") if before else F.col("_own")
+    first = F.col("_own")
+    if after:
+        reach = (
+            Window.partitionBy(*keys).orderBy("_start")
+            .rangeBetween(Window.unboundedPreceding, -int(after))
         )
-    )
-    in_slot = Window.partitionBy(*keys, _BRANCH, *slot).orderBy(*order)
-    placed = rows.join(starts, [*keys, _BRANCH, *slot]).withColumn(
-        POS, F.col("_start") + F.row_number().over(in_slot) - F.lit(1)
-    )
-    return placed.select(*[c(n) for n in df.columns], F.col(POS))
-
+        first = F.coalesce(F.last("_own").over(reach), F.lit(0).cast("bigint"))
+    chunk_start = F.min("_start").over(Window.partitionBy(*keys, "_own"))
+    targets = F.sequence(F.col("_first"), F.greatest(F.col("_own"), F.col("_last")))
+    slots = slots.withColumns(
+        {"_first": first, "_last": last, CHUNK_START: chunk_start}
+    ).select(*keys, *slot, "_own", CHUNK_START, targets.alias("_targets"))
+    placed = rows.join(slots, [*keys, *slot])
+    return placed.select(
+        *[c(n) for n in df.columns], "_own", CHUNK_START, F.explode("_targets").alias(CHUNK)
+    ).withColumn(OWNED, F.col(CHUNK) == F.col("_own")).drop("_own")
 
-def chunk_of(rows: int) -> Column:
-    return F.expr(f"{POS} div {int(rows)}")
 
-
-def with_halo(df: DataFrame, before: int, after: int, rows: int) -> DataFrame:
-    """Copy each row into every chunk whose frames reach it; ``_owned`` marks the original."""
-    first = F.greatest(F.lit(0).cast("bigint"), F.expr(f"({POS} - {int(after)}) div {int(rows)}"))
-    last = F.expr(f"({POS} + {int(before)}) div {int(rows)}")
-    return df.withColumn(CHUNK, F.explode(F.sequence(first, last))).withColumn(
-        OWNED, F.col(CHUNK) == chunk_of(rows)
-    )
+def with_position(
+    df: DataFrame,
+    rows_per_chunk: int,
+    *,
+    keys: Sequence[str] = KEYS,
+    time: str = TIME,
+    seq: str | None = None,
+    **opts,
+) -> DataFrame:
+    """Add ``_pos``, the 0-based row number in the series, and ``_chunk``."""
+    rows = in_chunks(df, rows_per_chunk, keys=keys, time=time, seq=seq, **opts)
+    order = [c(time)] if seq is None else [c(time), c(seq)]
+    in_chunk = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    pos = F.col(CHUNK_START) + F.row_number().over(in_chunk) - F.lit(1)
+    return rows.withColumn(POS, pos).drop(CHUNK_START, OWNED)
 
 
 def over_series(
@@ -135,9 +159,9 @@ def over_series(
     after: int = 0,
     keys: Sequence[str] = KEYS,
     time: str = TIME,
-    seq: str | None = None,
     layout: str = "auto",
     chunk_rows: int | None = None,
+    slot_seconds: int = SLOT_SECONDS,
 ) -> DataFrame:
     """Run ``build(rows, window)`` with every row seeing ``before``/``after`` neighbours.
 
@@ -146,9 +170,10 @@ def over_series(
     """
     keys = list(keys)
     if choose_layout(df, time, layout) == "whole":
-        order = [c(time)] if seq is None else [c(time), c(seq)]
-        return build(df, Window.partitionBy(*keys).orderBy(*order))
-    rows = chunk_rows or max(MIN_CHUNK_ROWS, HALO_RATIO * max(before, after))
-    spread = with_halo(with_position(df, keys, time, seq), before, after, rows)
-    built = build(spread, Window.partitionBy(*keys, CHUNK).orderBy(POS))
-    return built.where(F.col(OWNED)).drop(POS, CHUNK, OWNED)
+        return build(df, Window.partitionBy(*keys).orderBy(c(time)))
+    size = chunk_rows or max(MIN_CHUNK_ROWS, HALO_RATIO * max(before, after))
+    rows = in_chunks(
+        df, size, before=before, after=after, keys=keys, time=time, slot_seconds=slot_seconds
+    ).drop(CHUNK_START)
+    built = build(rows, Window.partitionBy(*keys, CHUNK).orderBy(c(time)))
+    return built.where(F.col(OWNED)).drop(CHUNK, OWNED)

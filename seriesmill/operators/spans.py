@@ -15,7 +15,6 @@ from seriesmill.operators.layout import (
     SUMMARY_CHUNK_ROWS,
     TIME,
     choose_layout,
-    chunk_of,
     with_position,
 )
 
@@ -56,6 +55,7 @@ def label_runs(
     time: str = TIME,
     layout: str = "auto",
     chunk_rows: int = SUMMARY_CHUNK_ROWS,
+    **opts,
 ) -> DataFrame:
     """Maximal runs of linked rows with the same label: (keys, label, start, end, n_rows).
 
@@ -70,7 +70,7 @@ def label_runs(
         order = Window.partitionBy(*keys).orderBy(time)
         rows = rows.withColumn(POS, F.row_number().over(order).cast("bigint") - F.lit(1))
     else:
-        rows = with_position(rows, keys, time).withColumn(CHUNK, chunk_of(chunk_rows))
+        rows = with_position(rows, chunk_rows, keys=keys, time=time, **opts)
     pieces = rows.where(c("label").isNotNull()).select(
         *keys, "label", *([] if whole else [CHUNK]),
         c(time).alias("start"), c(time).alias("end"),

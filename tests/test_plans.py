@@ -73,7 +73,7 @@ def test_timestamp_series_never_run_in_a_window_per_asset(spark):
         assert "SinglePartition" not in text
         for functions in re.findall(r"^.*\bWindow \[(.*)$", text, re.M):
             if "row_number()" in functions or "avg(" in functions or "lag(v" in functions:
-                assert "_chunk" in functions or "_leaf" in functions
+                assert "_chunk" in functions
 
 
 def test_copies_are_limited_before_the_shuffle(spark):
