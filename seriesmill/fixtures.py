@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.expressions import c, ratio
-from seriesmill.operators.windows import compute_features, lag_of, volatility_of
+from seriesmill.operators.windows import compute_features, volatility_of
 
 BASE_METRICS = (
     "PriceUSD", "TxCnt", "AdrActCnt", "CapMrktCurUSD", "AdrBalCnt", "AdrBalUSD10KCnt",
@@ -148,24 +148,27 @@ def daily_metrics(
         rows = rows.withColumns({"dn": number, "supply": _running("cap")})
     rows = rows.select("asset", "time", *[_COLUMNS[m]().alias(m) for m in carried])
     if extra:
-        rows = _price_metrics(rows, carried)
+        rows = _price_metrics(rows, extra, carried)
     return rows.select("asset", "time", *[c(m) for m in metrics])
 
 
-def _price_metrics(rows: DataFrame, carried: Sequence[str]) -> DataFrame:
-    features = [lag_of("PriceUSD", 30), lag_of("PriceUSD", 365), volatility_of("PriceUSD", 1, 30)]
+def _price_metrics(rows: DataFrame, wanted: Sequence[str], carried: Sequence[str]) -> DataFrame:
     by_day = Window.partitionBy("asset").orderBy("time")
-    with_lags = compute_features(rows, features, keep=carried)
-    return with_lags.withColumns(
-        {
-            "ROI30d": (ratio(c("PriceUSD"), c("PriceUSD_lag30")) - 1) * 100,
-            "ROI1yr": (ratio(c("PriceUSD"), c("PriceUSD_lag365")) - 1) * 100,
-            "VtyDayRet30d": c("PriceUSD_RV30_return1"),
-            "NVTAdj90": ratio(
-                c("CapMrktCurUSD"), F.avg("TxCnt").over(by_day.rowsBetween(-89, 0))
-            ),
-        }
-    )
+
+    def gain(days: int) -> Column:
+        return (ratio(c("PriceUSD"), F.lag("PriceUSD", days).over(by_day)) - 1) * 100
+
+    made = {
+        "ROI30d": lambda: gain(30),
+        "ROI1yr": lambda: gain(365),
+        "NVTAdj90": lambda: ratio(
+            c("CapMrktCurUSD"), F.avg("TxCnt").over(by_day.rowsBetween(-89, 0))
+        ),
+        "VtyDayRet30d": lambda: c("PriceUSD_RV30_return1"),
+    }
+    if "VtyDayRet30d" in wanted:
+        rows = compute_features(rows, [volatility_of("PriceUSD", 1, 30)], keep=carried)
+    return rows.withColumns({m: made[m]() for m in wanted})
 
 
 def daily_metrics_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesmill.functions.expressions import c, is_date
 
@@ -44,6 +45,9 @@ SUMMARY_CHUNK_ROWS = 65_536
 # series (many rows per second) want shorter slots.
 SLOT_SECONDS = 3600
 
+# A key with this many rows is not shuffled to one task.
+HOT_ROWS = 1_000_000
+
 _SLOT, _LOT = "_slot", "_lot"
 _LOT_ROWS = 65_536
 
@@ -58,10 +62,17 @@ def choose_layout(df: DataFrame, time: str, layout: str) -> str:
 
 def _slot(df: DataFrame, time: str, seconds: int) -> Column:
     """Calendar slot of a row: the day of a DATE, or a fixed stretch of a timestamp."""
+    at = c(time)
     if is_date(df, time):
-        return F.unix_date(c(time)).cast("bigint")
-    origin = F.lit("1970-01-01 00:00:00").cast(df.schema[time].dataType)
-    return F.floor(F.timestamp_diff("SECOND", origin, c(time)) / F.lit(seconds)).cast("bigint")
+        return F.unix_date(at).cast("bigint")
+    if isinstance(df.schema[time].dataType, T.TimestampNTZType):
+        # Wall-clock fields: cheaper than a difference, and free of the session's zone.
+        elapsed = F.unix_date(at.cast("date")).cast("bigint") * 86_400 + F.hour(at) * 3600
+        if seconds % 3600:
+            elapsed = elapsed + F.minute(at) * 60 + F.second(at)
+    else:
+        elapsed = F.unix_seconds(at)
+    return F.floor(elapsed / F.lit(seconds)).cast("bigint")
 
 
 def _slot_starts(rows: DataFrame, keys: list[str], slot: list[str]) -> DataFrame:
@@ -113,8 +124,17 @@ def in_chunks(
 
     size = int(rows_per_chunk)
     slots = _slot_starts(rows, keys, slot).withColumn("_own", F.expr(f"_start div {size}"))
-    # The furthest chunk that reads these rows as its past, the first that reads them as
-    # its future: the chunk of the slot that holds the row ``after`` places earlier.
+    slots = slots.withColumn(
+        CHUNK_START, F.min("_start").over(Window.partitionBy(*keys, "_own"))
+    )
+    kept = [c(n) for n in df.columns]
+    if not (before or after):
+        placed = rows.join(slots, [*keys, *slot])
+        return placed.select(
+            *kept, CHUNK_START, F.col("_own").alias(CHUNK), F.lit(True).alias(OWNED)
+        )
+    # The furthest chunk that reads these rows as its past, and the first that reads them
+    # as its future: the chunk of the slot that holds the row ``after`` places earlier.
     last = F.expr(f"(_start + _n - 1 + {int(before)}) div {size}") if before else F.col("_own")
     first = F.col("_own")
     if after:
@@ -123,14 +143,12 @@ def in_chunks(
             .rangeBetween(Window.unboundedPreceding, -int(after))
         )
         first = F.coalesce(F.last("_own").over(reach), F.lit(0).cast("bigint"))
-    chunk_start = F.min("_start").over(Window.partitionBy(*keys, "_own"))
+    slots = slots.withColumns({"_first": first, "_last": last})
     targets = F.sequence(F.col("_first"), F.greatest(F.col("_own"), F.col("_last")))
-    slots = slots.withColumns(
-        {"_first": first, "_last": last, CHUNK_START: chunk_start}
-    ).select(*keys, *slot, "_own", CHUNK_START, targets.alias("_targets"))
+    slots = slots.select(*keys, *slot, "_own", CHUNK_START, targets.alias("_targets"))
     placed = rows.join(slots, [*keys, *slot])
     return placed.select(
-        *[c(n) for n in df.columns], "_own", CHUNK_START, F.explode("_targets").alias(CHUNK)
+        *kept, "_own", CHUNK_START, F.explode("_targets").alias(CHUNK)
     ).withColumn(OWNED, F.col(CHUNK) == F.col("_own")).drop("_own")
 
 
@@ -151,6 +169,28 @@ def with_position(
     return rows.withColumn(POS, pos).drop(CHUNK_START, OWNED)
 
 
+def join_per_key(
+    rows: DataFrame,
+    per_key: DataFrame,
+    keys: Sequence[str],
+    *,
+    size: str = "_total",
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Attach a table of one row per key to rows, whatever share one key has.
+
+    ``per_key[size]`` is the row count of its key. Keys of ``hot_rows`` rows or more are
+    broadcast: there are at most (all rows / hot_rows) of them. Their rows stay where they
+    are; the rows of all other keys meet their entry by a shuffle, and none of those keys is
+    large.
+    """
+    keys = list(keys)
+    hot = per_key.where(F.col(size) >= (HOT_ROWS if hot_rows is None else hot_rows))
+    in_place = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_key, keys)
+    return in_place.unionByName(others)
+
+
 def over_series(
     df: DataFrame,
     build: Callable[[DataFrame, WindowSpec], DataFrame],

@@ -36,13 +36,14 @@ def _number_runs(pieces: DataFrame, part: Sequence[str], linked: Linked) -> Data
     )
 
 
-def _collapse(numbered: DataFrame, part: Sequence[str]) -> DataFrame:
+def _collapse(numbered: DataFrame, part: Sequence[str], *extra: Column) -> DataFrame:
     return numbered.groupBy(*part, _RUN).agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.min("first_pos").alias("first_pos"),
         F.max("last_pos").alias("last_pos"),
         F.sum("n_rows").alias("n_rows"),
+        *extra,
     )
 
 
@@ -61,7 +62,7 @@ def label_runs(
 
     Two rows are compared only if they are neighbours among the rows of their label.
     In chunks, runs are built per (key, label, chunk) first; only the first and last run of
-    each can continue elsewhere, so only those are linked again per key.
+    each can continue elsewhere, so only those are linked again across chunks.
     """
     keys = list(keys)
     whole = choose_layout(df, time, layout) == "whole"
@@ -82,14 +83,18 @@ def label_runs(
         runs = _collapse(_number_runs(pieces, part, linked), part)
     else:
         local = [*part, CHUNK]
-        partial = _collapse(_number_runs(pieces, local, linked), local)
+        numbered = _number_runs(pieces, local, linked)
         last_run = F.max(_RUN).over(Window.partitionBy(*local))
-        partial = partial.withColumn(
-            "_edge", (F.col(_RUN) == 1) | (F.col(_RUN) == last_run)
-        ).drop(_RUN, CHUNK)
-        edges = partial.where(F.col("_edge")).drop("_edge")
-        merged = _collapse(_number_runs(edges, part, linked), part).drop(_RUN)
-        runs = partial.where(~F.col("_edge")).drop("_edge").unionByName(merged)
+        numbered = numbered.withColumn("_last_run", last_run)
+        partial = _collapse(numbered, local, F.max("_last_run").alias("_last_run"))
+        # All edges of a label meet (two per chunk at most); other runs stay with their
+        # chunk, where no two of them are linked.
+        edge = (F.col(_RUN) == 1) | (F.col(_RUN) == F.col("_last_run"))
+        spread = partial.withColumn(
+            "_group", F.when(edge, F.lit(-1).cast("bigint")).otherwise(F.col(CHUNK))
+        ).drop(_RUN)
+        merge = [*part, "_group"]
+        runs = _collapse(_number_runs(spread, merge, linked), merge)
     return runs.select(*keys, "label", "start", "end", "n_rows")
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
-
 import math
+from collections.abc import Sequence
+from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.config import PERCENTS
 from seriesmill.functions.expressions import c, ratio, require_columns, volatility_band
-from seriesmill.operators.layout import KEYS, TIME, choose_layout
+from seriesmill.operators.layout import KEYS, TIME, choose_layout, join_per_key
 from seriesmill.operators.reshape import melt
 
 
@@ -81,7 +80,7 @@ def ranked_percentiles(
         F.percentile_approx(c(value), around, _SKETCH_ACCURACY).alias("_cuts"),
         F.count(F.lit(1)).alias("_total"),
     )
-    binned = counted.join(cuts, keys).withColumn(
+    binned = join_per_key(counted, cuts, keys).withColumn(
         "_bin", F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))
     )
     per_bin = binned.groupBy(*keys, "_bin").agg(
@@ -141,23 +140,46 @@ def volatility_regime(
     """Band of each value among the percentiles of its own series."""
     cuts = percentiles(df, value, keys=keys, time=time, layout=layout)
     names = [percentile_name(p) for p in PERCENTS]
-    rows = df.select(*keys, time, c(value)).join(cuts, list(keys))
+    rows = df.select(*keys, time, c(value))
+    if choose_layout(df, time, layout) == "whole":
+        rows = rows.join(cuts, list(keys))
+    else:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+        rows = join_per_key(rows, cuts.join(sizes, list(keys)), keys)
     return rows.select(
         *keys, time, c(value), volatility_band(c(value), [c(n) for n in names]).alias("band")
     )
 
 
+def _counted(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, _v, _w): each distinct value with its number of rows."""
+    values = df.where(c(value).isNotNull()).select(*keys, c(value).cast("double").alias("_v"))
+    return values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
+
+
+def _attach(counted: DataFrame, per_key: DataFrame, keys: list[str], whole: bool) -> DataFrame:
+    """Join per-key figures; a whole series is small enough for a join on its key."""
+    return counted.join(per_key, keys) if whole else join_per_key(counted, per_key, keys)
+
+
 def histogram_density(
-    df: DataFrame, value: str, bins: int = 50, *, keys: Sequence[str] = KEYS
+    df: DataFrame,
+    value: str,
+    bins: int = 50,
+    *,
+    keys: Sequence[str] = KEYS,
+    time: str = TIME,
+    layout: str = "auto",
 ) -> DataFrame:
     """Equal-width density histogram; the last bin is closed on the right.
 
     All bins are returned. A constant series gets a unit-wide range around its value.
     """
     keys = list(keys)
-    values = df.where(c(value).isNotNull()).select(*keys, c(value).cast("double").alias("_v"))
-    range_ = values.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_total")
+    whole = choose_layout(df, time, layout) == "whole"
+    x = c(value).cast("double")
+    range_ = df.where(c(value).isNotNull()).groupBy(*keys).agg(
+        F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(x).alias("_total")
     )
     pad = F.when(F.col("_lo") == F.col("_hi"), F.lit(0.5)).otherwise(F.lit(0.0))
     range_ = range_.select(
@@ -167,13 +189,13 @@ def histogram_density(
         F.width_bucket(F.col("_v"), F.col("_lo"), F.col("_hi"), F.lit(bins)), F.lit(bins)
     )
     counts = (
-        values.join(range_, keys)
+        _attach(_counted(df, value, keys), range_, keys, whole)
         .groupBy(*keys, slot.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_w").alias("n"))
     )
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-    grid = range_.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins)).cast("array<bigint>")))
-    filled = grid.join(counts, [*keys, "bin"], "left")
+    every_bin = F.sequence(F.lit(1), F.lit(bins)).cast("array<bigint>")
+    filled = range_.withColumn("bin", F.explode(every_bin)).join(counts, [*keys, "bin"], "left")
     count = F.coalesce(F.col("n"), F.lit(0))
     return filled.select(
         *keys,
@@ -184,42 +206,69 @@ def histogram_density(
     )
 
 
+# Grid points summed side by side per row; rows are repeated once per block of points.
+_BLOCK = 25
+
+
 def kde_grid(
-    df: DataFrame, value: str, points: int = 100, *, keys: Sequence[str] = KEYS
+    df: DataFrame,
+    value: str,
+    points: int = 100,
+    *,
+    keys: Sequence[str] = KEYS,
+    time: str = TIME,
+    layout: str = "auto",
 ) -> DataFrame:
     """Gaussian kernel density at evenly spaced points from minimum to maximum.
 
-    Scott bandwidth n^(-1/5) * sample deviation. Each task adds its rows to the fixed
-    grid before the shuffle, so what moves is the grid, not the data. Series without
-    spread give no rows.
+    Scott bandwidth n^(-1/5) * sample deviation. Equal values are counted first, so each
+    is weighed once; tasks then add their values to the grid before anything moves. Series
+    without spread give no rows.
     """
     keys = list(keys)
-    values = df.where(c(value).isNotNull()).select(*keys, c(value).cast("double").alias("_v"))
-    shape = values.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
-        F.count("_v").alias("_total"),
-        F.stddev_samp("_v").alias("_sd"),
-    ).where(F.col("_sd") > 0).select(
-        *keys, "_lo", "_hi", "_total",
+    whole = choose_layout(df, time, layout) == "whole"
+    x = c(value).cast("double")
+    shape = df.where(c(value).isNotNull()).groupBy(*keys).agg(
+        F.min(x).alias("_lo"),
+        F.max(x).alias("_hi"),
+        F.count(x).alias("_total"),
+        F.stddev_samp(x).alias("_sd"),
+    ).where(F.col("_sd") > 0)
+    shape = shape.select(
+        *keys,
+        "_lo",
+        "_total",
+        ((F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1))).alias("_step"),
         (F.pow(F.col("_total").cast("double"), F.lit(-0.2)) * F.col("_sd")).alias("_h"),
     )
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1))
-    spread = values.join(shape, keys).select(
-        *keys, "_v", "_total", "_h", "_lo", step.alias("_step"),
-        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
-    ).withColumn("x", F.col("_lo") + F.col("_step") * F.col("point"))
-    z = (F.col("x") - F.col("_v")) / F.col("_h")
+    blocks = math.ceil(points / _BLOCK)
+    spread = _attach(_counted(df, value, keys), shape, keys, whole).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    )
+
+    def grid_point(i: int) -> Column:
+        return F.col("_lo") + F.col("_step") * (F.col("_block") * _BLOCK + i)
+
+    def kernel(i: int) -> Column:
+        z = (grid_point(i) - F.col("_v")) / F.col("_h")
+        return F.sum(F.col("_w") * F.exp(F.lit(-0.5) * z * z))
+
+    sums = spread.groupBy(*keys, "_block").agg(
+        *[F.first(n).alias(n) for n in ("_lo", "_step", "_h", "_total")],
+        *[kernel(i).alias(f"_k{i}") for i in range(_BLOCK)],
+    )
     scale = F.col("_total") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))
-    return (
-        spread.groupBy(*keys, "point")
-        .agg(
-            F.first("x").alias("x"),
-            F.sum(F.exp(F.lit(-0.5) * z * z)).alias("_sum"),
-            F.first(scale).alias("_scale"),
-        )
-        .select(*keys, "point", "x", (F.col("_sum") / F.col("_scale")).alias("density"))
+    entries = F.array(
+        *[
+            F.struct(
+                (F.col("_block") * _BLOCK + i).alias("point"),
+                grid_point(i).alias("x"),
+                (F.col(f"_k{i}") / scale).alias("density"),
+            )
+            for i in range(_BLOCK)
+        ]
     )
+    return sums.select(*keys, F.inline(entries)).where(F.col("point") < points)
 
 
 def mean_median(
@@ -271,19 +320,16 @@ def ols_fit(df: DataFrame, x: str, y: str, *, keys: Sequence[str] = KEYS) -> Dat
     )
 
 
-def correlation_matrix(
-    df: DataFrame, metrics: Sequence[str], *, keys: Sequence[str] = KEYS
+def _pair_correlations(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str]
 ) -> DataFrame:
-    """Upper triangle of the pairwise-complete Pearson matrix as (pair, a, b, corr) rows.
+    """(pair, a, b, corr) over rows where both are present.
 
     Each row is laid out as its metric pairs where it is read; the moments of a pair are
     combined before the shuffle, which moves one row per task, key and pair. A metric that
     is constant over the shared rows has no correlation.
     """
-    if len(metrics) < 2:
-        raise ValueError("a correlation needs at least two metrics")
-    require_columns(df, metrics)
-    pairs = list(combinations(metrics, 2))
+    require_columns(df, list(dict.fromkeys(m for pair in pairs for m in pair)))
     entries = F.array(
         *[
             F.struct(
@@ -306,26 +352,28 @@ def correlation_matrix(
     return named.select(*keys, "pair", "_names.a", "_names.b", "corr")
 
 
+def correlation_matrix(
+    df: DataFrame, metrics: Sequence[str], *, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Upper triangle of the pairwise-complete Pearson matrix as (pair, a, b, corr) rows."""
+    if len(metrics) < 2:
+        raise ValueError("a correlation needs at least two metrics")
+    return _pair_correlations(df, list(combinations(metrics, 2)), keys)
+
+
 def correlation_full(
     df: DataFrame, metrics: Sequence[str], *, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """The whole square matrix, diagonal included."""
-    upper = correlation_matrix(df, metrics, keys=keys)
-    seen = {m: f"_sd_{i}" for i, m in enumerate(metrics)}
-    spread = df.groupBy(*keys).agg(*[F.stddev_pop(c(m)).alias(seen[m]) for m in metrics])
-    diagonal = melt(spread, list(keys), {m: {"_sd": seen[m]} for m in metrics}, name="a").select(
-        *keys, "a", c("a").alias("b"), F.when(c("_sd") > 0, F.lit(1.0)).alias("corr")
-    )
-    mirrored = upper.select(
-        *keys,
-        F.inline(
-            F.array(
-                F.struct(c("a").alias("a"), c("b").alias("b"), c("corr").alias("corr")),
-                F.struct(c("b").alias("a"), c("a").alias("b"), c("corr").alias("corr")),
-            )
-        ),
-    )
-    return mirrored.unionByName(diagonal)
+    """The whole square matrix as (a, b, corr) rows, diagonal included."""
+    pairs = list(combinations_with_replacement(metrics, 2))
+    upper = _pair_correlations(df, pairs, keys)
+    same = c("a") == c("b")
+    # A metric against itself is exactly 1, whatever rounding made of it.
+    r = F.when(same & c("corr").isNotNull(), F.lit(1.0)).otherwise(c("corr"))
+    there = F.struct(c("a").alias("a"), c("b").alias("b"), r.alias("corr"))
+    back = F.struct(c("b").alias("a"), c("a").alias("b"), r.alias("corr"))
+    both = F.when(same, F.array(there)).otherwise(F.array(there, back))
+    return upper.select(*keys, F.inline(both))
 
 
 def correlation_distance(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from seriesmill.functions.expressions import c, ratio, require_columns, sign_class
-from seriesmill.operators.layout import KEYS, TIME, choose_layout, over_series
+from seriesmill.operators.layout import KEYS, TIME, choose_layout, join_per_key, over_series
 
 Layer = Callable[[WindowSpec], dict[str, Column]]
 
@@ -38,10 +38,12 @@ def compute_features(
     keys: Sequence[str] = KEYS,
     time: str = TIME,
     keep: Sequence[str] | None = None,
-    layout: str = "auto",
-    chunk_rows: int | None = None,
+    **opts,
 ) -> DataFrame:
-    """Add the columns of all features; ``keep`` names the input columns carried along."""
+    """Add the columns of all features; ``keep`` names the input columns carried along.
+
+    Other options (``layout``, ``chunk_rows``, ``slot_seconds``) go to ``over_series``.
+    """
     features = list(features)
     needed = list(dict.fromkeys(m for f in features for m in f.metrics))
     require_columns(df, needed)
@@ -65,8 +67,7 @@ def compute_features(
         after=max(f.after for f in features),
         keys=keys,
         time=time,
-        layout=layout,
-        chunk_rows=chunk_rows,
+        **opts,
     )
     outputs = list(dict.fromkeys(o for f in features for o in f.outputs))
     return built.select(*[c(n) for n in kept], *[c(n) for n in outputs if n not in kept])
@@ -323,9 +324,10 @@ def growth_from_base(
     else:
         first = rows.groupBy(*keys).agg(
             F.min_by(F.struct(*[c(n).alias(b) for b, n in zip(bases, columns)]), c(time))
-            .alias("_first")
+            .alias("_first"),
+            F.count(F.lit(1)).alias("_total"),
         )
-        rows = rows.join(first.select(*keys, "_first.*"), keys)
+        rows = join_per_key(rows, first.select(*keys, "_first.*", "_total"), keys)
     return rows.select(
         *keys,
         time,

@@ -375,7 +375,10 @@ def percentiles(spark, sf_dir):
 
 @query("volatility_regime")
 def volatility_regime(spark, sf_dir):
-    return stats.volatility_regime(_activity_volatility(spark, sf_dir), "AdrActCnt_RV30_return1")
+    """Bands of volatility at nine digits: equal values must not differ in their last bit."""
+    name = "AdrActCnt_RV30_return1"
+    moved = _activity_volatility(spark, sf_dir).withColumn(name, F.round(name, 9))
+    return stats.volatility_regime(moved, name)
 
 
 @query("histogram_density")

@@ -453,7 +453,7 @@ add("yoy_pivot", BASE, "SELECT asset, dayofyear(time) AS day_of_year, " + ", ".j
 RV = "AdrActCnt_RV30_return1"
 MOVED = f"""SELECT * FROM ({volatility("AdrActCnt", 1, 30, "base")}) x WHERE {complete(volatility_names("AdrActCnt", 1, 30))}"""
 add("percentiles", BASE, quantiles(MOVED, RV), ("asset",), ("q10", "q25", "q50", "q75", "q90"))
-add("volatility_regime", BASE, bands(MOVED, RV), ("asset", "time", "band"), (RV,))
+add("volatility_regime", BASE, bands(f'SELECT asset, time, ROUND("{RV}", 9) AS "{RV}" FROM ({MOVED}) y', RV), ("asset", "time", "band"), (RV,))
 add("histogram_density", BASE, histogram("base", "AdrActCnt"), ("asset",), ("bin_start", "density"), ("bin", "n"))
 add("kde_grid", BASE, density("base", "AdrActCnt"), ("asset",), ("x", "density"), ("point",))
 add("mean_median", BASE, 'SELECT asset, AVG("AdrActCnt") AS mean, MEDIAN("AdrActCnt") AS median FROM base GROUP BY asset', ("asset",), ("mean", "median"), digits=4)

@@ -76,6 +76,16 @@ def test_timestamp_series_never_run_in_a_window_per_asset(spark):
                 assert "_chunk" in functions
 
 
+def test_rows_of_hot_keys_are_not_shuffled_by_key(spark):
+    """Values meet their key's figures by broadcast or as the rest of an anti-join."""
+    for frame in (
+        stats.volatility_regime(ticks(spark, 1), "v"), windows.growth_from_base(ticks(spark, 1), ["v"], layout="chunked"),
+    ):
+        text = plan(frame)
+        assert "Union" in text and "LeftAnti" in text
+        assert "BroadcastHashJoin" in text
+
+
 def test_copies_are_limited_before_the_shuffle(spark):
     df = ticks(spark, 1).withColumn("seq", F.lit(1))
     for frame in (cleaning.dedup_keep_last(df, seq="seq"), tables.preview_each(df, 3)):

@@ -8,6 +8,7 @@ from seriesmill.config import Settings
 from seriesmill.functions.expressions import chart_columns, numeric_columns
 from seriesmill.plans import stages
 from seriesmill.sources import csv, results, tables
+from seriesmill.sources.scratch import scratch_path
 
 
 @pytest.fixture
@@ -87,6 +88,12 @@ def test_unknown_kind_is_refused(spark, tmp_path):
         results.write_results(days(spark, [1.0]), str(tmp_path), "notes")
 
 
+def test_scratch_folders_are_shared_and_new(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert first.startswith(root) and first != second
+
+
 def test_chart_columns(spark):
     df = spark.sql("SELECT 'a' AS asset, 1.0D AS v, 2 AS v_lag1, 3.0D AS v_delta, 4.0D AS w, 's' AS s")
     assert numeric_columns(df) == ["v", "v_lag1", "v_delta", "w"]

@@ -4,7 +4,8 @@ import pytest
 from frames import column, days, listed, ticks
 from pyspark.sql import functions as F
 
-from seriesmill.operators import stats
+from seriesmill.operators import layout as layout_module
+from seriesmill.operators import stats, windows
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
@@ -121,6 +122,29 @@ def test_describe_equals_pandas(spark, layout):
     assert middle["median"] == pytest.approx(pd.Series(values, dtype=float).median())
 
 
+@pytest.mark.parametrize("hot_rows", [1, 100, 10**9])
+def test_hot_keys_get_the_same_results(spark, monkeypatch, hot_rows):
+    """The hot key is broadcast at 100, every key at 1, none at 10**9."""
+    df = ticks(spark, 51, 500)
+    checks = (
+        lambda layout: stats.percentiles(df, "v", layout=layout),
+        lambda layout: stats.volatility_regime(df, "v", layout=layout),
+        lambda layout: stats.histogram_density(df, "v", layout=layout),
+        lambda layout: stats.kde_grid(df, "v", layout=layout),
+        lambda layout: windows.growth_from_base(df, ["v"], layout=layout),
+    )
+    expected = [listed(check("whole"), 8) for check in checks]
+    monkeypatch.setattr(layout_module, "HOT_ROWS", hot_rows)
+    assert [listed(check("chunked"), 8) for check in checks] == expected
+
+
+@pytest.mark.parametrize("points", [2, 25, 60])
+def test_grid_has_as_many_points_as_asked(spark, points):
+    out = stats.kde_grid(days(spark, [1.0, 2.0, 4.0]), "v", points)
+    assert column(out, "point", "point") == list(range(points))
+    assert column(out, "x", "point")[-1] == pytest.approx(4.0)
+
+
 def test_dataset_info(spark):
     row = stats.dataset_info(days(spark, [None, 1.0])).first()
     assert (row["n_rows"], row["n_columns"], row["missing_values"]) == (2, 2, 1)

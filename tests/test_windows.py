@@ -1,8 +1,10 @@
 import math
+from datetime import date
 
 import pandas as pd
 import pytest
 from frames import column, days, listed, ticks
+from pyspark.sql import functions as F
 
 from seriesmill.operators import windows as w
 from seriesmill.operators.layout import POS, with_position
@@ -123,6 +125,21 @@ def test_positions_count_copies_of_a_time_in_seq_order(spark, size):
         assert [r[POS] for r in placed.collect()] == list(range(len(rows)))
 
 
+@pytest.mark.parametrize("seconds", [1, 60, 3600, 100_000])
+def test_slot_length_does_not_change_results(spark, seconds):
+    df = ticks(spark, 6)
+    for series in (df, df.withColumn("time", df.time.cast("timestamp"))):
+        out = w.delta_strict_mean(series, "v", 2, 3, chunk_rows=20, slot_seconds=seconds)
+        assert listed(out) == listed(w.delta_strict_mean(series, "v", 2, 3, layout="whole"))
+
+
+def test_times_before_1970(spark):
+    old = days(spark, [float(i) for i in range(30)], start=date(1969, 12, 20))
+    series = old.withColumn("time", F.col("time").cast("timestamp_ntz"))
+    out = w.moving_average(series, "v", [3], chunk_rows=4)
+    assert listed(out) == listed(w.moving_average(series, "v", [3], layout="whole"))
+
+
 def test_row_order_and_partitions_do_not_matter(spark):
     df = ticks(spark, 8)
     expected = listed(w.moving_average(df, "v", [4], chunk_rows=16))
