@@ -42,8 +42,10 @@ def _top_customers(per_day: DataFrame) -> DataFrame:
         F.sum("n").over(one).alias("everyone"),
     ).where((F.col("above") + 1) * 100 <= F.col("everyone"))
     in_slab = Window.partitionBy("slab").orderBy(F.desc("total"), "o_custkey")
+    lowest = slabs.agg(F.min("slab")).scalar()
     return (
-        totals.join(slabs, "slab")
+        totals.where(F.col("slab") >= lowest)
+        .join(slabs, "slab")
         .withColumn("place", F.col("above") + F.row_number().over(in_slab))
         .where(F.col("place") * 100 <= F.col("everyone"))
         .select("o_custkey", F.lit(True).alias("is_top"))

@@ -207,7 +207,7 @@ def histogram_density(
 
 
 # Grid points summed side by side per row; rows are repeated once per block of points.
-_BLOCK = 25
+_BLOCK = 10
 
 
 def kde_grid(

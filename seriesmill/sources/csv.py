@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from csv import reader
 from functools import reduce
@@ -77,6 +78,7 @@ def read_metric_csvs(
     time_type: str = "date",
     on_error: str = "raise",
     asset_pattern: str = FILE_NAME,
+    header: Sequence[str] | None = None,
 ) -> DataFrame:
     """(asset, time, seq, metrics...) from a folder of per-asset files.
 
@@ -84,31 +86,38 @@ def read_metric_csvs(
     and the groups are united by name. Metrics become doubles, text that is no number
     becomes NULL; a time that cannot be parsed fails the job. ``seq`` grows with the line
     number within a file and breaks ties between equal times.
+
+    With very many files that share one header, give it as ``header``: no file is looked at
+    beforehand, and Spark fails on a file whose header differs.
     """
     if on_error not in ("raise", "skip"):
         raise ValueError(f"unknown on_error: {on_error}")
-    files = inspect_files(spark, path, time, asset_pattern)
-    bad = [f for f in files if f["detail"]]
-    if bad and on_error == "raise":
-        raise ValueError("unreadable files: " + ", ".join(f"{f['path']} ({f['detail']})" for f in bad))
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for f in files:
-        if not f["detail"]:
-            groups[f["header"]].append(f["path"])
-    if not groups:
-        raise ValueError(f"no readable files under {path}")
 
-    def read_group(header: tuple[str, ...], paths: list[str]) -> DataFrame:
-        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in header)
-        raw = spark.read.csv(paths, header=True, schema=schema)
+    def read_group(names: Sequence[str], paths: str | list[str], **options) -> DataFrame:
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        raw = spark.read.options(**options).csv(paths, header=True, schema=schema)
         # The metadata path is a URI, in which a plus sign stands for itself.
         file = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
         return raw.select(
             F.regexp_extract(file, asset_pattern, 1).alias("asset"),
             c(time).cast(time_type).alias(time),
             F.monotonically_increasing_id().alias("seq"),
-            *[c(n).try_cast("double").alias(n) for n in header if n != time],
+            *[c(n).try_cast("double").alias(n) for n in names if n != time],
         )
 
+    if header is not None:
+        return read_group(
+            header, path, enforceSchema=False, recursiveFileLookup=True, pathGlobFilter="*.csv"
+        )
+    files = inspect_files(spark, path, time, asset_pattern)
+    bad = [f"{f['path']} ({f['detail']})" for f in files if f["detail"]]
+    if bad and on_error == "raise":
+        raise ValueError("unreadable files: " + ", ".join(bad))
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for f in files:
+        if not f["detail"]:
+            groups[f["header"]].append(f["path"])
+    if not groups:
+        raise ValueError(f"no readable files under {path}")
     parts = [read_group(h, p) for h, p in sorted(groups.items())]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

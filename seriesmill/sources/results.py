@@ -97,15 +97,23 @@ def feature_results(
 
 
 def write_results(
-    results: DataFrame, path: str, kind: str, format: str = "parquet", **options
+    results: DataFrame,
+    path: str,
+    kind: str,
+    format: str = "parquet",
+    partition_by: Sequence[str] = ("asset", "metric"),
+    **options,
 ) -> None:
-    """Write one kind below ``path/kind``, partitioned by asset and metric."""
+    """Write one kind below ``path/kind``, replacing the partitions it holds.
+
+    Very many assets make very many folders: partition by metric alone then.
+    """
     if kind not in KINDS:
         raise ValueError(f"unknown kind: {kind}")
     writer = (
         results.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("asset", "metric")
+        .partitionBy(*partition_by)
     )
     if format == "csv":
         writer = writer.option("header", True)

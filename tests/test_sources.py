@@ -34,6 +34,16 @@ def test_columns_are_bound_by_name(spark, landed):
     assert [r["TxCnt"] for r in copies] == [2.0, 3.0]
 
 
+def test_a_given_header_is_checked(spark, landed, tmp_path):
+    names = ["time", "PriceUSD", "TxCnt"]
+    with pytest.raises(Exception, match="header"):
+        csv.read_metric_csvs(spark, str(landed), header=names).collect()
+    (landed / "a+b 2.csv").write_text("time,PriceUSD,TxCnt\n2024-01-01,5,6\n")
+    given = csv.read_metric_csvs(spark, str(landed), header=names)
+    looked_up = csv.read_metric_csvs(spark, str(landed))
+    assert listed(given.drop("seq")) == listed(looked_up.drop("seq"))
+
+
 def test_unreadable_files_raise_or_are_reported(spark, landed):
     (landed / "broken.csv").write_text("no,header\n1,2\n")
     (landed / "empty.csv").write_text("\n")
