@@ -41,14 +41,14 @@ MIN_CHUNK_ROWS = 16_384
 HALO_RATIO = 16
 # Rows per chunk where only a summary of each chunk is exchanged.
 SUMMARY_CHUNK_ROWS = 65_536
-# Length of a slot of timestamps. The rows of one slot of one key stay together, so dense
-# series (many rows per second) want shorter slots.
+# Length of a slot of timestamps. The rows of one slot of one key stay together, unless
+# there are so many that the slot is split by second.
 SLOT_SECONDS = 3600
 
-# A key with this many rows is not shuffled to one task.
+# A key with this many rows is not shuffled to one task, a slot with this many is split.
 HOT_ROWS = 1_000_000
 
-_SLOT, _LOT = "_slot", "_lot"
+_SLOT, _PART = "_slot", "_part"
 _LOT_ROWS = 65_536
 
 
@@ -60,29 +60,59 @@ def choose_layout(df: DataFrame, time: str, layout: str) -> str:
     return layout
 
 
+def _seconds(df: DataFrame, time: str, to_the_hour: bool) -> Column:
+    """Seconds since 1970 of a timestamp, cut to the hour where that is enough."""
+    at = c(time)
+    if not isinstance(df.schema[time].dataType, T.TimestampNTZType):
+        return F.unix_seconds(at)
+    # Wall-clock fields: cheaper than a difference, and free of the session's zone.
+    elapsed = F.unix_date(at.cast("date")).cast("bigint") * 86_400 + F.hour(at) * 3600
+    return elapsed if to_the_hour else elapsed + F.minute(at) * 60 + F.second(at)
+
+
 def _slot(df: DataFrame, time: str, seconds: int) -> Column:
     """Calendar slot of a row: the day of a DATE, or a fixed stretch of a timestamp."""
-    at = c(time)
     if is_date(df, time):
-        return F.unix_date(at).cast("bigint")
-    if isinstance(df.schema[time].dataType, T.TimestampNTZType):
-        # Wall-clock fields: cheaper than a difference, and free of the session's zone.
-        elapsed = F.unix_date(at.cast("date")).cast("bigint") * 86_400 + F.hour(at) * 3600
-        if seconds % 3600:
-            elapsed = elapsed + F.minute(at) * 60 + F.second(at)
-    else:
-        elapsed = F.unix_seconds(at)
+        return F.unix_date(c(time)).cast("bigint")
+    elapsed = _seconds(df, time, seconds % 3600 == 0)
     return F.floor(elapsed / F.lit(seconds)).cast("bigint")
 
 
-def _slot_starts(rows: DataFrame, keys: list[str], slot: list[str]) -> DataFrame:
+def _with_slots(
+    df: DataFrame, keys: list[str], time: str, seq: str | None, slot_seconds: int
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows with their slot columns, the row count of every slot, and the column names."""
+    count = F.count(F.lit(1)).alias("_n")
+    rows = df.withColumn(_SLOT, _slot(df, time, slot_seconds))
+    if seq is not None:
+        rows = rows.withColumn(_PART, F.floor(c(seq) / F.lit(_LOT_ROWS)))
+        slot = [_SLOT, _PART] if is_date(df, time) else [_SLOT, time, _PART]
+        return rows, rows.groupBy(*keys, *slot).agg(count), slot
+    counts = rows.groupBy(*keys, _SLOT).agg(count)
+    if is_date(df, time) or slot_seconds == 1:
+        return rows, counts, [_SLOT]
+
+    # A burst may put most rows of a series into one slot: such slots are split by second.
+    # There are at most (all rows / HOT_ROWS) of them, which bounds the broadcast.
+    hot = counts.where(F.col("_n") >= HOT_ROWS).select(*keys, _SLOT, F.lit(True).alias("_hot"))
+    hot = F.broadcast(hot)
+    second = _seconds(df, time, False)
+    rows = rows.join(hot, [*keys, _SLOT], "left").withColumn(
+        _PART, F.when(F.col("_hot"), second).otherwise(F.lit(0).cast("bigint"))
+    )
+    slot = [_SLOT, _PART]
+    plain = counts.where(F.col("_n") < HOT_ROWS).withColumn(_PART, F.lit(0).cast("bigint"))
+    burst = rows.where(F.col("_hot")).groupBy(*keys, *slot).agg(count)
+    return rows, plain.unionByName(burst), slot
+
+
+def _slot_starts(counts: DataFrame, keys: list[str], slot: list[str]) -> DataFrame:
     """(keys, slot, _n, _start): rows per slot and rows of the series before it.
 
     The table of plain slots is bounded by the calendar. Where slots are split further by
     time and sequence they are summed within their slot first, then over slots.
     """
     so_far = (Window.unboundedPreceding, 0)
-    counts = rows.groupBy(*keys, *slot).agg(F.count(F.lit(1)).alias("_n"))
     if len(slot) <= 2:
         over = Window.partitionBy(*keys).orderBy(*slot).rowsBetween(*so_far)
         return counts.withColumn("_start", F.sum("_n").over(over) - F.col("_n"))
@@ -116,14 +146,9 @@ def in_chunks(
     copies into lots of 65,536 sequence numbers. Keys and times must not be NULL.
     """
     keys = list(keys)
-    rows = df.withColumn(_SLOT, _slot(df, time, slot_seconds))
-    slot = [_SLOT]
-    if seq is not None:
-        rows = rows.withColumn(_LOT, F.floor(c(seq) / F.lit(_LOT_ROWS)))
-        slot = [_SLOT, _LOT] if is_date(df, time) else [_SLOT, time, _LOT]
-
+    rows, counts, slot = _with_slots(df, keys, time, seq, slot_seconds)
     size = int(rows_per_chunk)
-    slots = _slot_starts(rows, keys, slot).withColumn("_own", F.expr(f"_start div {size}"))
+    slots = _slot_starts(counts, keys, slot).withColumn("_own", F.expr(f"_start div {size}"))
     slots = slots.withColumn(
         CHUNK_START, F.min("_start").over(Window.partitionBy(*keys, "_own"))
     )

@@ -6,6 +6,7 @@ import pytest
 from frames import column, days, listed, ticks
 from pyspark.sql import functions as F
 
+from seriesmill.operators import layout
 from seriesmill.operators import windows as w
 from seriesmill.operators.layout import POS, with_position
 
@@ -133,6 +134,18 @@ def test_slot_length_does_not_change_results(spark, seconds):
         assert listed(out) == listed(w.delta_strict_mean(series, "v", 2, 3, layout="whole"))
 
 
+@pytest.mark.parametrize("hot_rows", [1, 4, 10**9])
+def test_crowded_slots_are_split(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(layout, "HOT_ROWS", hot_rows)
+    df = ticks(spark, 7)
+    for series in (df, df.withColumn("time", df.time.cast("timestamp"))):
+        out = w.delta_strict_mean(series, "v", 2, 3, chunk_rows=6, slot_seconds=500_000)
+        assert listed(out) == listed(w.delta_strict_mean(series, "v", 2, 3, layout="whole"))
+        placed = with_position(series, 6, slot_seconds=500_000)
+        largest = placed.groupBy("asset", "_chunk").count().agg(F.max("count")).first()[0]
+        assert largest <= 12 if hot_rows == 1 else largest > 12 or hot_rows == 4
+
+
 def test_times_before_1970(spark):
     old = days(spark, [float(i) for i in range(30)], start=date(1969, 12, 20))
     series = old.withColumn("time", F.col("time").cast("timestamp_ntz"))
