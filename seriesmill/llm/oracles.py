@@ -1,5 +1,182 @@
-"""The same results as SQL for a second engine, where SQL can express them."""
+"""The same results as SQL for a second engine, where SQL can express them.
+
+Fingerprints (hash cells), token counts, importance and packing are tested against brute force.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from seriesmill.llm import chat, mixing, near_join, url_filter
+from seriesmill.llm.common import WORD
+
+UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
+
+
+def _url_filter() -> str:
+    """Mined rules by counting all token combinations of every labelled URL."""
+    rules = sorted(url_filter.RULES, key=lambda r: (-len(r[0] + r[1]), -len(r[0])))
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in rules)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in rules)
+    mark = lambda kind, parts: f"list_transform(list_filter({parts}, lambda x: x <> ''), lambda x: '{kind}' || x)"
+    tokens = [
+        mark("scheme:", f"[translate(regexp_extract(url, '^(.*?)://', 1), '{UPPER}', '{LOWER}')]"),
+        mark("host:", "string_split(host, '.')"),
+        mark("site:", "[regexp_extract(host, '^[^.]*\\.(.*\\..*)$', 1)]"),
+        mark("path:", "list_transform(string_split(path, '/'), lambda x: regexp_replace(x, '[0-9]+', '#', 'g'))"),
+        mark("ending:", "[regexp_extract(path, '\\.([A-Za-z]+)$', 1)]"),
+        mark("query:", "list_transform(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: regexp_extract(x, '^([^=]*)', 1))"),
+        mark("fragment:", "[CASE WHEN contains(url, '#') THEN 'yes' ELSE '' END]"),
+    ]
+    all_tokens = tokens[0]
+    for more in tokens[1:]:
+        all_tokens = f"list_concat({all_tokens}, {more})"
+    return f"""
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parsed AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut
+), rows AS (
+  SELECT page_id, host, path, CASE WHEN host = '' THEN []::VARCHAR[] ELSE list_sort(list_distinct({all_tokens})) END AS tokens FROM parsed
+), known AS (
+  SELECT doc_id, bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels GROUP BY doc_id
+), labelled AS (
+  SELECT row_number() OVER () AS n, tokens, bad FROM rows JOIN known ON page_id = doc_id WHERE len(tokens) > 0
+), least AS (
+  SELECT greatest({url_filter.MIN_ROWS}, ceil(count(*) * {url_filter.MIN_SUPPORT})) AS least FROM labelled
+), one AS (SELECT n, bad, unnest(tokens) AS token FROM labelled
+), often AS (
+  SELECT token FROM one GROUP BY token HAVING count(*) FILTER (bad) >= (SELECT least FROM least)
+), baskets AS (
+  SELECT n, bad, list(token ORDER BY token) AS tokens FROM one SEMI JOIN often USING (token) GROUP BY n, bad
+), subsets AS (
+  SELECT n, bad, tokens, unnest(range(1, (1 << len(tokens))::BIGINT)) AS mask FROM baskets
+), combinations AS (
+  SELECT bad, list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS combination FROM subsets
+), mined AS (
+  SELECT combination FROM combinations GROUP BY combination
+  HAVING count(*) FILTER (bad) >= (SELECT least FROM least) AND count(*) FILTER (bad) / count(*) >= {url_filter.MIN_CONFIDENCE}
+), hits AS (
+  SELECT DISTINCT r.tokens FROM (SELECT DISTINCT tokens FROM rows) r JOIN mined m ON list_has_all(r.tokens, m.combination)
+)
+SELECT page_id, host, path, CASE {rule} END AS rule,
+  coalesce(CASE {verdict} END, CASE WHEN h.tokens IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM rows r LEFT JOIN hits h ON r.tokens = h.tokens
+"""
+
+
+def _mix() -> str:
+    seed, block, epochs = mixing.SEED, mixing.BLOCK_WORDS, mixing.MAX_EPOCHS
+    number = lambda digest: f"('0x' || substr({digest}, 1, 15))::BIGINT"
+    weights = f"[{', '.join(map(str, mixing.WEIGHTS))}]"
+    return f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+    md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS order_key FROM documents
+), dealt AS (
+  SELECT *, {number('order_key')} % greatest(1, (SELECT (count(*) + {mixing.SHARD_ROWS - 1}) // {mixing.SHARD_ROWS} FROM sized)) AS shard FROM sized
+), groups AS (SELECT shard, source, sum(size)::BIGINT AS words FROM dealt GROUP BY ALL
+), sources AS (
+  SELECT source, sum(words)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank FROM groups GROUP BY source
+), weighed AS (
+  SELECT *, {weights}[((source_rank - 1) % {len(mixing.WEIGHTS)} + 1)::INT]::DOUBLE AS weight, (source_size * {epochs})::DOUBLE AS cap FROM sources
+), levels AS (
+  SELECT *, cap / weight AS full_at, ((SELECT sum(source_size) FROM sources)::DOUBLE
+    - coalesce(sum(cap) OVER (ORDER BY cap / weight, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, source_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
+), targets AS (
+  SELECT source, source_rank, source_size, CASE WHEN full_at > level
+    THEN (SELECT level FROM levels WHERE full_at > level ORDER BY full_at, source_rank LIMIT 1) * weight ELSE cap END AS target FROM levels
+), votes AS (
+  SELECT shard, g.source, words, source_rank, source_size, target,
+    target * CASE WHEN source_size > 0 THEN words / source_size ELSE 0 END AS votes
+  FROM groups g JOIN targets t ON g.source IS NOT DISTINCT FROM t.source
+), totals AS (SELECT shard, sum(votes) AS all_votes, count(*) / 2 AS half, round(sum(votes) / {block})::BIGINT AS blocks FROM votes GROUP BY shard
+), seats AS (
+  SELECT shard, source_rank, votes, blocks, unnest(range(0, floor(votes / all_votes * (blocks + half) + 0.5)::BIGINT + 2)) AS seat
+  FROM votes JOIN totals USING (shard) WHERE votes > 0
+), won AS (
+  SELECT *, row_number() OVER (PARTITION BY shard ORDER BY votes / (2 * seat + 1) DESC, source_rank) AS place FROM seats
+), quotas AS (
+  SELECT shard, source_rank, count(*)::BIGINT AS quota FROM won WHERE place <= blocks GROUP BY ALL
+), blocked AS (
+  SELECT v.*, greatest(1, round(words / {block}))::BIGINT AS n, coalesce(quota, 0) AS quota FROM votes v LEFT JOIN quotas USING (shard, source_rank)
+), runs AS (
+  SELECT *, least(quota, n * {epochs}) // n AS epochs, least(quota, n * {epochs}) % n AS extra,
+    {number(f"md5('{seed}:' || shard || ':' || source_rank)")} % n AS first FROM blocked
+), edges AS (
+  SELECT *, words * first // n AS low, words * least(first + extra, n) // n AS high, words * greatest(first + extra - n, 0) // n AS wrapped FROM runs
+), placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY shard, source ORDER BY order_key, size)::BIGINT - size AS start FROM dealt
+)
+SELECT p.doc_id, p.size, e.source_size, e.target, (e.epochs * p.size + greatest(least(start + p.size, high) - greatest(start, low), 0)
+  + greatest(least(start + p.size, wrapped) - start, 0))::BIGINT AS taken
+FROM placed p JOIN edges e ON p.shard = e.shard AND p.source IS NOT DISTINCT FROM e.source
+"""
+
+
+def _near_join() -> str:
+    n = near_join.WORDS
+    return f"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+), shingled AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(words) - {n - 1}, 1) + 1), lambda i: array_to_string(words[i : i + {n - 1}], ' '))) AS shingles
+  FROM worded
+), one AS (SELECT doc_id, len(shingles) AS size, unnest(shingles) AS shingle FROM shingled
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING count(*) >= {near_join.THRESHOLD} * (any_value(a.size) + any_value(b.size) - count(*)) - 1e-9
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
+), classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a
+), links AS (SELECT a AS doc_id, count(*) AS n FROM pairs GROUP BY a)
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM classes LEFT JOIN links USING (doc_id)
+"""
+
+
+CHATS = f"""
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations
+), lines AS (
+  SELECT conv_id, turn, '{chat.START}' || coalesce(role, '') || chr(10) || coalesce(text, '') || '{chat.END}' || chr(10) AS line FROM turns
+), logs AS (
+  SELECT conv_id, turn, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY turn) AS chat,
+    count(*) OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM lines
+), prefixes AS (SELECT DISTINCT chat FROM logs WHERE n < n_turns
+), whole AS (SELECT chat, any_value(n_turns) AS n_turns, min(conv_id) AS conv_id, count(*) AS copies FROM logs WHERE n = n_turns GROUP BY chat)
+SELECT conv_id, n_turns, copies, length(chat)::BIGINT AS n_chars, chat FROM whole ANTI JOIN prefixes USING (chat)
+"""
+
+WARC = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest FROM pages
+), coded AS (
+  SELECT page_id, payload, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(digest, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest FROM payloads
+), best AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM coded)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to
+FROM best
+"""
+
+NEIGHBOURS = """
+WITH usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]), lambda x, y: x + y) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_url_filter": _url_filter(),
+    "op2_source_mix": _mix(),
+    "op5_near_join": _near_join(),
+    "op6_chat_snapshots": CHATS,
+    "op8_warc_revisits": WARC,
+    "op9_onebit_search": NEIGHBOURS,
+}

@@ -21,7 +21,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     known = labels.select(F.col("doc_id").alias("page_id"), F.coalesce(bad, F.lit(False)).alias("bad"))
-    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), known)
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), known).drop("mined_rule")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
