@@ -190,7 +190,8 @@ def mixed_documents(docs: DataFrame, text_col="text", length_col="n_chars", **op
         lambda x: x["high"] > x["low"],
     )
     taken = written(taken.select(F.col("row_id").alias("_mix_row"), F.concat(whole, once).alias("_mix_parts")), "mix-taken")
-    joined = kept.join(taken, kept[row_id] == taken["_mix_row"])
+    # the list grows with the documents: never broadcast it
+    joined = kept.join(taken.hint("merge"), kept[row_id] == taken["_mix_row"])
     joined = joined.withColumn("_mix_part", F.explode("_mix_parts"))
     low, high = F.col("_mix_part.low"), F.col("_mix_part.high")
     is_whole = (low == 0) & (high == F.col(size))
