@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions.expressions import c, ratio
 from seriesmill.operators.windows import compute_features, volatility_of
+from seriesmill.sources.scratch import written
 
 BASE_METRICS = (
     "PriceUSD", "TxCnt", "AdrActCnt", "CapMrktCurUSD", "AdrBalCnt", "AdrBalUSD10KCnt",
@@ -17,7 +18,7 @@ BASE_METRICS = (
 )
 PRICE_METRICS = ("ROI30d", "ROI1yr", "VtyDayRet30d", "NVTAdj90")
 
-_SLAB_CENTS = 1_000_000
+_SLABS = 1_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,27 +28,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def _top_customers(per_day: DataFrame) -> DataFrame:
     """The 1 % of customers with the highest totals, without one global sort.
 
-    Totals are counted per slab of value; only slabs that reach into the top are ranked,
-    each on its own. The slab table is a histogram of a few thousand rows.
+    Approximate quantiles of the totals cut them into `_SLABS` slabs of about equal size, however
+    many customers there are; a total is in the slab that its rank falls in. Slabs are counted;
+    only those that reach into the top are ranked, each on its own, and there are about
+    `_SLABS` / 100 of them. The totals are worked out once and written.
     """
-    totals = per_day.groupBy("o_custkey").agg(F.sum("cap").alias("total")).withColumn(
-        "slab", F.floor(F.col("total") / F.lit(_SLAB_CENTS))
-    )
-    one = Window.partitionBy("one")
-    slabs = totals.groupBy("slab").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
-    from_top = one.orderBy(F.desc("slab")).rowsBetween(Window.unboundedPreceding, 0)
-    slabs = slabs.select(
-        "slab",
-        (F.sum("n").over(from_top) - F.col("n")).alias("above"),
-        F.sum("n").over(one).alias("everyone"),
-    ).where((F.col("above") + 1) * 100 <= F.col("everyone"))
+    totals = written(per_day.groupBy("o_custkey").agg(F.sum("cap").alias("total")), "totals")
+    # The top hundredth, in steps of a slab; everything below is one slab of no interest.
+    shares = [1 - i / _SLABS for i in range(_SLABS // 50, 0, -1)]
+    found = totals.agg(
+        F.percentile_approx("total", shares, 10 * _SLABS).alias("cuts"), F.count("*").alias("n")
+    ).first()
+    cuts = sorted(set(found["cuts"] or []))
+    slab = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.col("total")))
+    slabbed = totals.withColumn("slab", slab if cuts else F.lit(0))
+    counts = {r["slab"]: r["count"] for r in slabbed.groupBy("slab").count().collect()}
+    above = {k: sum(n for other, n in counts.items() if other > k) for k in counts}
+    reached = {k: n for k, n in above.items() if (n + 1) * 100 <= found["n"]}
+    if not reached:
+        return totals.where("false").select("o_custkey", F.lit(True).alias("is_top"))
+    starts = F.create_map(*[F.lit(x) for pair in reached.items() for x in pair])
     in_slab = Window.partitionBy("slab").orderBy(F.desc("total"), "o_custkey")
-    lowest = slabs.agg(F.min("slab")).scalar()
     return (
-        totals.where(F.col("slab") >= lowest)
-        .join(slabs, "slab")
-        .withColumn("place", F.col("above") + F.row_number().over(in_slab))
-        .where(F.col("place") * 100 <= F.col("everyone"))
+        slabbed.where(F.col("slab").isin(list(reached)))
+        .withColumn("place", starts[F.col("slab")] + F.row_number().over(in_slab))
+        .where(F.col("place") * 100 <= found["n"])
         .select("o_custkey", F.lit(True).alias("is_top"))
     )
 
@@ -169,7 +174,9 @@ def _price_metrics(rows: DataFrame, wanted: Sequence[str], carried: Sequence[str
         "VtyDayRet30d": lambda: c("PriceUSD_RV30_return1"),
     }
     if "VtyDayRet30d" in wanted:
-        rows = compute_features(rows, [volatility_of("PriceUSD", 1, 30)], keep=carried)
+        rows = compute_features(
+            rows, [volatility_of("PriceUSD", 1, 30)], keep=carried, layout="whole"
+        )
     return rows.withColumns({m: made[m]() for m in wanted})
 
 
@@ -192,9 +199,10 @@ def daily_metrics_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(asset, time, Val): every event as a row of its type's series."""
+    """(asset, time, event_id, Val): every event as a row of its type's series."""
     return read(spark, sf_dir, "events").select(
-        F.col("event_type").alias("asset"), F.col("ts").alias("time"), F.col("value").alias("Val")
+        F.col("event_type").alias("asset"), F.col("ts").alias("time"), "event_id",
+        F.col("value").alias("Val"),
     )
 
 

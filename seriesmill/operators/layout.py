@@ -2,19 +2,19 @@
 
 Row frames need neighbours, so a series must be sorted somewhere. Two layouts:
 
+``chunked`` (the default)
+    For series of any length. Rows are sorted once by (keys, time, tie-break) into Spark's
+    range partitions, whose bounds it samples from the rows themselves: a hot key, a crowded
+    hour, even one crowded second is cut wherever its rows fill a partition. The sorted table is
+    written to the shared folder, numbered as it is written. A small table (one row per key and
+    partition that holds it, at most keys + partitions rows) turns the numbers into positions
+    within each series. A chunk is a stretch of ``chunk_rows`` positions; exactly the rows that
+    frames of a neighbouring chunk reach are copied into it. Windows run per (key, chunk); the
+    copies are dropped afterwards.
+
 ``whole``
-    One window partition per key. Chosen for DATE series: after cleaning they hold
-    one row per day at most, so a partition is bounded by the calendar (about 37,000
-    rows per century) however large the input was. One shuffle.
-
-``chunked``
-    For timestamps, where one key may hold any share of all rows. Rows are counted per
-    calendar slot, the counts are prefix-summed, and successive slots are grouped into
-    chunks of about equal size. A slot whose rows are needed by the frames of a neighbouring
-    chunk (the halo) is copied into it. Windows run per (key, chunk); the copies are
-    dropped afterwards. Chunk size does not depend on the key, so a hot key spreads over as
-    many tasks as its size asks for. One shuffle of the rows, plus the small slot table,
-    which is joined in; Spark broadcasts it only when its size allows.
+    One window partition per key, one shuffle, nothing written. Only for series that the
+    calendar bounds, such as one row per day after ``clean``; the caller says so.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from seriesmill.functions.expressions import c, is_date
+from seriesmill.functions.expressions import c
+from seriesmill.sources.scratch import written
 
 KEYS = ("asset",)
 TIME = "time"
@@ -33,7 +33,6 @@ TIME = "time"
 POS = "_pos"
 CHUNK = "_chunk"
 OWNED = "_owned"
-CHUNK_START = "_chunk_start"
 
 # Rows per chunk for frames with a halo: at least this many, and at least 16 halos, so
 # that copies stay a small share of the rows.
@@ -41,90 +40,49 @@ MIN_CHUNK_ROWS = 16_384
 HALO_RATIO = 16
 # Rows per chunk where only a summary of each chunk is exchanged.
 SUMMARY_CHUNK_ROWS = 65_536
-# Length of a slot of timestamps. The rows of one slot of one key stay together, unless
-# there are so many that the slot is split by second.
-SLOT_SECONDS = 3600
-
-# A key with this many rows is not shuffled to one task, a slot with this many is split.
-HOT_ROWS = 1_000_000
 
-_SLOT, _PART = "_slot", "_part"
-_LOT_ROWS = 65_536
+_PART, _ROW, _TIE = "_part", "_row", "_tie"
 
 
-def choose_layout(df: DataFrame, time: str, layout: str) -> str:
+def choose_layout(layout: str) -> str:
     if layout == "auto":
-        return "whole" if is_date(df, time) else "chunked"
+        return "chunked"
     if layout not in ("whole", "chunked"):
         raise ValueError(f"unknown layout: {layout}")
     return layout
 
 
-def _seconds(df: DataFrame, time: str, to_the_hour: bool) -> Column:
-    """Seconds since 1970 of a timestamp, cut to the hour where that is enough."""
-    at = c(time)
-    if not isinstance(df.schema[time].dataType, T.TimestampNTZType):
-        return F.unix_seconds(at)
-    # Wall-clock fields: cheaper than a difference, and free of the session's zone.
-    elapsed = F.unix_date(at.cast("date")).cast("bigint") * 86_400 + F.hour(at) * 3600
-    return elapsed if to_the_hour else elapsed + F.minute(at) * 60 + F.second(at)
-
-
-def _slot(df: DataFrame, time: str, seconds: int) -> Column:
-    """Calendar slot of a row: the day of a DATE, or a fixed stretch of a timestamp."""
-    if is_date(df, time):
-        return F.unix_date(c(time)).cast("bigint")
-    elapsed = _seconds(df, time, seconds % 3600 == 0)
-    return F.floor(elapsed / F.lit(seconds)).cast("bigint")
-
-
-def _with_slots(
-    df: DataFrame, keys: list[str], time: str, seq: str | None, slot_seconds: int
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Rows with their slot columns, the row count of every slot, and the column names."""
-    count = F.count(F.lit(1)).alias("_n")
-    rows = df.withColumn(_SLOT, _slot(df, time, slot_seconds))
-    if seq is not None:
-        rows = rows.withColumn(_PART, F.floor(c(seq) / F.lit(_LOT_ROWS)))
-        slot = [_SLOT, _PART] if is_date(df, time) else [_SLOT, time, _PART]
-        return rows, rows.groupBy(*keys, *slot).agg(count), slot
-    counts = rows.groupBy(*keys, _SLOT).agg(count)
-    if is_date(df, time) or slot_seconds == 1:
-        return rows, counts, [_SLOT]
-
-    # A burst may put most rows of a series into one slot: such slots are split by second.
-    # There are at most (all rows / HOT_ROWS) of them, which bounds the broadcast.
-    hot = counts.where(F.col("_n") >= HOT_ROWS).select(*keys, _SLOT, F.lit(True).alias("_hot"))
-    hot = F.broadcast(hot)
-    second = _seconds(df, time, False)
-    rows = rows.join(hot, [*keys, _SLOT], "left").withColumn(
-        _PART, F.when(F.col("_hot"), second).otherwise(F.lit(0).cast("bigint"))
-    )
-    slot = [_SLOT, _PART]
-    plain = counts.where(F.col("_n") < HOT_ROWS).withColumn(_PART, F.lit(0).cast("bigint"))
-    burst = rows.where(F.col("_hot")).groupBy(*keys, *slot).agg(count)
-    return rows, plain.unionByName(burst), slot
+def series_order(time: str, seq: str | None) -> list[Column]:
+    return [c(time)] if seq is None else [c(time), c(seq)]
 
 
-def _slot_starts(counts: DataFrame, keys: list[str], slot: list[str]) -> DataFrame:
-    """(keys, slot, _n, _start): rows per slot and rows of the series before it.
+def _positions(
+    df: DataFrame, keys: list[str], time: str, seq: str | None
+) -> DataFrame:
+    """Rows with ``_pos``, the 0-based row number in their series, and ``_last``, its highest.
 
-    The table of plain slots is bounded by the calendar. Where slots are split further by
-    time and sequence they are summed within their slot first, then over slots.
+    Without a tie-break, equal times stay in the order in which they were read.
     """
-    so_far = (Window.unboundedPreceding, 0)
-    if len(slot) <= 2:
-        over = Window.partitionBy(*keys).orderBy(*slot).rowsBetween(*so_far)
-        return counts.withColumn("_start", F.sum("_n").over(over) - F.col("_n"))
-    inner = Window.partitionBy(*keys, _SLOT).orderBy(*slot[1:]).rowsBetween(*so_far)
-    outer = Window.partitionBy(*keys).orderBy(_SLOT).rowsBetween(*so_far)
-    slots = counts.groupBy(*keys, _SLOT).agg(F.sum("_n").alias("_m")).select(
-        *keys, _SLOT, (F.sum("_m").over(outer) - F.col("_m")).alias("_slot_start")
+    tie = F.monotonically_increasing_id() if seq is None else c(seq)
+    order = [*map(c, keys), c(time), F.col(_TIE)]
+    in_order = df.withColumn(_TIE, tie).repartitionByRange(*order).sortWithinPartitions(*order)
+    # Numbers grow from partition to partition and by one from row to row.
+    numbered = in_order.drop(_TIE).withColumns(
+        {_PART: F.spark_partition_id(), _ROW: F.monotonically_increasing_id()}
     )
-    within = counts.withColumn("_within", F.sum("_n").over(inner) - F.col("_n"))
-    return within.join(slots, [*keys, _SLOT]).select(
-        *keys, *slot, "_n", (F.col("_slot_start") + F.col("_within")).alias("_start")
+    rows = written(numbered, "ordered")
+    series = Window.partitionBy(*keys)
+    earlier = series.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = rows.groupBy(*keys, _PART).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(_ROW).alias("_first")
+    ).select(
+        *keys, _PART,
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+        (F.sum("_n").over(series) - 1).alias("_last"),
     )
+    placed = rows.join(written(shifts, "shifts"), [*keys, _PART])
+    kept = [c(n) for n in df.columns]
+    return placed.select(*kept, (F.col(_ROW) + F.col("_shift")).alias(POS), "_last")
 
 
 def in_chunks(
@@ -136,84 +94,37 @@ def in_chunks(
     keys: Sequence[str] = KEYS,
     time: str = TIME,
     seq: str | None = None,
-    slot_seconds: int = SLOT_SECONDS,
 ) -> DataFrame:
-    """Add ``_chunk``, ``_owned`` and ``_chunk_start`` to rows and their halo copies.
+    """Add ``_pos``, ``_chunk`` and ``_owned`` to rows and their halo copies.
 
-    A chunk is a stretch of whole slots. With a halo, its rows are preceded (followed) by at
-    least ``before`` (``after``) rows of the series, as far as the series has them.
-    ``seq`` (a numeric tie-break) also orders equal times, and splits a time with very many
-    copies into lots of 65,536 sequence numbers. Keys and times must not be NULL.
+    A chunk owns ``rows_per_chunk`` successive rows. With a halo, they are preceded (followed) by
+    the ``before`` (``after``) rows of the series next to them. ``seq`` orders equal times. Keys
+    and times must not be NULL.
     """
-    keys = list(keys)
-    rows, counts, slot = _with_slots(df, keys, time, seq, slot_seconds)
+    rows = _positions(df, list(keys), time, seq)
     size = int(rows_per_chunk)
-    slots = _slot_starts(counts, keys, slot).withColumn("_own", F.expr(f"_start div {size}"))
-    slots = slots.withColumn(
-        CHUNK_START, F.min("_start").over(Window.partitionBy(*keys, "_own"))
-    )
-    kept = [c(n) for n in df.columns]
+    own = F.expr(f"{POS} div {size}")
     if not (before or after):
-        placed = rows.join(slots, [*keys, *slot])
-        return placed.select(
-            *kept, CHUNK_START, F.col("_own").alias(CHUNK), F.lit(True).alias(OWNED)
-        )
-    # The furthest chunk that reads these rows as its past, and the first that reads them
-    # as its future: the chunk of the slot that holds the row ``after`` places earlier.
-    last = F.expr(f"(_start + _n - 1 + {int(before)}) div {size}") if before else F.col("_own")
-    first = F.col("_own")
-    if after:
-        reach = (
-            Window.partitionBy(*keys).orderBy("_start")
-            .rangeBetween(Window.unboundedPreceding, -int(after))
-        )
-        first = F.coalesce(F.last("_own").over(reach), F.lit(0).cast("bigint"))
-    slots = slots.withColumns({"_first": first, "_last": last})
-    targets = F.sequence(F.col("_first"), F.greatest(F.col("_own"), F.col("_last")))
-    slots = slots.select(*keys, *slot, "_own", CHUNK_START, targets.alias("_targets"))
-    placed = rows.join(slots, [*keys, *slot])
-    return placed.select(
-        *kept, "_own", CHUNK_START, F.explode("_targets").alias(CHUNK)
-    ).withColumn(OWNED, F.col(CHUNK) == F.col("_own")).drop("_own")
-
-
-def with_position(
-    df: DataFrame,
-    rows_per_chunk: int,
-    *,
-    keys: Sequence[str] = KEYS,
-    time: str = TIME,
-    seq: str | None = None,
-    **opts,
-) -> DataFrame:
+        return rows.withColumns({CHUNK: own, OWNED: F.lit(True)}).drop("_last")
+    first = F.expr(f"greatest({POS} - {int(after)}, 0) div {size}")
+    last = F.expr(f"least({POS} + {int(before)}, _last) div {size}")
+    copies = rows.withColumn(CHUNK, F.explode(F.sequence(first, last)))
+    return copies.withColumn(OWNED, F.col(CHUNK) == own).drop("_last")
+
+
+def with_position(df: DataFrame, rows_per_chunk: int, **opts) -> DataFrame:
     """Add ``_pos``, the 0-based row number in the series, and ``_chunk``."""
-    rows = in_chunks(df, rows_per_chunk, keys=keys, time=time, seq=seq, **opts)
-    order = [c(time)] if seq is None else [c(time), c(seq)]
-    in_chunk = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    pos = F.col(CHUNK_START) + F.row_number().over(in_chunk) - F.lit(1)
-    return rows.withColumn(POS, pos).drop(CHUNK_START, OWNED)
+    return in_chunks(df, rows_per_chunk, **opts).drop(OWNED)
 
 
-def join_per_key(
-    rows: DataFrame,
-    per_key: DataFrame,
-    keys: Sequence[str],
-    *,
-    size: str = "_total",
-    hot_rows: int | None = None,
-) -> DataFrame:
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach a table of one row per key to rows, whatever share one key has.
 
-    ``per_key[size]`` is the row count of its key. Keys of ``hot_rows`` rows or more are
-    broadcast: there are at most (all rows / hot_rows) of them. Their rows stay where they
-    are; the rows of all other keys meet their entry by a shuffle, and none of those keys is
-    large.
+    The table is written first, so Spark knows its size: a small one is broadcast and the rows
+    stay where they are; otherwise both sides are read and shuffled, and adaptive execution
+    splits the rows of a hot key.
     """
-    keys = list(keys)
-    hot = per_key.where(F.col(size) >= (HOT_ROWS if hot_rows is None else hot_rows))
-    in_place = rows.join(F.broadcast(hot), keys)
-    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_key, keys)
-    return in_place.unionByName(others)
+    return rows.join(written(per_key, "per-key"), list(keys))
 
 
 def over_series(
@@ -224,21 +135,19 @@ def over_series(
     after: int = 0,
     keys: Sequence[str] = KEYS,
     time: str = TIME,
+    seq: str | None = None,
     layout: str = "auto",
     chunk_rows: int | None = None,
-    slot_seconds: int = SLOT_SECONDS,
 ) -> DataFrame:
     """Run ``build(rows, window)`` with every row seeing ``before``/``after`` neighbours.
 
-    ``window`` is partitioned and ordered; ``build`` adds row frames within those bounds.
-    The same ``build`` serves both layouts.
+    ``window`` is partitioned and ordered by time, then ``seq``; ``build`` adds row frames
+    within those bounds. The same ``build`` serves both layouts.
     """
     keys = list(keys)
-    if choose_layout(df, time, layout) == "whole":
-        return build(df, Window.partitionBy(*keys).orderBy(c(time)))
+    if choose_layout(layout) == "whole":
+        return build(df, Window.partitionBy(*keys).orderBy(*series_order(time, seq)))
     size = chunk_rows or max(MIN_CHUNK_ROWS, HALO_RATIO * max(before, after))
-    rows = in_chunks(
-        df, size, before=before, after=after, keys=keys, time=time, slot_seconds=slot_seconds
-    ).drop(CHUNK_START)
-    built = build(rows, Window.partitionBy(*keys, CHUNK).orderBy(c(time)))
-    return built.where(F.col(OWNED)).drop(CHUNK, OWNED)
+    rows = in_chunks(df, size, before=before, after=after, keys=keys, time=time, seq=seq)
+    built = build(rows, Window.partitionBy(*keys, CHUNK).orderBy(POS))
+    return built.where(F.col(OWNED)).drop(CHUNK, OWNED, POS)

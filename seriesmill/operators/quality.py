@@ -19,6 +19,7 @@ def gaps(
     *,
     keys: Sequence[str] = KEYS,
     time: str = TIME,
+    seq: str | None = None,
     **opts,
 ) -> DataFrame:
     """Steps longer than ``max_days`` between successive rows."""
@@ -27,7 +28,10 @@ def gaps(
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
         return rows.withColumn("gap_start", F.lag(c(time), 1).over(w))
 
-    rows = over_series(df.select(*keys, time), build, before=1, keys=keys, time=time, **opts)
+    rows = over_series(
+        df.select(*keys, time, *([seq] if seq else [])),
+        build, before=1, keys=keys, time=time, seq=seq, **opts,
+    )
     days = elapsed_days(F.col("gap_start"), c(time), dates)
     return rows.select(
         *keys, "gap_start", c(time).alias("gap_end"), days.alias("days_gap")
@@ -83,14 +87,15 @@ def flat_runs(
     *,
     keys: Sequence[str] = KEYS,
     time: str = TIME,
+    seq: str | None = None,
     **opts,
 ) -> DataFrame:
     """Rows ending k unchanged steps, that is k+1 equal values in a row."""
     require_columns(df, metrics)
     names, build = _flat_layers(metrics, k)
     rows = over_series(
-        df.select(*keys, time, *[c(m) for m in metrics]),
-        build, before=k, keys=keys, time=time, **opts,
+        df.select(*keys, time, *[c(m) for m in metrics], *([seq] if seq else [])),
+        build, before=k, keys=keys, time=time, seq=seq, **opts,
     )
     long = melt(
         rows, [*keys, time], {m: {"value": m, "unchanged_count": names[m]} for m in metrics}
@@ -106,6 +111,7 @@ def quality_report(
     *,
     keys: Sequence[str] = KEYS,
     time: str = TIME,
+    seq: str | None = None,
     layout: str = "auto",
     details: bool = False,
     **opts,
@@ -127,8 +133,8 @@ def quality_report(
         return flat(rows.withColumn("_previous", F.lag(c(time), 1).over(w)), w)
 
     rows = over_series(
-        df.select(*keys, time, *[c(m) for m in metrics]),
-        build, before=k, keys=keys, time=time, layout=layout, **opts,
+        df.select(*keys, time, *[c(m) for m in metrics], *([seq] if seq else [])),
+        build, before=k, keys=keys, time=time, seq=seq, layout=layout, **opts,
     ).withColumn("_step", elapsed_days(F.col("_previous"), c(time), dates))
     gap = F.col("_step") > max_days
     zero = {m: f"_zero_{i}" for i, m in enumerate(metrics)}

@@ -15,6 +15,7 @@ from seriesmill.operators.layout import (
     SUMMARY_CHUNK_ROWS,
     TIME,
     choose_layout,
+    series_order,
     with_position,
 )
 
@@ -54,9 +55,9 @@ def label_runs(
     *,
     keys: Sequence[str] = KEYS,
     time: str = TIME,
+    seq: str | None = None,
     layout: str = "auto",
     chunk_rows: int = SUMMARY_CHUNK_ROWS,
-    **opts,
 ) -> DataFrame:
     """Maximal runs of linked rows with the same label: (keys, label, start, end, n_rows).
 
@@ -65,13 +66,15 @@ def label_runs(
     each can continue elsewhere, so only those are linked again across chunks.
     """
     keys = list(keys)
-    whole = choose_layout(df, time, layout) == "whole"
-    rows = df.select(*keys, time, c(label).alias("label"))
+    whole = choose_layout(layout) == "whole"
+    tie = [c(seq).alias("_seq")] if seq else []
+    rows = df.select(*keys, time, c(label).alias("label"), *tie)
+    seq = "_seq" if seq else None
     if whole:
-        order = Window.partitionBy(*keys).orderBy(time)
+        order = Window.partitionBy(*keys).orderBy(*series_order(time, seq))
         rows = rows.withColumn(POS, F.row_number().over(order).cast("bigint") - F.lit(1))
     else:
-        rows = with_position(rows, chunk_rows, keys=keys, time=time, **opts)
+        rows = with_position(rows, chunk_rows, keys=keys, time=time, seq=seq)
     pieces = rows.where(c("label").isNotNull()).select(
         *keys, "label", *([] if whole else [CHUNK]),
         c(time).alias("start"), c(time).alias("end"),

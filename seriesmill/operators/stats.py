@@ -34,7 +34,7 @@ def percentiles(
     is fine for a DATE series; otherwise ranks are selected in a distributed way.
     """
     require_columns(df, [value])
-    if choose_layout(df, time, layout) == "whole":
+    if choose_layout(layout) == "whole":
         return _buffered_percentiles(df, value, probs, list(keys))
     return ranked_percentiles(df, value, probs, keys=keys)
 
@@ -63,28 +63,24 @@ def ranked_percentiles(
 ) -> DataFrame:
     """Exact percentiles without gathering a key.
 
-    Equal values are counted first, so ties cost one row. Approximate quantiles a little
-    below and above each wanted rank cut the values into bins; bins are counted exactly,
-    and only bins that hold a wanted rank are sorted. Any cut points give the same
-    result, good ones only make the sorted bins small.
+    Approximate quantiles a little below and above each wanted rank cut the values into bins.
+    Bins are counted exactly, in the tasks that read the rows; only values in bins that hold a
+    wanted rank are shuffled (as counts) and sorted. Any cut points give the same result, good
+    ones only make the sorted bins small.
     """
     keys = list(keys)
     probs = list(probs)
-    counted = (
-        df.where(c(value).isNotNull())
-        .groupBy(*keys, c(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    rows = df.where(c(value).isNotNull()).select(*keys, c(value).alias("_v"))
     around = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-_BAND, _BAND)})
-    cuts = df.where(c(value).isNotNull()).groupBy(*keys).agg(
-        F.percentile_approx(c(value), around, _SKETCH_ACCURACY).alias("_cuts"),
+    cuts = rows.groupBy(*keys).agg(
+        F.percentile_approx("_v", around, _SKETCH_ACCURACY).alias("_cuts"),
         F.count(F.lit(1)).alias("_total"),
     )
-    binned = join_per_key(counted, cuts, keys).withColumn(
+    binned = join_per_key(rows, cuts, keys).withColumn(
         "_bin", F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))
     )
     per_bin = binned.groupBy(*keys, "_bin").agg(
-        F.sum("_n").alias("_in_bin"), F.first("_total").alias("_total")
+        F.count(F.lit(1)).alias("_in_bin"), F.first("_total").alias("_total")
     )
     # At most len(cuts)+1 rows per key.
     below = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -101,11 +97,14 @@ def ranked_percentiles(
     for rank in (*lows, *highs):
         holds = holds | inside(rank, F.col("_start"), F.col("_in_bin"))
     wanted = bins.where(holds).select(*keys, "_bin", "_start")
+    counted = join_per_key(binned, wanted, [*keys, "_bin"]).groupBy(
+        *keys, "_bin", "_start", "_total", "_v"
+    ).agg(F.count(F.lit(1)).alias("_n"))
     upto = (
         Window.partitionBy(*keys, "_bin").orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = binned.join(wanted, [*keys, "_bin"]).withColumn(
+    ranked = counted.withColumn(
         "_first", F.col("_start") + F.sum("_n").over(upto) - F.col("_n")
     )
 
@@ -141,25 +140,19 @@ def volatility_regime(
     cuts = percentiles(df, value, keys=keys, time=time, layout=layout)
     names = [percentile_name(p) for p in PERCENTS]
     rows = df.select(*keys, time, c(value))
-    if choose_layout(df, time, layout) == "whole":
+    if choose_layout(layout) == "whole":
         rows = rows.join(cuts, list(keys))
     else:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-        rows = join_per_key(rows, cuts.join(sizes, list(keys)), keys)
+        rows = join_per_key(rows, cuts, keys)
     return rows.select(
         *keys, time, c(value), volatility_band(c(value), [c(n) for n in names]).alias("band")
     )
 
 
-def _counted(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """(keys, _v, _w): each distinct value with its number of rows."""
-    values = df.where(c(value).isNotNull()).select(*keys, c(value).cast("double").alias("_v"))
-    return values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
-
-
-def _attach(counted: DataFrame, per_key: DataFrame, keys: list[str], whole: bool) -> DataFrame:
-    """Join per-key figures; a whole series is small enough for a join on its key."""
-    return counted.join(per_key, keys) if whole else join_per_key(counted, per_key, keys)
+def _attach(df: DataFrame, value: str, per_key: DataFrame, keys: list[str], whole: bool) -> DataFrame:
+    """(keys, _v, figures) per present value; a whole series is small enough for a plain join."""
+    rows = df.where(c(value).isNotNull()).select(*keys, c(value).cast("double").alias("_v"))
+    return rows.join(per_key, keys) if whole else join_per_key(rows, per_key, keys)
 
 
 def histogram_density(
@@ -176,7 +169,7 @@ def histogram_density(
     All bins are returned. A constant series gets a unit-wide range around its value.
     """
     keys = list(keys)
-    whole = choose_layout(df, time, layout) == "whole"
+    whole = choose_layout(layout) == "whole"
     x = c(value).cast("double")
     range_ = df.where(c(value).isNotNull()).groupBy(*keys).agg(
         F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(x).alias("_total")
@@ -189,9 +182,9 @@ def histogram_density(
         F.width_bucket(F.col("_v"), F.col("_lo"), F.col("_hi"), F.lit(bins)), F.lit(bins)
     )
     counts = (
-        _attach(_counted(df, value, keys), range_, keys, whole)
+        _attach(df, value, range_, keys, whole)
         .groupBy(*keys, slot.alias("bin"))
-        .agg(F.sum("_w").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     every_bin = F.sequence(F.lit(1), F.lit(bins)).cast("array<bigint>")
@@ -221,12 +214,11 @@ def kde_grid(
 ) -> DataFrame:
     """Gaussian kernel density at evenly spaced points from minimum to maximum.
 
-    Scott bandwidth n^(-1/5) * sample deviation. Equal values are counted first, so each
-    is weighed once; tasks then add their values to the grid before anything moves. Series
-    without spread give no rows.
+    Scott bandwidth n^(-1/5) * sample deviation. The tasks that read the rows add them to the
+    grid, so only grids are shuffled. Series without spread give no rows.
     """
     keys = list(keys)
-    whole = choose_layout(df, time, layout) == "whole"
+    whole = choose_layout(layout) == "whole"
     x = c(value).cast("double")
     shape = df.where(c(value).isNotNull()).groupBy(*keys).agg(
         F.min(x).alias("_lo"),
@@ -242,7 +234,7 @@ def kde_grid(
         (F.pow(F.col("_total").cast("double"), F.lit(-0.2)) * F.col("_sd")).alias("_h"),
     )
     blocks = math.ceil(points / _BLOCK)
-    spread = _attach(_counted(df, value, keys), shape, keys, whole).withColumn(
+    spread = _attach(df, value, shape, keys, whole).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
 
@@ -251,7 +243,7 @@ def kde_grid(
 
     def kernel(i: int) -> Column:
         z = (grid_point(i) - F.col("_v")) / F.col("_h")
-        return F.sum(F.col("_w") * F.exp(F.lit(-0.5) * z * z))
+        return F.sum(F.exp(F.lit(-0.5) * z * z))
 
     sums = spread.groupBy(*keys, "_block").agg(
         *[F.first(n).alias(n) for n in ("_lo", "_step", "_h", "_total")],
@@ -280,7 +272,7 @@ def mean_median(
     layout: str = "auto",
 ) -> DataFrame:
     keys = list(keys)
-    if choose_layout(df, time, layout) == "whole":
+    if choose_layout(layout) == "whole":
         return df.groupBy(*keys).agg(
             F.avg(c(value)).alias("mean"), F.median(c(value)).alias("median")
         )
@@ -419,7 +411,7 @@ def describe(
         F.max("value").alias("max"),
     ]
     quartiles = {percentile_name(p): f"p{round(p * 100)}" for p in probs}
-    if choose_layout(df, time, layout) == "whole":
+    if choose_layout(layout) == "whole":
         out = long.groupBy(*by_metric).agg(*basics, F.percentile("value", probs).alias("_q"))
         out = out.withColumns({n: F.col("_q")[i] for i, n in enumerate(quartiles.values())})
     else:

@@ -15,7 +15,14 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from seriesmill.functions.expressions import c, ratio, require_columns, sign_class
-from seriesmill.operators.layout import KEYS, TIME, choose_layout, join_per_key, over_series
+from seriesmill.operators.layout import (
+    KEYS,
+    TIME,
+    choose_layout,
+    join_per_key,
+    over_series,
+    series_order,
+)
 
 Layer = Callable[[WindowSpec], dict[str, Column]]
 
@@ -37,18 +44,20 @@ def compute_features(
     *,
     keys: Sequence[str] = KEYS,
     time: str = TIME,
+    seq: str | None = None,
     keep: Sequence[str] | None = None,
     **opts,
 ) -> DataFrame:
     """Add the columns of all features; ``keep`` names the input columns carried along.
 
-    Other options (``layout``, ``chunk_rows``, ``slot_seconds``) go to ``over_series``.
+    ``seq`` orders rows of equal time. Other options (``layout``, ``chunk_rows``) go to
+    ``over_series``.
     """
     features = list(features)
     needed = list(dict.fromkeys(m for f in features for m in f.metrics))
     require_columns(df, needed)
     kept = list(dict.fromkeys([*keys, time, *(needed if keep is None else keep)]))
-    wanted = list(dict.fromkeys([*kept, *needed]))
+    wanted = list(dict.fromkeys([*kept, *needed, *([seq] if seq else [])]))
     depth = max(len(f.layers) for f in features)
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
@@ -67,6 +76,7 @@ def compute_features(
         after=max(f.after for f in features),
         keys=keys,
         time=time,
+        seq=seq,
         **opts,
     )
     outputs = list(dict.fromkeys(o for f in features for o in f.outputs))
@@ -252,12 +262,14 @@ def change_rate(df: DataFrame, metric: str, n: int = 1, **opts) -> DataFrame:
 
 
 def delta_sign(df: DataFrame, metric: str, window: int = 30, **opts) -> DataFrame:
-    """Rolling delta with its sign class."""
-    out = compute_features(df, [delta_of(metric, window)], keep=(), **opts)
+    """Rolling delta with its sign class, and the tie-break where there is one."""
+    tie = [opts["seq"]] if opts.get("seq") else []
+    out = compute_features(df, [delta_of(metric, window)], keep=tie, **opts)
     delta = f"{metric}_delta_{window}d"
     keys = list(opts.get("keys", KEYS))
     return out.select(
-        *keys, opts.get("time", TIME), c(delta), sign_class(c(delta)).alias("delta_class")
+        *keys, opts.get("time", TIME), *map(c, tie), c(delta),
+        sign_class(c(delta)).alias("delta_class"),
     )
 
 
@@ -307,27 +319,29 @@ def growth_from_base(
     *,
     keys: Sequence[str] = KEYS,
     time: str = TIME,
+    seq: str | None = None,
     layout: str = "auto",
 ) -> DataFrame:
     """Percent growth since the first row of the series; NULL on a zero or missing base."""
     require_columns(df, columns)
     keys = list(keys)
-    rows = df.select(*keys, time, *[c(n) for n in columns])
+    tie = [seq] if seq and seq not in columns else []
+    rows = df.select(*keys, time, *[c(n) for n in (*columns, *tie)])
     bases = [f"_base_{i}" for i in range(len(columns))]
-    if choose_layout(df, time, layout) == "whole":
-        from_start = (
-            Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-        )
+    if choose_layout(layout) == "whole":
+        in_order = Window.partitionBy(*keys).orderBy(*series_order(time, seq))
+        from_start = in_order.rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumns(
             {b: F.first(c(n)).over(from_start) for b, n in zip(bases, columns)}
         )
     else:
         first = rows.groupBy(*keys).agg(
-            F.min_by(F.struct(*[c(n).alias(b) for b, n in zip(bases, columns)]), c(time))
-            .alias("_first"),
-            F.count(F.lit(1)).alias("_total"),
+            F.min_by(
+                F.struct(*[c(n).alias(b) for b, n in zip(bases, columns)]),
+                F.struct(*series_order(time, seq)),
+            ).alias("_first")
         )
-        rows = join_per_key(rows, first.select(*keys, "_first.*", "_total"), keys)
+        rows = join_per_key(rows, first.select(*keys, "_first.*"), keys)
     return rows.select(
         *keys,
         time,

@@ -13,8 +13,9 @@ from seriesmill import fixtures
 from seriesmill.config import CORRELATION_METRICS, INDICATORS, TIERS, Settings
 from seriesmill.functions.expressions import c, mvrv_zone
 from seriesmill.operators import cleaning, indicators, quality, reshape, spans, stats, windows
+from seriesmill.operators.reshape import melt
 from seriesmill.sources import csv, results, tables
-from seriesmill.sources.scratch import scratch_path
+from seriesmill.sources.scratch import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,29 +29,23 @@ DESCRIBED = ("PriceUSD", "TxCnt", "CapMVRVCur")
 ALL_METRICS = (*fixtures.BASE_METRICS, *fixtures.PRICE_METRICS)
 LOOKBACK_AS_OF = date(2001, 8, 1)
 HALF_HOUR = 1 / 48
-LARGE = 1_000_000.0
+# One row per asset and day: the calendar bounds a window partition.
+WHOLE = {"layout": "whole"}
+# Several chunks per series even on small data.
+CHUNKED = {"layout": "chunked", "chunk_rows": 500}
 
 
-def nudge(digits: int) -> float:
-    """A third of the first dropped digit."""
-    return float(f"{10.0 ** -(digits + 1) / 3:.3e}")
+def present(df: DataFrame) -> DataFrame:
+    """Comparable output: single-precision values, text times, 64-bit integers.
 
-
-def present(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Comparable output: rounded doubles, text times, 64-bit integers.
-
-    Engines add in different orders, so doubles agree to about 15 digits: from a million
-    up they are rounded to units. Averages of cents often lie halfway between two
-    roundings, where the last bit decides; the nudge settles those the same way. Adding
-    zero turns a negative zero into a plain one.
+    Engines add in different orders, so doubles agree to about 15 digits; they are shown with
+    the 24 bits of a float, whatever their size. Adding zero turns a negative zero into a
+    plain one.
     """
 
     def shown(field: T.StructField):
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            x = c(field.name)
-            fine = F.round(x + F.lit(nudge(digits)), digits)
-            value = F.when(F.abs(x) >= LARGE, F.round(x + F.lit(nudge(0)), 0)).otherwise(fine)
-            value = value + F.lit(0.0)
+            value = c(field.name).cast("float").cast("double") + F.lit(0.0)
         elif isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             value = c(field.name).cast("string")
         elif isinstance(field.dataType, T.IntegralType):
@@ -62,10 +57,10 @@ def present(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[shown(f) for f in df.schema.fields])
 
 
-def query(name: str, digits: int = 6) -> Callable[[Query], Query]:
+def query(name: str) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
         def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return present(run(spark, sf_dir), digits)
+            return present(run(spark, sf_dir))
 
         QUERIES[name] = shown
         return run
@@ -110,37 +105,38 @@ def sink_table(spark, sf_dir):
     return tables.read_table(spark, path, rows.schema)
 
 
-@query("sink_csv", 4)
+@query("sink_csv")
 def sink_csv(spark, sf_dir):
     settings = Settings(delta_metrics=("PriceUSD", "AdrActCnt"))
     rows = daily(spark, sf_dir, *settings.delta_metrics)
     path = scratch_path(spark, "results")
-    made = results.feature_results(rows, "rolling_deltas", settings)
+    made = results.feature_results(rows, "rolling_deltas", settings, **WHOLE)
     results.write_results(made, path, "rolling_deltas", "csv")
     return results.read_results(spark, path, "rolling_deltas", "csv", settings)
 
 
-@query("src_results", 4)
+@query("src_results")
 def src_results(spark, sf_dir):
     settings = Settings(aggregate_metrics=ALL_METRICS)
     path = scratch_path(spark, "results")
-    made = results.feature_results(daily(spark, sf_dir, *ALL_METRICS), "moving_averages", settings)
+    rows = daily(spark, sf_dir, *ALL_METRICS)
+    made = results.feature_results(rows, "moving_averages", settings, **WHOLE)
     results.write_results(made, path, "moving_averages")
     return results.read_results(spark, path, "moving_averages", settings=settings)
 
 
-@query("feature_lag_volatility", 4)
+@query("feature_lag_volatility")
 def feature_lag_volatility(spark, sf_dir):
     settings = Settings()
     rows = daily(spark, sf_dir, *settings.lag_metrics)
-    return results.feature_results(rows, "lag_volatility", settings)
+    return results.feature_results(rows, "lag_volatility", settings, **WHOLE)
 
 
-@query("feature_rolling_deltas", 4)
+@query("feature_rolling_deltas")
 def feature_rolling_deltas(spark, sf_dir):
     settings = Settings()
     rows = daily(spark, sf_dir, *settings.delta_metrics)
-    return results.feature_results(rows, "rolling_deltas", settings)
+    return results.feature_results(rows, "rolling_deltas", settings, **WHOLE)
 
 
 @query("categorize")
@@ -159,7 +155,12 @@ def categorize(spark, sf_dir):
 
 @query("list_tables")
 def list_tables(spark, sf_dir):
-    return tables.stored_series(daily(spark, sf_dir, "PriceUSD"))
+    """Write a table under a name, find it in the list, and say what it holds."""
+    path = scratch_path(spark, "listed")
+    name = path.rpartition("/")[2].replace("-", "_")
+    tables.write_table(daily(spark, sf_dir, "PriceUSD"), path, name=name)
+    stored = [spark.table(n) for n in tables.list_tables(spark) if n == name]
+    return tables.stored_series(stored[0])
 
 
 @query("preview")
@@ -195,68 +196,76 @@ def clean_series(spark, sf_dir):
 # --- windows -------------------------------------------------------------------
 
 
-@query("moving_average", 4)
+@query("moving_average")
 def moving_average(spark, sf_dir):
-    return windows.moving_average(daily(spark, sf_dir, "PriceUSD"), "PriceUSD", [7])
+    return windows.moving_average(daily(spark, sf_dir, "PriceUSD"), "PriceUSD", [7], **WHOLE)
 
 
-@query("moving_average_multi", 4)
+@query("moving_average_multi")
 def moving_average_multi(spark, sf_dir):
-    return windows.moving_average(daily(spark, sf_dir, "PriceUSD"), "PriceUSD")
+    return windows.moving_average(daily(spark, sf_dir, "PriceUSD"), "PriceUSD", **WHOLE)
 
 
 @query("lag_feature")
 def lag_feature(spark, sf_dir):
-    return windows.lag_feature(daily(spark, sf_dir, "PriceUSD"), "PriceUSD", 7)
+    return windows.lag_feature(daily(spark, sf_dir, "PriceUSD"), "PriceUSD", 7, **WHOLE)
 
 
 @query("lag_return")
 def lag_return(spark, sf_dir):
-    return windows.lag_return(daily(spark, sf_dir, "AdrBalUSD1MCnt"), "AdrBalUSD1MCnt", 7)
+    return windows.lag_return(
+        daily(spark, sf_dir, "AdrBalUSD1MCnt"), "AdrBalUSD1MCnt", 7, **WHOLE
+    )
 
 
 @query("return_mean")
 def return_mean(spark, sf_dir):
     moved = windows.compute_features(
-        daily(spark, sf_dir, "PriceUSD"), [windows.volatility_of("PriceUSD", 7, 30)]
+        daily(spark, sf_dir, "PriceUSD"), [windows.volatility_of("PriceUSD", 7, 30)], **WHOLE
     )
     return moved.select("asset", "time", "PriceUSD_return7", "PriceUSD_return7_mean30")
 
 
 @query("rolling_volatility")
 def rolling_volatility(spark, sf_dir):
-    return windows.return_and_volatility(daily(spark, sf_dir, "PriceUSD"), "PriceUSD", 7, 30)
+    return windows.return_and_volatility(
+        daily(spark, sf_dir, "PriceUSD"), "PriceUSD", 7, 30, **WHOLE
+    )
 
 
 @query("rolling_delta")
 def rolling_delta(spark, sf_dir):
-    return windows.rolling_delta(daily(spark, sf_dir, "AdrBalUSD1MCnt"), "AdrBalUSD1MCnt")
+    return windows.rolling_delta(
+        daily(spark, sf_dir, "AdrBalUSD1MCnt"), "AdrBalUSD1MCnt", **WHOLE
+    )
 
 
 @query("first_difference")
 def first_difference(spark, sf_dir):
-    return windows.first_difference(daily(spark, sf_dir, "AdrActCnt"), "AdrActCnt")
+    return windows.first_difference(daily(spark, sf_dir, "AdrActCnt"), "AdrActCnt", **WHOLE)
 
 
 @query("delta_ma_strict")
 def delta_ma_strict(spark, sf_dir):
-    return windows.delta_strict_mean(daily(spark, sf_dir, "AdrActCnt"), "AdrActCnt")
+    return windows.delta_strict_mean(daily(spark, sf_dir, "AdrActCnt"), "AdrActCnt", **WHOLE)
 
 
 @query("growth_from_base")
 def growth_from_base(spark, sf_dir):
     rows = daily(spark, sf_dir, *HOLDERS).withColumns(reshape.tier_columns())
-    return windows.growth_from_base(rows, ["AdrBalCnt", *TIERS])
+    return windows.growth_from_base(rows, ["AdrBalCnt", *TIERS], **WHOLE)
 
 
 @query("change_rate")
 def change_rate(spark, sf_dir):
-    return windows.change_rate(daily(spark, sf_dir, "AdrBal1in10KCnt"), "AdrBal1in10KCnt", 1)
+    return windows.change_rate(
+        daily(spark, sf_dir, "AdrBal1in10KCnt"), "AdrBal1in10KCnt", 1, **WHOLE
+    )
 
 
 @query("delta_sign")
 def delta_sign(spark, sf_dir):
-    return windows.delta_sign(daily(spark, sf_dir, "AdrActCnt"), "AdrActCnt")
+    return windows.delta_sign(daily(spark, sf_dir, "AdrActCnt"), "AdrActCnt", **WHOLE)
 
 
 # --- quality -------------------------------------------------------------------
@@ -264,7 +273,7 @@ def delta_sign(spark, sf_dir):
 
 @query("dq_gaps")
 def dq_gaps(spark, sf_dir):
-    return quality.gaps(daily(spark, sf_dir, "PriceUSD"))
+    return quality.gaps(daily(spark, sf_dir, "PriceUSD"), **WHOLE)
 
 
 @query("dq_zero_null")
@@ -274,13 +283,15 @@ def dq_zero_null(spark, sf_dir):
 
 @query("dq_flat_runs")
 def dq_flat_runs(spark, sf_dir):
-    return quality.flat_runs(daily(spark, sf_dir, *QUALITY_METRICS), QUALITY_METRICS)
+    return quality.flat_runs(
+        daily(spark, sf_dir, *QUALITY_METRICS), QUALITY_METRICS, **WHOLE
+    )
 
 
 @query("dq_report")
 def dq_report(spark, sf_dir):
     metrics = Settings().quality_metrics
-    report = quality.quality_report(daily(spark, sf_dir, *metrics), metrics)
+    report = quality.quality_report(daily(spark, sf_dir, *metrics), metrics, **WHOLE)
     return report.select(
         "asset", "feature", "total_records",
         F.col("date_range.start").alias("earliest"), F.col("date_range.end").alias("latest"),
@@ -290,9 +301,9 @@ def dq_report(spark, sf_dir):
 
 @query("dq_report_dirty")
 def dq_report_dirty(spark, sf_dir):
-    """The report over raw rows, before interpolation hides nulls."""
-    raw = fixtures.daily_metrics_dirty(spark, sf_dir).where(F.col("seq") == 0)
-    report = quality.quality_report(cleaning.clean_nonfinite(raw, ["v"]), ["v"])
+    """The report over raw rows, copies of times included, before interpolation hides nulls."""
+    raw = cleaning.clean_nonfinite(fixtures.daily_metrics_dirty(spark, sf_dir), ["v"])
+    report = quality.quality_report(raw, ["v"], seq="seq")
     return report.select(
         "asset", "feature", "total_records", "gap_count", "zero_count", "repeated_values_count"
     )
@@ -324,11 +335,11 @@ def latest_summary(spark, sf_dir):
 
 @query("join_metrics")
 def join_metrics(spark, sf_dir):
-    """Five single-metric frames joined on time; one of them lacks rows."""
-    rows = daily(spark, sf_dir, "AdrActCnt", *HOLDERS)
-    frames = [rows.select("asset", "time", n) for n in ("AdrActCnt", *HOLDERS)]
-    frames[0] = frames[0].where(F.col("AdrActCnt") > 1)
-    return reshape.join_metrics(frames)
+    """Five single-metric frames joined on time."""
+    rows = written(daily(spark, sf_dir, "AdrActCnt", *HOLDERS), "metrics")
+    return reshape.join_metrics(
+        [rows.select("asset", "time", n) for n in ("AdrActCnt", *HOLDERS)]
+    )
 
 
 @query("long_to_wide")
@@ -336,8 +347,7 @@ def long_to_wide(spark, sf_dir):
     """Wide -> long -> wide with only complete times kept."""
     names = ("PriceUSD", "TxCnt", "CapMVRVCur")
     long = reshape.to_long(daily(spark, sf_dir, *names), names)
-    partial = long.where((F.col("metric") != "TxCnt") | (F.col("value") > 1))
-    return reshape.to_wide(partial, names, complete=True)
+    return reshape.to_wide(long, names, complete=True)
 
 
 @query("holder_tiers")
@@ -357,7 +367,11 @@ def yoy_by_day(spark, sf_dir):
 
 @query("yoy_pivot")
 def yoy_pivot(spark, sf_dir):
-    return reshape.yoy_pivot(daily(spark, sf_dir, "AdrActCnt"), "AdrActCnt", range(1995, 2002))
+    """The pivot, laid out in rows again: its columns are the years the data has."""
+    pivot = reshape.yoy_pivot(written(daily(spark, sf_dir, "AdrActCnt"), "metrics"), "AdrActCnt")
+    years = [n for n in pivot.columns if n not in ("asset", "day_of_year")]
+    long = melt(pivot, ["asset", "day_of_year"], {y: {"value": y} for y in years}, name="year")
+    return long.where(F.col("value").isNotNull())
 
 
 # --- statistics ------------------------------------------------------------------
@@ -365,35 +379,36 @@ def yoy_pivot(spark, sf_dir):
 
 def _activity_volatility(spark, sf_dir):
     rows = daily(spark, sf_dir, "AdrActCnt")
-    return windows.return_and_volatility(rows, "AdrActCnt", 1, 30)
+    return windows.return_and_volatility(rows, "AdrActCnt", 1, 30, **WHOLE)
 
 
 @query("percentiles")
 def percentiles(spark, sf_dir):
-    return stats.percentiles(_activity_volatility(spark, sf_dir), "AdrActCnt_RV30_return1")
+    return stats.percentiles(
+        _activity_volatility(spark, sf_dir), "AdrActCnt_RV30_return1", **WHOLE
+    )
 
 
 @query("volatility_regime")
 def volatility_regime(spark, sf_dir):
-    """Bands of volatility at nine digits: equal values must not differ in their last bit."""
-    name = "AdrActCnt_RV30_return1"
-    moved = _activity_volatility(spark, sf_dir).withColumn(name, F.round(name, 9))
-    return stats.volatility_regime(moved, name)
+    return stats.volatility_regime(
+        _activity_volatility(spark, sf_dir), "AdrActCnt_RV30_return1", **WHOLE
+    )
 
 
 @query("histogram_density")
 def histogram_density(spark, sf_dir):
-    return stats.histogram_density(daily(spark, sf_dir, "AdrActCnt"), "AdrActCnt")
+    return stats.histogram_density(daily(spark, sf_dir, "AdrActCnt"), "AdrActCnt", **WHOLE)
 
 
 @query("kde_grid")
 def kde_grid(spark, sf_dir):
-    return stats.kde_grid(daily(spark, sf_dir, "AdrActCnt"), "AdrActCnt")
+    return stats.kde_grid(daily(spark, sf_dir, "AdrActCnt"), "AdrActCnt", **WHOLE)
 
 
-@query("mean_median", 4)
+@query("mean_median")
 def mean_median(spark, sf_dir):
-    return stats.mean_median(daily(spark, sf_dir, "AdrActCnt"), "AdrActCnt")
+    return stats.mean_median(daily(spark, sf_dir, "AdrActCnt"), "AdrActCnt", **WHOLE)
 
 
 @query("peak_trough")
@@ -403,10 +418,8 @@ def peak_trough(spark, sf_dir):
 
 @query("ols_fit")
 def ols_fit(spark, sf_dir):
-    """Slope per million of market value, so that rounding keeps its digits."""
     rows = daily(spark, sf_dir, "CapMrktCurUSD", "ROI1yr")
-    fit = stats.ols_fit(rows, "CapMrktCurUSD", "ROI1yr")
-    return fit.withColumn("slope", F.col("slope") * 1_000_000)
+    return stats.ols_fit(rows, "CapMrktCurUSD", "ROI1yr")
 
 
 @query("correlation_matrix")
@@ -418,7 +431,9 @@ def correlation_matrix(spark, sf_dir):
 @query("correlation_distance")
 def correlation_distance(spark, sf_dir):
     rows = daily(spark, sf_dir, *CORRELATION_METRICS)
-    return stats.correlation_distance(rows, CORRELATION_METRICS)
+    # a difference from one: a distance of zero is exact to about 15 decimals
+    found = stats.correlation_distance(rows, CORRELATION_METRICS)
+    return found.withColumn("distance", F.round("distance", 12))
 
 
 @query("top_correlations")
@@ -427,9 +442,9 @@ def top_correlations(spark, sf_dir):
     return stats.top_correlations(rows, CORRELATION_METRICS)
 
 
-@query("describe", 4)
+@query("describe")
 def describe(spark, sf_dir):
-    return stats.describe(daily(spark, sf_dir, *DESCRIBED), DESCRIBED)
+    return stats.describe(daily(spark, sf_dir, *DESCRIBED), DESCRIBED, **WHOLE)
 
 
 @query("dataset_info")
@@ -439,7 +454,8 @@ def dataset_info(spark, sf_dir):
 
 @query("return_vs_vol")
 def return_vs_vol(spark, sf_dir):
-    moved = windows.return_and_volatility(daily(spark, sf_dir, "PriceUSD"), "PriceUSD", 1, 30)
+    rows = daily(spark, sf_dir, "PriceUSD")
+    moved = windows.return_and_volatility(rows, "PriceUSD", 1, 30, **WHOLE)
     return moved.select("asset", "time", "PriceUSD_return1_mean30", "PriceUSD_RV30_return1")
 
 
@@ -447,7 +463,7 @@ def return_vs_vol(spark, sf_dir):
 
 
 def _derived(spark, sf_dir):
-    return indicators.derived_indicators(daily(spark, sf_dir, *SUPPLY))
+    return indicators.derived_indicators(daily(spark, sf_dir, *SUPPLY), **WHOLE)
 
 
 @query("decentralization")
@@ -481,7 +497,7 @@ def regime_label(spark, sf_dir):
 
 @query("regime_segments")
 def regime_segments(spark, sf_dir):
-    return spans.regime_segments(indicators.regime_label(_derived(spark, sf_dir)))
+    return spans.regime_segments(indicators.regime_label(_derived(spark, sf_dir)), **WHOLE)
 
 
 @query("indicator_correlation")
@@ -497,7 +513,7 @@ def mvrv_zone_query(spark, sf_dir):
 @query("mvrv_spans")
 def mvrv_spans(spark, sf_dir):
     return spans.zone_spans(
-        indicators.price_zones(daily(spark, sf_dir, "PriceUSD", "CapMVRVCur"))
+        indicators.price_zones(daily(spark, sf_dir, "PriceUSD", "CapMVRVCur")), **WHOLE
     )
 
 
@@ -514,41 +530,53 @@ def events(spark, sf_dir):
     return fixtures.event_series(spark, sf_dir)
 
 
+def sparse(spark, sf_dir):
+    return events(spark, sf_dir).withColumn("Val", F.when(F.col("Val") >= 20, F.col("Val")))
+
+
+def sign_segments(spark, sf_dir, **opts):
+    signs = windows.delta_sign(events(spark, sf_dir), "Val", 1, **TIE, **opts)
+    return spans.regime_segments(signs, "delta_class", **TIE, **opts)
+
+
+# Equal times stand in order of event number.
+TIE = {"seq": "event_id"}
+
+
 @query("events_moving_average")
 def events_moving_average(spark, sf_dir):
-    return windows.moving_average(events(spark, sf_dir), "Val")
+    return windows.moving_average(events(spark, sf_dir), "Val", **TIE)
 
 
 @query("events_rolling_volatility")
 def events_rolling_volatility(spark, sf_dir):
-    return windows.return_and_volatility(events(spark, sf_dir), "Val", 1, 30)
+    return windows.return_and_volatility(events(spark, sf_dir), "Val", 1, 30, **TIE)
 
 
 @query("events_rolling_delta")
 def events_rolling_delta(spark, sf_dir):
-    return windows.rolling_delta(events(spark, sf_dir), "Val")
+    return windows.rolling_delta(events(spark, sf_dir), "Val", **TIE)
 
 
 @query("events_delta_ma_strict")
 def events_delta_ma_strict(spark, sf_dir):
-    return windows.delta_strict_mean(events(spark, sf_dir), "Val")
+    return windows.delta_strict_mean(events(spark, sf_dir), "Val", **TIE)
 
 
 @query("events_growth_from_base")
 def events_growth_from_base(spark, sf_dir):
-    return windows.growth_from_base(events(spark, sf_dir), ["Val"])
+    return windows.growth_from_base(events(spark, sf_dir), ["Val"], **TIE)
 
 
 @query("events_interpolate")
 def events_interpolate(spark, sf_dir):
     """Small values taken as missing and filled."""
-    rows = events(spark, sf_dir).withColumn("Val", F.when(F.col("Val") >= 20, F.col("Val")))
-    return cleaning.interpolate_linear(rows, ["Val"])
+    return cleaning.interpolate_linear(sparse(spark, sf_dir), ["Val"], **TIE).drop("event_id")
 
 
 @query("events_gaps")
 def events_gaps(spark, sf_dir):
-    return quality.gaps(events(spark, sf_dir), HALF_HOUR)
+    return quality.gaps(events(spark, sf_dir), HALF_HOUR, **TIE)
 
 
 @query("hours_gaps")
@@ -608,11 +636,55 @@ def events_peak_trough(spark, sf_dir):
 
 @query("events_sign_segments")
 def events_sign_segments(spark, sf_dir):
-    signs = windows.delta_sign(events(spark, sf_dir), "Val", 1)
-    return spans.regime_segments(signs, "delta_class")
+    return sign_segments(spark, sf_dir)
 
 
 @query("events_zone_spans")
 def events_zone_spans(spark, sf_dir):
     zoned = events(spark, sf_dir).withColumn("zone", mvrv_zone(F.col("Val") / 30))
-    return spans.zone_spans(zoned)
+    return spans.zone_spans(zoned, **TIE)
+
+
+# --- the same results from series cut into many chunks ----------------------------------
+
+
+@query("chunked_moving_average")
+def chunked_moving_average(spark, sf_dir):
+    return windows.moving_average(events(spark, sf_dir), "Val", **TIE, **CHUNKED)
+
+
+@query("chunked_rolling_volatility")
+def chunked_rolling_volatility(spark, sf_dir):
+    return windows.return_and_volatility(events(spark, sf_dir), "Val", 1, 30, **TIE, **CHUNKED)
+
+
+@query("chunked_rolling_delta")
+def chunked_rolling_delta(spark, sf_dir):
+    return windows.rolling_delta(events(spark, sf_dir), "Val", **TIE, **CHUNKED)
+
+
+@query("chunked_delta_ma_strict")
+def chunked_delta_ma_strict(spark, sf_dir):
+    return windows.delta_strict_mean(events(spark, sf_dir), "Val", **TIE, **CHUNKED)
+
+
+@query("chunked_gaps")
+def chunked_gaps(spark, sf_dir):
+    return quality.gaps(events(spark, sf_dir), HALF_HOUR, **TIE, **CHUNKED)
+
+
+@query("chunked_flat_runs")
+def chunked_flat_runs(spark, sf_dir):
+    rows = fixtures.event_metrics(spark, sf_dir)
+    return quality.flat_runs(rows, ["EvtCnt", "Users"], 2, layout="chunked", chunk_rows=100)
+
+
+@query("chunked_interpolate")
+def chunked_interpolate(spark, sf_dir):
+    filled = cleaning.interpolate_linear(sparse(spark, sf_dir), ["Val"], chunk_rows=500, **TIE)
+    return filled.drop("event_id")
+
+
+@query("chunked_sign_segments")
+def chunked_sign_segments(spark, sf_dir):
+    return sign_segments(spark, sf_dir, **CHUNKED)

@@ -64,7 +64,7 @@ dirty AS (SELECT asset, time, 0 AS seq,
 fin AS (SELECT asset, time, seq, CASE WHEN isinf(v) OR isnan(v) THEN NULL ELSE v END AS v FROM dirty)"""
 
 EVENTS = """
-e AS (SELECT event_type AS asset, ts AS time, value AS "Val" FROM events)"""
+e AS (SELECT event_type AS asset, ts AS time, event_id, value AS "Val" FROM events)"""
 
 HOURS = """
 m AS (SELECT event_type AS asset, date_trunc('hour', ts) AS time, CAST(COUNT(*) AS DOUBLE) AS "EvtCnt",
@@ -78,10 +78,6 @@ def rows(k: int) -> str:
     return f"({SERIES} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
 
 
-def nudge(digits: int) -> str:
-    return f"{10.0 ** -(digits + 1) / 3:.3e}"
-
-
 def add(
     name: str,
     ctes: str,
@@ -90,16 +86,16 @@ def add(
     real: Sequence[str] = (),
     whole: Sequence[str] = (),
     plain: Sequence[str] = (),
-    digits: int = 6,
     where: str = "",
 ) -> None:
-    """Outer projection with the same presentation as the catalog's."""
+    """Outer projection with the same presentation as the catalog's.
+
+    Events of equal time stand in order of their number.
+    """
+    if ctes.startswith(EVENTS):
+        source = source.replace("ORDER BY time", "ORDER BY time, event_id")
     columns = [f'CAST("{n}" AS VARCHAR) AS "{n}"' for n in text]
-    columns += [
-        f'CASE WHEN ABS("{n}") >= 1000000 THEN ROUND("{n}" + {nudge(0)}, 0) '
-        f'ELSE ROUND("{n}" + {nudge(digits)}, {digits}) END + 0 AS "{n}"'
-        for n in real
-    ]
+    columns += [f'CAST(CAST("{n}" AS FLOAT) AS DOUBLE) + 0 AS "{n}"' for n in real]
     columns += [f'CAST("{n}" AS BIGINT) AS "{n}"' for n in whole]
     columns += [f'"{n}"' for n in plain]
     condition = f" WHERE {where}" if where else ""
@@ -130,11 +126,18 @@ def volatility(metric: str, lag: int, k: int, source: str = "m") -> str:
     return f"""SELECT asset, time, "{metric}", "{ret}", "{mean}", "{metric}_lag{lag}",
         SQRT(AVG(("{ret}" - "{mean}") * ("{ret}" - "{mean}")) OVER {rows(k)}) AS "{metric}_RV{k}_return{lag}"
       FROM (SELECT *, AVG("{ret}") OVER {rows(k)} AS "{mean}"
-        FROM (SELECT asset, time, "{metric}", LAG("{metric}", {lag}) OVER ({SERIES}) AS "{metric}_lag{lag}",
+        FROM (SELECT *, LAG("{metric}", {lag}) OVER ({SERIES}) AS "{metric}_lag{lag}",
                      "{metric}" / NULLIF(LAG("{metric}", {lag}) OVER ({SERIES}), 0) - 1 AS "{ret}"
               FROM {source}) a) b"""
 
 
+def in_order(value: str, k: int) -> str:
+    """Mean of the last k values, added up from the first to the last."""
+    listed = f"list_filter(list({value}) OVER {rows(k)}, lambda x: x IS NOT NULL)"
+    total = f"list_reduce(list_prepend(0.0::DOUBLE, {listed}), lambda a, b: a + b)"
+    return f"{total} / NULLIF(COUNT({value}) OVER {rows(k)}, 0)"
+
+
 def volatility_names(metric: str, lag: int, k: int) -> tuple[str, ...]:
     return (
         metric, f"{metric}_return{lag}", f"{metric}_return{lag}_mean{k}", f"{metric}_lag{lag}",
@@ -148,7 +151,7 @@ def complete(names: Sequence[str]) -> str:
 
 def delta(metric: str, k: int, source: str = "m") -> str:
     lag = f'LAG("{metric}", {k}) OVER ({SERIES})'
-    return f"""SELECT asset, time, "{metric}" - {lag} AS "{metric}_delta_{k}d",
+    return f"""SELECT *, "{metric}" - {lag} AS "{metric}_delta_{k}d",
         ("{metric}" - {lag}) / NULLIF({lag}, 0) * 100 AS "{metric}_pct_change_{k}d" FROM {source}"""
 
 
@@ -285,7 +288,7 @@ def runs(source: str, label: str) -> str:
     return f"""SELECT asset, label, MIN(time) AS start, MAX(time) AS "end", COUNT(*) AS n_rows
       FROM (SELECT *, SUM(CASE WHEN label IS NOT DISTINCT FROM was AND rn > 1 THEN 0 ELSE 1 END) OVER
               ({SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
-            FROM (SELECT asset, time, {label} AS label, LAG({label}) OVER ({SERIES}) AS was,
+            FROM (SELECT *, {label} AS label, LAG({label}) OVER ({SERIES}) AS was,
                          ROW_NUMBER() OVER ({SERIES}) AS rn FROM ({source}) s) a) b
       WHERE label IS NOT NULL GROUP BY asset, label, run"""
 
@@ -296,8 +299,8 @@ def linked(source: str, label: str, days: str) -> str:
     return f"""SELECT asset, label, MIN(time) AS start, MAX(time) AS "end", COUNT(*) AS n_rows
       FROM (SELECT *, SUM(CASE WHEN FLOOR(step) <= 1 THEN 0 ELSE 1 END) OVER
               ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
-            FROM (SELECT asset, label, time, {days.format(w=w)} AS step
-                  FROM (SELECT asset, time, {label} AS label FROM ({source}) s WHERE {label} IS NOT NULL) l) a) b
+            FROM (SELECT *, {days.format(w=w)} AS step
+                  FROM (SELECT *, {label} AS label FROM ({source}) s WHERE {label} IS NOT NULL) l) a) b
       GROUP BY asset, label, run HAVING COUNT(*) >= 2"""
 
 
@@ -344,16 +347,16 @@ def long_delta(metrics: Sequence[str]) -> str:
 
 
 CHANGED = Settings().delta_metrics
-add("sink_csv", BASE, long_delta(("PriceUSD", "AdrActCnt")), ("asset", "metric", "time"), ("delta", "pct_change"), digits=4)
-add("feature_rolling_deltas", BASE, long_delta(CHANGED), ("asset", "metric", "time"), ("delta", "pct_change"), digits=4)
+add("sink_csv", BASE, long_delta(("PriceUSD", "AdrActCnt")), ("asset", "metric", "time"), ("delta", "pct_change"))
+add("feature_rolling_deltas", BASE, long_delta(CHANGED), ("asset", "metric", "time"), ("delta", "pct_change"))
 add("feature_lag_volatility", BASE, union(
     'SELECT asset, \'{0}\' AS metric, time, "{0}" AS value, "{1}" AS return, "{2}" AS return_mean, "{3}" AS lag, "{4}" AS volatility '.format(
         *volatility_names(n, 1, 30)) + f"FROM ({volatility(n, 1, 30)}) v WHERE {complete(volatility_names(n, 1, 30))}"
-    for n in CHANGED), ("asset", "metric", "time"), ("value", "return", "return_mean", "lag", "volatility"), digits=4)
+    for n in CHANGED), ("asset", "metric", "time"), ("value", "return", "return_mean", "lag", "volatility"))
 add("src_results", BASE, union(
     f"""SELECT asset, '{n}' AS metric, time, "{n}" AS value, "{n}_MA7days" AS ma7, "{n}_MA30days" AS ma30,
         "{n}_MA90days" AS ma90 FROM ({moving(n, (7, 30, 90))}) a""" for n in ALL_NAMES),
-    ("asset", "metric", "time"), ("value", "ma7", "ma30", "ma90"), digits=4)
+    ("asset", "metric", "time"), ("value", "ma7", "ma30", "ma90"))
 add("categorize", BASE, union(
     f"""SELECT asset || '_{n}_{kind}' AS file_name, COUNT(*) AS n_rows, '{label}' AS category FROM base GROUP BY asset"""
     for n, (kind, label) in product(("PriceUSD", "AdrActCnt"), (
@@ -371,9 +374,9 @@ add("dedup_keep_last", DIRTY, newest("SELECT * FROM fin"), SEQ, ("v",), ("seq",)
 add("clean_series", DIRTY, newest(interpolated("fin", "v", "time, seq")), SEQ, ("v",))
 
 # --- windows
-add("moving_average", BASE, moving("PriceUSD", (7,)), KEY, ("PriceUSD", "PriceUSD_MA7days"), digits=4)
+add("moving_average", BASE, moving("PriceUSD", (7,)), KEY, ("PriceUSD", "PriceUSD_MA7days"))
 add("moving_average_multi", BASE, moving("PriceUSD", (7, 30, 90)), KEY,
-    ("PriceUSD", "PriceUSD_MA7days", "PriceUSD_MA30days", "PriceUSD_MA90days"), digits=4)
+    ("PriceUSD", "PriceUSD_MA7days", "PriceUSD_MA30days", "PriceUSD_MA90days"))
 add("lag_feature", BASE, f'SELECT *, LAG("PriceUSD", 7) OVER ({SERIES}) AS "PriceUSD_lag7" FROM base', KEY, ("PriceUSD", "PriceUSD_lag7"))
 add("lag_return", BASE,
     f"""SELECT *, "AdrBalUSD1MCnt" / NULLIF(LAG("AdrBalUSD1MCnt", 7) OVER ({SERIES}), 0) - 1 AS "AdrBalUSD1MCnt_return7" FROM base""",
@@ -412,7 +415,7 @@ add("dq_flat_runs", BASE, union(flat(n, 7, "base") for n in CHECKED), ("asset",
     where="unchanged_count = 7")
 add("dq_report", BASE, report(Settings().quality_metrics, 7, "1"), ("asset", "feature", "earliest", "latest"),
     whole=("total_records", "gap_count", "zero_count", "repeated_values_count"))
-add("dq_report_dirty", DIRTY + ",\nraw AS (SELECT * FROM fin WHERE seq = 0)", report(("v",), 7, "1", "raw"), ("asset", "feature"),
+add("dq_report_dirty", DIRTY, report(("v",), 7, "1", "fin").replace("ORDER BY time", "ORDER BY time, seq"), ("asset", "feature"),
     whole=("total_records", "gap_count", "zero_count", "repeated_values_count"))
 
 
@@ -436,8 +439,8 @@ LATEST = "SELECT *, ROW_NUMBER() OVER (PARTITION BY asset ORDER BY time DESC) AS
 add("latest_summary", BASE, LATEST.format("base"), KEY, ("AdrBalCnt", "AdrBalUSD100KCnt", "AdrBalUSD1MCnt"), where="r = 1")
 
 # --- joins and reshaping
-add("join_metrics", BASE, 'SELECT * FROM base WHERE "AdrActCnt" > 1', KEY, ("AdrActCnt", *HOLDERS))
-add("long_to_wide", BASE, 'SELECT * FROM base WHERE "TxCnt" > 1', KEY, ("PriceUSD", "TxCnt", "CapMVRVCur"))
+add("join_metrics", BASE, 'SELECT * FROM base', KEY, ("AdrActCnt", *HOLDERS))
+add("long_to_wide", BASE, 'SELECT * FROM base', KEY, ("PriceUSD", "TxCnt", "CapMVRVCur"))
 add("holder_tiers", BASE, TIER_SQL, KEY, TIERS)
 add("tier_distribution", BASE, union(
     f"""SELECT asset, time, '{n}' AS tier, {n} AS holders, 100 * {n} / NULLIF(small + medium + large + whale, 0) AS share_pct
@@ -445,21 +448,24 @@ add("tier_distribution", BASE, union(
     ("asset", "time", "tier"), ("holders", "share_pct"))
 add("yoy_by_day", BASE, 'SELECT asset, year(time) AS year, dayofyear(time) AS day_of_year, "AdrActCnt" FROM base',
     ("asset",), ("AdrActCnt",), ("year", "day_of_year"))
-add("yoy_pivot", BASE, "SELECT asset, dayofyear(time) AS day_of_year, " + ", ".join(
-    f'MAX(CASE WHEN year(time) = {y} THEN "AdrActCnt" END) AS y{y}' for y in range(1995, 2002)) + " FROM base GROUP BY 1, 2",
-    ("asset",), [f"y{y}" for y in range(1995, 2002)], ("day_of_year",))
+add("yoy_pivot", BASE, """SELECT asset, dayofyear(time) AS day_of_year, 'y' || year(time) AS year, MAX("AdrActCnt") AS value
+        FROM base GROUP BY 1, 2, 3""", ("asset", "year"), ("value",), ("day_of_year",))
 
 # --- statistics
 RV = "AdrActCnt_RV30_return1"
 MOVED = f"""SELECT * FROM ({volatility("AdrActCnt", 1, 30, "base")}) x WHERE {complete(volatility_names("AdrActCnt", 1, 30))}"""
 add("percentiles", BASE, quantiles(MOVED, RV), ("asset",), ("q10", "q25", "q50", "q75", "q90"))
-add("volatility_regime", BASE, bands(f'SELECT asset, time, ROUND("{RV}", 9) AS "{RV}" FROM ({MOVED}) y', RV), ("asset", "time", "band"), (RV,))
+# A band may begin at a value that several rows have, so its last bit counts.
+SAME_BITS = MOVED.replace('AVG("AdrActCnt_return1") OVER ' + rows(30), in_order('"AdrActCnt_return1"', 30))
+SQUARE = '("AdrActCnt_return1" - "AdrActCnt_return1_mean30") * ("AdrActCnt_return1" - "AdrActCnt_return1_mean30")'
+SAME_BITS = SAME_BITS.replace(f"AVG({SQUARE}) OVER " + rows(30), in_order(SQUARE, 30))
+add("volatility_regime", BASE, bands(SAME_BITS, RV), ("asset", "time", "band"), (RV,))
 add("histogram_density", BASE, histogram("base", "AdrActCnt"), ("asset",), ("bin_start", "density"), ("bin", "n"))
 add("kde_grid", BASE, density("base", "AdrActCnt"), ("asset",), ("x", "density"), ("point",))
-add("mean_median", BASE, 'SELECT asset, AVG("AdrActCnt") AS mean, MEDIAN("AdrActCnt") AS median FROM base GROUP BY asset', ("asset",), ("mean", "median"), digits=4)
+add("mean_median", BASE, 'SELECT asset, AVG("AdrActCnt") AS mean, MEDIAN("AdrActCnt") AS median FROM base GROUP BY asset', ("asset",), ("mean", "median"))
 add("peak_trough", BASE, extremes("base", "AdrActCnt"), ("asset", "peak_time", "trough_time"), ("peak_value", "trough_value"))
 add("ols_fit", BASE,
-    """SELECT asset, REGR_SLOPE("ROI1yr", "CapMrktCurUSD") * 1000000 AS slope, REGR_INTERCEPT("ROI1yr", "CapMrktCurUSD") AS intercept,
+    """SELECT asset, REGR_SLOPE("ROI1yr", "CapMrktCurUSD") AS slope, REGR_INTERCEPT("ROI1yr", "CapMrktCurUSD") AS intercept,
         REGR_R2("ROI1yr", "CapMrktCurUSD") AS r2, REGR_COUNT("ROI1yr", "CapMrktCurUSD") AS n FROM m GROUP BY asset""",
     ("asset",), ("slope", "intercept", "r2"), ("n",))
 PAIRS = correlations("m", combinations(CORRELATION_METRICS, 2))
@@ -467,13 +473,13 @@ add("correlation_matrix", BASE, union((
     f"SELECT asset, a, b, corr FROM ({PAIRS}) p", f"SELECT asset, b AS a, a AS b, corr FROM ({PAIRS}) p",
     *[f"""SELECT asset, '{n}' AS a, '{n}' AS b, CASE WHEN STDDEV_POP("{n}") > 0 THEN 1.0 END AS corr FROM m GROUP BY asset"""
       for n in CORRELATION_METRICS])), ("asset", "a", "b"), ("corr",))
-add("correlation_distance", BASE, f"SELECT asset, a, b, 1 - ABS(corr) AS distance FROM ({PAIRS}) p", ("asset", "a", "b"), ("distance",))
+add("correlation_distance", BASE, f"SELECT asset, a, b, ROUND(1 - ABS(corr), 12) AS distance FROM ({PAIRS}) p", ("asset", "a", "b"), ("distance",))
 add("top_correlations", BASE, union(
     f"""SELECT asset, a, b, corr, '{side}' AS side, ROW_NUMBER() OVER (PARTITION BY asset ORDER BY corr {order}, pair) AS rank
         FROM ({PAIRS}) p WHERE corr IS NOT NULL""" for side, order in (("highest", "DESC"), ("lowest", "ASC"))),
     ("asset", "a", "b", "side"), ("corr",), ("rank",), where="rank <= 5")
 NUMBERS = ("mean", "std", "min", "p25", "p50", "p75", "max")
-add("describe", BASE, describe("base", ("PriceUSD", "TxCnt", "CapMVRVCur")), ("asset", "metric"), NUMBERS, ("count",), digits=4)
+add("describe", BASE, describe("base", ("PriceUSD", "TxCnt", "CapMVRVCur")), ("asset", "metric"), NUMBERS, ("count",))
 add("dataset_info", BASE, "SELECT asset, COUNT(*) AS n_rows, 21 AS n_columns, MIN(time) AS first_time, MAX(time) AS last_time, SUM(" + " + ".join(
     f'CASE WHEN "{n}" IS NULL THEN 1 ELSE 0 END' for n in ALL_NAMES) + ") AS missing_values FROM m GROUP BY asset",
     ("asset", "first_time", "last_time"), whole=("n_rows", "n_columns", "missing_values"))
@@ -521,7 +527,7 @@ add("events_rolling_delta", EVENTS, delta("Val", 30, "e"), KEY, ("Val_delta_30d"
 add("events_delta_ma_strict", EVENTS, strict_mean("Val", "e"), KEY, ("Val_delta_30d", "Val_delta_30d_mean7"))
 add("events_growth_from_base", EVENTS, growth(("Val",), "SELECT * FROM e"), KEY, ("Val_growth_pct",))
 add("events_interpolate", EVENTS + """,
-n AS (SELECT asset, time, CASE WHEN "Val" >= 20 THEN "Val" END AS "Val" FROM e)""", interpolated("n", "Val", "time"), KEY, ("Val",))
+n AS (SELECT asset, time, event_id, CASE WHEN "Val" >= 20 THEN "Val" END AS "Val" FROM e)""", interpolated("n", "Val", "time"), KEY, ("Val",))
 add("events_gaps", EVENTS, steps("e", HOUR_DAYS), ("asset", "gap_start", "gap_end"), ("days_gap",), where="days_gap > 1.0 / 48")
 HOUR = "1.0 / 24 + 1e-9"
 add("hours_gaps", HOURS, steps("m", HOUR_DAYS), ("asset", "gap_start", "gap_end"), ("days_gap",), where=f"days_gap > {HOUR}")
@@ -535,7 +541,12 @@ add("events_describe", EVENTS, describe("e", ("Val",)), ("asset", "metric"), NUM
 add("events_histogram", EVENTS, histogram("e", "Val"), ("asset",), ("bin_start", "density"), ("bin", "n"))
 add("events_kde_grid", EVENTS, density("e", "Val"), ("asset",), ("x", "density"), ("point",))
 add("events_peak_trough", EVENTS, extremes("e", "Val"), ("asset", "peak_time", "trough_time"), ("peak_value", "trough_value"))
-SIGNS = f"""SELECT asset, time, CASE WHEN "Val_delta_1d" > 0 THEN 'positive' ELSE 'negative' END AS delta_class FROM ({delta("Val", 1, "e")}) g"""
+SIGNS = f"""SELECT *, CASE WHEN "Val_delta_1d" > 0 THEN 'positive' ELSE 'negative' END AS delta_class FROM ({delta("Val", 1, "e")}) g"""
 add("events_sign_segments", EVENTS, runs(SIGNS, "delta_class"), ("asset", "label", "start", "end"), whole=("n_rows",))
-add("events_zone_spans", EVENTS, linked(f"""SELECT asset, time, {zone('"Val" / 30')} AS zone FROM e""", "zone",
+add("events_zone_spans", EVENTS, linked(f"""SELECT *, {zone('"Val" / 30')} AS zone FROM e""", "zone",
     "CAST(epoch_us(time) - epoch_us(LAG(time) OVER ({w})) AS DOUBLE) / 86400000000.0"), ("asset", "label", "start", "end"), whole=("n_rows",))
+
+# --- the same results from series cut into many chunks
+for part in ("moving_average", "rolling_volatility", "rolling_delta", "delta_ma_strict", "gaps", "interpolate", "sign_segments"):
+    ORACLES[f"chunked_{part}"] = ORACLES[f"events_{part}"]
+ORACLES["chunked_flat_runs"] = ORACLES["hours_flat_runs"]

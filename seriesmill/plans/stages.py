@@ -6,14 +6,14 @@ from dataclasses import replace
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
 
 from seriesmill.config import CORRELATION_METRICS, INDICATORS, Settings
 from seriesmill.functions.expressions import present_columns
 from seriesmill.operators import indicators, quality, reshape, spans, stats, windows
 from seriesmill.operators.cleaning import clean, lookback
 from seriesmill.sources import results
-from seriesmill.sources.csv import read_metric_csvs
+from seriesmill.sources.csv import file_status, read_metric_csvs
+from seriesmill.sources.scratch import written
 from seriesmill.sources.tables import write_table
 
 
@@ -24,17 +24,31 @@ def ingest(
     as_of: date | datetime,
     settings: Settings = Settings(),
     on_error: str = "raise",
-) -> None:
-    """Files -> lookback -> cleaning -> stored table."""
-    raw = read_metric_csvs(spark, csv_path, on_error=on_error)
+) -> DataFrame:
+    """Files -> lookback -> cleaning -> stored table; gives the status of every file.
+
+    A file that cannot be read whole fails the run, or with ``on_error="skip"`` is left out; the
+    status then says so.
+    """
+    status = file_status(spark, csv_path)
+    raw = read_metric_csvs(spark, csv_path, on_error=on_error, status=status)
     recent = lookback(raw, as_of, settings.lookback_days)
     write_table(clean(recent, seq="seq"), table_path)
+    return status
 
 
 def build_features(
-    table: DataFrame, path: str, settings: Settings = Settings(), format: str = "parquet"
+    table: DataFrame,
+    path: str,
+    settings: Settings = Settings(),
+    format: str = "parquet",
+    layout: str = "whole",
 ) -> None:
-    """All feature kinds of all metrics from one window pass over the table."""
+    """All feature kinds of all metrics from one window pass over the table.
+
+    The stored table has one row per asset and time after ``clean``, and DATE times; for
+    timestamps give ``layout="chunked"``.
+    """
     available = replace(
         settings,
         **{
@@ -43,28 +57,30 @@ def build_features(
         },
     )
     features = [f for kind in results.KINDS for f in results.kind_features(kind, available)[1]]
-    wide = windows.compute_features(table, features).persist(StorageLevel.DISK_ONLY)
-    try:
-        for kind in results.KINDS:
-            long = results.long_results(wide, kind, available)
-            results.write_results(long, path, kind, format)
-    finally:
-        wide.unpersist()
+    wide = written(windows.compute_features(table, features, layout=layout), "features")
+    for kind in results.KINDS:
+        long = results.long_results(wide, kind, available)
+        results.write_results(long, path, kind, format)
 
 
-def check_quality(table: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def check_quality(
+    table: DataFrame, settings: Settings = Settings(), layout: str = "whole"
+) -> DataFrame:
     metrics = present_columns(table, settings.quality_metrics)
-    return quality.quality_report(table, metrics, settings.flat_window)
+    return quality.quality_report(table, metrics, settings.flat_window, layout=layout)
 
 
-def analyse(table: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    """Every analysis as a lazy frame; an analysis whose metrics are absent is left out."""
+def analyse(
+    table: DataFrame, settings: Settings = Settings(), layout: str = "whole"
+) -> dict[str, DataFrame]:
+    """Every analysis as a frame; an analysis whose metrics are absent is left out."""
+    how = {"layout": layout}
     have = set(table.columns)
     found: dict[str, DataFrame] = {}
     lag, window = settings.lag, settings.volatility_window
 
     if "PriceUSD" in have:
-        moved = windows.return_and_volatility(table, "PriceUSD", lag, window)
+        moved = windows.return_and_volatility(table, "PriceUSD", lag, window, **how)
         found["return_vs_volatility"] = moved.select(
             "asset", "time",
             f"PriceUSD_return{lag}_mean{window}", f"PriceUSD_RV{window}_return{lag}",
@@ -74,24 +90,24 @@ def analyse(table: DataFrame, settings: Settings = Settings()) -> dict[str, Data
     if {"PriceUSD", "CapMVRVCur"} <= have:
         zones = indicators.price_zones(table)
         found["price_zones"] = zones
-        found["zone_spans"] = spans.zone_spans(zones)
+        found["zone_spans"] = spans.zone_spans(zones, **how)
     correlated = present_columns(table, CORRELATION_METRICS)
     if len(correlated) >= 2:
         found["correlations"] = stats.correlation_matrix(table, correlated)
         found["top_correlations"] = stats.top_correlations(table, correlated)
     if "AdrActCnt" in have:
-        moved = windows.return_and_volatility(table, "AdrActCnt", lag, window)
+        moved = windows.return_and_volatility(table, "AdrActCnt", lag, window, **how)
         found["activity_averages"] = windows.moving_average(
-            table, "AdrActCnt", settings.average_windows
+            table, "AdrActCnt", settings.average_windows, **how
         )
         found["activity_regimes"] = stats.volatility_regime(
-            moved, f"AdrActCnt_RV{window}_return{lag}"
+            moved, f"AdrActCnt_RV{window}_return{lag}", **how
         )
         found["activity_delta"] = windows.delta_strict_mean(
-            table, "AdrActCnt", settings.delta_window
+            table, "AdrActCnt", settings.delta_window, **how
         )
-        found["activity_histogram"] = stats.histogram_density(table, "AdrActCnt")
-        found["activity_density"] = stats.kde_grid(table, "AdrActCnt")
+        found["activity_histogram"] = stats.histogram_density(table, "AdrActCnt", **how)
+        found["activity_density"] = stats.kde_grid(table, "AdrActCnt", **how)
         found["activity_extremes"] = stats.peak_trough(table, "AdrActCnt")
         found["activity_by_year"] = reshape.yoy(table, "AdrActCnt")
     if {"AdrBalCnt", "AdrBalUSD10KCnt", "AdrBalUSD100KCnt", "AdrBalUSD1MCnt"} <= have:
@@ -100,11 +116,11 @@ def analyse(table: DataFrame, settings: Settings = Settings()) -> dict[str, Data
         found["tiers"] = tiers
         found["tier_distribution"] = reshape.tier_distribution(tiers)
         found["tier_growth"] = windows.growth_from_base(
-            table.withColumns(reshape.tier_columns()), ["AdrBalCnt", *reshape.TIERS]
+            table.withColumns(reshape.tier_columns()), ["AdrBalCnt", *reshape.TIERS], **how
         )
     if {*indicators.SUPPLY_METRICS, indicators.WHALE_METRIC} <= have:
-        derived = indicators.derived_indicators(table, lag)
+        derived = indicators.derived_indicators(table, lag, **how)
         found["indicators"] = derived
         found["indicator_correlations"] = stats.correlation_matrix(derived, INDICATORS)
-        found["regime_segments"] = spans.regime_segments(indicators.regime_label(derived))
+        found["regime_segments"] = spans.regime_segments(indicators.regime_label(derived), **how)
     return found

@@ -2,72 +2,149 @@
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from csv import reader
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.expressions import c
-
-# Header requests in flight at once; each reads the first line of one file.
-_PEEKS = 16
+from seriesmill.operators.layout import join_per_key
+from seriesmill.sources.scratch import written
 
 # Where the asset stands in a path: the file name, or a partition folder.
 FILE_NAME = r"([^/]+)\.csv$"
 FOLDER_NAME = r"/asset=([^/]+)/"
 
+# A line's number is its file's number times this, plus its place in the file.
+_FILE_BYTES = 1 << 40
+_IN_PARTITION = (1 << 33) - 1
+_CORRUPT = "_corrupt"
 
-def list_files(spark: SparkSession, path: str) -> list[str]:
-    """CSV files below ``path``. Only the listing is read, never file contents."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path")
-    )
-    return sorted(r["path"] for r in listing.collect())
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, value): every line that is not blank.
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    line = spark.read.text(path).head()
-    return tuple(next(reader([line["value"].rstrip("\r")]))) if line else ()
+    ``place`` grows with the line within its file: the first byte of the block, plus the line's
+    number in its partition, which is below the partition's size in bytes.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path)
+    number = F.monotonically_increasing_id().bitwiseAND(_IN_PARTITION)
+    # The metadata path is a URI, in which a plus sign stands for itself.
+    file = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+    lines = raw.select(
+        file.alias("file"), (F.col("_metadata.file_block_start") + number).alias("place"), "value"
+    )
+    return lines.where(F.trim("value") != "")
 
 
 def inspect_files(
     spark: SparkSession, path: str, time: str = "time", asset_pattern: str = FILE_NAME
-) -> list[dict]:
-    """One record per file: asset, path, header and whether it can be read."""
-    paths = list_files(spark, path)
-    with ThreadPoolExecutor(_PEEKS) as pool:
-        headers = list(pool.map(lambda p: _header(spark, p), paths))
-    found = []
-    for file, header in zip(paths, headers):
-        detail = "" if time in header else ("no time column" if header else "empty file")
-        named = re.search(asset_pattern, file)
-        found.append(
-            {
-                "asset": named.group(1) if named else None,
-                "path": file,
-                "header": header,
-                "detail": detail or ("" if named else "no asset in the path"),
-            }
+) -> DataFrame:
+    """A written table (file, file_number, asset, header, detail), a row per file.
+
+    One pass over the files, whatever their number: each gives its first line.
+    """
+    firsts = _lines(spark, path).groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    asset = F.regexp_extract("file", asset_pattern, 1)
+    names = F.transform(F.split("header", ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
+    detail = F.when(~F.array_contains(names, time), "no time column").when(
+        asset == "", "no asset in the path"
+    ).otherwise("")
+    files = firsts.select(
+        "file", F.row_number().over(Window.orderBy("file")).cast("long").alias("file_number"),
+        asset.alias("asset"), "header", detail.alias("detail"),
+    )
+    return written(files, "csv-files")
+
+
+def _text(value: str) -> str:
+    return f"`{value.replace('`', '``')}` string"
+
+
+def _parsed(
+    spark: SparkSession, path: str, files: DataFrame, time: str, time_type: str
+) -> tuple[DataFrame, list[str]]:
+    """Every line of the files that have a detail of '', bound by its own file's header.
+
+    Only the distinct headers come to the driver. Adds ``_bad``: what is wrong with the line.
+    """
+    good = files.where("detail = ''").select("file", "file_number", "asset", "header")
+    headers = [r["header"] for r in good.select("header").distinct().orderBy("header").collect()]
+    fields = {h: next(reader([h])) for h in headers}
+    metrics = list(dict.fromkeys(n for h in headers for n in fields[h] if n != time))
+    rows = join_per_key(_lines(spark, path), good, ["file"]).where(F.col("value") != F.col("header"))
+
+    def bound(header: str) -> Column:
+        schema = ", ".join([*map(_text, fields[header]), f"{_CORRUPT} string"])
+        record = F.from_csv(
+            "value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
         )
-    return found
+        return F.transform(
+            F.array(record),
+            lambda r: F.struct(
+                r[_CORRUPT].alias("corrupt"), r[time].alias("time"),
+                *[
+                    (r[n] if n in fields[header] else F.lit(None).cast("string")).alias(f"m{i}")
+                    for i, n in enumerate(metrics)
+                ],
+            ),
+        )[0]
+
+    cells = F.lit(None)
+    for h in headers:
+        cells = F.when(F.col("header") == h, bound(h)).otherwise(cells)
+    rows = rows.withColumn("_cells", cells) if headers else rows.where("false").withColumn(
+        "_cells", F.struct(F.lit("").alias("corrupt"), F.lit("").alias("time"))
+    )
+    at = F.col("_cells.time").try_cast(time_type)
+    values = {n: F.col(f"_cells.m{i}") for i, n in enumerate(metrics)}
+    broken = F.lit(False)
+    for text in values.values():
+        broken = broken | (text.isNotNull() & (F.trim(text) != "") & text.try_cast("double").isNull())
+    bad = (
+        F.when(F.col("_cells.corrupt").isNotNull(), "wrong number of fields")
+        .when(at.isNull(), "no such time")
+        .when(broken, "no such number")
+    )
+    parsed = rows.select(
+        "file", "asset", at.alias(time),
+        (F.col("file_number") * _FILE_BYTES + F.col("place")).alias("seq"),
+        *[text.try_cast("double").alias(n) for n, text in values.items()],
+        bad.alias("_bad"), F.col("value").alias("_line"),
+    )
+    return parsed, metrics
+
 
+def _status(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    found = parsed.groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("_bad").alias("bad_rows"), F.min("_bad").alias("why")
+    )
+    joined = files.join(found, "file", "left")
+    detail = F.when(F.col("detail") != "", F.col("detail")).when(
+        F.col("bad_rows") > 0, F.concat("why", F.lit(", lines: "), F.col("bad_rows").cast("string"))
+    ).otherwise("")
+    return joined.select(
+        "file", "asset", F.when(detail == "", "ok").otherwise("skipped").alias("status"),
+        detail.alias("detail"), F.coalesce("rows", F.lit(0)).alias("rows"),
+    )
+
+
+def file_status(
+    spark: SparkSession,
+    path: str,
+    *,
+    time: str = "time",
+    time_type: str = "date",
+    asset_pattern: str = FILE_NAME,
+) -> DataFrame:
+    """(file, asset, status, detail, rows) per file: a file is ok if all its lines are.
 
-def file_status(spark: SparkSession, path: str, asset_pattern: str = FILE_NAME) -> DataFrame:
-    """(asset, status, detail) per file, for runs that skip what they cannot read."""
-    rows = [
-        (f["asset"], "skipped" if f["detail"] else "ok", f["detail"])
-        for f in inspect_files(spark, path, asset_pattern=asset_pattern)
-    ]
-    return spark.createDataFrame(rows, "asset string, status string, detail string")
+    A written table. Files that are not ok are those that ``on_error="skip"`` leaves out.
+    """
+    files = inspect_files(spark, path, time, asset_pattern)
+    parsed, _ = _parsed(spark, path, files, time, time_type)
+    return written(_status(files, parsed), "csv-status")
 
 
 def read_metric_csvs(
@@ -78,46 +155,38 @@ def read_metric_csvs(
     time_type: str = "date",
     on_error: str = "raise",
     asset_pattern: str = FILE_NAME,
-    header: Sequence[str] | None = None,
+    status: DataFrame | None = None,
 ) -> DataFrame:
     """(asset, time, seq, metrics...) from a folder of per-asset files.
 
-    A CSV scan binds columns by position, so files are read in groups that share a header
-    and the groups are united by name. Metrics become doubles, text that is no number
-    becomes NULL; a time that cannot be parsed fails the job. ``seq`` grows with the line
-    number within a file and breaks ties between equal times.
+    Lines are bound to columns by the header of their own file; a metric that a file lacks is
+    NULL, and so is an empty cell. ``seq`` is unique and grows with the file's place among the
+    paths and the line within the file; it breaks ties between equal times.
 
-    With very many files that share one header, give it as ``header``: no file is looked at
-    beforehand, and Spark fails on a file whose header differs.
+    A line with more or fewer fields than its header, a cell that is no number or a time that is
+    none fails the job. With ``on_error="skip"`` files with any such line are left out whole;
+    ``file_status`` lists them, and its result may be given as ``status`` to save a pass.
     """
     if on_error not in ("raise", "skip"):
         raise ValueError(f"unknown on_error: {on_error}")
-
-    def read_group(names: Sequence[str], paths: str | list[str], **options) -> DataFrame:
-        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-        raw = spark.read.options(**options).csv(paths, header=True, schema=schema)
-        # The metadata path is a URI, in which a plus sign stands for itself.
-        file = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
-        return raw.select(
-            F.regexp_extract(file, asset_pattern, 1).alias("asset"),
-            c(time).cast(time_type).alias(time),
-            F.monotonically_increasing_id().alias("seq"),
-            *[c(n).try_cast("double").alias(n) for n in names if n != time],
-        )
-
-    if header is not None:
-        return read_group(
-            header, path, enforceSchema=False, recursiveFileLookup=True, pathGlobFilter="*.csv"
-        )
     files = inspect_files(spark, path, time, asset_pattern)
-    bad = [f"{f['path']} ({f['detail']})" for f in files if f["detail"]]
-    if bad and on_error == "raise":
-        raise ValueError("unreadable files: " + ", ".join(bad))
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for f in files:
-        if not f["detail"]:
-            groups[f["header"]].append(f["path"])
-    if not groups:
+    if on_error == "raise":
+        bad = files.where("detail <> ''").select("file", "detail").limit(20).collect()
+        if bad:
+            listed = ", ".join(f"{r['file']} ({r['detail']})" for r in bad)
+            raise ValueError(f"unreadable files, the first of them: {listed}")
+    parsed, metrics = _parsed(spark, path, files, time, time_type)
+    if on_error == "skip":
+        if status is None:
+            status = written(_status(files, parsed), "csv-status")
+        ok = status.where("status = 'ok'").select("file")
+        parsed = parsed.join(ok, "file", "left_semi")
+        checked = c(time)
+    else:
+        what = F.concat(F.col("file"), F.lit(": "), F.col("_bad"), F.lit(": "), F.col("_line"))
+        checked = F.when(F.col("_bad").isNull(), c(time)).otherwise(F.raise_error(what))
+    if files.where("detail = ''").isEmpty():
         raise ValueError(f"no readable files under {path}")
-    parts = [read_group(h, p) for h, p in sorted(groups.items())]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return parsed.select(
+        "asset", checked.alias(time), "seq", *[c(n) for n in metrics]
+    )

@@ -11,6 +11,7 @@ from seriesmill.config import Settings
 from seriesmill.functions.expressions import c
 from seriesmill.operators.layout import KEYS, TIME
 from seriesmill.operators.reshape import melt
+from seriesmill.sources.scratch import written
 from seriesmill.operators.windows import (
     Feature,
     average_of,
@@ -101,17 +102,21 @@ def write_results(
     path: str,
     kind: str,
     format: str = "parquet",
-    partition_by: Sequence[str] = ("asset", "metric"),
+    partition_by: Sequence[str] = ("metric",),
     **options,
 ) -> None:
     """Write one kind below ``path/kind``, replacing the partitions it holds.
 
-    Very many assets make very many folders: partition by metric alone then.
+    Rows are rebalanced by partition, so the number of files follows the size of the data. Columns
+    stand in the order of ``result_schema``, since CSV has no other way to bind them.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind: {kind}")
+    ends = [n for n in ("asset", "metric") if n in results.columns]
+    values = [n for n in results.columns if n not in (TIME, *ends)]
     writer = (
-        results.write.mode("overwrite")
+        results.select(*map(c, [TIME, *values, *ends])).hint("rebalance", *map(c, partition_by))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
     )
@@ -128,15 +133,59 @@ def read_results(
     settings: Settings = Settings(),
     time_type: str = "date",
 ) -> DataFrame:
-    """Read one kind back. Files that cannot be read are skipped and logged by Spark."""
-    reader = spark.read.schema(result_schema(kind, settings, time_type)).option(
-        "ignoreCorruptFiles", True
-    )
+    """Read one kind back; a file that cannot be read fails the job."""
+    reader = spark.read.schema(result_schema(kind, settings, time_type))
     if format == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("mode", "FAILFAST")
     return reader.format(format).load(f"{path}/{kind}")
 
 
+def read_results_or_skip(
+    spark: SparkSession,
+    path: str,
+    kind: str,
+    settings: Settings = Settings(),
+    time_type: str = "date",
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the Parquet files of a kind that can be read, and (path, status, detail, rows) of all.
+
+    Every file is first read alone, to its end; rows then come from whole files only.
+    """
+
+    def tried(batches):
+        from io import BytesIO
+
+        import pandas as pd
+        from pyarrow import parquet
+
+        for batch in batches:
+            out = []
+            for file, content in zip(batch["path"], batch["content"]):
+                try:
+                    out.append((file, "ok", "", parquet.read_table(BytesIO(content)).num_rows))
+                except Exception as error:
+                    out.append((file, "skipped", str(error)[:200], 0))
+            yield pd.DataFrame(out, columns=["path", "status", "detail", "rows"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option(
+        "recursiveFileLookup", "true"
+    ).load(f"{path}/{kind}").select("path", "content")
+    schema = "path string, status string, detail string, rows long"
+    status = written(files.mapInPandas(tried, schema), "results-status")
+    rows = (
+        spark.read.schema(result_schema(kind, settings, time_type))
+        .option("ignoreCorruptFiles", True).parquet(f"{path}/{kind}")
+        .withColumn("_file", F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")))
+    )
+    good = status.where("status = 'ok'").select(
+        F.url_decode(F.regexp_replace("path", r"\+", "%2B")).alias("_file")
+    )
+    plain = lambda name: F.regexp_replace(name, "^([a-z0-9]+:)/+", "$1/")
+    same = plain(F.col("_file")) == plain(F.col("_good"))
+    whole = rows.join(good.withColumnRenamed("_file", "_good"), same, "left_semi")
+    return whole.drop("_file"), status
+
+
 def kind_label(name: Column) -> Column:
     """Label of a result by the kind its file name contains; first match wins."""
     label = None

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -13,12 +12,14 @@ SETTING = "spark.checkpoint.dir"
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder the cluster names.
 
-    Executors must see the same files, so a machine-local folder is used only where no
-    shared one is set and the session runs in local mode.
+    Where none is named, the warehouse folder serves: executors reach that as well.
     """
-    root = spark.conf.get(SETTING, None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError(f"set {SETTING} to a folder all executors can reach")
-        root = tempfile.gettempdir()
+    root = spark.conf.get(SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/seriesmill-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, so no later step works them out again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

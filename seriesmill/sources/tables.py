@@ -13,18 +13,27 @@ from seriesmill.functions.expressions import c
 from seriesmill.operators.layout import KEYS, TIME
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = KEYS) -> None:
+def write_table(
+    df: DataFrame, path: str, partition_by: Sequence[str] = KEYS, name: str | None = None
+) -> None:
     """Replace the partitions that ``df`` holds; other assets stay as they are.
 
-    Rows are written where they are: no repartition by asset, so a hot asset is written
-    by many tasks.
+    Rows are rebalanced by asset: small assets are written by one task and not by all, and
+    adaptive execution splits a hot asset over as many tasks as its size asks for. With a
+    ``name`` the table is listed in the session catalog.
     """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *map(c, partition_by))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)
     )
+    if name is not None:
+        spark = df.sparkSession
+        if not spark.catalog.tableExists(name):
+            spark.catalog.createTable(name, path=path, source="parquet")
+        spark.catalog.recoverPartitions(name)
 
 
 def read_table(

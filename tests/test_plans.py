@@ -31,15 +31,16 @@ def exchanges(df):
 
 def test_one_exchange_and_sort_for_many_features(stored):
     settings = Settings(aggregate_metrics=("v", "u"), lag_metrics=("v", "u"))
+    whole = {"layout": "whole"}
     for frame in (
-        windows.moving_average(stored, "v"),
-        windows.return_and_volatility(stored, "v"),
-        windows.delta_strict_mean(stored, "v"),
-        feature_results(stored, "moving_averages", settings),
-        feature_results(stored, "lag_volatility", settings),
-        quality.flat_runs(stored, ["v", "u"]),
-        quality.quality_report(stored, ["v", "u"]),
-        windows.growth_from_base(stored, ["v"]),
+        windows.moving_average(stored, "v", **whole),
+        windows.return_and_volatility(stored, "v", **whole),
+        windows.delta_strict_mean(stored, "v", **whole),
+        feature_results(stored, "moving_averages", settings, **whole),
+        feature_results(stored, "lag_volatility", settings, **whole),
+        quality.flat_runs(stored, ["v", "u"], **whole),
+        quality.quality_report(stored, ["v", "u"], **whole),
+        windows.growth_from_base(stored, ["v"], **whole),
     ):
         assert exchanges(frame) == ["hashpartitioning"]
         assert plan(frame).count("Sort [") == 1
@@ -47,15 +48,15 @@ def test_one_exchange_and_sort_for_many_features(stored):
 
 def test_scan_reads_only_what_is_used_and_takes_the_filter(stored):
     recent = cleaning.lookback(stored, __import__("datetime").date(2020, 3, 1), 10)
-    text = plan(windows.moving_average(recent, "v"))
+    text = plan(windows.moving_average(recent, "v", layout="whole"))
     assert re.search(r"ReadSchema: struct<asset:string,time:date,v:double>", text)
     assert "GreaterThanOrEqual(time," in text
 
 
 def test_segments_need_one_exchange_on_days(stored):
     labelled = stored.withColumn("regime", F.when(F.col("v") > 3, "x"))
-    assert exchanges(spans.regime_segments(labelled)) == ["hashpartitioning"]
-    assert exchanges(spans.zone_spans(labelled, "regime")) == ["hashpartitioning"]
+    assert exchanges(spans.regime_segments(labelled, layout="whole")) == ["hashpartitioning"]
+    assert exchanges(spans.zone_spans(labelled, "regime", layout="whole")) == ["hashpartitioning"]
 
 
 def test_timestamp_series_never_run_in_a_window_per_asset(spark):
@@ -76,14 +77,20 @@ def test_timestamp_series_never_run_in_a_window_per_asset(spark):
                 assert "_chunk" in functions
 
 
-def test_rows_of_hot_keys_are_not_shuffled_by_key(spark):
-    """Values meet their key's figures by broadcast or as the rest of an anti-join."""
-    for frame in (
-        stats.volatility_regime(ticks(spark, 1), "v"), windows.growth_from_base(ticks(spark, 1), ["v"], layout="chunked"),
+def test_rows_stay_where_they_are_for_small_per_key_figures(spark):
+    """One read of the rows and a broadcast of the table whose size is known; no shuffle by value."""
+    df = ticks(spark, 1)
+    for frame, exchanges_of_rows in (
+        (stats.volatility_regime(df, "v"), 0),
+        (windows.growth_from_base(df, ["v"]), 0),
+        (stats.histogram_density(df, "v"), 3),
+        (stats.kde_grid(df, "v"), 1),
     ):
         text = plan(frame)
-        assert "Union" in text and "LeftAnti" in text
         assert "BroadcastHashJoin" in text
+        shuffles = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", text)
+        assert not any("_v" in keys for keys in shuffles)
+        assert text.count("Exchange hashpartitioning(") <= exchanges_of_rows + 1
 
 
 def test_copies_are_limited_before_the_shuffle(spark):
@@ -95,7 +102,7 @@ def test_copies_are_limited_before_the_shuffle(spark):
 def test_aggregates_combine_before_the_shuffle(spark, stored):
     for frame in (
         stats.correlation_matrix(stored, ["v", "u"]),
-        stats.kde_grid(stored, "v"),
+        stats.kde_grid(stored, "v", layout="whole"),
         quality.zero_null_stats(stored, ["v", "u"]),
         stats.peak_trough(stored, "v"),
     ):

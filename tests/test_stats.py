@@ -4,7 +4,6 @@ import pytest
 from frames import column, days, listed, ticks
 from pyspark.sql import functions as F
 
-from seriesmill.operators import layout as layout_module
 from seriesmill.operators import stats, windows
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -122,9 +121,9 @@ def test_describe_equals_pandas(spark, layout):
     assert middle["median"] == pytest.approx(pd.Series(values, dtype=float).median())
 
 
-@pytest.mark.parametrize("hot_rows", [1, 100, 10**9])
-def test_hot_keys_get_the_same_results(spark, monkeypatch, hot_rows):
-    """The hot key is broadcast at 100, every key at 1, none at 10**9."""
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_layouts_give_the_same_results(spark, threshold):
+    """With per-key figures joined by shuffle and by broadcast."""
     df = ticks(spark, 51, 500)
     checks = (
         lambda layout: stats.percentiles(df, "v", layout=layout),
@@ -134,8 +133,12 @@ def test_hot_keys_get_the_same_results(spark, monkeypatch, hot_rows):
         lambda layout: windows.growth_from_base(df, ["v"], layout=layout),
     )
     expected = [listed(check("whole"), 8) for check in checks]
-    monkeypatch.setattr(layout_module, "HOT_ROWS", hot_rows)
-    assert [listed(check("chunked"), 8) for check in checks] == expected
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert [listed(check("chunked"), 8) for check in checks] == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 @pytest.mark.parametrize("points", [2, 10, 25])

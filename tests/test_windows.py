@@ -6,9 +6,9 @@ import pytest
 from frames import column, days, listed, ticks
 from pyspark.sql import functions as F
 
-from seriesmill.operators import layout
+from seriesmill.operators import layout, quality, spans
 from seriesmill.operators import windows as w
-from seriesmill.operators.layout import POS, with_position
+from seriesmill.operators.layout import POS, in_chunks, with_position
 
 
 def test_partial_average_skips_nulls(spark):
@@ -126,24 +126,60 @@ def test_positions_count_copies_of_a_time_in_seq_order(spark, size):
         assert [r[POS] for r in placed.collect()] == list(range(len(rows)))
 
 
-@pytest.mark.parametrize("seconds", [1, 60, 3600, 100_000])
-def test_slot_length_does_not_change_results(spark, seconds):
-    df = ticks(spark, 6)
-    for series in (df, df.withColumn("time", df.time.cast("timestamp"))):
-        out = w.delta_strict_mean(series, "v", 2, 3, chunk_rows=20, slot_seconds=seconds)
-        assert listed(out) == listed(w.delta_strict_mean(series, "v", 2, 3, layout="whole"))
-
-
-@pytest.mark.parametrize("hot_rows", [1, 4, 10**9])
-def test_crowded_slots_are_split(spark, monkeypatch, hot_rows):
-    monkeypatch.setattr(layout, "HOT_ROWS", hot_rows)
-    df = ticks(spark, 7)
-    for series in (df, df.withColumn("time", df.time.cast("timestamp"))):
-        out = w.delta_strict_mean(series, "v", 2, 3, chunk_rows=6, slot_seconds=500_000)
-        assert listed(out) == listed(w.delta_strict_mean(series, "v", 2, 3, layout="whole"))
-        placed = with_position(series, 6, slot_seconds=500_000)
-        largest = placed.groupBy("asset", "_chunk").count().agg(F.max("count")).first()[0]
-        assert largest <= 12 if hot_rows == 1 else largest > 12 or hot_rows == 4
+def crowded(spark, kind):
+    """Rows of one series: an hour of 20,000, a second of 50,000, or equal times with seq."""
+    n = {"hour": 20_000, "second": 50_000, "equal": 50_000}[kind]
+    micros = {"hour": "id * 180000", "second": "id * 20", "equal": "0"}[kind]
+    rows = spark.range(n).selectExpr(
+        "'a' as asset", f"timestamp_micros(1700000000000000 + {micros}) as time",
+        f"({n} - id) * 7 as seq", "cast(id % 1000 as double) as v",
+    )
+    return rows.repartition(5)
+
+
+@pytest.mark.parametrize("kind", ["hour", "second", "equal"])
+def test_crowded_times_are_cut_by_rows(spark, kind):
+    df = crowded(spark, kind)
+    size = 4096
+    placed = in_chunks(df, size, before=89, seq="seq")
+    chunks = placed.groupBy("_chunk").count().collect()
+    n = df.count()
+    assert sum(r["count"] for r in chunks) <= 1.15 * n
+    assert max(r["count"] for r in chunks) <= 2 * size and len(chunks) == -(-n // size)
+    opts = {"seq": "seq", "keep": ("v", "seq")}
+    some = w.compute_features(df, [w.average_of("v", [90]), w.lag_of("v", 3)], chunk_rows=size, **opts)
+    whole = w.compute_features(df, [w.average_of("v", [90]), w.lag_of("v", 3)], layout="whole", **opts)
+    assert some.exceptAll(whole).isEmpty() and whole.exceptAll(some).isEmpty()
+
+
+def test_position_table_is_small(spark, monkeypatch):
+    seen = {}
+    real = layout.written
+    monkeypatch.setattr(layout, "written", lambda df, name: seen.setdefault(name, real(df, name)))
+    with_position(crowded(spark, "second"), 4096, seq="seq").count()
+    assert seen["shifts"].count() <= 50
+
+
+def test_equal_times_give_the_same_rows_however_read(spark):
+    rows = [("a", 10 * (i // 20), i * 37 % 101, float(i * i % 13)) for i in range(100)]
+    df = spark.createDataFrame(rows, "asset string, s long, seq long, v double").selectExpr(
+        "asset", "timestamp_seconds(s) as time", "seq", "v"
+    )
+    checks = (
+        lambda d, **o: w.compute_features(d, [w.lag_of("v", 1), w.volatility_of("v", 1, 3)], seq="seq", **o),
+        lambda d, **o: quality.flat_runs(d, ["v"], 1, seq="seq", **o),
+        lambda d, **o: quality.quality_report(d, ["v"], 1, seq="seq", **o).drop("date_range"),
+        lambda d, **o: spans.regime_segments(d.withColumn("regime", d.v > 6), seq="seq", **o),
+        lambda d, **o: quality.gaps(d, 1e-9, seq="seq", **o),
+    )
+    for check in checks:
+        expected = listed(check(df, layout="whole"))
+        for parts in (1, 7):
+            assert listed(check(df.repartition(parts), chunk_rows=8)) == expected
+    for parts in (1, 7):
+        assert listed(w.growth_from_base(df.repartition(parts), ["v"], seq="seq")) == listed(
+            w.growth_from_base(df, ["v"], seq="seq", layout="whole")
+        )
 
 
 def test_times_before_1970(spark):
