@@ -55,6 +55,15 @@ def require_columns(df: DataFrame, names: list[str] | tuple[str, ...]) -> None:
         raise ValueError(f"missing required columns: {missing}")
 
 
+def require_values(df: DataFrame, names: list[str] | tuple[str, ...]) -> None:
+    """Fail when an input metric is absent or has no value at all; one aggregate over the rows."""
+    require_columns(df, names)
+    counts = df.agg(*[F.count(c(n)).alias(f"_{i}") for i, n in enumerate(names)]).first()
+    empty = [n for n, count in zip(names, counts) if not count]
+    if empty:
+        raise ValueError(f"required columns without values: {empty}")
+
+
 def present_columns(df: DataFrame, names: list[str] | tuple[str, ...]) -> list[str]:
     """The wanted columns that exist, in the wanted order (absent ones are skipped)."""
     return [n for n in names if n in df.columns]

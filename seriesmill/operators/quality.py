@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from seriesmill.functions.expressions import c, elapsed_days, is_date, require_columns
@@ -64,17 +64,28 @@ def zero_null_stats(
 def _flat_layers(
     metrics: Sequence[str], k: int
 ) -> tuple[dict[str, str], Callable[[DataFrame, WindowSpec], DataFrame]]:
-    """Per metric, how many of the last k rows repeat the row before them."""
+    """Per metric, how many rows in a row repeat the one before them, up to k.
+
+    The row of the last change is carried along in a frame that grows, which costs one step per
+    row and metric. A chunk sees k rows before its own, and its first row counts as a change: that
+    is k rows back at least, so a longer run still comes to k.
+    """
     names = {m: f"_same_{i}" for i, m in enumerate(metrics)}
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        same = {
-            n: F.when(c(m) == F.lag(c(m), 1).over(w), 1).otherwise(0).cast("bigint")
-            for m, n in names.items()
+        at = F.row_number().over(w).cast("bigint")
+        same = {n: c(m) == F.lag(c(m), 1).over(w) for m, n in names.items()}
+        rows = rows.withColumns({"_at": at, **same})
+        changed = {
+            n: F.when(F.col(n), F.lit(None).cast("bigint")).otherwise(F.col("_at"))
+            for n in names.values()
         }
-        frame = w.rowsBetween(-(k - 1), 0)
-        return rows.withColumns(same).withColumns(
-            {n: F.sum(F.col(n)).over(frame) for n in names.values()}
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns(
+            {n: F.last(x, ignorenulls=True).over(so_far) for n, x in changed.items()}
+        )
+        return rows.withColumns(
+            {n: F.least(F.col("_at") - F.col(n), F.lit(k)) for n in names.values()}
         )
 
     return names, build

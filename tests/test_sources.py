@@ -5,7 +5,7 @@ from frames import days, listed
 from pyspark.sql import functions as F
 
 from seriesmill.config import Settings
-from seriesmill.functions.expressions import chart_columns, numeric_columns
+from seriesmill.functions.expressions import chart_columns, numeric_columns, require_values
 from seriesmill.plans import stages
 from seriesmill.sources import csv, results, tables
 from seriesmill.sources.scratch import scratch_path
@@ -155,6 +155,15 @@ def test_chart_columns(spark):
     assert chart_columns(df, ("DELTA",)) == ["v_delta"]
 
 
+def test_required_inputs_have_values(spark):
+    df = spark.sql("SELECT 'a' AS asset, 1.0D AS v, CAST(NULL AS DOUBLE) AS w")
+    require_values(df, ["v"])
+    with pytest.raises(ValueError, match="without values: .'w'"):
+        require_values(df, ["v", "w"])
+    with pytest.raises(ValueError, match="missing"):
+        require_values(df, ["x"])
+
+
 def test_stages_from_files_to_results(spark, tmp_path):
     files = tmp_path / "csv"
     files.mkdir()
