@@ -1,7 +1,8 @@
 """Document fingerprints that can be subtracted: invertible Bloom lookup sketches of paragraphs.
 
-A paragraph is a line, or a part of up to `PART_WORDS` words of a longer one; a document is the set
-of its paragraphs' 64-bit digests. A digest is put into three cells, one in each third of the sketch;
+A paragraph is a line; one of more than `FIRST_WORDS` words is cut after these and then every
+`PART_WORDS` words, so that texts of one line have parts to compare. A document is the set of its
+paragraphs' 64-bit digests. A digest is put into three cells, one in each third of the sketch;
 a cell holds how many digests it got, and the exclusive or of the digests and of their checks.
 Subtracting the sketches of two versions cell by cell leaves the digests that differ. Peeling takes a
 cell with one digest left (its check fits), removes that digest from its three cells, and so on; if
@@ -31,16 +32,18 @@ from pyspark.sql.window import Window
 
 from seriesmill.llm.common import named, written
 
-PART_WORDS = 16
+FIRST_WORDS = 12
+PART_WORDS = 64
 CELLS = 24
-BLOCK_DIGESTS = 10
+BLOCK_DIGESTS = 16
 BLOCK_CELLS = 48
-ROUNDS = 12
+ROUNDS = 8
 RANGE_ROWS = 1_000
 MOST_RANGES = 1 << 16
 
 #: Words are runs of non-blanks; a part does not go beyond its line.
-PART = f"(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09\\x0B-\\x0D]*+){{1,{PART_WORDS}}}+"
+_WORD = "[^\\x20\\x09-\\x0D]++[\\x20\\x09\\x0B-\\x0D]*+"
+PART = f"(?md)^(?:{_WORD}){{1,{FIRST_WORDS}}}+|(?:{_WORD}){{1,{PART_WORDS}}}+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -58,69 +61,72 @@ def check_of(digest: Column) -> Column:
     return F.xxhash64(F.lit(97), digest)
 
 
-def position(digest: Column, third: Column, size: int, seed: int) -> Column:
-    """The cell of a digest within a third of the sketch; sizes are powers of two."""
-    bits = size.bit_length() - 1
+def item(digest: Column, sign: Column, third: int, seed: int) -> Column:
+    """A digest with its sign, check and place in each third of the sketch (a power of two)."""
+    bits = third.bit_length() - 1
     code = F.xxhash64(F.lit(seed), digest) if seed else digest
-    shifted = F.when(third == 0, code).when(third == 1, F.shiftrightunsigned(code, bits)).otherwise(F.shiftrightunsigned(code, 2 * bits))
-    return shifted.bitwiseAND((1 << bits) - 1).cast("int")
+    place = lambda k: F.shiftrightunsigned(code, k * bits).bitwiseAND(third - 1).cast("int")
+    return F.struct(
+        sign.cast("int").alias("n"), digest.alias("key"), check_of(digest).alias("check"),
+        *[place(k).alias(f"p{k}") for k in range(3)],
+    )
 
 
 def cell(n: Column, key: Column, check: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), key.cast("long").alias("key"), check.cast("long").alias("check"))
 
 
-def with_digest(old: Column, digest: Column, sign: Column) -> Column:
-    return cell(old["n"] + sign, old["key"].bitwiseXOR(digest), old["check"].bitwiseXOR(check_of(digest)))
+def combined(x: Column, y: Column, sign: int) -> Column:
+    n = x["n"] + y["n"] if sign > 0 else x["n"] - y["n"]
+    return cell(n, x["key"].bitwiseXOR(y["key"]), x["check"].bitwiseXOR(y["check"]))
+
+
+def put(cells: Column, items: Column, third: int, sign: int) -> Column:
+    """The cells with the items added or taken out."""
+
+    def part(k: int) -> Column:
+        def filled(old: Column, at: Column) -> Column:
+            return F.aggregate(items, old, lambda acc, x: F.when(x[f"p{k}"] == at, combined(acc, x, sign)).otherwise(acc))
+
+        return F.transform(F.slice(cells, k * third + 1, third), filled)
+
+    return F.concat(part(0), part(1), part(2))
 
 
 def sketch(digests: Column, cells: int = CELLS, seed: int = 0) -> Column:
     """The cells of a set of digests."""
     third = cells // 3
-    empty = cell(F.lit(0), F.lit(0), F.lit(0))
-
-    def filled(number: Column) -> Column:
-        part, at = F.floor(number / third).cast("int"), F.pmod(number, F.lit(third))
-        put = lambda acc, d: F.when(position(d, part, third, seed) == at, with_digest(acc, d, F.lit(1))).otherwise(acc)
-        return F.aggregate(digests, empty, put)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), filled)
+    empty = F.array_repeat(cell(F.lit(0), F.lit(0), F.lit(0)), cells)
+    items = F.transform(digests, lambda d: item(d, F.lit(1), third, seed))
+    return let(items, lambda x: put(empty, x, third, 1))
 
 
 def subtract(cells: Column, other: Column) -> Column:
-    return F.zip_with(
-        cells, other, lambda x, y: cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["check"].bitwiseXOR(y["check"]))
-    )
+    return F.zip_with(cells, other, lambda x, y: combined(x, y, -1))
 
 
 def peeled(difference: Column, cells: int = CELLS, seed: int = 0) -> Column:
     """The digests that a difference of sketches holds, with n = 1 or -1 for the side; null on failure."""
     third = cells // 3
     none = F.array().cast("array<struct<n:int,key:bigint>>")
-    state = lambda rest, found: F.struct(rest.alias("rest"), found.alias("found"))
-
-    def without(rest: Column, single: Column) -> Column:
-        def cleared(old: Column, number: Column) -> Column:
-            part, at = F.floor(number / third).cast("int"), F.pmod(number, F.lit(third))
-            hit = lambda acc, d: F.when(position(d["key"], part, third, seed) == at, with_digest(acc, d["key"], -d["n"])).otherwise(acc)
-            return F.aggregate(single, old, hit)
-
-        return F.transform(rest, cleared)
+    state = lambda rest, found, on: F.struct(rest.alias("rest"), found.alias("found"), on.alias("on"))
 
     def turn(acc: Column, _: Column) -> Column:
         alone = F.filter(acc["rest"], lambda x: (F.abs(x["n"]) == 1) & (check_of(x["key"]) == x["check"]))
-        single = F.array_distinct(F.transform(alone, lambda x: F.struct(x["n"].alias("n"), x["key"].alias("key"))))
-        return let(single, lambda s: F.when(F.size(s) == 0, acc).otherwise(state(without(acc["rest"], s), F.concat(acc["found"], s))))
+        single = F.array_distinct(F.transform(alone, lambda x: item(x["key"], x["n"], third, seed)))
+        taken = lambda s: F.transform(s, lambda x: F.struct(x["n"].alias("n"), x["key"].alias("key")))
+        went = let(single, lambda s: state(put(acc["rest"], s, third, -1), F.concat(acc["found"], taken(s)), F.size(s) > 0))
+        return F.when(acc["on"], went).otherwise(acc)
 
     ends_empty = lambda acc: F.forall(acc["rest"], lambda x: (x["n"] == 0) & (x["key"] == 0) & (x["check"] == 0))
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), state(difference, none), turn, lambda acc: F.when(ends_empty(acc), acc["found"])
+        F.sequence(F.lit(1), F.lit(ROUNDS)), state(difference, none, F.lit(True)), turn, lambda acc: F.when(ends_empty(acc), acc["found"])
     )
 
 
 def recovered(a: Column, b: Column, cells: int, seed: int) -> Column:
     """How many digests differ, by sketches of this size; null if peeling fails."""
-    return F.size(peeled(subtract(sketch(a, cells, seed), sketch(b, cells, seed)), cells, seed))
+    return F.array_size(peeled(subtract(sketch(a, cells, seed), sketch(b, cells, seed)), cells, seed))
 
 
 def compared_directly(a: Column, b: Column) -> Column:
@@ -129,7 +135,7 @@ def compared_directly(a: Column, b: Column) -> Column:
 
 def by_blocks(a: Column, b: Column) -> Column:
     """How many digests differ, by a sketch for each block of digests."""
-    groups = F.ceil(F.sqrt(F.ceil((F.size(a) + F.size(b)) / BLOCK_DIGESTS))).cast("int")
+    blocks = F.greatest(F.ceil((F.size(a) + F.size(b)) / BLOCK_DIGESTS), F.lit(1)).cast("int")
 
     def dealt(pair: Column, n: Column, seed: int) -> Column:
         part = lambda values, i: F.filter(values, lambda d: F.pmod(F.xxhash64(F.lit(seed), d), n) == i)
@@ -140,17 +146,17 @@ def by_blocks(a: Column, b: Column) -> Column:
     def size_of(block: Column) -> Column:
         x, y = block["a"], block["b"]
         tries = [recovered(x, y, BLOCK_CELLS * 4**k, 211 + k) for k in range(3)]
-        # size() of null is -1 or null by setting; a failed try must be null
-        tries = [F.when(t >= 0, t) for t in tries]
         return F.coalesce(*tries, compared_directly(x, y))
 
     def total(n: Column) -> Column:
         whole = F.struct(a.alias("a"), b.alias("b"))
-        coarse = dealt(whole, n, 101)
-        blocks = F.flatten(F.transform(coarse, lambda x: dealt(x, n, 103)))
-        return F.aggregate(F.transform(blocks, size_of), F.lit(0), lambda acc, x: acc + x)
+        coarse = F.ceil(F.sqrt(n)).cast("int")
+        dealt_twice = let(
+            coarse, lambda m: F.flatten(F.transform(dealt(whole, m, 101), lambda x: dealt(x, F.ceil(n / m).cast("int"), 103)))
+        )
+        return F.aggregate(F.transform(dealt_twice, size_of), F.lit(0), lambda acc, x: acc + x)
 
-    return let(F.greatest(groups, F.lit(1)), total)
+    return let(blocks, total)
 
 
 def differing(a: Column, b: Column, cells_a: Column, cells_b: Column, cells: int = CELLS) -> Column:
@@ -159,8 +165,8 @@ def differing(a: Column, b: Column, cells_a: Column, cells_b: Column, cells: int
     The fingerprints' cells cannot hold more differing digests than cells; so sets whose sizes
     differ by more are not tried.
     """
-    small = F.when(F.abs(F.size(a) - F.size(b)) <= cells, F.size(peeled(subtract(cells_a, cells_b), cells)))
-    return F.coalesce(F.when(small >= 0, small), by_blocks(a, b))
+    small = F.array_size(peeled(subtract(cells_a, cells_b), cells))
+    return F.coalesce(F.when(F.abs(F.size(a) - F.size(b)) <= cells, small), by_blocks(a, b))
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:

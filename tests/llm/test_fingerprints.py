@@ -15,8 +15,10 @@ def paragraphs(text):
     parts = set()
     for line in (text or "").split("\n"):
         words = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*", line)
-        for i in range(0, len(words), iblt.PART_WORDS):
-            parts.add("".join(words[i : i + iblt.PART_WORDS]).rstrip(" "))
+        # white space before the first word keeps the line from beginning a part
+        at = 0 if re.match(r"[\x20\x09\x0B-\x0D]", line) else iblt.FIRST_WORDS
+        cuts = [0, *range(at, len(words), iblt.PART_WORDS), len(words)]
+        parts |= {"".join(words[i:j]).rstrip(" ") for i, j in zip(cuts, cuts[1:], strict=False) if i < j}
     return parts
 
 
