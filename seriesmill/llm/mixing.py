@@ -26,7 +26,7 @@ from seriesmill.llm.common import WORD, free_names, hex_number, named, word_coun
 
 WEIGHTS = (1.0, 2.0, 3.0)
 BLOCK_WORDS = 16
-SHARD_ROWS = 100_000
+SHARD_ROWS = 4_000
 MAX_EPOCHS = 3
 SEED = "mix"
 
