@@ -15,10 +15,8 @@ def paragraphs(text):
     parts = set()
     for line in (text or "").split("\n"):
         words = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*", line)
-        # white space before the first word keeps the line from beginning a part
-        at = 0 if re.match(r"[\x20\x09\x0B-\x0D]", line) else iblt.FIRST_WORDS
-        cuts = [0, *range(at, len(words), iblt.PART_WORDS), len(words)]
-        parts |= {"".join(words[i:j]).rstrip(" ") for i, j in zip(cuts, cuts[1:], strict=False) if i < j}
+        for i in range(0, len(words), iblt.PART_WORDS):
+            parts.add("".join(words[i : i + iblt.PART_WORDS]).rstrip(" "))
     return parts
 
 
@@ -75,6 +73,17 @@ def test_one_row_no_rows_and_repeated_ids(frame):
     assert len({r.fingerprint for r in rows}) == 3
 
 
+def test_one_line_texts_are_compared_in_parts_of_16_words(frame):
+    words = [f"w{i}" for i in range(160)]
+    changed = [*words[:85], "other", *words[86:]]
+    docs = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:40]))]
+    rows = {r.doc_id: r for r in iblt.fingerprints(frame(docs, "doc_id long, text string")).collect()}
+    # ten parts each, one of them changed; then 3 parts, of which the first 2 are among the 10
+    assert rows[1].near_next == pytest.approx(1 - 2 / 20)
+    assert rows[2].near_next == pytest.approx(1 - 9 / 13)
+    assert [rows[i].fingerprint.split(":")[0] for i in (1, 2, 3)] == ["10", "10", "3"]
+
+
 def test_peeling_recovers_the_difference(spark):
     rng = random.Random(2)
     rows = []
