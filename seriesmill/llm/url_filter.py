@@ -17,9 +17,9 @@ execution splits hot sets. The number of rules is bounded by the relative suppor
 
 Defined results: a null URL, or one without `://`, has empty host and path and no tokens; it is
 allowed. Rows are judged one by one, repeated ids included. Without labels, or without rules that
-reach the limits, the method allows. At most `MINED_TOKENS` tokens of a labelled URL are mined, those
-most frequent among bad URLs, since combinations grow as powers of two; matching uses all. An empty
-table gives an empty result; other columns are ignored.
+reach the limits, the method allows. No token is left out of the counts of support and confidence;
+combinations of kinds of tokens (see `mine`) can grow as powers of two. An empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seriesmill.llm.common import named, written
 
@@ -41,7 +42,6 @@ RULES = (
 MIN_SUPPORT = 0.001
 MIN_ROWS = 8
 MIN_CONFIDENCE = 0.8
-MINED_TOKENS = 12
 BAD = "label:bad"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,37 +89,50 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(parts)))
 
 
-def mine(labelled: DataFrame, min_support: float, min_rows: int, min_confidence: float, mined_tokens: int) -> DataFrame:
-    """Rules (tokens, index_token) that block, from labelled rows (tokens, bad)."""
-    empty = labelled.sparkSession.createDataFrame([], "tokens array<string>, index_token string, confidence double")
-    labelled = written(labelled.where(F.size("tokens") > 0), "url-labelled")
+def mine(labelled: DataFrame, min_support: float, min_rows: int, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """Rules (kinds, index_kind, confidence) that block, from labelled rows (tokens, bad), and rows (token, kind).
+
+    Tokens that occur in the same labelled rows are one kind, by its first token. Kinds that are rules
+    alone are not mined, nor are those of all rows: with them a combination is no rule or holds a smaller one.
+    """
+    spark = labelled.sparkSession
+    nothing = spark.createDataFrame([], "kinds array<string>, index_kind string, confidence double")
+    no_kinds = spark.createDataFrame([], "token string, kind string")
+    labelled = written(labelled.where(F.size("tokens") > 0).withColumn("row", F.monotonically_increasing_id()), "url-labelled")
     rows = labelled.count()
     least = max(min_rows, int(-(-rows * min_support // 1)))
     if labelled.where("bad").count() < least:
-        return empty
+        return nothing, no_kinds
     exploded = labelled.withColumn("token", F.explode("tokens"))
-    counts = exploded.groupBy("token").agg(F.count_if("bad").alias("bad_rows"), F.count(F.lit(1)).alias("rows"))
-    counts = written(counts.where(F.col("bad_rows") >= least), "url-tokens")
-    numbered = labelled.withColumn("row", F.monotonically_increasing_id())
-    kept = numbered.withColumn("token", F.explode("tokens")).join(counts, "token")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("bad_rows")).alias("n"), "token"))), 1, mined_tokens)
-    baskets = kept.groupBy("row", "bad").agg(best["token"].alias("items"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "row")).alias(f"mark{seed}") for seed in (1, 2)]
+    counts = exploded.groupBy("token").agg(F.count_if("bad").alias("bad_rows"), F.count(F.lit(1)).alias("rows"), *marks)
+    counts = counts.where(F.col("bad_rows") >= least)
+    same = Window.partitionBy("rows", "bad_rows", "mark1", "mark2")
+    kinds = written(counts.withColumn("kind", F.min("token").over(same)).drop("mark1", "mark2"), "url-kinds")
+    each = kinds.where("token = kind").withColumn("confidence", F.col("bad_rows") / F.col("rows"))
+    rules = each.where(F.col("confidence") >= min_confidence).select(F.array("kind").alias("kinds"), "confidence")
+    rest = each.where((F.col("confidence") < min_confidence) & (F.col("rows") < rows)).select("token")
+    baskets = exploded.join(rest, "token").groupBy("row", "bad").agg(F.collect_list("token").alias("items"))
     baskets = baskets.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
-    # half a row less than `least`, so that rounding keeps combinations of exactly so many rows
-    found = FPGrowth(itemsCol="items", minSupport=min((least - 0.5) / rows, 1.0)).fit(baskets)
-    sets = found.freqItemsets.where(F.col("freq") >= least)
-    sets = written(sets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
-    bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1))
-    bad = bad.select(F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("bad_freq"))
-    rules = bad.join(sets, F.col("tokens") == F.col("items")).withColumn("confidence", F.col("bad_freq") / F.col("freq"))
-    rules = rules.where(F.col("confidence") >= min_confidence).select("tokens", "confidence")
-    rarest = rules.withColumn("token", F.explode("tokens")).join(counts, "token").groupBy("tokens", "confidence")
-    rules = written(rarest.agg(F.min(F.struct("rows", "token"))["token"].alias("index_token")), "url-rules")
-    # a rule with another rule inside adds nothing: that one is looked up by its own rarest token
-    inner = rules.select(F.col("tokens").alias("inner"), F.col("index_token").alias("inner_token"))
-    outer = rules.withColumn("inner_token", F.explode("tokens")).join(inner, "inner_token")
-    outer = outer.where((F.size("inner") < F.size("tokens")) & (F.size(F.array_except("inner", "tokens")) == 0))
-    return rules.join(outer.select("tokens").distinct(), "tokens", "left_anti")
+    baskets = written(baskets, "url-baskets")
+    n = baskets.count()
+    if n >= least:
+        # half a row less than `least`, so that rounding keeps combinations of exactly so many rows
+        found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(baskets)
+        sets = found.freqItemsets.where(F.col("freq") >= least)
+        sets = written(sets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
+        bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1))
+        bad = bad.select(F.array_remove("items", BAD).alias("kinds"), F.col("freq").alias("bad_freq"))
+        mined = bad.join(sets, F.col("kinds") == F.col("items")).withColumn("confidence", F.col("bad_freq") / F.col("freq"))
+        rules = rules.unionByName(mined.where(F.col("confidence") >= min_confidence).select("kinds", "confidence"))
+    sized = each.select(F.col("kind"), "rows")
+    rarest = rules.withColumn("kind", F.explode("kinds")).join(sized, "kind").groupBy("kinds", "confidence")
+    rules = written(rarest.agg(F.min(F.struct("rows", "kind"))["kind"].alias("index_kind")), "url-rules")
+    # a rule with another rule inside adds nothing: that one is looked up by its own rarest kind
+    inner = rules.select(F.col("kinds").alias("inner"), F.col("index_kind").alias("inner_kind"))
+    outer = rules.withColumn("inner_kind", F.explode("kinds")).join(inner, "inner_kind")
+    outer = outer.where((F.size("inner") < F.size("kinds")) & (F.size(F.array_except("inner", "kinds")) == 0))
+    return rules.join(outer.select("kinds").distinct(), "kinds", "left_anti"), kinds.select("token", "kind")
 
 
 def url_verdicts(
@@ -131,7 +144,6 @@ def url_verdicts(
     min_support: float = MIN_SUPPORT,
     min_rows: int = MIN_ROWS,
     min_confidence: float = MIN_CONFIDENCE,
-    mined_tokens: int = MINED_TOKENS,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, and the tokens of the mined rule that fits, if one does.
 
@@ -143,13 +155,18 @@ def url_verdicts(
     rows = rows.withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path")))
     rows = written(rows.select("page_id", "host", "path", "tokens"), "url-pages")
     known = labels.groupBy(F.col("page_id")).agg(F.max("bad").alias("bad"))
-    mined = mine(rows.join(known, "page_id").select("tokens", "bad"), min_support, min_rows, min_confidence, mined_tokens)
-    profiles = rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("rows"))
-    looked = profiles.withColumn("index_token", F.explode("tokens")).select("tokens", "index_token")
-    index = mined.select("index_token", F.col("tokens").alias("combination"), "confidence")
-    hits = looked.join(index, "index_token").where(F.size(F.array_except("combination", "tokens")) == 0)
-    best = F.min(F.struct((-F.col("confidence")).alias("far"), "combination"))["combination"]
-    hits = written(hits.groupBy("tokens").agg(best.alias("combination")), "url-hits")
+    labelled = rows.join(known, "page_id").select("tokens", "bad")
+    mined, kinds = mine(labelled, min_support, min_rows, min_confidence)
+    profiles = rows.select("tokens").distinct().withColumn("token", F.explode("tokens")).join(kinds, "token")
+    members = F.collect_list(F.struct("kind", "token")).alias("members")
+    profiles = profiles.groupBy("tokens").agg(F.collect_set("kind").alias("has"), members)
+    looked = profiles.withColumn("index_kind", F.explode("has"))
+    hits = looked.join(mined, "index_kind").where(F.size(F.array_except("kinds", "has")) == 0)
+    best = F.min(F.struct((-F.col("confidence")).alias("far"), "kinds"))["kinds"]
+    hits = hits.groupBy("tokens").agg(best.alias("kinds"), F.first("members").alias("members"))
+    # of each kind, the first token that the URL has
+    token = lambda kind: F.array_min(F.filter("members", lambda x: x["kind"] == kind))["token"]
+    hits = written(hits.select("tokens", F.array_sort(F.transform("kinds", token)).alias("combination")), "url-hits")
     judged = rows.join(hits, "tokens", "left")
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("combination").isNotNull(), "block").otherwise("allow")

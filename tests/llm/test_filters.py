@@ -82,6 +82,22 @@ def test_mined_rules_equal_counting(spark, frame):
             assert set(found[i].mined_rule.split()) in [set(c) for c in fits]
 
 
+def test_rules_of_urls_with_many_tokens(frame):
+    rng = random.Random(3)
+    rows = []
+    for i in range(260):
+        host = "spam" if i % 13 == 0 else "plain"
+        query = "utm_source=1&utm_medium=2&utm_campaign=3" if rng.random() < 0.5 else "id=1"
+        url = f"https://www.{host}.com/a/b/c/d/e/f/g/x.html?{query}"
+        rows.append((i, url, host == "spam" or i % 4 == 0))
+    # one of the tokens that are always together among labelled URLs is enough
+    rows += [(260, "http://spam.net/", None), (261, "https://www.plain.com/a/b/c/d/e/f/g/x.html?id=1", None)]
+    pages = frame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    labels = frame([(i, b) for i, _, b in rows if b is not None], "page_id long, bad boolean")
+    found = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages, labels, rules=()).collect()}
+    assert {i for i, v in found.items() if v == "block"} == {i for i, u, _ in rows if "spam" in u}
+
+
 def maximal(rows):
     """conv_id -> (turns, copies, chat) by comparing whole conversations."""
     logs = defaultdict(set)
