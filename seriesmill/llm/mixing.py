@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 Every source gets a share of all words by weight, at most `max_epochs` times its own words.
-Documents are dealt to shards by hash. In each shard the sources get whole blocks of
-`block_words` words, one after the other to the highest quotient target / (2 * blocks + 1).
-Within a shard, a source's documents lie in seeded order, cut into equal blocks; its quota
-takes all blocks as often as it goes, and the rest as a run of blocks that starts at a seeded
-block and goes on from the first after the last. So nearly all documents are taken whole.
+The sources get whole blocks of `block_words` words, one after the other to the highest quotient
+target / (2 * blocks + 1), over all documents. A source's documents lie in seeded order (by shard,
+to which they are dealt by hash, then by key), cut into equal blocks; its quota takes all blocks
+as often as it goes, and the rest as a run of blocks that starts at a seeded block and goes on
+from the first after the last. So nearly all documents are taken whole, and what a source gets
+does not depend on the number of shards: each takes the part of the run that lies in it.
 
 Scale: only (id, source, size) rows are shuffled, once, by (shard, source); a shard has about
 `shard_rows` rows, so a source with a third of all rows is many groups. Per-source figures are
@@ -113,30 +114,32 @@ def mix_sizes(
     targets = source_targets(
         groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs
     )
-    same = F.col("g.source").eqNullSafe(F.col("t.source"))
-    votes = groups.alias("g").join(targets.alias("t"), same).select("shard", "g.source", "words", *targets.columns[1:])
-    part = F.when(F.col("source_size") > 0, F.col("words") / F.col("source_size")).otherwise(0.0)
-    votes = votes.withColumn("votes", F.col("target") * part)
-    quotas = votes.join(apportion(votes.select("shard", "source_rank", "votes"), block_words), ["shard", "source_rank"])
-    blocks = F.greatest(F.round(F.col("words") / block_words).cast("long"), F.lit(1))
+    votes = targets.select(F.lit(0).alias("shard"), "source_rank", F.col("target").alias("votes"))
+    quotas = targets.join(apportion(votes, block_words), "source_rank")
+    blocks = F.greatest(F.round(F.col("source_size") / block_words).cast("long"), F.lit(1))
     quotas = quotas.withColumn("blocks", blocks)
     quotas = quotas.withColumn("quota", F.least("quota", F.col("blocks") * max_epochs))
-    name = F.concat_ws(":", F.lit(seed), F.col("shard").cast("string"), F.col("source_rank").cast("string"))
+    name = F.concat_ws(":", F.lit(seed), F.lit("0"), F.col("source_rank").cast("string"))
     quotas = quotas.withColumn("first", F.pmod(hex_number(F.md5(name)), F.col("blocks")))
     quotas = quotas.withColumn("epochs", F.expr("quota div blocks")).withColumn("end", F.expr("first + quota % blocks"))
-    edge = lambda block: F.expr(f"words * ({block}) div blocks")
+    # source_size * block div blocks, without the large product
+    edge = lambda block: F.expr(f"source_size div blocks * ({block}) + source_size % blocks * ({block}) div blocks")
     quotas = quotas.select(
-        "shard", "source", "source_size", "target", "epochs",
+        "source", "source_size", "target", "epochs",
         edge("first").alias("low"), edge("least(end, blocks)").alias("high"),
         edge("greatest(end - blocks, 0)").alias("wrapped"),
     )
+    up_to = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    placed = groups.select("shard", "source", (F.sum("words").over(up_to) - F.col("words")).alias("offset"))
+    same = F.col("g.source").eqNullSafe(F.col("t.source"))
+    quotas = placed.alias("g").join(quotas.alias("t"), same).select("shard", "g.source", "offset", *quotas.columns[1:])
     quotas = written(quotas, "mix-quotas")
     inside = Window.partitionBy("shard", "source").orderBy("order_key", "size", "row_id")
     end = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("start", end - F.col("size"))
     same = (F.col("r.shard") == F.col("q.shard")) & F.col("r.source").eqNullSafe(F.col("q.source"))
     joined = placed.alias("r").join(quotas.alias("q"), same).drop(F.col("q.shard"), F.col("q.source"))
-    start, size = F.col("start"), F.col("size")
+    start, size = F.col("offset") + F.col("start"), F.col("size")
     a = overlap(start, size, F.col("low"), F.col("high"))
     b = overlap(start, size, F.lit(0), F.col("wrapped"))
     a_from = F.greatest(F.col("low") - start, F.lit(0))

@@ -109,6 +109,14 @@ def test_mix_of_odd_rows(frame):
     assert all((r.size, r.taken, r.target) == (0, 0, 0) for r in empty)
 
 
+def test_short_texts_over_many_shards_get_their_target(frame):
+    docs = [(i, "short", "a b c d e") if i % 10 == 0 else (i, f"s{i % 2}", "word " * 40) for i in range(600)]
+    docs += [(i, "brief", "a b c d e f g h i j k") for i in range(600, 640)]
+    rows = mixing.mix(frame(docs, "doc_id long, source string, text string"), shard_rows=10).collect()
+    # the tolerance of one shard, for all 64 together
+    check_mix(rows, docs)
+
+
 def test_quotas_go_to_the_highest_quotients(spark):
     votes = [(s, i, float(v)) for s in range(3) for i, v in enumerate([1, 5, 17, 3000, 40, 41, 900 * s, 0])]
     found = mixing.apportion(spark.createDataFrame(votes, "shard long, source_rank int, votes double"), 10).collect()
