@@ -1,11 +1,12 @@
 """The same results as SQL for a second engine, where SQL can express them.
 
 Fingerprints (hash cells), token counts, importance and packing are tested against brute force.
+Main texts have SQL for the pages of the test tables, whose articles are all marked as such.
 """
 
 from __future__ import annotations
 
-from seriesmill.llm import chat, mixing, near_join, url_filter
+from seriesmill.llm import chat, fim, mixing, near_join, target_sampling, url_filter
 from seriesmill.llm.common import WORD
 
 UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
@@ -172,6 +173,79 @@ WITH usable AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+def _fill_in_middle() -> str:
+    marks = " OR ".join(f"contains(text, '{m}')" for m in (fim.PREFIX, fim.SUFFIX, fim.MIDDLE))
+    h = lambda group: f"('0x' || substr(digest, {8 * group + 1}, 8))::BIGINT"
+    return f"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+    sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents
+), cut AS (
+  SELECT *, len(units)::BIGINT AS n, least({h(0)} % (len(units) + 1), {h(1)} % (len(units) + 1)) AS low,
+    greatest({h(0)} % (len(units) + 1), {h(1)} % (len(units) + 1)) AS high,
+    CASE WHEN text = '' OR {marks} OR {h(2)} % 100 >= {fim.PERCENT} THEN 'plain'
+      WHEN {h(3)} % 100 < {fim.SUFFIX_FIRST_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM units
+), parts AS (
+  SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle,
+    array_to_string(units[high + 1:], '') AS suffix FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '{fim.PREFIX}' || prefix || '{fim.SUFFIX}' || suffix || '{fim.MIDDLE}' || middle
+    WHEN 'spm' THEN '{fim.SUFFIX}' || suffix || '{fim.PREFIX}' || prefix || '{fim.MIDDLE}' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts
+"""
+
+
+def _target_sampling() -> str:
+    """CRC-32 is put together from its table, once for each different word."""
+    n = target_sampling.BUCKETS
+    lower = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+    words = f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words"
+    return f"""
+WITH divided AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS crcs
+  FROM range(256) t(b)
+), docs AS (SELECT row_number() OVER () AS row, doc_id, {words} FROM documents
+), wanted AS (SELECT {words} FROM benchmark
+), doc_words AS (SELECT row, unnest(words) AS word FROM docs
+), wanted_words AS (SELECT unnest(words) AS word FROM wanted
+), vocabulary AS (
+  SELECT DISTINCT word, hex(encode(word)) AS digits FROM (SELECT word FROM doc_words UNION ALL SELECT word FROM wanted_words)
+), hashed AS (
+  SELECT word, xor(4294967295, list_reduce(list_transform(range(0, len(digits) // 2), lambda i: ('0x' || substr(digits, (2 * i + 1)::INT, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), 4294967295)) % {n} AS bucket FROM vocabulary, divided
+), s AS (SELECT bucket, count(*) AS s FROM doc_words JOIN hashed USING (word) GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS t FROM wanted_words JOIN hashed USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + {n})::DOUBLE
+    / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + {n})::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)
+), sums AS (SELECT row, sum(gain) AS gain FROM doc_words JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY row
+), scored AS (
+  SELECT docs.row, doc_id, len(words)::BIGINT AS n_features, coalesce(floor(gain / len(words)), 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('{target_sampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM docs LEFT JOIN sums USING (row)
+), noisy AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score, n_features >= {target_sampling.MIN_WORDS} AS open FROM scored
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY open ORDER BY score DESC, doc_id NULLS LAST, n_features, row) AS place, count(*) OVER (PARTITION BY open) AS among FROM noisy
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN open AND place <= among * {target_sampling.PERCENT} // 100 THEN place END AS rank FROM placed
+"""
+
+
+MAIN_TEXT = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_replace(coalesce(regexp_extract(html, '<article>(.*)</article>', 1, 's'), ''), '\s+', ' ', 'g') AS article FROM pages
+), blocks AS (
+  SELECT page_id, url, list_transform(string_split_regex(article, '</?(p|h1)>'), lambda x:
+    regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')) AS marked FROM articles
+), decoded AS (
+  SELECT page_id, url, list_filter(list_transform(marked, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
+    '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;|&#39;', '''', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM blocks
+)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10)))::BIGINT AS n_chars FROM decoded
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": _url_filter(),
     "op2_source_mix": _mix(),
@@ -179,4 +253,7 @@ ORACLES: dict[str, str] = {
     "op6_chat_snapshots": CHATS,
     "op8_warc_revisits": WARC,
     "op9_onebit_search": NEIGHBOURS,
+    "op11_fill_in_middle": _fill_in_middle(),
+    "op12_target_sampling": _target_sampling(),
+    "op13_main_text": MAIN_TEXT,
 }

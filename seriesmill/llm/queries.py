@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, chat, iblt, importance, mixing, near_join, onebit, packing, url_filter, warc
+from seriesmill.llm import bpe, chat, fim, iblt, importance, main_text, mixing, near_join, onebit, packing, target_sampling, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,10 +62,25 @@ def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    text = fim.restored(F.col("output"), F.col("form"))
+    return made.withColumn("restored_sha256", F.sha2(text, 256)).withColumn("output_sha256", F.sha2("output", 256)).drop("output")
+
+
+def op12_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_source_mix, op3_fingerprints, op4_token_counts, op5_near_join,
         op6_chat_snapshots, op7_importance, op8_warc_revisits, op9_onebit_search, op10_bin_packing,
+        op11_fill_in_middle, op12_target_sampling, op13_main_text,
     )
 }
