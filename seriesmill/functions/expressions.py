@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,14 @@ def floor_at_zero(value: Column) -> Column:
     return F.when(value < 0, F.lit(0.0)).otherwise(value)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where NULL is a key like any other; the keys come out once."""
+    other = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    renamed = right.select(*[c(n).alias(other.get(n, n)) for n in right.columns])
+    same = reduce(lambda a, b: a & b, [c(k).eqNullSafe(F.col(o)) for k, o in other.items()])
+    return left.join(renamed, same, how).drop(*other.values())
+
+
 def is_date(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.DateType)
 

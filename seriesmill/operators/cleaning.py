@@ -8,7 +8,7 @@ from datetime import date, datetime, time as clock, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.functions.expressions import c, finite, is_date, numeric_columns
+from seriesmill.functions.expressions import c, finite, is_date, join_on, numeric_columns
 from seriesmill.operators.layout import (
     CHUNK,
     KEYS,
@@ -111,7 +111,7 @@ def interpolate_linear(
     ).withColumns(
         {f"{points[n]}_r": F.last(points[n], ignorenulls=True).over(down_to) for n in names}
     )
-    joined = located.join(carried, [*keys, CHUNK])
+    joined = join_on(located, carried, [*keys, CHUNK])
 
     filled = {}
     for n in names:

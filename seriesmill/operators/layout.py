@@ -24,7 +24,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from seriesmill.functions.expressions import c
+from seriesmill.functions.expressions import c, join_on
 from seriesmill.sources.scratch import written
 
 KEYS = ("asset",)
@@ -80,7 +80,7 @@ def _positions(
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
         (F.sum("_n").over(series) - 1).alias("_last"),
     )
-    placed = rows.join(written(shifts, "shifts"), [*keys, _PART])
+    placed = join_on(rows, written(shifts, "shifts"), [*keys, _PART])
     kept = [c(n) for n in df.columns]
     return placed.select(*kept, (F.col(_ROW) + F.col("_shift")).alias(POS), "_last")
 
@@ -98,8 +98,8 @@ def in_chunks(
     """Add ``_pos``, ``_chunk`` and ``_owned`` to rows and their halo copies.
 
     A chunk owns ``rows_per_chunk`` successive rows. With a halo, they are preceded (followed) by
-    the ``before`` (``after``) rows of the series next to them. ``seq`` orders equal times. Keys
-    and times must not be NULL.
+    the ``before`` (``after``) rows of the series next to them. ``seq`` orders equal times. Rows
+    without a key are a series of their own; rows without a time stand first in theirs.
     """
     rows = _positions(df, list(keys), time, seq)
     size = int(rows_per_chunk)
@@ -124,7 +124,7 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> Da
     stay where they are; otherwise both sides are read and shuffled, and adaptive execution
     splits the rows of a hot key.
     """
-    return rows.join(written(per_key, "per-key"), list(keys))
+    return join_on(rows, written(per_key, "per-key"), list(keys))
 
 
 def over_series(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.config import TIERS
-from seriesmill.functions.expressions import c, floor_at_zero, ratio, require_columns
+from seriesmill.functions.expressions import c, floor_at_zero, join_on, ratio, require_columns
 from seriesmill.operators.layout import KEYS, TIME
 
 
@@ -66,7 +66,7 @@ def join_metrics(
     frames: Sequence[DataFrame], *, keys: Sequence[str] = KEYS, time: str = TIME
 ) -> DataFrame:
     """Inner join of frames on (keys, time); all joins share one partitioning."""
-    return reduce(lambda a, b: a.join(b, [*keys, time], "inner"), frames)
+    return reduce(lambda a, b: join_on(a, b, [*keys, time]), frames)
 
 
 def tier_columns() -> dict[str, Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.config import PERCENTS
-from seriesmill.functions.expressions import c, ratio, require_columns, volatility_band
+from seriesmill.functions.expressions import c, join_on, ratio, require_columns, volatility_band
 from seriesmill.operators.layout import KEYS, TIME, choose_layout, join_per_key
 from seriesmill.operators.reshape import melt
 
@@ -141,7 +141,7 @@ def volatility_regime(
     names = [percentile_name(p) for p in PERCENTS]
     rows = df.select(*keys, time, c(value))
     if choose_layout(layout) == "whole":
-        rows = rows.join(cuts, list(keys))
+        rows = join_on(rows, cuts, list(keys))
     else:
         rows = join_per_key(rows, cuts, keys)
     return rows.select(
@@ -152,7 +152,7 @@ def volatility_regime(
 def _attach(df: DataFrame, value: str, per_key: DataFrame, keys: list[str], whole: bool) -> DataFrame:
     """(keys, _v, figures) per present value; a whole series is small enough for a plain join."""
     rows = df.where(c(value).isNotNull()).select(*keys, c(value).cast("double").alias("_v"))
-    return rows.join(per_key, keys) if whole else join_per_key(rows, per_key, keys)
+    return join_on(rows, per_key, keys) if whole else join_per_key(rows, per_key, keys)
 
 
 def histogram_density(
@@ -188,7 +188,7 @@ def histogram_density(
     )
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     every_bin = F.sequence(F.lit(1), F.lit(bins)).cast("array<bigint>")
-    filled = range_.withColumn("bin", F.explode(every_bin)).join(counts, [*keys, "bin"], "left")
+    filled = join_on(range_.withColumn("bin", F.explode(every_bin)), counts, [*keys, "bin"], "left")
     count = F.coalesce(F.col("n"), F.lit(0))
     return filled.select(
         *keys,
@@ -278,7 +278,7 @@ def mean_median(
         )
     mean = df.groupBy(*keys).agg(F.avg(c(value)).alias("mean"))
     middle = ranked_percentiles(df, value, [0.5], keys=keys)
-    return mean.join(middle.withColumnRenamed(percentile_name(0.5), "median"), keys, "left")
+    return join_on(mean, middle.withColumnRenamed(percentile_name(0.5), "median"), keys, "left")
 
 
 def peak_trough(
@@ -417,7 +417,7 @@ def describe(
     else:
         ranks = ranked_percentiles(long, "value", probs, keys=by_metric)
         ranks = ranks.withColumnsRenamed(quartiles)
-        out = long.groupBy(*by_metric).agg(*basics).join(ranks, by_metric, "left")
+        out = join_on(long.groupBy(*by_metric).agg(*basics), ranks, by_metric, "left")
     return out.select(
         *by_metric, "count", "mean", "std", "min", *quartiles.values(), "max"
     )

@@ -12,7 +12,7 @@ from seriesmill.functions.expressions import present_columns
 from seriesmill.operators import indicators, quality, reshape, spans, stats, windows
 from seriesmill.operators.cleaning import clean, lookback
 from seriesmill.sources import results
-from seriesmill.sources.csv import file_status, read_metric_csvs
+from seriesmill.sources.csv import land_csvs, sound_rows
 from seriesmill.sources.scratch import written
 from seriesmill.sources.tables import write_table
 
@@ -30,11 +30,10 @@ def ingest(
     A file that cannot be read whole fails the run, or with ``on_error="skip"`` is left out; the
     status then says so.
     """
-    status = file_status(spark, csv_path)
-    raw = read_metric_csvs(spark, csv_path, on_error=on_error, status=status)
-    recent = lookback(raw, as_of, settings.lookback_days)
+    parsed, status = land_csvs(spark, csv_path)
+    recent = lookback(sound_rows(parsed, status, on_error), as_of, settings.lookback_days)
     write_table(clean(recent, seq="seq"), table_path)
-    return status
+    return status.drop("file_number", "line")
 
 
 def build_features(

@@ -1,0 +1,98 @@
+"""Rows without a key are a series like any other, in every layout."""
+
+import random
+
+import pytest
+from frames import days, listed, ticks
+from pyspark.sql import functions as F
+
+from seriesmill.operators import cleaning, indicators, quality, reshape, spans, stats, windows
+
+CHUNKED = {"layout": "chunked"}
+SMALL = {**CHUNKED, "chunk_rows": 60}
+WHOLE = {"layout": "whole"}
+
+
+def unkeyed(df):
+    """The hot series loses its key."""
+    return df.withColumn("asset", F.when(F.col("asset") != "hot", F.col("asset")))
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    df = ticks(spark, 3, 300).withColumn("seq", F.monotonically_increasing_id())
+    return spark.createDataFrame(unkeyed(df).collect(), "asset string, time timestamp_ntz, v double, seq long").repartition(4)
+
+
+WINDOWED = {
+    "moving_average": lambda df, **how: windows.moving_average(df, "v", (3, 6), seq="seq", **how),
+    "lag": lambda df, **how: windows.lag_feature(df, "v", 2, seq="seq", **how),
+    "return": lambda df, **how: windows.lag_return(df, "v", 2, seq="seq", **how),
+    "volatility": lambda df, **how: windows.return_and_volatility(df, "v", 1, 4, seq="seq", **how),
+    "delta": lambda df, **how: windows.rolling_delta(df, "v", 5, seq="seq", **how),
+    "difference": lambda df, **how: windows.first_difference(df, "v", seq="seq", **how),
+    "strict mean": lambda df, **how: windows.delta_strict_mean(df, "v", 3, 4, seq="seq", **how),
+    "change rate": lambda df, **how: windows.change_rate(df, "v", seq="seq", **how),
+    "sign": lambda df, **how: windows.delta_sign(df, "v", 1, seq="seq", **how),
+    "gaps": lambda df, **how: quality.gaps(df, 0.01, seq="seq", **how),
+    "flat runs": lambda df, **how: quality.flat_runs(df, ["v"], 2, seq="seq", **how),
+    "report": lambda df, **how: quality.quality_report(df, ["v"], 2, seq="seq", **how),
+}
+PER_KEY = {
+    "growth": lambda df, **how: windows.growth_from_base(df, ["v"], seq="seq", **how),
+    "percentiles": lambda df, **how: stats.percentiles(df, "v", **how),
+    "bands": lambda df, **how: stats.volatility_regime(df, "v", **how),
+    "histogram": lambda df, **how: stats.histogram_density(df, "v", 5, **how),
+    "density": lambda df, **how: stats.kde_grid(df, "v", 7, **how),
+    "mean and median": lambda df, **how: stats.mean_median(df, "v", **how),
+    "describe": lambda df, **how: stats.describe(df, ["v"], **how),
+    "segments": lambda df, **how: spans.regime_segments(df.withColumn("regime", F.when(F.col("v") > 4, "x")), seq="seq", **how),
+    "spans": lambda df, **how: spans.zone_spans(df.withColumn("zone", F.when(F.col("v") > 4, "x")), seq="seq", **how),
+}
+
+
+@pytest.mark.parametrize("name", [*WINDOWED, *PER_KEY])
+def test_layouts_agree(rows, name):
+    run = {**WINDOWED, **PER_KEY}[name]
+    whole = listed(run(rows, **WHOLE), 6)
+    assert listed(run(rows, **CHUNKED), 6) == whole
+    assert any(r[0] is None for r in whole)
+    if name in WINDOWED:
+        assert listed(run(rows, **SMALL), 6) == whole
+
+
+def test_no_row_is_lost(rows):
+    n = rows.count()
+    assert windows.moving_average(rows, "v", seq="seq").count() == n
+    assert stats.volatility_regime(rows, "v").count() == n
+    assert cleaning.interpolate_linear(rows, ["v"], seq="seq", chunk_rows=50).count() == n
+
+
+def test_interpolation_is_that_of_a_named_series(rows):
+    named = rows.withColumn("asset", F.coalesce("asset", F.lit("hot")))
+    fill = lambda df: cleaning.interpolate_linear(df, ["v"], seq="seq", chunk_rows=50)
+    ours = fill(rows).withColumn("asset", F.coalesce("asset", F.lit("hot")))
+    assert listed(ours) == listed(fill(named))
+
+
+def test_missing_times_stand_first(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "a"]), rng.choice([None, i]), float(i), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "asset string, time long, v double, seq long").repartition(3)
+    average = lambda **how: listed(windows.moving_average(df, "v", (4,), seq="seq", keep=("seq",), **how))
+    assert average(**WHOLE) == average(**SMALL) and len(average(**WHOLE)) == 200
+
+
+def test_joins_keep_them(spark):
+    a = days(spark, [1.0, 2.0]).withColumn("asset", F.lit(None).cast("string"))
+    b = a.select("asset", "time", (F.col("v") * 2).alias("u"))
+    joined = reshape.join_metrics([a, b])
+    assert joined.columns == ["asset", "time", "v", "u"] and joined.count() == 2
+
+
+def test_indicators_keep_them(spark):
+    names = [*indicators.SUPPLY_METRICS, indicators.WHALE_METRIC]
+    df = days(spark, [1.0, 2.0, 4.0]).withColumns({n: F.col("v") + i for i, n in enumerate(names)})
+    df = df.withColumn("asset", F.lit(None).cast("string"))
+    for how in (WHOLE, CHUNKED):
+        assert indicators.derived_indicators(df, **how).count() == 3
