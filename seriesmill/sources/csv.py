@@ -87,10 +87,15 @@ def _blocks(lines: DataFrame) -> DataFrame:
     )
 
 
-def _records(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+def _breaks(blocks: DataFrame) -> bool:
+    """Whether any record has a line break."""
+    return not blocks.where("broken and not unclosed").isEmpty()
+
+
+def _records(lines: DataFrame, blocks: DataFrame, breaks: bool) -> DataFrame:
     """(file, place, value, lines): records with their line breaks; place is that of the first line."""
     broken = blocks.where("broken and not unclosed").select("file", "block", "inside")
-    if broken.isEmpty():
+    if not breaks:
         return lines.select("file", "place", "value", F.lit(1).cast("long").alias("lines"))
     known = join_per_key(lines, blocks.select("file", "block", "broken", "unclosed"), ["file", "block"])
     plain = known.where("not broken or unclosed").select(
@@ -146,18 +151,19 @@ def inspect_files(
     nothing and is not listed.
     """
     lines = _lines(spark, path)
-    return _files(lines, _blocks(lines), time, asset_pattern)
+    blocks = _blocks(lines)
+    return _files(lines, blocks, _breaks(blocks), time, asset_pattern)
 
 
-def _files(lines: DataFrame, blocks: DataFrame, time: str, asset_pattern: str) -> DataFrame:
+def _files(lines: DataFrame, blocks: DataFrame, breaks: bool, time: str, asset_pattern: str) -> DataFrame:
     firsts = blocks.groupBy("file").agg(
         F.min("first").alias("first"), F.first("unclosed").alias("unclosed")
     ).where(F.col("first").isNotNull())
     odd = firsts.where(_odd(F.col("first.value")) & ~F.col("unclosed")).select("file")
     header = F.col("first.value")
-    if not odd.isEmpty():  # a name with a line break: its file's records are needed
+    if breaks and not odd.isEmpty():  # a name with a line break: its file's records are needed
         some = join_per_key(lines, odd, ["file"])
-        whole = _records(some, blocks.join(written(odd, "csv-odd"), "file", "left_semi"))
+        whole = _records(some, blocks.join(written(odd, "csv-odd"), "file", "left_semi"), breaks)
         whole = whole.where(_filled(F.col("value"))).groupBy("file").agg(F.min_by("value", "place").alias("_whole"))
         firsts = firsts.join(written(whole, "csv-headers"), "file", "left")
         header = F.coalesce("_whole", header)
@@ -195,7 +201,8 @@ def land_csvs(
     """
     lines = _lines(spark, path)
     blocks = _blocks(lines)
-    files = _files(lines, blocks, time, asset_pattern)
+    breaks = _breaks(blocks)
+    files = _files(lines, blocks, breaks, time, asset_pattern)
     good = files.where("detail = ''")
     # The columns of the result; their number does not grow with that of files or headers.
     names = good.select(F.explode("names").alias("n")).distinct().collect()
@@ -205,7 +212,7 @@ def land_csvs(
     dictionary = good.select(
         "file", "file_number", "asset", "header_place", F.size("names").alias("_width"), places.alias("_places")
     )
-    records = join_per_key(_records(lines, blocks), dictionary, ["file"])
+    records = join_per_key(_records(lines, blocks, breaks), dictionary, ["file"])
     records = records.where((F.col("place") != F.col("header_place")) & (_filled(F.col("value")) | (F.col("lines") > MOST_LINES)))
     fields = F.transform(
         F.array(fields_of(F.col("value"))),
