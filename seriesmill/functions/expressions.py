@@ -36,7 +36,8 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     other = {k: f"_right_{i}" for i, k in enumerate(keys)}
     renamed = right.select(*[c(n).alias(other.get(n, n)) for n in right.columns])
     same = reduce(lambda a, b: a & b, [c(k).eqNullSafe(F.col(o)) for k, o in other.items()])
-    return left.join(renamed, same, how).drop(*other.values())
+    joined = left.join(renamed, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*other.values())
 
 
 def is_date(df: DataFrame, name: str) -> bool:

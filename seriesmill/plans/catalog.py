@@ -14,7 +14,7 @@ from seriesmill.config import CORRELATION_METRICS, INDICATORS, TIERS, Settings
 from seriesmill.functions.expressions import c, mvrv_zone
 from seriesmill.operators import cleaning, indicators, quality, reshape, spans, stats, windows
 from seriesmill.operators.reshape import melt
-from seriesmill.sources import csv, results, tables
+from seriesmill.sources import csv, results, tables, versions
 from seriesmill.sources.scratch import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,43 @@ def sink_table(spark, sf_dir):
     return tables.read_table(spark, path, rows.schema)
 
 
+@query("csv_line_breaks")
+def csv_line_breaks(spark, sf_dir):
+    """Files with a text column whose quoted cells hold line breaks, quotes and blank lines."""
+    rows = daily(spark, sf_dir, "PriceUSD")
+    day = F.date_format("time", "yyyy-MM-dd")
+    note = F.concat(F.col("asset"), F.lit('\n\n"'), day, F.lit('", noted'))
+    rows = rows.withColumn("Note", F.when(F.dayofmonth("time") % 3 > 0, note))
+    path = scratch_path(spark, "csv")
+    rows.repartition("asset").write.partitionBy("asset").option("header", True).option("escape", '"').csv(path)
+    return csv.read_metric_csvs(spark, path, asset_pattern=csv.FOLDER_NAME, text_columns=("Note",)).drop("seq")
+
+
+def _two_versions(spark, sf_dir):
+    """All assets, then one corrected and one that failed to load."""
+    rows = daily(spark, sf_dir, "TxCnt")
+    path = scratch_path(spark, "versions")
+    versions.replace(rows, path)
+    urgent = rows.where(F.col("asset") == "1-URGENT").withColumn("TxCnt", F.col("TxCnt") + 1)
+    status = spark.createDataFrame([("1-URGENT", "ok", ""), ("2-HIGH", "skipped", "no such number")], "asset string, status string, detail string")
+    versions.replace(urgent, path, status)
+    return path
+
+
+@query("table_versions")
+def table_versions(spark, sf_dir):
+    path = _two_versions(spark, sf_dir)
+    now, before = versions.read_version(spark, path), versions.read_version(spark, path, 1)
+    return now.withColumn("version", F.lit(2)).unionByName(before.withColumn("version", F.lit(1)))
+
+
+@query("load_status")
+def load_status(spark, sf_dir):
+    """What each version did with each asset."""
+    rows = versions.history(spark, _two_versions(spark, sf_dir))
+    return rows.select("version", "asset", "status", "detail", "n_rows", "first_time", "last_time")
+
+
 @query("sink_csv")
 def sink_csv(spark, sf_dir):
     settings = Settings(delta_metrics=("PriceUSD", "AdrActCnt"))

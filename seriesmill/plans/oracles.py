@@ -337,6 +337,18 @@ add("lookback_filter", BASE, "SELECT * FROM base WHERE time >= DATE '2001-08-01'
 add("sink_table", BASE,
     """SELECT asset, time, "PriceUSD", CASE WHEN asset = '1-URGENT' THEN "TxCnt" + 1 ELSE "TxCnt" END AS "TxCnt" FROM base""",
     KEY, ("PriceUSD", "TxCnt"))
+add("csv_line_breaks", BASE,
+    """SELECT *, CASE WHEN day(time) % 3 > 0 THEN asset || chr(10) || chr(10) || '"' || strftime(time, '%Y-%m-%d') || '", noted' END AS "Note" FROM base""",
+    (*KEY, "Note"), ("PriceUSD",))
+add("table_versions", BASE, """SELECT asset, time, 1 AS version, "TxCnt" FROM base UNION ALL
+    SELECT asset, time, 2 AS version, CASE WHEN asset = '1-URGENT' THEN "TxCnt" + 1 ELSE "TxCnt" END AS "TxCnt" FROM base""",
+    KEY, ("TxCnt",), ("version",))
+add("load_status", BASE, """SELECT asset, 1 AS version, 'loaded' AS status, '' AS detail, COUNT(*) AS n_rows, MIN(time) AS first_time, MAX(time) AS last_time
+    FROM base GROUP BY asset UNION ALL
+    SELECT asset, 2, CASE WHEN asset = '1-URGENT' THEN 'loaded' ELSE 'kept' END, CASE WHEN asset = '1-URGENT' THEN '' ELSE 'no such number' END,
+      CASE WHEN asset = '1-URGENT' THEN COUNT(*) END, CASE WHEN asset = '1-URGENT' THEN MIN(time) END, CASE WHEN asset = '1-URGENT' THEN MAX(time) END
+    FROM base WHERE asset IN ('1-URGENT', '2-HIGH') GROUP BY asset""",
+    ("asset", "status", "detail", "first_time", "last_time"), whole=("version", "n_rows"))
 
 
 def long_delta(metrics: Sequence[str]) -> str:

@@ -6,12 +6,13 @@ from dataclasses import replace
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seriesmill.config import CORRELATION_METRICS, INDICATORS, Settings
 from seriesmill.functions.expressions import present_columns
 from seriesmill.operators import indicators, quality, reshape, spans, stats, windows
 from seriesmill.operators.cleaning import clean, lookback
-from seriesmill.sources import results
+from seriesmill.sources import results, versions
 from seriesmill.sources.csv import land_csvs, sound_rows
 from seriesmill.sources.scratch import written
 from seriesmill.sources.tables import write_table
@@ -36,6 +37,26 @@ def ingest(
     return status.drop("file_number", "line")
 
 
+def ingest_version(
+    spark: SparkSession,
+    csv_path: str,
+    table_path: str,
+    as_of: date | datetime,
+    settings: Settings = Settings(),
+) -> DataFrame:
+    """Files -> lookback -> cleaning -> the next version of the stored table; gives its ledger.
+
+    All assets switch at once. An asset with a file that cannot be read whole keeps its stored
+    rows, and the ledger says why.
+    """
+    parsed, status = land_csvs(spark, csv_path)
+    sound = sound_rows(parsed, status, "skip")
+    broken = status.where("status <> 'ok' and asset <> ''").select("asset")
+    rows = clean(lookback(sound.join(broken, "asset", "left_anti"), as_of, settings.lookback_days), seq="seq")
+    version = versions.replace(rows, table_path, status.where("asset <> ''").select("asset", "status", "detail"))
+    return versions.history(spark, table_path).where(F.col("version") == version)
+
+
 def build_features(
     table: DataFrame,
     path: str,
