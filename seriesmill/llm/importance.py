@@ -2,10 +2,13 @@
 
 Two generative models, bags of hashed words and word pairs, are counted: the target model over
 labelled good texts, the raw model over all texts. The importance of a document is the log ratio
-of its probabilities under the two. Documents are then sampled without replacement by Gumbel
-top-k: those with the k largest sums of importance and Gumbel noise, which comes from a seeded
-hash of the id. k is the number of documents at or above a cut, which separates good from bad
-best on labelled documents that the target model has not seen.
+of its probabilities under the two. How many documents are kept, k, is fixed first: as many as have
+an importance at or above a cut, which separates good from bad best on labelled documents that the
+target model has not seen. Then they are sampled without replacement by Gumbel top-k: a document's
+key is its importance plus Gumbel noise from a seeded hash of its id, in millionths; the k-th
+largest key of all is found by an exact distributed sort of the keys, and the documents with the
+k largest ones are kept. Equal keys go to the smaller id, null last; rows with one id and one key
+are kept or not together.
 
 Words are lower-cased runs of letters or of marks; a repeated word is the same pair whatever the
 word. The target model is smoothed towards the raw one, so few labels give small ratios.
@@ -13,7 +16,7 @@ word. The target model is smoothed towards the raw one, so few labels give small
 Scale: each task combines its counts to `BUCKETS` numbers per model before the only shuffle. At
 most `LABELLED_ROWS` labelled rows (by hash of the id) are used, half of them for the target model
 and half for the cut; that table is bounded, so it is broadcast. Scoring is a scan. Only (id,
-importance) rows are written, and no task sees all of them.
+importance) rows are written and sorted by sampled ranges; no task sees all of them.
 
 Defined results: null and empty texts have importance 0; documents with null id are scored like
 others and never labelled; repeated ids have the same noise; of several labels of an id the lowest
@@ -32,10 +35,12 @@ from pyspark.sql import functions as F
 
 from seriesmill.llm.common import free_names, named, written
 from seriesmill.llm.hashing import batches_of, sequence_hashes, word_hashes
+from seriesmill.llm.target_sampling import ranked
 
 BUCKETS = 4096
 SMOOTHING = 4 * BUCKETS
 LABELLED_ROWS = 20_000
+KEY_PARTS = 1_000_000
 SEED = 11
 
 
@@ -118,7 +123,7 @@ def best_cut(keys: np.ndarray, good: np.ndarray) -> float:
 
 
 class Resampler:
-    """A fitted model: log ratios per bucket and the cut on noisy importance."""
+    """A fitted model: log ratios per bucket and the cut on importance that k is counted by."""
 
     def __init__(self, ratios: np.ndarray, cut: float, seed: int):
         self.ratios, self.cut, self.seed = ratios, cut, seed
@@ -127,7 +132,30 @@ class Resampler:
         return importance_of(text, self.ratios)
 
     def key(self, importance: Column, doc_id: Column) -> Column:
-        return importance + gumbel_noise(doc_id, self.seed)
+        return F.floor((importance + gumbel_noise(doc_id, self.seed)) * KEY_PARTS).cast("long")
+
+    def order(self, importance: Column, doc_id: Column) -> dict[str, Column]:
+        """Columns in whose order the largest keys come first."""
+        return {"low": -self.key(importance, doc_id), "no_id": doc_id.isNull().cast("long"), "id": F.coalesce(doc_id.cast("long"), F.lit(0))}
+
+
+def last_kept(scored: DataFrame, model: Resampler) -> tuple[int, ...] | None:
+    """The order columns of the k-th document of a written table (doc_id, importance); none if k is 0."""
+    k = scored.where(F.col("importance") >= F.lit(model.cut)).count()
+    order = model.order(F.col("importance"), F.col("doc_id"))
+    places = ranked(scored.select(*[x.alias(n) for n, x in order.items()]), list(order))
+    row = places.where(F.col("rank") == k).first()
+    return None if row is None else tuple(row[n] for n in order)
+
+
+def is_kept(order: dict[str, Column], last: tuple[int, ...] | None) -> Column:
+    """Whether a row stands at or before the last kept one."""
+    if last is None:
+        return F.lit(False)
+    kept = F.lit(True)
+    for column, value in reversed(list(zip(order.values(), last, strict=True))):
+        kept = (column < value) | ((column == value) & kept)
+    return kept
 
 
 def fit(
@@ -148,23 +176,30 @@ def fit(
     ratios = log_ratios(*model_counts(known.select("text", target.alias("target")), buckets), smoothing)
     model = Resampler(ratios, -np.inf, seed)
     tested = rows.join(sample.where("held_out"), F.col("doc_id") == F.col("label_id"))
-    key = model.key(model.importance(F.col("text")), F.col("doc_id"))
-    held = tested.select("doc_id", "good", key.alias("key")).groupBy("doc_id", "good").agg(F.min("key").alias("key")).toPandas()
-    model.cut = best_cut(held["key"].to_numpy(float), held["good"].to_numpy(bool))
+    held = tested.select("doc_id", "good", model.importance(F.col("text")).alias("importance"))
+    held = held.groupBy("doc_id", "good").agg(F.min("importance").alias("importance")).toPandas()
+    model.cut = best_cut(held["importance"].to_numpy(float), held["good"].to_numpy(bool))
     return model
 
 
+def scores(docs: DataFrame, model: Resampler, id_col: str, text_col: str) -> DataFrame:
+    """A written table (doc_id, importance)."""
+    scored = docs.select(named(id_col).alias("doc_id"), model.importance(named(text_col)).alias("importance"))
+    return written(scored, "importance-scores")
+
+
 def importance(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """One row per document: doc_id, importance, sample_key and whether the sample has it."""
     model = fit(docs, labels, id_col, text_col, **options)
-    scored = docs.select(named(id_col).alias("doc_id"), model.importance(named(text_col)).alias("importance"))
-    keyed = scored.withColumn("sample_key", model.key(F.col("importance"), F.col("doc_id")))
-    return keyed.withColumn("kept", F.col("sample_key") >= F.lit(model.cut))
+    scored = scores(docs, model, id_col, text_col)
+    kept = is_kept(model.order(F.col("importance"), F.col("doc_id")), last_kept(scored, model))
+    return scored.select("*", model.key(F.col("importance"), F.col("doc_id")).alias("sample_key"), kept.alias("kept"))
 
 
 def resampled(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """The documents in the sample, with all their columns."""
     model = fit(docs, labels, id_col, text_col, **options)
+    last = last_kept(scores(docs, model, id_col, text_col), model)
     (score,) = free_names(docs, "importance")
     scored = docs.withColumn(score, model.importance(named(text_col)))
-    return scored.where(model.key(F.col(score), named(id_col)) >= F.lit(model.cut)).drop(score)
+    return scored.where(is_kept(model.order(F.col(score), named(id_col)), last)).drop(score)

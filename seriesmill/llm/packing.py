@@ -2,11 +2,14 @@
 
 Documents longer than the longest permitted sequence are cut into pieces. Pieces are dealt to
 shards of about `shard_pieces` rows. In each shard, pieces are placed longest first, each into
-the open bin it leaves the least room in; where none has room, a bin opens. Which size opens is
-optimised jointly over all permitted lengths: for every length, the shard is packed with bins of
-that length (longer pieces open the smallest that holds them), each bin is then downsized to the
-smallest permitted length that holds its contents, and the cheapest of these packings is kept.
-A bin costs its length plus `overhead`, so padding and many small bins both count.
+the open bin it leaves the least room in; where none has room, a bin opens. Its length is chosen jointly
+with what is still to be packed: for each permitted length that holds the piece, the room left is
+filled in thought with the longest remaining pieces that fit, and the length opens whose bin, once
+downsized to these contents, costs least for each word in it. A bin costs its length plus
+`overhead`, so padding and many small bins both count. In the end every bin is downsized to the
+smallest permitted length that holds its contents. Packings of the shard that open bins of one
+length only (longer pieces open the smallest that holds them) are competitors, and the cheapest
+packing is kept, so none of them is ever cheaper.
 
 Scale: one pass counts words and writes (id, size) rows, one shuffle deals small rows to shards
 of bounded size, whatever the ids; shards are packed independently.
@@ -18,7 +21,9 @@ row; other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,8 +41,45 @@ SCHEMA = (
 )
 
 
-def best_fit(sizes: list[int], open_length: int, lengths: tuple[int, ...]) -> tuple[list[int], list[int]]:
-    """The bin of each piece and the words in each bin, for pieces in the order given."""
+class Remaining:
+    """How many pieces of each size are still to be placed."""
+
+    def __init__(self, sizes: list[int]):
+        self.counts = Counter(sizes)
+        self.sizes = sorted(self.counts)
+
+    def take(self, size: int) -> None:
+        self.counts[size] -= 1
+        if not self.counts[size]:
+            self.sizes.pop(bisect_left(self.sizes, size))
+
+    def fill(self, room: int) -> int:
+        """Words that the longest pieces which fit, one after the other, put into the room."""
+        left, at = room, len(self.sizes)
+        while left and at:
+            at = bisect_right(self.sizes, left, 0, at)
+            if at:
+                at -= 1
+                left -= self.sizes[at] * min(self.counts[self.sizes[at]], left // self.sizes[at])
+        return room - left
+
+
+def joint_length(size: int, remaining: Remaining, lengths: tuple[int, ...], overhead: int) -> int:
+    """The length to open for a piece: least cost a word with what may still go in; of equal ones, the longest."""
+    best = None
+    for length in reversed(lengths[bisect_left(lengths, size) :]):
+        used = size + remaining.fill(length - size)
+        cost = (fitted(used, lengths) + overhead) / used
+        if best is None or cost < best[0]:
+            best = cost, length
+    return best[1]
+
+
+def best_fit(sizes: Iterable[int], length_of: Callable[[int], int]) -> tuple[list[int], list[int]]:
+    """The bin of each piece and the words in each bin, for pieces in the order given.
+
+    `length_of` is asked for each piece that no open bin has room for.
+    """
     rooms: list[int] = []  # rooms that open bins have, sorted
     bins_with: dict[int, list[int]] = {}
     bin_of, used = [], []
@@ -54,7 +96,7 @@ def best_fit(sizes: list[int], open_length: int, lengths: tuple[int, ...]) -> tu
         else:
             number = len(used)
             used.append(size)
-            room = max(open_length, lengths[bisect_left(lengths, size)]) - size
+            room = length_of(size) - size
         if room:
             if room not in bins_with:
                 bins_with[room] = []
@@ -64,19 +106,30 @@ def best_fit(sizes: list[int], open_length: int, lengths: tuple[int, ...]) -> tu
     return bin_of, used
 
 
+def joint_fit(sizes: list[int], lengths: tuple[int, ...], overhead: int) -> tuple[list[int], list[int]]:
+    """Best fit in which every opening chooses among the lengths."""
+    remaining = Remaining(sizes)
+
+    def pieces():
+        for size in sizes:
+            remaining.take(size)
+            yield size
+
+    return best_fit(pieces(), lambda size: joint_length(size, remaining, lengths, overhead))
+
+
+def uniform_fit(sizes: list[int], length: int, lengths: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    return best_fit(sizes, lambda size: max(length, fitted(size, lengths)))
+
+
 def fitted(used: int, lengths: tuple[int, ...]) -> int:
     return lengths[bisect_left(lengths, used)]
 
 
 def pack_pieces(sizes: list[int], lengths: tuple[int, ...], overhead: int) -> tuple[list[int], list[int]]:
-    """The cheapest packing over all lengths to open bins with; of equal ones, the longest bins."""
-    best = None
-    for open_length in sorted(lengths, reverse=True):
-        bin_of, used = best_fit(sizes, open_length, lengths)
-        cost = sum(fitted(x, lengths) + overhead for x in used)
-        if best is None or cost < best[0]:
-            best = cost, bin_of, used
-    return best[1], best[2]
+    """The cheaper of the joint packing and those with one length to open; of equal ones, the joint one."""
+    packings = [joint_fit(sizes, lengths, overhead), *[uniform_fit(sizes, x, lengths) for x in sorted(lengths, reverse=True)]]
+    return min(packings, key=lambda packing: sum(fitted(x, lengths) + overhead for x in packing[1]))
 
 
 def pack_sizes(sizes: DataFrame, lengths=LENGTHS, overhead: int = OVERHEAD, shard_pieces: int = SHARD_PIECES) -> DataFrame:
