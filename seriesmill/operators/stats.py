@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from seriesmill.config import PERCENTS
 from seriesmill.functions.expressions import c, join_on, ratio, require_columns, volatility_band
 from seriesmill.operators.layout import KEYS, TIME, choose_layout, join_per_key
+from seriesmill.operators.moments import pair_correlations
 from seriesmill.operators.reshape import melt
 
 
@@ -312,36 +313,51 @@ def ols_fit(df: DataFrame, x: str, y: str, *, keys: Sequence[str] = KEYS) -> Dat
     )
 
 
+# Up to this many metrics all pairs are built-in aggregates of one pass; more are matrix products.
+_FEW_METRICS = 10
+
+
 def _pair_correlations(
-    df: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str]
+    df: DataFrame, metrics: Sequence[str], keys: Sequence[str], diagonal: bool = False
 ) -> DataFrame:
-    """(pair, a, b, corr) over rows where both are present.
+    """(pair, a, b, corr) over rows where both are present, for all pairs of the metrics.
 
-    Each row is laid out as its metric pairs where it is read; the moments of a pair are
-    combined before the shuffle, which moves one row per task, key and pair. A metric that
-    is constant over the shared rows has no correlation.
+    Rows are never laid out as pairs: the moments of all pairs are combined in one aggregate, in
+    the tasks that read the rows. A metric that is constant over the shared rows has no correlation.
     """
-    require_columns(df, list(dict.fromkeys(m for pair in pairs for m in pair)))
+    require_columns(df, metrics)
+    choose = combinations_with_replacement if diagonal else combinations
+    pairs = list(choose(range(len(metrics)), 2))
+    if len(metrics) > _FEW_METRICS:
+        found = pair_correlations(df, metrics, keys)
+        found = found if diagonal else found.where("i < j")
+        names = F.array(*map(F.lit, metrics))
+        return found.select(*keys, _pair_number(len(metrics), diagonal).alias("pair"), names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "corr")
+    columns = [c(m).cast("double") for m in metrics]
+
+    def moment(i: int, j: int) -> Column:
+        both = columns[i].isNotNull() & columns[j].isNotNull()
+        x, y = F.when(both, columns[i]), F.when(both, columns[j])
+        # merged partial deviations of a constant are not exactly zero
+        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        return F.when(varies, ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+    found = df.groupBy(*keys).agg(*[moment(*pair).alias(f"_r{n}") for n, pair in enumerate(pairs)])
     entries = F.array(
         *[
-            F.struct(
-                F.lit(i).alias("pair"),
-                c(a).cast("double").alias("_x"),
-                c(b).cast("double").alias("_y"),
-            )
-            for i, (a, b) in enumerate(pairs)
+            F.struct(F.lit(n).alias("pair"), F.lit(metrics[i]).alias("a"), F.lit(metrics[j]).alias("b"), F.col(f"_r{n}").alias("corr"))
+            for n, (i, j) in enumerate(pairs)
         ]
     )
-    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
-    x, y = F.when(both, F.col("_x")), F.when(both, F.col("_y"))
-    moments = (
-        df.select(*keys, F.inline(entries))
-        .groupBy(*keys, "pair")
-        .agg(ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("corr"))
-    )
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    named = moments.withColumn("_names", F.element_at(names, F.col("pair") + 1))
-    return named.select(*keys, "pair", "_names.a", "_names.b", "corr")
+    return found.select(*keys, F.inline(entries))
+
+
+def _pair_number(count: int, diagonal: bool) -> Column:
+    """The place of (i, j) among all pairs in order."""
+    i, j = F.col("i"), F.col("j")
+    if diagonal:
+        return (i * count - F.expr("i * (i - 1) div 2") + j - i).cast("int")
+    return (i * (count - 1) - F.expr("i * (i - 1) div 2") + j - i - 1).cast("int")
 
 
 def correlation_matrix(
@@ -350,15 +366,14 @@ def correlation_matrix(
     """Upper triangle of the pairwise-complete Pearson matrix as (pair, a, b, corr) rows."""
     if len(metrics) < 2:
         raise ValueError("a correlation needs at least two metrics")
-    return _pair_correlations(df, list(combinations(metrics, 2)), keys)
+    return _pair_correlations(df, list(metrics), keys)
 
 
 def correlation_full(
     df: DataFrame, metrics: Sequence[str], *, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """The whole square matrix as (a, b, corr) rows, diagonal included."""
-    pairs = list(combinations_with_replacement(metrics, 2))
-    upper = _pair_correlations(df, pairs, keys)
+    upper = _pair_correlations(df, list(metrics), keys, diagonal=True)
     same = c("a") == c("b")
     # A metric against itself is exactly 1, whatever rounding made of it.
     r = F.when(same & c("corr").isNotNull(), F.lit(1.0)).otherwise(c("corr"))

@@ -1,0 +1,95 @@
+"""Correlations of few and many metrics against numpy, pair by pair."""
+
+import numpy as np
+import pytest
+
+from seriesmill.operators import moments, stats
+
+
+def table(spark, values, names, keys=("a", None)):
+    rows = [(keys[i % len(keys)], *[None if np.isnan(x) else float(x) for x in row]) for i, row in enumerate(values)]
+    schema = "asset string, " + ", ".join(f"`{n}` double" for n in names)
+    return spark.createDataFrame(rows, schema).repartition(5)
+
+
+def plainly(x, y):
+    both = ~np.isnan(x) & ~np.isnan(y)
+    x, y = x[both], y[both]
+    if len(x) == 0 or x.min() == x.max() or y.min() == y.max():
+        return None
+    return float(np.corrcoef(x, y)[0, 1])
+
+
+def values(rng, rows, count):
+    x = rng.normal(size=(rows, count)) @ rng.normal(size=(count, count)) + 1e6 * rng.normal(size=count)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 0] = 0.1  # constant
+    x[:, 1] = np.where(np.arange(rows) % 4 < 2, 0.3, rng.normal(size=rows))
+    x[:, 2] = np.where(np.arange(rows) % 4 < 2, x[:, 2], np.nan)  # shares rows with a constant stretch of metric 1
+    x[:, 3] = np.nan
+    return x
+
+
+@pytest.mark.parametrize("count", [6, 12, 100])
+def test_all_pairs(spark, count):
+    rng = np.random.default_rng(count)
+    x = values(rng, 400, count)
+    names = [f"m.{i}" for i in range(count)]
+    for size in ("10000", "37"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found = {(r.asset, r.a, r.b): r.corr for r in stats.correlation_matrix(table(spark, x, names), names).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(found) == 2 * count * (count - 1) // 2
+        for k, key in enumerate(("a", None)):
+            for i in range(count):
+                for j in range(i + 1, count):
+                    want = plainly(x[k::2, i], x[k::2, j])
+                    got = found[key, names[i], names[j]]
+                    assert (got is None) == (want is None) and (want is None or abs(got - want) < 1e-7), (i, j, got, want)
+
+
+def test_numbers_of_pairs_and_the_square(spark):
+    rng = np.random.default_rng(2)
+    x = values(rng, 60, 12)
+    names = [f"m{i}" for i in range(12)]
+    rows = stats.correlation_matrix(table(spark, x, names, ("a",)), names).collect()
+    assert [(r.a, r.b) for r in sorted(rows, key=lambda r: r.pair)] == [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    square = {(r.a, r.b): r.corr for r in stats.correlation_full(table(spark, x, names, ("a",)), names).collect()}
+    assert len(square) == 144 and square["m5", "m5"] == 1.0 and square["m0", "m0"] is None and square["m4", "m6"] == square["m6", "m4"]
+    assert len(stats.top_correlations(table(spark, x, names, ("a",)), names).collect()) == 10
+
+
+def test_few_and_many_metrics_agree(spark, monkeypatch):
+    x = values(np.random.default_rng(5), 300, 8)
+    names = [f"m{i}" for i in range(8)]
+    df = table(spark, x, names)
+    listed = lambda: sorted((r.pair, str(r.asset), None if r.corr is None else round(r.corr, 9)) for r in stats.correlation_matrix(df, names).collect())
+    few = listed()
+    monkeypatch.setattr(stats, "_FEW_METRICS", 3)
+    assert listed() == few
+    monkeypatch.setattr(moments, "HELD_NUMBERS", 1)
+    assert listed() == few
+
+
+@pytest.mark.parametrize("count", [6, 30])
+def test_rows_are_not_laid_out_as_pairs(spark, count):
+    names = [f"m{i}" for i in range(count)]
+    df = table(spark, np.ones((4, count)), names)
+    plan = stats.correlation_matrix(df, names)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[max(plan.find("Aggregate"), plan.find("MapInPandas")) :]
+    assert "Generate" not in below and "explode" not in below
+
+
+def test_shifted_batches_merge():
+    rng = np.random.default_rng(0)
+    x = values(rng, 90, 5)
+    whole = moments.Moments.of(x)
+    parts = moments.Moments.of(x[:10]).add(moments.Moments.of(x[10:50])).add(moments.Moments.of(x[50:]))
+    for field in ("n", "square", "cross", "low", "high"):
+        assert np.allclose(getattr(whole, field), getattr(parts, field), rtol=1e-9, atol=1e-6)
+    assert whole.square[0, 0] == parts.square[0, 0] == 0 or (parts.low[0] == parts.high[0]).any()
+
+
+def test_no_rows(spark):
+    names = [f"m{i}" for i in range(12)]
+    assert stats.correlation_matrix(table(spark, np.ones((0, 12)), names), names).collect() == []
