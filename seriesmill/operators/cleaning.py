@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import date, datetime, time as clock, timedelta
 
 from pyspark.sql import DataFrame, Window
@@ -14,7 +15,10 @@ from seriesmill.operators.layout import (
     KEYS,
     POS,
     SUMMARY_CHUNK_ROWS,
+    LAST,
     TIME,
+    Ordered,
+    over_series,
     with_position,
 )
 
@@ -123,7 +127,10 @@ def interpolate_linear(
         filled[n] = F.coalesce(
             c(n), left["v"] + (right["v"] - left["v"]) * share, left["v"], right["v"]
         )
-    return joined.select(*[filled[n].alias(n) if n in filled else c(n) for n in df.columns])
+    names = [filled[n].alias(n) if n in filled else c(n) for n in df.columns]
+    if isinstance(df, Ordered):
+        return replace(df, rows=joined.select(*names, POS, LAST))
+    return joined.select(*names)
 
 
 def dedup_keep_last(
@@ -133,6 +140,13 @@ def dedup_keep_last(
 
     Spark limits each time to one row before the shuffle as well, so copies never meet.
     """
+    if isinstance(df, Ordered):  # copies are neighbours, the newest last
+        after = over_series(
+            df, lambda rows, w: rows.withColumns({"_next": F.lead(c(time), 1).over(w), "_end": F.col(POS) == F.col(LAST)}),
+            after=1, keys=keys, time=time,
+        )
+        found = after.keep(F.col("_end") | ~c(time).eqNullSafe(F.col("_next")))
+        return found.select(*df.columns)
     newest = Window.partitionBy(*keys, time).orderBy(c(seq).desc())
     return df.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
@@ -147,10 +161,14 @@ def clean(
     chunk_rows: int = SUMMARY_CHUNK_ROWS,
     **opts,
 ) -> DataFrame:
-    """Non-finite to NULL, interpolate by (time, seq) position, then drop duplicate times."""
+    """Non-finite to NULL, interpolate by (time, seq) position, then drop duplicate times.
+
+    Rows ordered by (time, seq) come out ordered, for the features that follow.
+    """
     names = _metrics(df, columns, [*keys, time, seq])
     finite_rows = clean_nonfinite(df, names)
     filled = interpolate_linear(
         finite_rows, names, keys=keys, time=time, seq=seq, chunk_rows=chunk_rows, **opts
     )
-    return dedup_keep_last(filled, keys=keys, time=time, seq=seq).drop(seq)
+    newest = dedup_keep_last(filled, keys=keys, time=time, seq=seq)
+    return newest.select(*[c(n) for n in df.columns if n != seq])

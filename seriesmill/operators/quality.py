@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from seriesmill.functions.expressions import c, elapsed_days, is_date, require_columns
-from seriesmill.operators.layout import KEYS, TIME, over_series
+from seriesmill.operators.layout import KEYS, TIME, frame_of, over_series
 from seriesmill.operators.reshape import melt
 
 
@@ -33,7 +33,7 @@ def gaps(
         build, before=1, keys=keys, time=time, seq=seq, **opts,
     )
     days = elapsed_days(F.col("gap_start"), c(time), dates)
-    return rows.select(
+    return frame_of(rows).select(
         *keys, "gap_start", c(time).alias("gap_end"), days.alias("days_gap")
     ).where(F.col("days_gap") > max_days)
 
@@ -109,7 +109,7 @@ def flat_runs(
         build, before=k, keys=keys, time=time, seq=seq, **opts,
     )
     long = melt(
-        rows, [*keys, time], {m: {"value": m, "unchanged_count": names[m]} for m in metrics}
+        frame_of(rows), [*keys, time], {m: {"value": m, "unchanged_count": names[m]} for m in metrics}
     )
     return long.where(F.col("unchanged_count") == k)
 
@@ -146,7 +146,8 @@ def quality_report(
     rows = over_series(
         df.select(*keys, time, *[c(m) for m in metrics], *([seq] if seq else [])),
         build, before=k, keys=keys, time=time, seq=seq, layout=layout, **opts,
-    ).withColumn("_step", elapsed_days(F.col("_previous"), c(time), dates))
+    )
+    rows = frame_of(rows).withColumn("_step", elapsed_days(F.col("_previous"), c(time), dates))
     gap = F.col("_step") > max_days
     zero = {m: f"_zero_{i}" for i, m in enumerate(metrics)}
     flats = {m: f"_flat_{i}" for i, m in enumerate(metrics)}

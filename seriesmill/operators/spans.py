@@ -14,6 +14,7 @@ from seriesmill.operators.layout import (
     POS,
     SUMMARY_CHUNK_ROWS,
     TIME,
+    Ordered,
     choose_layout,
     series_order,
     with_position,
@@ -66,7 +67,7 @@ def label_runs(
     each can continue elsewhere, so only those are linked again across chunks.
     """
     keys = list(keys)
-    whole = choose_layout(layout) == "whole"
+    whole = choose_layout(layout) == "whole" and not isinstance(df, Ordered)
     tie = [c(seq).alias("_seq")] if seq else []
     rows = df.select(*keys, time, c(label).alias("label"), *tie)
     seq = "_seq" if seq else None

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions.expressions import c, ratio, require_columns, sign_class
 from seriesmill.operators.layout import (
+    CHUNK,
     KEYS,
     TIME,
+    Ordered,
     choose_layout,
     join_per_key,
     over_series,
@@ -26,6 +28,17 @@ from seriesmill.operators.layout import (
 
 Layer = Callable[[WindowSpec], dict[str, Column]]
 
+# Frames of more rows than this are put together from block sums; shorter ones are added up.
+LONG_FRAME = 128
+_PLACE = "_place"
+
+
+@dataclass(frozen=True)
+class OverBlocks:
+    """A layer that also needs the names of the columns that windows are partitioned by."""
+
+    build: Callable[[WindowSpec, list[str]], dict[str, Column]]
+
 
 @dataclass(frozen=True)
 class Feature:
@@ -33,7 +46,7 @@ class Feature:
 
     metrics: tuple[str, ...]
     outputs: tuple[str, ...]
-    layers: tuple[Layer, ...]
+    layers: tuple[Layer | OverBlocks, ...]
     before: int = 0
     after: int = 0
 
@@ -59,13 +72,16 @@ def compute_features(
     kept = list(dict.fromkeys([*keys, time, *(needed if keep is None else keep)]))
     wanted = list(dict.fromkeys([*kept, *needed, *([seq] if seq else [])]))
     depth = max(len(f.layers) for f in features)
+    whole = choose_layout(opts.get("layout", "auto")) == "whole" and not isinstance(df, Ordered)
+    parts = [*keys] if whole else [*keys, CHUNK]
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
         for level in range(depth):
             columns: dict[str, Column] = {}
             for f in features:
                 if level < len(f.layers):
-                    columns.update(f.layers[level](w))
+                    layer = f.layers[level]
+                    columns.update(layer.build(w, parts) if isinstance(layer, OverBlocks) else layer(w))
             rows = rows.withColumns(columns)
         return rows
 
@@ -87,6 +103,38 @@ def _last(w: WindowSpec, rows: int) -> WindowSpec:
     return w.rowsBetween(-(rows - 1), 0)
 
 
+def long_frame(value: str, k: int, mean: str, count: str | None = None) -> tuple[Layer | OverBlocks, ...]:
+    """Layers for the mean of the last k rows at a cost per row that does not depend on k.
+
+    Rows are cut into blocks of k. A frame is the end of one block and the beginning of the next:
+    sums from each row to the end of its block, and from the beginning of the block to the row,
+    are running sums, and two of them make a frame. Nothing is ever subtracted.
+    """
+    name = {x: f"_{mean}_{x}" for x in ("block", "head", "head_n", "tail", "tail_n")}
+
+    def sums(_w: WindowSpec, parts: list[str]) -> dict[str, Column]:
+        block = Window.partitionBy(*parts, F.expr(f"{_PLACE} div {k}"))
+        ways = {"head": block.orderBy(_PLACE), "tail": block.orderBy(F.desc(_PLACE))}
+        found = {}
+        for way, w in ways.items():
+            so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+            found[name[way]] = F.sum(c(value)).over(so_far)
+            found[name[f"{way}_n"]] = F.count(c(value)).over(so_far)
+        return found
+
+    def frame(w: WindowSpec) -> dict[str, Column]:
+        whole = F.col(_PLACE) % k == k - 1  # the frame is the block
+
+        def added(x: str) -> Column:
+            tail = F.when(~whole, F.lag(c(name[f"tail{x}"]), k - 1).over(w))
+            return F.coalesce(c(name[f"head{x}"]), F.lit(0)) + F.coalesce(tail, F.lit(0))
+
+        return {mean: ratio(added(""), added("_n")), **({count: added("_n")} if count else {})}
+
+    place = lambda w: {_PLACE: F.row_number().over(w).cast("bigint") - 1}
+    return place, OverBlocks(sums), frame
+
+
 # --- feature definitions -----------------------------------------------------
 
 
@@ -94,10 +142,17 @@ def average_of(metric: str, windows: Sequence[int] = (7, 30, 90)) -> Feature:
     """Mean of the last k rows; partial at the start of a series, NULLs skipped.
 
     A sliding frame is added up again for every row. A window that is a few times a
-    shorter one is put together from the shorter one's sums instead; only additions are
-    used, so no digits cancel.
+    shorter one is put together from the shorter one's sums instead, and a long one from
+    the sums of blocks; only additions are used, so no digits cancel.
     """
     names = {k: f"{metric}_MA{k}days" for k in windows}
+    before = max(windows) - 1
+    long_windows = [k for k in windows if k > LONG_FRAME]
+    if long_windows:
+        short_windows = [k for k in windows if k <= LONG_FRAME]
+        short_layers = average_of(metric, short_windows).layers if short_windows else ()
+        layers = [short_layers, *[long_frame(metric, k, names[k]) for k in long_windows]]
+        return Feature((metric,), tuple(names.values()), _side_by_side(layers), before=before)
     parts = {k: _divisor(k, windows) for k in windows}
     shared = {p for p in parts.values() if p}
 
@@ -130,10 +185,27 @@ def average_of(metric: str, windows: Sequence[int] = (7, 30, 90)) -> Feature:
         (metric,),
         tuple(names.values()),
         (short, long) if shared else (short,),
-        before=max(windows) - 1,
+        before=before,
     )
 
 
+def _side_by_side(columns: Sequence[Sequence[Layer | OverBlocks]]) -> tuple[OverBlocks, ...]:
+    """Layers of several lists at the same depth as one."""
+
+    def at(depth: int) -> OverBlocks:
+        def build(w: WindowSpec, parts: list[str]) -> dict[str, Column]:
+            found: dict[str, Column] = {}
+            for layers in columns:
+                if depth < len(layers):
+                    layer = layers[depth]
+                    found.update(layer.build(w, parts) if isinstance(layer, OverBlocks) else layer(w))
+            return found
+
+        return OverBlocks(build)
+
+    return tuple(at(depth) for depth in range(max(map(len, columns))))
+
+
 def _divisor(k: int, windows: Sequence[int]) -> int | None:
     """The longest shorter window that fits into k a whole number of times, at most 8."""
     fits = [p for p in windows if 1 < p < k and k % p == 0 and k // p <= 8]
@@ -174,23 +246,27 @@ def volatility_of(metric: str, lag: int = 7, window: int = 30) -> Feature:
     lagged = f"{metric}_lag{lag}"
     vol = f"{metric}_RV{window}_return{lag}"
 
-    def volatility(w: WindowSpec) -> dict[str, Column]:
-        deviation = c(ret) - c(mean)
-        return {vol: F.sqrt(F.avg(deviation * deviation).over(_last(w, window)))}
+    deviation = c(ret) - c(mean)
 
-    return Feature(
-        (metric,),
-        (ret, mean, lagged, vol),
-        (
-            lambda w: {
-                ret: ratio(c(metric), F.lag(c(metric), lag).over(w)) - 1,
-                lagged: F.lag(c(metric), lag).over(w),
-            },
+    def returns(w: WindowSpec) -> dict[str, Column]:
+        return {
+            ret: ratio(c(metric), F.lag(c(metric), lag).over(w)) - 1,
+            lagged: F.lag(c(metric), lag).over(w),
+        }
+
+    if window > LONG_FRAME:
+        squared = f"_{vol}_squared"
+        layers = (
+            returns, *long_frame(ret, window, mean), lambda w: {squared: deviation * deviation},
+            *long_frame(squared, window, vol), lambda w: {vol: F.sqrt(c(vol))},
+        )
+    else:
+        layers = (
+            returns,
             lambda w: {mean: F.avg(c(ret)).over(_last(w, window))},
-            volatility,
-        ),
-        before=2 * (window - 1) + lag,
-    )
+            lambda w: {vol: F.sqrt(F.avg(deviation * deviation).over(_last(w, window)))},
+        )
+    return Feature((metric,), (ret, mean, lagged, vol), layers, before=2 * (window - 1) + lag)
 
 
 def delta_of(metric: str, n: int = 30) -> Feature:
@@ -246,6 +322,9 @@ def return_and_volatility(
     """Rows with all of value, return, mean, lag and volatility; incomplete rows are left out."""
     feature = volatility_of(metric, lag, window)
     out = compute_features(df, [feature], **opts)
+    if isinstance(out, Ordered):
+        complete = reduce(lambda a, b: a & b, [c(n).isNotNull() for n in (metric, *feature.outputs)])
+        return out.keep(complete)
     return out.na.drop("any", subset=[metric, *feature.outputs])
 
 
@@ -284,12 +363,22 @@ def strict_mean_of(metric: str, k: int, name: str, direction: str, source: Featu
         full = F.count(c(value)).over(frame) == k
         return {name: F.when(full, F.avg(c(value)).over(frame))}
 
+    def strict_long(w: WindowSpec) -> dict[str, Column]:
+        mean, count = c(f"_{name}_mean"), c(f"_{name}_count")
+        if direction == "leading":
+            mean, count = F.lead(mean, k - 1).over(w), F.lead(count, k - 1).over(w)
+        return {name: F.when(count == k, mean)}
+
     reach = k - 1
+    last = (strict,)
+    if k > LONG_FRAME:
+        last = (*long_frame(value, k, f"_{name}_mean", f"_{name}_count"), strict_long)
     return Feature(
         source.metrics,
         (*source.outputs, name),
-        (*source.layers, strict),
-        before=source.before + (0 if direction == "leading" else reach),
+        (*source.layers, *last),
+        # of a long leading frame, the trailing one at its end is moved back
+        before=source.before + (0 if direction == "leading" and k <= LONG_FRAME else reach),
         after=source.after + (reach if direction == "leading" else 0),
     )
 

@@ -13,6 +13,7 @@ from seriesmill import fixtures
 from seriesmill.config import CORRELATION_METRICS, INDICATORS, TIERS, Settings
 from seriesmill.functions.expressions import c, mvrv_zone
 from seriesmill.operators import cleaning, indicators, quality, reshape, spans, stats, windows
+from seriesmill.operators.layout import frame_of, ordered
 from seriesmill.operators.reshape import melt
 from seriesmill.sources import csv, results, tables, versions
 from seriesmill.sources.scratch import scratch_path, written
@@ -465,6 +466,12 @@ def correlation_matrix(spark, sf_dir):
     return stats.correlation_full(rows, CORRELATION_METRICS)
 
 
+@query("correlation_many")
+def correlation_many(spark, sf_dir):
+    """All metrics with all: too many pairs for an aggregate each."""
+    return stats.correlation_matrix(daily(spark, sf_dir, *ALL_METRICS), ALL_METRICS).drop("pair")
+
+
 @query("correlation_distance")
 def correlation_distance(spark, sf_dir):
     rows = daily(spark, sf_dir, *CORRELATION_METRICS)
@@ -572,7 +579,8 @@ def sparse(spark, sf_dir):
 
 
 def sign_segments(spark, sf_dir, **opts):
-    signs = windows.delta_sign(events(spark, sf_dir), "Val", 1, **TIE, **opts)
+    """Both steps go by the positions of one sort."""
+    signs = windows.delta_sign(ordered(events(spark, sf_dir), **TIE), "Val", 1, **TIE, **opts)
     return spans.regime_segments(signs, "delta_class", **TIE, **opts)
 
 
@@ -682,6 +690,32 @@ def events_zone_spans(spark, sf_dir):
     return spans.zone_spans(zoned, **TIE)
 
 
+@query("events_long_average")
+def events_long_average(spark, sf_dir):
+    """A short frame beside one of a thousand rows."""
+    return windows.moving_average(events(spark, sf_dir), "Val", (30, 1000), **TIE)
+
+
+@query("events_long_volatility")
+def events_long_volatility(spark, sf_dir):
+    return windows.return_and_volatility(events(spark, sf_dir), "Val", 1, 500, **TIE)
+
+
+@query("chained_clean_average")
+def chained_clean_average(spark, sf_dir):
+    """Cleaning and the averages of the cleaned series from one sort."""
+    rows = ordered(fixtures.daily_metrics_dirty(spark, sf_dir), seq="seq")
+    return frame_of(windows.moving_average(cleaning.clean(rows, ["v"], seq="seq"), "v", (7, 30)))
+
+
+@query("chained_volatility_band")
+def chained_volatility_band(spark, sf_dir):
+    """Volatility, incomplete rows dropped, and runs of its zones from one sort."""
+    moved = windows.return_and_volatility(ordered(events(spark, sf_dir), **TIE), "Val", 1, 30, **TIE)
+    zoned = moved.withColumns({"zone": mvrv_zone(F.col("Val") / 30)})
+    return spans.regime_segments(zoned, "zone")
+
+
 # --- the same results from series cut into many chunks ----------------------------------
 
 

@@ -485,6 +485,7 @@ add("correlation_matrix", BASE, union((
     f"SELECT asset, a, b, corr FROM ({PAIRS}) p", f"SELECT asset, b AS a, a AS b, corr FROM ({PAIRS}) p",
     *[f"""SELECT asset, '{n}' AS a, '{n}' AS b, CASE WHEN STDDEV_POP("{n}") > 0 THEN 1.0 END AS corr FROM m GROUP BY asset"""
       for n in CORRELATION_METRICS])), ("asset", "a", "b"), ("corr",))
+add("correlation_many", BASE, correlations("m", combinations(ALL_NAMES, 2)), ("asset", "a", "b"), ("corr",))
 add("correlation_distance", BASE, f"SELECT asset, a, b, ROUND(1 - ABS(corr), 12) AS distance FROM ({PAIRS}) p", ("asset", "a", "b"), ("distance",))
 add("top_correlations", BASE, union(
     f"""SELECT asset, a, b, corr, '{side}' AS side, ROW_NUMBER() OVER (PARTITION BY asset ORDER BY corr {order}, pair) AS rank
@@ -535,6 +536,12 @@ add("insight_summary", BASE, f"""
 VAL = ("Val", "Val_MA7days", "Val_MA30days", "Val_MA90days")
 add("events_moving_average", EVENTS, moving("Val", (7, 30, 90), "e"), KEY, VAL)
 add("events_rolling_volatility", EVENTS, volatility("Val", 1, 30, "e"), KEY, volatility_names("Val", 1, 30), where=complete(volatility_names("Val", 1, 30)))
+add("events_long_average", EVENTS, moving("Val", (30, 1000), "e"), KEY, ("Val", "Val_MA30days", "Val_MA1000days"))
+add("events_long_volatility", EVENTS, volatility("Val", 1, 500, "e"), KEY, volatility_names("Val", 1, 500), where=complete(volatility_names("Val", 1, 500)))
+add("chained_clean_average", DIRTY, moving("v", (7, 30), f"({newest(interpolated('fin', 'v', 'time, seq'))}) cleaned"), KEY, ("v", "v_MA7days", "v_MA30days"))
+add("chained_volatility_band", EVENTS, runs(f"""SELECT *, {zone('"Val" / 30')} AS zone FROM ({volatility("Val", 1, 30, "e").replace(
+    'SELECT asset, time,', 'SELECT asset, time, event_id,', 1)}) v WHERE {complete(volatility_names("Val", 1, 30))}""", "zone"),
+    ("asset", "label", "start", "end"), whole=("n_rows",))
 add("events_rolling_delta", EVENTS, delta("Val", 30, "e"), KEY, ("Val_delta_30d", "Val_pct_change_30d"))
 add("events_delta_ma_strict", EVENTS, strict_mean("Val", "e"), KEY, ("Val_delta_30d", "Val_delta_30d_mean7"))
 add("events_growth_from_base", EVENTS, growth(("Val",), "SELECT * FROM e"), KEY, ("Val_growth_pct",))
