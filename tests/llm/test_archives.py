@@ -143,3 +143,36 @@ def test_bounds_hold():
     estimate, error = onebit.bounds(*onebit.encode(vectors), queries, onebit.EPSILON)
     off = np.abs(estimate - queries @ vectors.T)
     assert (off <= error).mean() > 0.995 and np.abs((estimate - queries @ vectors.T).mean()) < 0.05
+
+
+@pytest.mark.parametrize("n, most", [(2_000, 0.1), (16_000, 0.04)])
+def test_few_candidates_are_reranked(n, most):
+    """Vectors without any structure, the hardest case; no neighbour is lost but by the bound's chance."""
+    rng = np.random.default_rng(n)
+    vectors = rng.normal(size=(n, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    queries, own = vectors[:100], np.eye(100, n, dtype=bool)
+    places, scores, reranked = onebit.best_in_block(*onebit.encode(vectors), vectors, queries, own, 20, onebit.EPSILON)
+    exact = queries @ vectors.T
+    exact[own] = -np.inf
+    wanted = [set(np.argsort(-x)[:20]) for x in exact]
+    assert np.mean([len(w & set(p)) / 20 for w, p in zip(wanted, places, strict=True)]) >= 0.995
+    assert reranked / (100 * n) <= most
+
+
+@pytest.mark.parametrize("dim", [1, 5, 64, 100])
+def test_packed_counts_equal_plain_products(dim):
+    """Estimates from packed words are those of the rounded query with the signs."""
+    rng = np.random.default_rng(dim)
+    vectors, queries = rng.normal(size=(30, dim)), rng.normal(size=(4, dim))
+    codes, lengths, fits = onebit.encode(vectors)
+    estimate, _ = onebit.bounds(codes, lengths, fits, queries, 1.0)
+    plain = np.zeros((4, 30))
+    for r in range(onebit.ROTATIONS):
+        signs = np.where(vectors / lengths[:, None] @ onebit.rotation(dim, r) > 0, 1, -1)
+        turned = queries @ onebit.rotation(dim, r)
+        low, width = turned.min(axis=1, keepdims=True), np.ptp(turned, axis=1, keepdims=True)
+        step = np.where(width == 0, 1, width / (2**onebit.PLANES - 1))
+        rounded = low + step * np.rint((turned - low) / step)
+        plain += rounded @ signs.T * lengths / fits[:, r] / np.sqrt(dim) / onebit.ROTATIONS
+    assert np.allclose(estimate, plain, atol=1e-4)
