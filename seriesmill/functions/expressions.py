@@ -67,11 +67,20 @@ def require_columns(df: DataFrame, names: list[str] | tuple[str, ...]) -> None:
         raise ValueError(f"missing required columns: {missing}")
 
 
+def columns_with_values(df: DataFrame, names: list[str] | tuple[str, ...]) -> list[str]:
+    """The wanted columns that exist and have a value in any row; one aggregate over the rows."""
+    there = present_columns(df, names)
+    if not there:
+        return []
+    counts = df.agg(*[F.count(c(n)).alias(f"_{i}") for i, n in enumerate(there)]).first()
+    return [n for n, count in zip(there, counts) if count]
+
+
 def require_values(df: DataFrame, names: list[str] | tuple[str, ...]) -> None:
-    """Fail when an input metric is absent or has no value at all; one aggregate over the rows."""
+    """Fail when an input metric is absent or has no value at all."""
     require_columns(df, names)
-    counts = df.agg(*[F.count(c(n)).alias(f"_{i}") for i, n in enumerate(names)]).first()
-    empty = [n for n, count in zip(names, counts) if not count]
+    filled = columns_with_values(df, names)
+    empty = [n for n in names if n not in filled]
     if empty:
         raise ValueError(f"required columns without values: {empty}")
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from seriesmill import fixtures
 from seriesmill.config import CORRELATION_METRICS, INDICATORS, TIERS, Settings
-from seriesmill.functions.expressions import c, mvrv_zone
+from seriesmill.functions.expressions import c, chart_columns, columns_with_values, mvrv_zone, numeric_columns
 from seriesmill.operators import cleaning, indicators, quality, reshape, spans, stats, windows
 from seriesmill.operators.layout import frame_of, ordered
 from seriesmill.operators.reshape import melt
@@ -206,6 +206,37 @@ def preview(spark, sf_dir):
     return tables.preview_each(daily(spark, sf_dir, "PriceUSD", "TxCnt"), 10)
 
 
+@query("ordered_by_time")
+def ordered_by_time(spark, sf_dir):
+    """Every row with its place in its series."""
+    return ordered(daily(spark, sf_dir, "PriceUSD")).rows.withColumnRenamed("_pos", "position").drop("_last")
+
+
+@query("numeric_values")
+def numeric_values(spark, sf_dir):
+    """Values per numeric column, found by type among columns of several types."""
+    rows = daily(spark, sf_dir, "PriceUSD", "TxCnt", "ROI1yr").withColumns({"note": F.lit("x"), "small": F.lit(1).cast("tinyint")})
+    names = numeric_columns(rows)
+    counts = rows.groupBy("asset").agg(*[F.count(c(n)).alias(n) for n in names])
+    return melt(counts, ["asset"], {n: {"n_values": n} for n in names})
+
+
+@query("metrics_with_values")
+def metrics_with_values(spark, sf_dir):
+    """Of the wanted metrics one is absent and one has no values: the others are kept."""
+    rows = daily(spark, sf_dir, "PriceUSD", "TxCnt").withColumn("AdrActCnt", F.lit(None).cast("double"))
+    rows = written(rows, "metrics")
+    return rows.select("asset", "time", *map(c, columns_with_values(rows, ("PriceUSD", "AdrActCnt", "CapMVRVCur", "TxCnt"))))
+
+
+@query("chart_columns")
+def chart_columns_query(spark, sf_dir):
+    """The columns a chart of changes would show, out of those of two features."""
+    features = [windows.average_of("PriceUSD", (7,)), windows.delta_of("PriceUSD")]
+    made = windows.compute_features(daily(spark, sf_dir, "PriceUSD", "TxCnt"), features, keep=("PriceUSD", "TxCnt"), **WHOLE)
+    return made.select("asset", "time", *map(c, chart_columns(made, ("DELTA", "pct"))))
+
+
 # --- cleaning ------------------------------------------------------------------
 
 

@@ -378,6 +378,12 @@ add("list_tables", BASE, "SELECT asset, COUNT(*) AS n_rows, MIN(time) AS first_t
     ("asset", "first_time", "last_time"), whole=("n_rows",))
 add("preview", BASE, f"SELECT *, ROW_NUMBER() OVER ({SERIES}) AS r FROM base", KEY, ("PriceUSD", "TxCnt"), where="r <= 10")
 
+add("ordered_by_time", BASE, f"SELECT *, ROW_NUMBER() OVER ({SERIES}) - 1 AS position FROM base", KEY, ("PriceUSD",), ("position",))
+add("numeric_values", BASE, union([*[f"SELECT asset, '{n}' AS metric, COUNT(\"{n}\") AS n_values FROM m GROUP BY asset" for n in ("PriceUSD", "TxCnt", "ROI1yr")],
+    "SELECT asset, 'small' AS metric, COUNT(*) AS n_values FROM m GROUP BY asset"]), ("asset", "metric"), whole=("n_values",))
+add("metrics_with_values", BASE, "SELECT * FROM base", KEY, ("PriceUSD", "TxCnt"))
+add("chart_columns", BASE, delta("PriceUSD", 30), KEY, ("PriceUSD_delta_30d", "PriceUSD_pct_change_30d"))
+
 # --- cleaning
 SEQ = ("asset", "time")
 add("clean_nonfinite", DIRTY, "SELECT * FROM fin", SEQ, ("v",), ("seq",))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import replace
 from datetime import date, datetime
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.config import CORRELATION_METRICS, INDICATORS, Settings
-from seriesmill.functions.expressions import present_columns
+from seriesmill.functions.expressions import columns_with_values, present_columns, require_values
 from seriesmill.operators import indicators, quality, reshape, spans, stats, windows
 from seriesmill.operators.cleaning import clean, lookback
 from seriesmill.sources import results, versions
@@ -18,6 +19,17 @@ from seriesmill.sources.scratch import written
 from seriesmill.sources.tables import write_table
 
 
+#: The metrics that the analyses read.
+ANALYSED = tuple(
+    dict.fromkeys(
+        [
+            "PriceUSD", "CapMrktCurUSD", "ROI1yr", "CapMVRVCur", *CORRELATION_METRICS, "AdrActCnt", "AdrBalCnt", "AdrBalUSD10KCnt",
+            "AdrBalUSD100KCnt", "AdrBalUSD1MCnt", *indicators.SUPPLY_METRICS, indicators.WHALE_METRIC,
+        ]
+    )
+)
+
+
 def ingest(
     spark: SparkSession,
     csv_path: str,
@@ -91,11 +103,20 @@ def check_quality(
 
 
 def analyse(
-    table: DataFrame, settings: Settings = Settings(), layout: str = "whole"
+    table: DataFrame, settings: Settings = Settings(), layout: str = "whole", on_missing: str = "skip"
 ) -> dict[str, DataFrame]:
-    """Every analysis as a frame; an analysis whose metrics are absent is left out."""
+    """Every analysis as a frame; an analysis whose metrics are absent or without values is left
+    out, with a warning. With ``on_missing="raise"`` the call fails instead.
+    """
+    if on_missing not in ("raise", "skip"):
+        raise ValueError(f"unknown on_missing: {on_missing}")
     how = {"layout": layout}
-    have = set(table.columns)
+    if on_missing == "raise":
+        require_values(table, ANALYSED)
+    have = set(columns_with_values(table, ANALYSED))
+    missing = [n for n in ANALYSED if n not in have]
+    if missing:
+        logging.getLogger(__name__).warning("analyses of these metrics are left out, they have no values: %s", ", ".join(missing))
     found: dict[str, DataFrame] = {}
     lag, window = settings.lag, settings.volatility_window
 
@@ -111,7 +132,7 @@ def analyse(
         zones = indicators.price_zones(table)
         found["price_zones"] = zones
         found["zone_spans"] = spans.zone_spans(zones, **how)
-    correlated = present_columns(table, CORRELATION_METRICS)
+    correlated = [n for n in CORRELATION_METRICS if n in have]
     if len(correlated) >= 2:
         found["correlations"] = stats.correlation_matrix(table, correlated)
         found["top_correlations"] = stats.top_correlations(table, correlated)

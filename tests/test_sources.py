@@ -164,6 +164,20 @@ def test_required_inputs_have_values(spark):
         require_values(df, ["x"])
 
 
+def test_analyses_of_metrics_without_values_are_left_out(spark, caplog):
+    names = list(stages.ANALYSED)
+    df = days(spark, [1.0, 2.0, 4.0, 3.0]).select("asset", "time", *[(F.col("v") + i).alias(n) for i, n in enumerate(names)])
+    empty = df.withColumn("AdrActCnt", F.lit(None).cast("double")).drop("ROI1yr")
+    found = stages.analyse(empty)
+    assert not {"activity_delta", "cap_vs_roi"} & set(found) and {"tiers", "correlations", "indicators"} <= set(found)
+    assert "AdrActCnt" in caplog.text and "ROI1yr" in caplog.text
+    with pytest.raises(ValueError, match="ROI1yr"):
+        stages.analyse(empty, on_missing="raise")
+    with pytest.raises(ValueError, match="without values: .'AdrActCnt'"):
+        stages.analyse(empty.withColumn("ROI1yr", F.lit(1.0)), on_missing="raise")
+    assert len(stages.analyse(df, on_missing="raise")) > len(found)
+
+
 def test_stages_from_files_to_results(spark, tmp_path):
     files = tmp_path / "csv"
     files.mkdir()
