@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 Every source gets a share of all words by weight, at most `max_epochs` times its own words.
-The sources get whole blocks of `block_words` words, one after the other to the highest quotient
-target / (2 * blocks + 1), over all documents. A source's documents lie in seeded order (by shard,
-to which they are dealt by hash, then by key), cut into equal blocks; its quota takes all blocks
-as often as it goes, and the rest as a run of blocks that starts at a seeded block and goes on
-from the first after the last. So nearly all documents are taken whole, and what a source gets
+A source's words are cut into equal blocks of about `block_words` words. Blocks go one after the
+other to the source with the highest quotient votes / (2 * blocks + 1), where votes are its target
+in its own blocks, so what a source gets is its target but for rounding to one of its blocks. Its
+documents lie in seeded order (by shard, to which they are dealt by hash, then by key); its quota
+takes all blocks as often as it goes, and the rest as a run of blocks that starts at a seeded block
+and goes on from the first after the last. So nearly all documents are taken whole, and what a source gets
 does not depend on the number of shards: each takes the part of the run that lies in it.
 
 Scale: only (id, source, size) rows are shuffled, once, by (shard, source); a shard has about
@@ -114,10 +115,11 @@ def mix_sizes(
     targets = source_targets(
         groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs
     )
-    votes = targets.select(F.lit(0).alias("shard"), "source_rank", F.col("target").alias("votes"))
-    quotas = targets.join(apportion(votes, block_words), "source_rank")
     blocks = F.greatest(F.round(F.col("source_size") / block_words).cast("long"), F.lit(1))
-    quotas = quotas.withColumn("blocks", blocks)
+    targets = targets.withColumn("blocks", blocks)
+    own = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
+    votes = targets.select(F.lit(0).alias("shard"), "source_rank", own.alias("votes"))
+    quotas = targets.join(apportion(votes, 1), "source_rank")
     quotas = quotas.withColumn("quota", F.least("quota", F.col("blocks") * max_epochs))
     name = F.concat_ws(":", F.lit(seed), F.lit("0"), F.col("source_rank").cast("string"))
     quotas = quotas.withColumn("first", F.pmod(hex_number(F.md5(name)), F.col("blocks")))
@@ -176,7 +178,9 @@ def mixed_documents(docs: DataFrame, text_col="text", length_col="n_chars", **op
     has that column). Rows are written once with their sizes, so that ids agree between the
     table of decisions and the rows they are joined to.
     """
-    row_id, doc_id, source, size = free_names(docs, "row_id", "mix_id", "mix_source", "mix_size")
+    row_id, size, row, parts, part, new_text = free_names(
+        docs, "row_id", "mix_size", "mix_row", "mix_parts", "mix_part", "mix_text"
+    )
     kept = written(
         docs.withColumns({row_id: F.monotonically_increasing_id(), size: word_count(named(text_col))}), "mix-docs"
     )
@@ -192,20 +196,20 @@ def mixed_documents(docs: DataFrame, text_col="text", length_col="n_chars", **op
         ),
         lambda x: x["high"] > x["low"],
     )
-    taken = written(taken.select(F.col("row_id").alias("_mix_row"), F.concat(whole, once).alias("_mix_parts")), "mix-taken")
+    taken = written(taken.select(F.col("row_id").alias(row), F.concat(whole, once).alias(parts)), "mix-taken")
     # the list grows with the documents: never broadcast it
-    joined = kept.join(taken.hint("merge"), kept[row_id] == taken["_mix_row"])
-    joined = joined.withColumn("_mix_part", F.explode("_mix_parts"))
-    low, high = F.col("_mix_part.low"), F.col("_mix_part.high")
+    joined = kept.join(taken.hint("merge"), kept[row_id] == taken[row])
+    joined = joined.withColumn(part, F.explode(parts))
+    low, high = F.col(part)["low"], F.col(part)["high"]
     is_whole = (low == 0) & (high == F.col(size))
     text = F.when(is_whole, named(text_col)).otherwise(cut_words(named(text_col), low, high))
-    joined = joined.withColumn("_mix_text", text)
+    joined = joined.withColumn(new_text, text)
     out = []
     for field in docs.schema:
         column = named(field.name)
         if field.name == text_col:
-            column = F.col("_mix_text")
+            column = F.col(new_text)
         elif field.name == length_col:
-            column = F.when(is_whole, column).otherwise(F.length("_mix_text")).cast(field.dataType)
+            column = F.when(is_whole, column).otherwise(F.length(new_text)).cast(field.dataType)
         out.append(column.alias(field.name))
     return joined.select(*out)

@@ -74,11 +74,11 @@ def _mix() -> str:
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
     md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS order_key FROM documents
-), dealt AS (
-  SELECT *, {number('order_key')} % greatest(1, (SELECT (count(*) + {mixing.SHARD_ROWS - 1}) // {mixing.SHARD_ROWS} FROM sized)) AS shard FROM sized
-), groups AS (SELECT shard, source, sum(size)::BIGINT AS words FROM dealt GROUP BY ALL
+), placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY shard, order_key, size)::BIGINT - size AS start FROM (
+    SELECT *, {number('order_key')} % greatest(1, (SELECT (count(*) + {mixing.SHARD_ROWS - 1}) // {mixing.SHARD_ROWS} FROM sized)) AS shard FROM sized)
 ), sources AS (
-  SELECT source, sum(words)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank FROM groups GROUP BY source
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank FROM sized GROUP BY source
 ), weighed AS (
   SELECT *, {weights}[((source_rank - 1) % {len(mixing.WEIGHTS)} + 1)::INT]::DOUBLE AS weight, (source_size * {epochs})::DOUBLE AS cap FROM sources
 ), levels AS (
@@ -86,33 +86,26 @@ WITH sized AS (
     - coalesce(sum(cap) OVER (ORDER BY cap / weight, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, source_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
 ), targets AS (
-  SELECT source, source_rank, source_size, CASE WHEN full_at > level
+  SELECT source, source_rank, source_size, greatest(1, round(source_size / {block}))::BIGINT AS blocks, CASE WHEN full_at > level
     THEN (SELECT level FROM levels WHERE full_at > level ORDER BY full_at, source_rank LIMIT 1) * weight ELSE cap END AS target FROM levels
 ), votes AS (
-  SELECT shard, g.source, words, source_rank, source_size, target,
-    target * CASE WHEN source_size > 0 THEN words / source_size ELSE 0 END AS votes
-  FROM groups g JOIN targets t ON g.source IS NOT DISTINCT FROM t.source
-), totals AS (SELECT shard, sum(votes) AS all_votes, count(*) / 2 AS half, round(sum(votes) / {block})::BIGINT AS blocks FROM votes GROUP BY shard
+  SELECT *, CASE WHEN source_size > 0 THEN target * blocks / source_size ELSE 0 END AS votes FROM targets
+), total AS (SELECT sum(votes) AS all_votes, count(*) / 2 AS half, round(sum(votes))::BIGINT AS seats FROM votes
 ), seats AS (
-  SELECT shard, source_rank, votes, blocks, unnest(range(0, floor(votes / all_votes * (blocks + half) + 0.5)::BIGINT + 2)) AS seat
-  FROM votes JOIN totals USING (shard) WHERE votes > 0
+  SELECT source_rank, votes, seats, unnest(range(0, floor(votes / all_votes * (seats + half) + 0.5)::BIGINT + 2)) AS seat FROM votes, total WHERE votes > 0
 ), won AS (
-  SELECT *, row_number() OVER (PARTITION BY shard ORDER BY votes / (2 * seat + 1) DESC, source_rank) AS place FROM seats
-), quotas AS (
-  SELECT shard, source_rank, count(*)::BIGINT AS quota FROM won WHERE place <= blocks GROUP BY ALL
-), blocked AS (
-  SELECT v.*, greatest(1, round(words / {block}))::BIGINT AS n, coalesce(quota, 0) AS quota FROM votes v LEFT JOIN quotas USING (shard, source_rank)
+  SELECT *, row_number() OVER (ORDER BY votes / (2 * seat + 1) DESC, source_rank) AS place FROM seats
+), quotas AS (SELECT source_rank, count(*)::BIGINT AS quota FROM won WHERE place <= seats GROUP BY source_rank
 ), runs AS (
-  SELECT *, least(quota, n * {epochs}) // n AS epochs, least(quota, n * {epochs}) % n AS extra,
-    {number(f"md5('{seed}:' || shard || ':' || source_rank)")} % n AS first FROM blocked
+  SELECT v.*, least(coalesce(quota, 0), blocks * {epochs}) // blocks AS epochs, least(coalesce(quota, 0), blocks * {epochs}) % blocks AS extra,
+    {number(f"md5('{seed}:0:' || source_rank)")} % blocks AS first FROM votes v LEFT JOIN quotas USING (source_rank)
 ), edges AS (
-  SELECT *, words * first // n AS low, words * least(first + extra, n) // n AS high, words * greatest(first + extra - n, 0) // n AS wrapped FROM runs
-), placed AS (
-  SELECT *, sum(size) OVER (PARTITION BY shard, source ORDER BY order_key, size)::BIGINT - size AS start FROM dealt
+  SELECT *, source_size * first // blocks AS low, source_size * least(first + extra, blocks) // blocks AS high,
+    source_size * greatest(first + extra - blocks, 0) // blocks AS wrapped FROM runs
 )
 SELECT p.doc_id, p.size, e.source_size, e.target, (e.epochs * p.size + greatest(least(start + p.size, high) - greatest(start, low), 0)
   + greatest(least(start + p.size, wrapped) - start, 0))::BIGINT AS taken
-FROM placed p JOIN edges e ON p.shard = e.shard AND p.source IS NOT DISTINCT FROM e.source
+FROM placed p JOIN edges e ON p.source IS NOT DISTINCT FROM e.source
 """
 
 

@@ -117,6 +117,39 @@ def test_short_texts_over_many_shards_get_their_target(frame):
     check_mix(rows, docs)
 
 
+def test_tiny_sources_come_within_a_block_of_their_own(frame):
+    docs = [(0, "a", "one two three four five six seven"), (1, "b", "x y z"), (2, "c", "p q")] + [(10 + i, "d", "word " * 100) for i in range(30)]
+    rows = mixing.mix(frame(docs, "doc_id long, source string, text string")).collect()
+    check_mix(rows, docs)
+    found = {r.source: (r.source_size, r.target, sum(x.taken for x in rows if x.source == r.source)) for r in rows}
+    for size, target, taken in found.values():
+        blocks = max(1, round(size / mixing.BLOCK_WORDS))
+        assert abs(taken - target) <= size / blocks
+    assert found["a"] == (7, 21.0, 21)
+
+
+def test_sql_holds_over_many_shards(spark, rows_of, sf_dir, monkeypatch):
+    import duckdb
+
+    from seriesmill.llm import oracles
+
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 30)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = sorted(tuple(r) for r in mixing.mix(docs, shard_rows=30).select("doc_id", "size", "source_size", "target", "taken").collect())
+    engine = duckdb.connect()
+    engine.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    expected = sorted(engine.execute(oracles._mix()).fetchall())
+    assert found == expected
+
+
+def test_mixed_documents_of_clashing_names(frame):
+    schema = "doc_id long, text string, source string, mix_row int, mix_parts int, mix_part int, mix_text int, _mix_row int, _mix_text string, row_id int"
+    docs = frame([(i, "a b c d e", f"s{i % 2}", 1, 2, 3, 4, 5, "t", 6) for i in range(9)], schema)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert {tuple(r)[3:] for r in mixed.collect()} == {(1, 2, 3, 4, 5, "t", 6)}
+
+
 def test_quotas_go_to_the_highest_quotients(spark):
     votes = [(s, i, float(v)) for s in range(3) for i, v in enumerate([1, 5, 17, 3000, 40, 41, 900 * s, 0])]
     found = mixing.apportion(spark.createDataFrame(votes, "shard long, source_rank int, votes double"), 10).collect()
