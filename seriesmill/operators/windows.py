@@ -246,7 +246,8 @@ def volatility_of(metric: str, lag: int = 7, window: int = 30) -> Feature:
     lagged = f"{metric}_lag{lag}"
     vol = f"{metric}_RV{window}_return{lag}"
 
-    deviation = c(ret) - c(mean)
+    def squared_deviation() -> Column:
+        return (c(ret) - c(mean)) * (c(ret) - c(mean))
 
     def returns(w: WindowSpec) -> dict[str, Column]:
         return {
@@ -257,14 +258,14 @@ def volatility_of(metric: str, lag: int = 7, window: int = 30) -> Feature:
     if window > LONG_FRAME:
         squared = f"_{vol}_squared"
         layers = (
-            returns, *long_frame(ret, window, mean), lambda w: {squared: deviation * deviation},
+            returns, *long_frame(ret, window, mean), lambda w: {squared: squared_deviation()},
             *long_frame(squared, window, vol), lambda w: {vol: F.sqrt(c(vol))},
         )
     else:
         layers = (
             returns,
             lambda w: {mean: F.avg(c(ret)).over(_last(w, window))},
-            lambda w: {vol: F.sqrt(F.avg(deviation * deviation).over(_last(w, window)))},
+            lambda w: {vol: F.sqrt(F.avg(squared_deviation()).over(_last(w, window)))},
         )
     return Feature((metric,), (ret, mean, lagged, vol), layers, before=2 * (window - 1) + lag)
 

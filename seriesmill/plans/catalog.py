@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from seriesmill import fixtures
 from seriesmill.config import CORRELATION_METRICS, INDICATORS, TIERS, Settings
 from seriesmill.functions.expressions import c, chart_columns, columns_with_values, mvrv_zone, numeric_columns
-from seriesmill.operators import cleaning, indicators, quality, reshape, spans, stats, windows
+from seriesmill.operators import append, cleaning, indicators, quality, reshape, spans, stats, windows
 from seriesmill.operators.layout import frame_of, ordered
 from seriesmill.operators.reshape import melt
 from seriesmill.sources import csv, results, tables, versions
@@ -721,6 +721,23 @@ def events_zone_spans(spark, sf_dir):
     return spans.zone_spans(zoned, **TIE)
 
 
+@query("appended_features")
+def appended_features(spark, sf_dir):
+    """Averages and a mean that looks ahead, over events stored in three parts of time."""
+    rows = written(events(spark, sf_dir), "events")
+    low, high = rows.agg(F.min("time"), F.max("time")).first()
+    cuts = [low + (high - low) / 3, low + (high - low) / 2]
+    at = [F.lit(x.isoformat(sep=" ")).cast(rows.schema["time"].dataType) for x in cuts]
+    features = [
+        windows.average_of("Val", (7, 30)),
+        windows.strict_mean_of("Val", 7, "Val_delta_30d_mean7", "leading", windows.delta_of("Val")),
+    ]
+    path = scratch_path(spark, "appended")
+    for part in (F.col("time") < at[0], (F.col("time") >= at[0]) & (F.col("time") < at[1]), F.col("time") >= at[1]):
+        append.append(rows.where(part), path, features, **TIE)
+    return append.read_features(spark, path, **TIE).drop("Val_pct_change_30d", "event_id")
+
+
 @query("events_long_average")
 def events_long_average(spark, sf_dir):
     """A short frame beside one of a thousand rows."""

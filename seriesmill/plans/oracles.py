@@ -542,6 +542,11 @@ add("insight_summary", BASE, f"""
 VAL = ("Val", "Val_MA7days", "Val_MA30days", "Val_MA90days")
 add("events_moving_average", EVENTS, moving("Val", (7, 30, 90), "e"), KEY, VAL)
 add("events_rolling_volatility", EVENTS, volatility("Val", 1, 30, "e"), KEY, volatility_names("Val", 1, 30), where=complete(volatility_names("Val", 1, 30)))
+AHEAD = f"({SERIES} ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)"
+add("appended_features", EVENTS, f"""SELECT asset, time, "Val", "Val_delta_30d", AVG("Val") OVER {rows(7)} AS "Val_MA7days", AVG("Val") OVER {rows(30)} AS "Val_MA30days",
+    CASE WHEN COUNT("Val_delta_30d") OVER {AHEAD} = 7 THEN AVG("Val_delta_30d") OVER {AHEAD} END AS "Val_delta_30d_mean7"
+    FROM (SELECT *, "Val" - LAG("Val", 30) OVER ({SERIES}) AS "Val_delta_30d" FROM e) d""",
+    KEY, ("Val", "Val_MA7days", "Val_MA30days", "Val_delta_30d", "Val_delta_30d_mean7"))
 add("events_long_average", EVENTS, moving("Val", (30, 1000), "e"), KEY, ("Val", "Val_MA30days", "Val_MA1000days"))
 add("events_long_volatility", EVENTS, volatility("Val", 1, 500, "e"), KEY, volatility_names("Val", 1, 500), where=complete(volatility_names("Val", 1, 500)))
 add("chained_clean_average", DIRTY, moving("v", (7, 30), f"({newest(interpolated('fin', 'v', 'time, seq'))}) cleaned"), KEY, ("v", "v_MA7days", "v_MA30days"))
