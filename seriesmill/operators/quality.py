@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from seriesmill.functions.expressions import c, elapsed_days, is_date, require_columns
-from seriesmill.operators.layout import KEYS, TIME, frame_of, over_series
+from seriesmill.operators.layout import KEYS, TIME, choose_layout, frame_of, ordered, over_series
 from seriesmill.operators.reshape import melt
+from seriesmill.operators.spans import flat_spans
 
 
 def gaps(
@@ -132,12 +133,12 @@ def quality_report(
     All metrics go through one window pass in wide form, so a row is shuffled once and not
     once per metric. ``details`` adds the gaps and repeats themselves as arrays; only for
     DATE series, where the calendar bounds them. ``gaps`` and ``flat_runs`` give the same
-    as rows for any series.
+    as rows for any series, ``largest_issues`` a bounded list.
     """
     require_columns(df, metrics)
     dates = is_date(df, time)
     if details and not dates:
-        raise ValueError("details=True needs a DATE series; use gaps() and flat_runs()")
+        raise ValueError("details=True needs a DATE series; use gaps(), flat_runs() or largest_issues()")
     names, flat = _flat_layers(metrics, k)
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
@@ -186,6 +187,42 @@ def quality_report(
     return melt(totals, shared, outputs, name="feature")
 
 
+def largest_issues(
+    df: DataFrame,
+    metrics: Sequence[str],
+    k: int = 7,
+    max_days: float = 1.0,
+    most: int = 10,
+    *,
+    keys: Sequence[str] = KEYS,
+    time: str = TIME,
+    seq: str | None = None,
+    **opts,
+) -> DataFrame:
+    """The details of a report of any series: its longest gaps, and per metric its longest flat runs.
+
+    (keys, feature, issue, rank, start, end, size): ``size`` is days for a gap, rows for a run; at
+    most ``most`` of each, so the list of a series is bounded whatever its length. Gaps have no
+    feature. Tasks keep no more of a series before the shuffle. One sort serves gaps and all metrics.
+    """
+    require_columns(df, metrics)
+    wanted = [*keys, time, *metrics, *([seq] if seq else [])]
+    rows = df.select(*[c(n) for n in wanted])
+    if choose_layout(opts.get("layout", "auto")) != "whole":
+        rows = ordered(rows, keys=keys, time=time, seq=seq)
+    how = {"keys": keys, "time": time, "seq": seq, **opts}
+    missing = gaps(rows, max_days, **how).select(
+        *keys, F.lit(None).cast("string").alias("feature"), F.lit("gap").alias("issue"), F.col("gap_start").alias("start"),
+        F.col("gap_end").alias("end"), F.col("days_gap").alias("size"),
+    )
+    flat = flat_spans(rows, metrics, k, **how).select(
+        *keys, F.col("metric").alias("feature"), F.lit("flat").alias("issue"), "start", "end", F.col("n_rows").cast("double").alias("size")
+    )
+    longest = Window.partitionBy(*keys, "feature", "issue").orderBy(F.desc("size"), "start", "end")
+    ranked = missing.unionByName(flat).withColumn("rank", F.row_number().over(longest))
+    return ranked.where(F.col("rank") <= most)
+
+
 @dataclass(frozen=True)
 class Rule:
     """A cross-metric condition that should never hold."""

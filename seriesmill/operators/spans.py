@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.functions.expressions import c, elapsed_days, is_date
+from seriesmill.functions.expressions import c, elapsed_days, is_date, require_columns
 from seriesmill.operators.layout import (
     CHUNK,
     KEYS,
@@ -16,6 +17,7 @@ from seriesmill.operators.layout import (
     TIME,
     Ordered,
     choose_layout,
+    ordered,
     series_order,
     with_position,
 )
@@ -110,6 +112,36 @@ def regime_segments(df: DataFrame, label: str = "regime", **opts) -> DataFrame:
     return label_runs(df, label, lambda _end, last, _start, first: first - last == 1, **opts)
 
 
+def flat_spans(
+    df: DataFrame,
+    metrics: Sequence[str],
+    k: int = 7,
+    *,
+    keys: Sequence[str] = KEYS,
+    time: str = TIME,
+    seq: str | None = None,
+    **opts,
+) -> DataFrame:
+    """Runs of k + 1 or more equal values: (keys, metric, value, start, end, n_rows), a row per run.
+
+    However long a run is, it is one row: runs of a chunk are joined to those of its neighbours by
+    their edges. All metrics go by the positions of one sort. A missing value ends a run.
+    """
+    require_columns(df, list(metrics))
+    wanted = [*keys, time, *metrics, *([seq] if seq else [])]
+    rows = df.select(*[c(n) for n in wanted])
+    if choose_layout(opts.get("layout", "auto")) != "whole" and not isinstance(rows, Ordered):
+        rows = ordered(rows, keys=keys, time=time, seq=seq)
+    how = {"keys": keys, "time": time, "seq": seq, **opts}
+    found = [
+        regime_segments(rows, m, **how).where(F.col("n_rows") > k).select(
+            *keys, F.lit(m).alias("metric"), F.col("label").cast("double").alias("value"), "start", "end", "n_rows"
+        )
+        for m in metrics
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def zone_spans(
     df: DataFrame, label: str = "zone", max_days: int = 1, time: str = TIME, **opts
 ) -> DataFrame:

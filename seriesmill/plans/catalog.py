@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesmill import fixtures
-from seriesmill.config import CORRELATION_METRICS, INDICATORS, TIERS, Settings
+from seriesmill.config import CORRELATION_METRICS, INDICATORS, PERCENTS, TIERS, Settings
 from seriesmill.functions.expressions import c, chart_columns, columns_with_values, mvrv_zone, numeric_columns
-from seriesmill.operators import append, cleaning, indicators, quality, reshape, spans, stats, windows
-from seriesmill.operators.layout import frame_of, ordered
+from seriesmill.operators import append, cleaning, indicators, quality, reshape, sketches, spans, stats, windows
+from seriesmill.operators.layout import frame_of, join_per_key, ordered
 from seriesmill.operators.reshape import melt
 from seriesmill.sources import csv, results, tables, versions
 from seriesmill.sources.scratch import scratch_path, written
@@ -675,6 +675,39 @@ def hours_report(spark, sf_dir):
     )
 
 
+@query("hours_flat_spans")
+def hours_flat_spans(spark, sf_dir):
+    return spans.flat_spans(fixtures.event_metrics(spark, sf_dir), ["EvtCnt", "Users"], 1)
+
+
+@query("hours_largest_issues")
+def hours_largest_issues(spark, sf_dir):
+    return quality.largest_issues(fixtures.event_metrics(spark, sf_dir), ["EvtCnt", "Users", "Val"], 1, 1 / 24 + 1e-9, 5)
+
+
+@query("sketched_percentiles")
+def sketched_percentiles(spark, sf_dir):
+    """Quantiles of a span of days from stored sketches, each with whether its rank is within the bound."""
+    rows = written(events(spark, sf_dir), "events")
+    stored = written(sketches.day_sketches(rows, ["Val"]), "sketches")
+    days = [r[0] for r in stored.select("day").distinct().orderBy("day").collect()]
+    start, end = days[len(days) // 4], days[len(days) // 4 * 3]
+    found = sketches.range_quantiles(stored, start=start, end=end)
+    inside = rows.where(F.col("time").cast("date").between(F.lit(start), F.lit(end))).select("asset", "Val")
+    names = [n for n in found.columns if n.startswith("q")]
+    compared = join_per_key(inside, found.drop("n"), ["asset"])
+    counts = compared.groupBy("asset").agg(
+        F.count("Val").alias("n"), *[F.count_if(c("Val") < c(n)).alias(f"_below_{n}") for n in names],
+        *[F.count_if(c("Val") <= c(n)).alias(f"_upto_{n}") for n in names],
+    )
+    off = sketches.rank_error()
+    held = [
+        ((F.col(f"_below_{n}") <= (p + off) * F.col("n") + 1) & (F.col(f"_upto_{n}") >= (p - off) * F.col("n") - 1)).alias(f"{n}_held")
+        for n, p in zip(names, PERCENTS, strict=True)
+    ]
+    return counts.select("asset", "n", *held)
+
+
 @query("events_percentiles")
 def events_percentiles(spark, sf_dir):
     return stats.percentiles(events(spark, sf_dir), "Val")

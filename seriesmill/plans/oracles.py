@@ -564,6 +564,19 @@ add("hours_gaps", HOURS, steps("m", HOUR_DAYS), ("asset", "gap_start", "gap_end"
 add("hours_flat_runs", HOURS, union(flat(n, 2) for n in ("EvtCnt", "Users")), ("asset", "time", "metric"), ("value",), ("unchanged_count",), where="unchanged_count = 2")
 add("hours_report", HOURS, report(("EvtCnt", "Users", "Val"), 2, HOUR, "m", HOUR_DAYS), ("asset", "feature"),
     whole=("total_records", "gap_count", "zero_count", "repeated_values_count"))
+FLAT_SPANS = union(f"""SELECT asset, '{n}' AS metric, label AS value, "start", "end", n_rows FROM ({runs('SELECT * FROM m', n)}) r WHERE n_rows > 1"""
+    for n in ("EvtCnt", "Users", "Val"))
+add("hours_flat_spans", HOURS, FLAT_SPANS, ("asset", "metric", "start", "end"), ("value",), ("n_rows",), where="metric <> 'Val'")
+ISSUES = f"""SELECT asset, NULL AS feature, 'gap' AS issue, gap_start AS "start", gap_end AS "end", days_gap AS size FROM ({steps("m", HOUR_DAYS)}) g WHERE days_gap > {HOUR}
+    UNION ALL SELECT asset, metric, 'flat', "start", "end", n_rows FROM ({FLAT_SPANS}) f"""
+add("hours_largest_issues", HOURS, f"""SELECT *, ROW_NUMBER() OVER (PARTITION BY asset, feature, issue ORDER BY size DESC, "start", "end") AS rank FROM ({ISSUES}) i""",
+    ("asset", "feature", "issue", "start", "end"), ("size",), ("rank",), where="rank <= 5")
+add("sketched_percentiles", EVENTS + """,
+days AS (SELECT day, ROW_NUMBER() OVER (ORDER BY day) - 1 AS place, COUNT(*) OVER () AS n
+    FROM (SELECT DISTINCT CAST(time AS DATE) AS day FROM e WHERE "Val" IS NOT NULL) d)""",
+    """SELECT asset, COUNT("Val") AS n, true AS q10_held, true AS q25_held, true AS q50_held, true AS q75_held, true AS q90_held
+    FROM e WHERE CAST(time AS DATE) BETWEEN (SELECT day FROM days WHERE place = n // 4) AND (SELECT day FROM days WHERE place = n // 4 * 3) GROUP BY asset""",
+    ("asset",), whole=("n",), plain=("q10_held", "q25_held", "q50_held", "q75_held", "q90_held"))
 add("events_percentiles", EVENTS, quantiles("SELECT * FROM e", "Val"), ("asset",), ("q10", "q25", "q50", "q75", "q90"))
 add("events_value_band", EVENTS, bands("SELECT * FROM e", "Val"), ("asset", "time", "band"), ("Val",))
 add("events_mean_median", EVENTS, 'SELECT asset, AVG("Val") AS mean, MEDIAN("Val") AS median FROM e GROUP BY asset', ("asset",), ("mean", "median"))
