@@ -62,72 +62,92 @@ def ranked_percentiles(
     *,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Exact percentiles without gathering a key.
+    """Exact percentiles of one column without gathering a key."""
+    return ranked_percentiles_of(df, [value], probs, keys=keys).drop("metric")
 
-    Approximate quantiles a little below and above each wanted rank cut the values into bins.
-    Bins are counted exactly, in the tasks that read the rows; only values in bins that hold a
-    wanted rank are shuffled (as counts) and sorted. Any cut points give the same result, good
-    ones only make the sorted bins small.
+
+def ranked_percentiles_of(
+    df: DataFrame,
+    metrics: Sequence[str],
+    probs: Sequence[float] = PERCENTS,
+    *,
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """(keys, metric, q...): exact percentiles of many columns, all selected by rank in the same scans.
+
+    1. Approximate quantiles a little below and above each wanted rank cut each metric's values.
+    2. The values up to each cut are counted, for all metrics in one aggregate of the wide rows.
+    3. Only values between cuts that hold a wanted rank leave their row; they are shuffled as counts
+       per value and sorted.
+    Any cuts give the same result, good ones only make the sorted part small. Rows are never
+    multiplied by metrics.
     """
-    keys = list(keys)
-    probs = list(probs)
-    rows = df.where(c(value).isNotNull()).select(*keys, c(value).alias("_v"))
+    keys, probs, count = list(keys), list(probs), len(metrics)
+    values = [f"_v{i}" for i in range(count)]
+    rows = df.select(*[c(k) for k in keys], *[c(m).cast("double").alias(v) for m, v in zip(metrics, values)])
     around = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-_BAND, _BAND)})
     cuts = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", around, _SKETCH_ACCURACY).alias("_cuts"),
-        F.count(F.lit(1)).alias("_total"),
+        *[F.percentile_approx(v, around, _SKETCH_ACCURACY).alias(f"_cuts{i}") for i, v in enumerate(values)]
     )
-    binned = join_per_key(rows, cuts, keys).withColumn(
-        "_bin", F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))
-    )
-    per_bin = binned.groupBy(*keys, "_bin").agg(
-        F.count(F.lit(1)).alias("_in_bin"), F.first("_total").alias("_total")
-    )
-    # At most len(cuts)+1 rows per key.
-    below = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = per_bin.withColumn("_start", F.sum("_in_bin").over(below) - F.col("_in_bin"))
-
-    at = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
-    lows = [F.floor(a) for a in at]
-    highs = [F.ceil(a) for a in at]
-
-    def inside(rank: Column, start: Column, size: Column) -> Column:
-        return (rank >= start) & (rank < start + size)
-
-    holds = F.lit(False)
-    for rank in (*lows, *highs):
-        holds = holds | inside(rank, F.col("_start"), F.col("_in_bin"))
-    wanted = bins.where(holds).select(*keys, "_bin", "_start")
-    counted = join_per_key(binned, wanted, [*keys, "_bin"]).groupBy(
-        *keys, "_bin", "_start", "_total", "_v"
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    upto = (
-        Window.partitionBy(*keys, "_bin").orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = counted.withColumn(
-        "_first", F.col("_start") + F.sum("_n").over(upto) - F.col("_n")
+    upto = join_per_key(rows, cuts, keys).groupBy(*keys).agg(
+        *[F.count(v).alias(f"_total{i}") for i, v in enumerate(values)],
+        *[F.first(f"_cuts{i}").alias(f"_cuts{i}") for i in range(count)],
+        *[
+            F.count_if(F.col(v) <= F.col(f"_cuts{i}")[j]).alias(f"_upto{i}_{j}")
+            for i, v in enumerate(values) for j in range(len(around))
+        ],
     )
 
+    def ranks(total: Column) -> list[Column]:
+        places = [(total - 1) * F.lit(float(p)) for p in probs]
+        return [f(place).cast("long") for place in places for f in (F.floor, F.ceil)]
+
+    def wanted(i: int) -> Column:
+        """The stretches of metric i, from one cut to the next, in which the ranks lie."""
+        counts = F.array(*[F.col(f"_upto{i}_{j}") for j in range(len(around))])
+        marks, total = F.col(f"_cuts{i}"), F.col(f"_total{i}")
+
+        def stretch(rank: Column) -> Column:
+            at = F.size(F.filter(counts, lambda n: n <= rank))
+            return F.struct(
+                F.when(at > 0, F.try_element_at(marks, F.greatest(at, F.lit(1)))).alias("low"),
+                F.try_element_at(marks, at + 1).alias("high"),
+                F.when(at > 0, F.try_element_at(counts, F.greatest(at, F.lit(1)))).otherwise(F.lit(0).cast("long")).alias("start"),
+                total.alias("total"),
+            )
+
+        return F.when(total > 0, F.array_distinct(F.array(*map(stretch, ranks(total)))))
+
+    places = upto.select(*keys, *[wanted(i).alias(f"_wanted{i}") for i in range(count)])
+
+    def held(i: int, metric: str) -> Column:
+        v = F.col(values[i])
+        found = F.filter(f"_wanted{i}", lambda w: (w["low"].isNull() | (v > w["low"])) & (w["high"].isNull() | (v <= w["high"])))
+        found = F.try_element_at(found, F.lit(1))
+        return F.struct(F.lit(metric).alias("metric"), v.alias("_v"), found["start"].alias("_start"), found["total"].alias("_total"))
+
+    entries = F.filter(F.array(*[held(i, m) for i, m in enumerate(metrics)]), lambda x: x["_start"].isNotNull() & x["_v"].isNotNull())
+    single = join_per_key(rows, places, keys).select(*keys, F.inline(entries))
+    counted = single.groupBy(*keys, "metric", "_start", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    so_far = Window.partitionBy(*keys, "metric", "_start").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_first", F.col("_start") + F.sum("_n").over(so_far) - F.col("_n"))
+
     def pick(rank: Column) -> Column:
-        return F.max(F.when(inside(rank, F.col("_first"), F.col("_n")), F.col("_v")))
+        inside = (rank >= F.col("_first")) & (rank < F.col("_first") + F.col("_n"))
+        return F.max(F.when(inside, F.col("_v")))
 
-    picked = ranked.groupBy(*keys).agg(
+    picked = ranked.groupBy(*keys, "metric").agg(
         F.first("_total").alias("_total"),
-        *[pick(r).alias(f"_lo_{i}") for i, r in enumerate(lows)],
-        *[pick(r).alias(f"_hi_{i}") for i, r in enumerate(highs)],
-    )
-    return picked.select(
-        *keys,
-        *[
-            (
-                F.col(f"_lo_{i}")
-                + (F.col(f"_hi_{i}") - F.col(f"_lo_{i}")) * (at[i] - F.floor(at[i]))
-            ).alias(percentile_name(p))
-            for i, p in enumerate(probs)
-        ],
+        *[pick(rank).alias(f"_at_{i}") for i, rank in enumerate(ranks(F.col("_total")))],
     )
 
+    def between(i: int, p: float) -> Column:
+        low, high = F.col(f"_at_{2 * i}"), F.col(f"_at_{2 * i + 1}")
+        place = (F.col("_total") - 1) * F.lit(float(p))
+        return low + (high - low) * (place - F.floor(place))
+
+    return picked.select(*keys, "metric", *[between(i, p).alias(percentile_name(p)) for i, p in enumerate(probs)])
+
 
 def volatility_regime(
     df: DataFrame,
@@ -416,26 +436,21 @@ def describe(
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per metric."""
     require_columns(df, metrics)
     probs = [0.25, 0.5, 0.75]
-    long = melt(df, list(keys), {m: {"value": m} for m in metrics})
-    by_metric = [*keys, "metric"]
-    basics = [
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    ]
+    whole = choose_layout(layout) == "whole"
+    figures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    if whole:
+        figures["_q"] = lambda x: F.percentile(x, probs)
+    totals = df.groupBy(*keys).agg(
+        *[f(c(m)).alias(f"_{n}_{i}") for i, m in enumerate(metrics) for n, f in figures.items()]
+    )
+    out = melt(totals, list(keys), {m: {n: f"_{n}_{i}" for n in figures} for i, m in enumerate(metrics)})
     quartiles = {percentile_name(p): f"p{round(p * 100)}" for p in probs}
-    if choose_layout(layout) == "whole":
-        out = long.groupBy(*by_metric).agg(*basics, F.percentile("value", probs).alias("_q"))
+    if whole:
         out = out.withColumns({n: F.col("_q")[i] for i, n in enumerate(quartiles.values())})
     else:
-        ranks = ranked_percentiles(long, "value", probs, keys=by_metric)
-        ranks = ranks.withColumnsRenamed(quartiles)
-        out = join_on(long.groupBy(*by_metric).agg(*basics), ranks, by_metric, "left")
-    return out.select(
-        *by_metric, "count", "mean", "std", "min", *quartiles.values(), "max"
-    )
+        ranks = ranked_percentiles_of(df, metrics, probs, keys=keys).withColumnsRenamed(quartiles)
+        out = join_on(out, ranks, [*keys, "metric"], "left")
+    return out.select(*keys, "metric", "count", "mean", "std", "min", *quartiles.values(), "max")
 
 
 def dataset_info(

@@ -93,3 +93,33 @@ def test_shifted_batches_merge():
 def test_no_rows(spark):
     names = [f"m{i}" for i in range(12)]
     assert stats.correlation_matrix(table(spark, np.ones((0, 12)), names), names).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ranks_of_many_metrics(spark, parts):
+    """Exact percentiles and descriptions of all metrics at once, against numpy."""
+    rng = np.random.default_rng(parts)
+    x = np.column_stack([rng.normal(size=900), rng.integers(0, 3, 900), rng.exponential(size=900) ** 9, np.full(900, 7.0), np.full(900, np.nan), rng.normal(size=900)])
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[2:, 5] = np.nan
+    names = [f"m.{i}" for i in range(6)]
+    df = table(spark, x, names).repartition(parts)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    found = {(r[0], r["metric"]): list(r)[2:] for r in stats.ranked_percentiles_of(df, names, probs).collect()}
+    for k, key in enumerate(("a", None)):
+        for i, name in enumerate(names):
+            v = x[k::2, i][~np.isnan(x[k::2, i])]
+            assert (key, name) in found if len(v) else (key, name) not in found
+            if len(v):
+                assert np.allclose(found[key, name], np.quantile(v, probs), rtol=1e-12, atol=1e-12)
+    whole = sorted(map(str, stats.describe(df, names, layout="whole").collect()))
+    assert len(whole) == 12 and sorted(map(str, stats.describe(df, names).collect())) == whole
+
+
+def test_rows_are_not_multiplied_by_metrics(spark):
+    names = [f"m{i}" for i in range(4)]
+    df = table(spark, np.ones((4, 4)), names)
+    for layout in ("whole", "chunked"):
+        plan = stats.describe(df, names, layout=layout)._jdf.queryExecution().optimizedPlan().toString()
+        for found in (line for line in plan.splitlines() if "Generate" in line):
+            assert "inline(filter(" in found or "_count_0" in found or "array(struct(metric" in found
