@@ -207,11 +207,13 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     # at most two rows more than cuts, so at most MOST_RANGES + 1: bounded, and broadcast for that
     first = F.broadcast(heads.select(F.col("range").alias("head_range"), "head"))
     same = (F.col("range") == F.col("head_range")) & (F.col("tie") == F.col("head.tie")) & F.col("doc_id").eqNullSafe(F.col("head.id"))
-    firsts = rows.join(first, same).groupBy("range").agg(F.first("text").alias("text"))
+    firsts = rows.join(first, same).groupBy("range").agg(F.first("text").alias("after_text"))
+    # which range follows which is found among numbers; a range's first text goes to the one before
     turn = Window.orderBy("range")
     everything = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = F.coalesce(F.lead("text").over(turn), F.first("text").over(everything))
-    after = written(firsts.select(F.col("range").alias("after_range"), after.alias("after_text")), "iblt-after")
+    following = F.coalesce(F.lead("range").over(turn), F.first("range").over(everything))
+    following = heads.select(F.col("range").alias("after_range"), following.alias("range"))
+    after = written(following.join(firsts, "range").select("after_range", "after_text"), "iblt-after")
     after = after.withColumn("after_digests", digests_of(F.col("after_text")))
     inside = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_last(), "tie")
     beside = rows.withColumn("next_text", F.lead("text").over(inside)).withColumn("next_digests", F.lead("digests").over(inside))

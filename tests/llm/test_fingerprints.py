@@ -110,3 +110,18 @@ def test_texts_are_shuffled_once(spark, sf_dir):
     plan = iblt.fingerprints(table)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
     assert plan.count("Exchange hashpartitioning(range") <= 2 and "SinglePartition" not in plan
+
+
+def test_no_task_gathers_texts(spark, sf_dir, monkeypatch):
+    """Nor in the steps that are written before."""
+    plans = []
+    plain = iblt.written
+    monkeypatch.setattr(iblt, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, name))
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = table.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digests", iblt.digests_of(F.col("text")))
+    found = {r.doc_id: r.next_text for r in iblt.with_next(rows, 20).collect()}
+    texts = sorted((r.doc_id, r.text) for r in rows.collect())
+    assert found == {a[0]: b[1] for a, b in zip(texts, texts[1:] + texts[:1], strict=True)}
+    for plan in plans:
+        for window in re.findall(r"^.*Window \[.*$", plan, re.M):
+            assert "text" not in window and "digests" not in window
