@@ -19,7 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seriesmill.functions.expressions import c
 from seriesmill.operators.layout import join_per_key
 from seriesmill.sources.scratch import written
 
@@ -168,7 +167,7 @@ def _files(lines: DataFrame, blocks: DataFrame, breaks: bool, time: str, asset_p
         firsts = firsts.join(written(whole, "csv-headers"), "file", "left")
         header = F.coalesce("_whole", header)
     # A byte order mark is no part of a name.
-    names = F.transform(fields_of(F.regexp_replace(header, "^﻿", "")), lambda x: F.trim(x))
+    names = F.transform(fields_of(F.regexp_replace(header, "^\ufeff", "")), lambda x: F.trim(x))
     found = firsts.select(
         "file", F.regexp_extract("file", asset_pattern, 1).alias("asset"), names.alias("names"),
         F.col("first.place").alias("header_place"), "unclosed",
