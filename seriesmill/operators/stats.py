@@ -220,8 +220,11 @@ def histogram_density(
     )
 
 
-# Grid points summed side by side per row; rows are repeated once per block of points.
-_BLOCK = 10
+# Boxes of values per bandwidth, and terms kept of the expansion around a box's middle.
+_BOXES = 8
+_TERMS = 24
+# Farther from a value, in bandwidths, its kernel is zero in double precision.
+_REACH = 40.0
 
 
 def kde_grid(
@@ -235,8 +238,15 @@ def kde_grid(
 ) -> DataFrame:
     """Gaussian kernel density at evenly spaced points from minimum to maximum.
 
-    Scott bandwidth n^(-1/5) * sample deviation. The tasks that read the rows add them to the
-    grid, so only grids are shuffled. Series without spread give no rows.
+    Scott bandwidth n^(-1/5) * sample deviation. Series without spread give no rows.
+
+    A row is added to the moments of its box, an eighth of a bandwidth wide; what it costs does not
+    depend on ``points``. With u the way from the box's middle to a value and z that to a grid point,
+    in bandwidths, the kernel is exp(-z^2/2) exp(-u^2/2) exp(zu), and exp(zu) is 24 terms of its
+    series in zu, so a box's values enter as the sums of exp(-u^2/2) u^m. Here |u| <= 1/16 and
+    |z| < 40, beyond which kernels are zero, so a kernel's relative error stays below 2e-12 at the
+    farthest points that count and below 1e-15 within 20 bandwidths. Boxes, at most one per value,
+    are then added to the grid.
     """
     keys = list(keys)
     whole = choose_layout(layout) == "whole"
@@ -254,34 +264,34 @@ def kde_grid(
         ((F.col("_hi") - F.col("_lo")) / F.lit(float(points - 1))).alias("_step"),
         (F.pow(F.col("_total").cast("double"), F.lit(-0.2)) * F.col("_sd")).alias("_h"),
     )
-    blocks = math.ceil(points / _BLOCK)
-    spread = _attach(df, value, shape, keys, whole).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    figures = ("_lo", "_step", "_h", "_total")
+    rows = _attach(df, value, shape, keys, whole).withColumn("_r", (F.col("_v") - F.col("_lo")) / F.col("_h"))
+    rows = rows.withColumn("_box", F.floor(F.col("_r") * _BOXES))
+
+    def middle() -> Column:
+        return (F.col("_box") + F.lit(0.5)) / F.lit(float(_BOXES))
+
+    rows = rows.withColumn("_u", F.col("_r") - middle())
+    terms = [F.exp(F.lit(-0.5) * F.col("_u") * F.col("_u"))]
+    for _ in range(_TERMS - 1):
+        terms.append(terms[-1] * F.col("_u"))
+    boxes = rows.groupBy(*keys, "_box").agg(
+        *[F.first(n).alias(n) for n in figures],
+        *[(F.sum(term) / F.lit(float(math.factorial(m)))).alias(f"_m{m}") for m, term in enumerate(terms)],
     )
-
-    def grid_point(i: int) -> Column:
-        return F.col("_lo") + F.col("_step") * (F.col("_block") * _BLOCK + i)
-
-    def kernel(i: int) -> Column:
-        z = (grid_point(i) - F.col("_v")) / F.col("_h")
-        return F.sum(F.exp(F.lit(-0.5) * z * z))
-
-    sums = spread.groupBy(*keys, "_block").agg(
-        *[F.first(n).alias(n) for n in ("_lo", "_step", "_h", "_total")],
-        *[kernel(i).alias(f"_k{i}") for i in range(_BLOCK)],
+    spread = boxes.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    spread = spread.withColumn("_z", F.col("_step") * F.col("point") / F.col("_h") - middle())
+    series = F.col(f"_m{_TERMS - 1}")
+    for m in reversed(range(_TERMS - 1)):
+        series = series * F.col("_z") + F.col(f"_m{m}")
+    kernels = F.when(F.abs("_z") < _REACH, F.exp(F.lit(-0.5) * F.col("_z") * F.col("_z")) * series)
+    sums = spread.groupBy(*keys, "point").agg(
+        *[F.first(n).alias(n) for n in figures], F.coalesce(F.sum(kernels), F.lit(0.0)).alias("_sum")
     )
     scale = F.col("_total") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))
-    entries = F.array(
-        *[
-            F.struct(
-                (F.col("_block") * _BLOCK + i).alias("point"),
-                grid_point(i).alias("x"),
-                (F.col(f"_k{i}") / scale).alias("density"),
-            )
-            for i in range(_BLOCK)
-        ]
+    return sums.select(
+        *keys, "point", (F.col("_lo") + F.col("_step") * F.col("point")).alias("x"), (F.col("_sum") / scale).alias("density")
     )
-    return sums.select(*keys, F.inline(entries)).where(F.col("point") < points)
 
 
 def mean_median(

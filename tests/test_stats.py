@@ -66,6 +66,38 @@ def test_density_formula(spark):
     assert stats.kde_grid(days(spark, [1.0]), "v").count() == 0
 
 
+def test_density_is_exact_far_from_all_values(spark):
+    """Gaps of many bandwidths, values on box edges, a large offset, an uneven second series."""
+    rng = np.random.default_rng(8)
+    cases = {
+        "gaps": np.concatenate([rng.normal(0, 1, 2000), [25.0, 25.0, 60.0]]),
+        "offset": 1e6 + np.arange(500) / 8.0,
+        "skew": np.exp(rng.normal(0, 2, 1500)),
+    }
+    df = days(spark, map(float, cases["gaps"]), "gaps").union(days(spark, map(float, cases["offset"]), "offset"))
+    df = df.union(days(spark, map(float, cases["skew"]), "skew")).union(days(spark, map(float, cases["skew"]), None))
+    for points in (2, 100, 333):
+        out = stats.kde_grid(df, "v", points).toPandas().sort_values("point")
+        for name, values in [*cases.items(), (None, cases["skew"])]:
+            got = out[out["asset"].isna() if name is None else out["asset"] == name]["density"].to_numpy()
+            grid = np.linspace(values.min(), values.max(), points)
+            h = len(values) ** (-1 / 5) * values.std(ddof=1)
+            z = (grid[:, None] - values[None, :]) / h
+            expected = np.exp(-0.5 * z**2).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
+            normal = expected > 1e-290
+            assert len(got) == points
+            assert np.abs(got[normal] / expected[normal] - 1).max() < 1e-10
+            assert np.abs(got[~normal] - expected[~normal]).max(initial=0.0) < 1e-290
+
+
+def test_density_adds_a_row_to_one_box(spark):
+    """Rows reach the grid only as boxes: what is laid out by points is an aggregate by box."""
+    plan = stats.kde_grid(days(spark, [1.0, 2.0, 4.0]), "v", 50)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    laid_out = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    by_box = next(i for i, line in enumerate(plan) if "Aggregate [" in line and "_box" in line.split("],")[0])
+    assert laid_out < by_box and not any("Generate" in line for line in plan[by_box:])
+
+
 def test_first_of_equal_extremes_wins(spark):
     row = stats.peak_trough(days(spark, [1.0, 9.0, 9.0, 0.5, 0.5, None]), "v").first()
     assert (row["peak_time"].day, row["trough_time"].day) == (2, 4)
