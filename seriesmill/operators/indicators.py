@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.config import INDICATORS, TIERS
 from seriesmill.functions.expressions import c, mvrv_zone, ratio, regime, require_columns
+from seriesmill.operators.fused import Figures, apart
 from seriesmill.operators.layout import KEYS, TIME, over_series
 from seriesmill.operators.reshape import tier_columns
 
@@ -80,20 +81,18 @@ def insight_summary(
     Everything is a first, last, lowest or highest row, so one aggregate with partial
     results per task does it; no window and no sort of the series.
     """
-    keys = list(keys)
-    rows = df.withColumns(
-        {
-            **tier_columns(),
-            "_decentralization": F.lit(1.0) - ratio(c("SplyAdrTop1Pct"), c("SplyCur")),
-        }
-    )
-    levels = ["AdrBalCnt", *TIERS, "AdrActCnt"]
-    ends = F.struct(*[c(n) for n in levels])
+    return apart(df, insight_figures(keys=keys, time=time), keys)
+
+
+def insight_figures(*, keys: Sequence[str] = KEYS, time: str = TIME) -> Figures:
+    decentralization = F.lit(1.0) - ratio(c("SplyAdrTop1Pct"), c("SplyCur"))
+    tiers = [tier.alias(n) for n, tier in tier_columns().items()]
+    ends = F.struct(c("AdrBalCnt"), *tiers, c("AdrActCnt"))
     t = c(time)
     low = F.min(
         F.when(
-            c("_decentralization").isNotNull(),
-            F.struct(c("_decentralization").alias("v"), t.alias("t")),
+            decentralization.isNotNull(),
+            F.struct(decentralization.alias("v"), t.alias("t")),
         )
     )
     high = F.min(
@@ -104,19 +103,19 @@ def insight_summary(
     )
     zoned = c("PriceUSD").isNotNull() & c("CapMVRVCur").isNotNull()
     valued = F.max(F.when(zoned, F.struct(t.alias("t"), c("CapMVRVCur").alias("v"))))
-    found = rows.groupBy(*keys).agg(
-        low.alias("_low"),
-        high.alias("_high"),
-        valued.alias("_valued"),
-        F.min_by(ends, t).alias("_first"),
-        F.max_by(ends, t).alias("_last"),
-        F.max(t).alias("as_of"),
-    )
+    columns = {
+        "_low": low,
+        "_high": high,
+        "_valued": valued,
+        "_first": F.min_by(ends, t),
+        "_last": F.max_by(ends, t),
+        "as_of": F.max(t),
+    }
 
     def change(name: str):
         return (ratio(c("_last")[name], c("_first")[name]) - 1) * 100
 
-    return found.select(
+    shown = [
         *keys,
         "as_of",
         F.col("_low.t").alias("most_centralized_time"),
@@ -128,4 +127,5 @@ def insight_summary(
         F.col("_valued.v").alias("latest_mvrv"),
         mvrv_zone(F.col("_valued.v")).alias("latest_zone"),
         change("AdrActCnt").alias("activity_change_pct"),
-    )
+    ]
+    return Figures(columns, lambda found: found.select(*shown))

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from seriesmill.functions.expressions import c, elapsed_days, is_date, require_columns
+from seriesmill.functions.expressions import c, elapsed_days, is_date, present_columns, require_columns
+from seriesmill.operators.fused import Figures, apart
 from seriesmill.operators.layout import KEYS, TIME, choose_layout, frame_of, ordered, over_series
 from seriesmill.operators.reshape import melt
 from seriesmill.operators.spans import flat_spans
@@ -48,17 +49,15 @@ def zero_null_stats(
 ) -> DataFrame:
     """Row count, zero-or-NULL count and date range per key and metric, in one aggregate."""
     require_columns(df, metrics)
+    return apart(df, zero_null_figures(metrics, keys=keys, time=time), keys)
+
+
+def zero_null_figures(metrics: Sequence[str], *, keys: Sequence[str] = KEYS, time: str = TIME) -> Figures:
     zero = {m: f"_zero_{i}" for i, m in enumerate(metrics)}
-    totals = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.min(time).alias("earliest"),
-        F.max(time).alias("latest"),
-        *[_zero_or_null(m).alias(zero[m]) for m in metrics],
-    )
-    return melt(
-        totals,
-        [*keys, "total_records", "earliest", "latest"],
-        {m: {"zero_count": zero[m]} for m in metrics},
+    span = {"total_records": F.count(F.lit(1)), "earliest": F.min(c(time)), "latest": F.max(c(time))}
+    each = {m: {"zero_count": zero[m]} for m in metrics}
+    return Figures(
+        {**span, **{zero[m]: _zero_or_null(m) for m in metrics}}, lambda totals: melt(totals, [*keys, *span], each)
     )
 
 
@@ -255,17 +254,18 @@ def consistency(
     time: str = TIME,
 ) -> DataFrame:
     """Per key and rule: rows that break it, and whether the latest row does."""
+    return apart(df, consistency_figures(rules, keys=keys, time=time), keys)
+
+
+def consistency_figures(
+    rules: Sequence[Rule] | None = None, *, keys: Sequence[str] = KEYS, time: str = TIME
+) -> Figures:
     rules = holder_rules() if rules is None else list(rules)
     count = {r.name: f"_count_{i}" for i, r in enumerate(rules)}
     latest = {r.name: f"_latest_{i}" for i, r in enumerate(rules)}
     severity = {r.name: f"_severity_{i}" for i, r in enumerate(rules)}
-    totals = df.groupBy(*keys).agg(
-        *[F.count_if(r.broken).alias(count[r.name]) for r in rules],
-        *[
-            F.max_by(F.coalesce(r.broken, F.lit(False)), c(time)).alias(latest[r.name])
-            for r in rules
-        ],
-    ).withColumns({severity[r.name]: F.lit(r.severity) for r in rules})
+    columns = {count[r.name]: F.count_if(r.broken) for r in rules}
+    columns |= {latest[r.name]: F.max_by(F.coalesce(r.broken, F.lit(False)), c(time)) for r in rules}
     outputs = {
         r.name: {
             "severity": severity[r.name],
@@ -274,38 +274,52 @@ def consistency(
         }
         for r in rules
     }
-    return melt(totals, list(keys), outputs, name="rule")
+
+    def cut(totals: DataFrame) -> DataFrame:
+        totals = totals.withColumns({severity[r.name]: F.lit(r.severity) for r in rules})
+        return melt(totals, list(keys), outputs, name="rule")
+
+    return Figures(columns, cut)
 
 
 def null_counts(
     df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    return _count_each(df, columns, keys, lambda n: c(n).isNull(), "null_count")
+    return apart(df, null_figures(columns, keys=keys), keys)
+
+
+def null_figures(columns: Sequence[str], *, keys: Sequence[str] = KEYS) -> Figures:
+    return _count_each(columns, keys, lambda n: c(n).isNull(), "null_count")
 
 
 def nonpositive_counts(
     df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Values at or below zero; columns that are absent are skipped."""
-    present = [n for n in columns if n in df.columns]
-    return _count_each(df, present, keys, lambda n: c(n) <= 0, "nonpositive_count")
+    return apart(df, nonpositive_figures(present_columns(df, columns), keys=keys), keys)
+
+
+def nonpositive_figures(columns: Sequence[str], *, keys: Sequence[str] = KEYS) -> Figures:
+    return _count_each(columns, keys, lambda n: c(n) <= 0, "nonpositive_count")
 
 
 def _count_each(
-    df: DataFrame,
-    columns: Sequence[str],
-    keys: Sequence[str],
-    test: Callable[[str], Column],
-    output: str,
-) -> DataFrame:
+    columns: Sequence[str], keys: Sequence[str], test: Callable[[str], Column], output: str
+) -> Figures:
     names = {n: f"_count_{i}" for i, n in enumerate(columns)}
-    totals = df.groupBy(*keys).agg(*[F.count_if(test(n)).alias(names[n]) for n in columns])
-    return melt(totals, list(keys), {n: {output: names[n]} for n in columns})
+    return Figures(
+        {names[n]: F.count_if(test(n)) for n in columns},
+        lambda totals: melt(totals, list(keys), {n: {output: names[n]} for n in columns}),
+    )
 
 
 def latest_summary(
     df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = KEYS, time: str = TIME
 ) -> DataFrame:
     """The newest row of each series."""
-    newest = F.max_by(F.struct(c(time), *[c(n) for n in columns]), c(time)).alias("_newest")
-    return df.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
+    return apart(df, latest_figures(columns, keys=keys, time=time), keys)
+
+
+def latest_figures(columns: Sequence[str], *, keys: Sequence[str] = KEYS, time: str = TIME) -> Figures:
+    newest = F.max_by(F.struct(c(time), *[c(n) for n in columns]), c(time))
+    return Figures({"_newest": newest}, lambda totals: totals.select(*[c(k) for k in keys], "_newest.*"))

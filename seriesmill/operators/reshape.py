@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.config import TIERS
 from seriesmill.functions.expressions import c, floor_at_zero, join_on, ratio, require_columns
+from seriesmill.operators.fused import Figures, apart
 from seriesmill.operators.layout import KEYS, TIME
 
 
@@ -87,16 +88,25 @@ def tier_distribution(
     tiers: DataFrame, *, keys: Sequence[str] = KEYS, time: str = TIME
 ) -> DataFrame:
     """Share of each non-empty tier in the newest row, in percent."""
-    newest = tiers.groupBy(*keys).agg(
-        F.max_by(F.struct(c(time), *[c(n) for n in TIERS]), c(time)).alias("_newest")
-    ).select(*keys, "_newest.*")
-    held = [F.when(c(n) > 0, c(n)).otherwise(F.lit(0.0)) for n in TIERS]
-    rows = newest.withColumn("_total", reduce(lambda a, b: a + b, held))
-    long = melt(rows, [*keys, time, "_total"], {n: {"holders": n} for n in TIERS}, name="tier")
-    return long.where(c("holders") > 0).select(
-        *keys, time, "tier", "holders",
-        (ratio(c("holders"), c("_total")) * 100).alias("share_pct"),
-    )
+    return apart(tiers, tier_figures({n: c(n) for n in TIERS}, keys=keys, time=time), keys)
+
+
+def tier_figures(
+    tiers: Mapping[str, Column], *, keys: Sequence[str] = KEYS, time: str = TIME
+) -> Figures:
+    """The distribution of tiers that are columns of the rows, or are put together from them."""
+    newest = F.max_by(F.struct(c(time), *[tier.alias(n) for n, tier in tiers.items()]), c(time))
+
+    def cut(totals: DataFrame) -> DataFrame:
+        held = [F.when(c(n) > 0, c(n)).otherwise(F.lit(0.0)) for n in tiers]
+        rows = totals.select(*[c(k) for k in keys], "_newest.*").withColumn("_total", reduce(lambda a, b: a + b, held))
+        long = melt(rows, [*keys, time, "_total"], {n: {"holders": n} for n in tiers}, name="tier")
+        return long.where(c("holders") > 0).select(
+            *keys, time, "tier", "holders",
+            (ratio(c("holders"), c("_total")) * 100).alias("share_pct"),
+        )
+
+    return Figures({"_newest": newest}, cut)
 
 
 def yoy(df: DataFrame, metric: str, *, keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:

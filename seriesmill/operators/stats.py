@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.config import PERCENTS
 from seriesmill.functions.expressions import c, join_on, ratio, require_columns, volatility_band
+from seriesmill.operators.fused import Figures, apart
 from seriesmill.operators.layout import KEYS, TIME, choose_layout, join_per_key
 from seriesmill.operators.moments import pair_correlations
 from seriesmill.operators.reshape import melt
@@ -315,32 +316,37 @@ def mean_median(
 def peak_trough(
     df: DataFrame, value: str, *, keys: Sequence[str] = KEYS, time: str = TIME
 ) -> DataFrame:
-    """Highest and lowest value and the first time each was reached."""
-    rows = df.where(c(value).isNotNull()).select(*keys, c(time).alias("_t"), c(value).alias("_v"))
+    """Highest and lowest value and the first time each was reached; no row without a value."""
+    return apart(df, extreme_figures(value, keys=keys, time=time), keys)
+
+
+def extreme_figures(value: str, *, keys: Sequence[str] = KEYS, time: str = TIME) -> Figures:
+    v, t = c(value), c(time)
     # Least (distance from the extreme, time) first: negating the value lets one minimum
     # pick the highest value at its earliest time.
-    best = rows.groupBy(*keys).agg(
-        F.min(F.struct((-F.col("_v")).alias("k"), F.col("_t").alias("t"), F.col("_v").alias("v")))
-        .alias("_peak"),
-        F.min(F.struct(F.col("_v").alias("v"), F.col("_t").alias("t"))).alias("_trough"),
-    )
-    return best.select(
-        *keys,
-        F.col("_peak.t").alias("peak_time"),
-        F.col("_peak.v").alias("peak_value"),
-        F.col("_trough.t").alias("trough_time"),
-        F.col("_trough.v").alias("trough_value"),
-    )
+    high = F.when(v.isNotNull(), F.struct((-v).alias("k"), t.alias("t"), v.alias("v")))
+    low = F.when(v.isNotNull(), F.struct(v.alias("v"), t.alias("t")))
+
+    def cut(best: DataFrame) -> DataFrame:
+        return best.where(F.col("_peak").isNotNull()).select(
+            *keys,
+            F.col("_peak.t").alias("peak_time"),
+            F.col("_peak.v").alias("peak_value"),
+            F.col("_trough.t").alias("trough_time"),
+            F.col("_trough.v").alias("trough_value"),
+        )
+
+    return Figures({"_peak": F.min(high), "_trough": F.min(low)}, cut)
 
 
 def ols_fit(df: DataFrame, x: str, y: str, *, keys: Sequence[str] = KEYS) -> DataFrame:
     """Least-squares line of y on x."""
-    return df.groupBy(*keys).agg(
-        F.regr_slope(c(y), c(x)).alias("slope"),
-        F.regr_intercept(c(y), c(x)).alias("intercept"),
-        F.regr_r2(c(y), c(x)).alias("r2"),
-        F.regr_count(c(y), c(x)).alias("n"),
-    )
+    return apart(df, line_figures(x, y), keys)
+
+
+def line_figures(x: str, y: str) -> Figures:
+    fit = {"slope": F.regr_slope, "intercept": F.regr_intercept, "r2": F.regr_r2, "n": F.regr_count}
+    return Figures({name: f(c(y), c(x)) for name, f in fit.items()}, lambda totals: totals)
 
 
 # Up to this many metrics all pairs are built-in aggregates of one pass; more are matrix products.
@@ -356,13 +362,20 @@ def _pair_correlations(
     the tasks that read the rows. A metric that is constant over the shared rows has no correlation.
     """
     require_columns(df, metrics)
-    choose = combinations_with_replacement if diagonal else combinations
-    pairs = list(choose(range(len(metrics)), 2))
     if len(metrics) > _FEW_METRICS:
         found = pair_correlations(df, metrics, keys)
         found = found if diagonal else found.where("i < j")
         names = F.array(*map(F.lit, metrics))
         return found.select(*keys, _pair_number(len(metrics), diagonal).alias("pair"), names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "corr")
+    return apart(df, correlation_figures(metrics, keys=keys, diagonal=diagonal), keys)
+
+
+def correlation_figures(
+    metrics: Sequence[str], *, keys: Sequence[str] = KEYS, diagonal: bool = False
+) -> Figures:
+    """The matrix of a few metrics as aggregates: one for each pair."""
+    choose = combinations_with_replacement if diagonal else combinations
+    pairs = list(choose(range(len(metrics)), 2))
     columns = [c(m).cast("double") for m in metrics]
 
     def moment(i: int, j: int) -> Column:
@@ -372,14 +385,15 @@ def _pair_correlations(
         varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
         return F.when(varies, ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
-    found = df.groupBy(*keys).agg(*[moment(*pair).alias(f"_r{n}") for n, pair in enumerate(pairs)])
     entries = F.array(
         *[
             F.struct(F.lit(n).alias("pair"), F.lit(metrics[i]).alias("a"), F.lit(metrics[j]).alias("b"), F.col(f"_r{n}").alias("corr"))
             for n, (i, j) in enumerate(pairs)
         ]
     )
-    return found.select(*keys, F.inline(entries))
+    return Figures(
+        {f"_r{n}": moment(*pair) for n, pair in enumerate(pairs)}, lambda found: found.select(*keys, F.inline(entries))
+    )
 
 
 def _pair_number(count: int, diagonal: bool) -> Column:
@@ -425,7 +439,12 @@ def top_correlations(
     df: DataFrame, metrics: Sequence[str], k: int = 5, *, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """The k highest and k lowest pairs; ties go to the earlier pair."""
-    pairs = correlation_matrix(df, metrics, keys=keys).where(c("corr").isNotNull())
+    return top_pairs(correlation_matrix(df, metrics, keys=keys), k, keys=keys)
+
+
+def top_pairs(pairs: DataFrame, k: int = 5, *, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The same from a matrix that is there."""
+    pairs = pairs.where(c("corr").isNotNull())
     by_key = Window.partitionBy(*keys)
     sides = {"highest": c("corr").desc(), "lowest": c("corr").asc()}
     ranked = pairs.withColumns(
@@ -467,14 +486,23 @@ def dataset_info(
     df: DataFrame, *, keys: Sequence[str] = KEYS, time: str = TIME
 ) -> DataFrame:
     """Rows, columns, date range and missing values of each series."""
-    others = [n for n in df.columns if n not in keys]
+    return apart(df, dataset_figures(df.columns, keys=keys, time=time), keys)
+
+
+def dataset_figures(
+    columns: Sequence[str], *, keys: Sequence[str] = KEYS, time: str = TIME
+) -> Figures:
+    others = [n for n in columns if n not in keys]
     missing = F.lit(0)
     for n in others:
         missing = missing + c(n).isNull().cast("int")
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.lit(len(others)).cast("bigint").alias("n_columns"),
-        F.min(time).alias("first_time"),
-        F.max(time).alias("last_time"),
-        F.sum(missing).alias("missing_values"),
+    return Figures(
+        {
+            "n_rows": F.count(F.lit(1)),
+            "n_columns": F.max(F.lit(len(others)).cast("bigint")),
+            "first_time": F.min(c(time)),
+            "last_time": F.max(c(time)),
+            "missing_values": F.sum(missing),
+        },
+        lambda totals: totals,
     )

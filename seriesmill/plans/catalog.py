@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from seriesmill import fixtures
 from seriesmill.config import CORRELATION_METRICS, INDICATORS, PERCENTS, TIERS, Settings
 from seriesmill.functions.expressions import c, chart_columns, columns_with_values, mvrv_zone, numeric_columns
-from seriesmill.operators import append, cleaning, indicators, quality, reshape, sketches, spans, stats, windows
+from seriesmill.operators import append, cleaning, fused, indicators, quality, reshape, sketches, spans, stats, windows
 from seriesmill.operators.layout import frame_of, join_per_key, ordered
 from seriesmill.operators.reshape import melt
 from seriesmill.sources import csv, results, tables, versions
@@ -522,6 +523,33 @@ def describe(spark, sf_dir):
     return stats.describe(daily(spark, sf_dir, *DESCRIBED), DESCRIBED, **WHOLE)
 
 
+@query("single_pass_figures")
+def single_pass_figures(spark, sf_dir):
+    """Eleven results from one scan, laid out as (asset, result, item, figure, value)."""
+    latest = (HOLDERS[0], *HOLDERS[2:])
+    insights = ("lowest_decentralization", "all_growth_pct", "peak_cap", "latest_mvrv", "activity_change_pct")
+    wanted = {
+        "fit": (stats.line_figures("CapMrktCurUSD", "ROI1yr"), "''", ("slope", "intercept", "r2", "n")),
+        "extremes": (stats.extreme_figures("AdrActCnt"), "''", ("peak_value", "trough_value")),
+        "dataset": (stats.dataset_figures(("asset", "time", *ALL_METRICS)), "''", ("n_rows", "n_columns", "missing_values")),
+        "zeros": (quality.zero_null_figures(QUALITY_METRICS), "metric", ("total_records", "zero_count")),
+        "nulls": (quality.null_figures(ALL_METRICS), "metric", ("null_count",)),
+        "nonpositive": (quality.nonpositive_figures(ZERO_PRONE), "metric", ("nonpositive_count",)),
+        "rules": (quality.consistency_figures(), "rule", ("violations",)),
+        "latest": (quality.latest_figures(latest), "''", latest),
+        "tiers": (reshape.tier_figures(reshape.tier_columns()), "tier", ("holders", "share_pct")),
+        "insights": (indicators.insight_figures(), "''", insights),
+        "correlations": (stats.correlation_figures(CORRELATION_METRICS), "concat(a, ' ', b)", ("corr",)),
+    }
+    found = fused.together(daily(spark, sf_dir, *ALL_METRICS), {n: figures for n, (figures, _, _) in wanted.items()}, ("asset",))
+    parts = []
+    for name, (_, item, figures) in wanted.items():
+        shown = found[name].select("asset", F.expr(item).alias("item"), *[c(n).cast("double").alias(n) for n in figures])
+        long = melt(shown, ["asset", "item"], {n: {"value": n} for n in figures}, name="figure")
+        parts.append(long.withColumn("result", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("dataset_info")
 def dataset_info(spark, sf_dir):
     return stats.dataset_info(daily(spark, sf_dir, *ALL_METRICS))

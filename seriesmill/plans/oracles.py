@@ -538,6 +538,25 @@ add("insight_summary", BASE, f"""
     ("asset", "as_of", "most_centralized_time", "peak_cap_time", "latest_zone"),
     ("lowest_decentralization", *GROWTH_OUT, "peak_cap", "latest_mvrv"))
 
+# --- many results of one pass, by the SQL of each
+SINGLE_PASS = {
+    "fit": ("ols_fit", "''", ("slope", "intercept", "r2", "n")),
+    "extremes": ("peak_trough", "''", ("peak_value", "trough_value")),
+    "dataset": ("dataset_info", "''", ("n_rows", "n_columns", "missing_values")),
+    "zeros": ("dq_zero_null", "metric", ("total_records", "zero_count")),
+    "nulls": ("dq_null_counts", "metric", ("null_count",)),
+    "nonpositive": ("dq_nonpositive", "metric", ("nonpositive_count",)),
+    "rules": ("dq_consistency", "rule", ("violations",)),
+    "latest": ("latest_summary", "''", ("AdrBalCnt", "AdrBalUSD100KCnt", "AdrBalUSD1MCnt")),
+    "tiers": ("tier_distribution", "tier", ("holders", "share_pct")),
+    "insights": ("insight_summary", "''", ("lowest_decentralization", "all_growth_pct", "peak_cap", "latest_mvrv", "activity_change_pct")),
+}
+add("single_pass_figures", BASE, union([
+    *[f"""SELECT asset, '{result}' AS result, {item} AS item, '{n}' AS figure, CAST("{n}" AS DOUBLE) AS value FROM ({ORACLES[name]}) s"""
+      for result, (name, item, figures) in SINGLE_PASS.items() for n in figures],
+    f"SELECT asset, 'correlations', a || ' ' || b, 'corr', corr FROM ({PAIRS}) p"]),
+    ("asset", "result", "item", "figure"), ("value",))
+
 # --- raw events
 VAL = ("Val", "Val_MA7days", "Val_MA30days", "Val_MA90days")
 add("events_moving_average", EVENTS, moving("Val", (7, 30, 90), "e"), KEY, VAL)

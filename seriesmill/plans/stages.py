@@ -13,6 +13,8 @@ from seriesmill.config import CORRELATION_METRICS, INDICATORS, Settings
 from seriesmill.functions.expressions import columns_with_values, present_columns, require_values
 from seriesmill.operators import indicators, quality, reshape, spans, stats, windows
 from seriesmill.operators.cleaning import clean, lookback
+from seriesmill.operators.fused import Figures, together
+from seriesmill.operators.layout import KEYS
 from seriesmill.sources import results, versions
 from seriesmill.sources.csv import land_csvs, sound_rows
 from seriesmill.sources.scratch import written
@@ -102,11 +104,51 @@ def check_quality(
     return quality.quality_report(table, metrics, settings.flat_window, layout=layout)
 
 
+HOLDERS = ("AdrBalCnt", "AdrBalUSD10KCnt", "AdrBalUSD100KCnt", "AdrBalUSD1MCnt")
+
+
+def single_pass(table: DataFrame, have: set[str], settings: Settings = Settings()) -> dict[str, Figures]:
+    """The results that are one aggregate per series, as far as their metrics are there."""
+    correlated = [n for n in CORRELATION_METRICS if n in have]
+    checked = present_columns(table, settings.quality_metrics)
+    shown = [n for n in (HOLDERS[0], *HOLDERS[2:]) if n in have]
+    of = {
+        "dataset": lambda: stats.dataset_figures(table.columns),
+        "zeros": lambda: quality.zero_null_figures(checked),
+        "missing_values": lambda: quality.null_figures(checked),
+        "nonpositive_values": lambda: quality.nonpositive_figures(checked),
+        "latest": lambda: quality.latest_figures(shown),
+        "cap_vs_roi": lambda: stats.line_figures("CapMrktCurUSD", "ROI1yr"),
+        "correlations": lambda: stats.correlation_figures(correlated),
+        "activity_extremes": lambda: stats.extreme_figures("AdrActCnt"),
+        "consistency": quality.consistency_figures,
+        "tier_distribution": lambda: reshape.tier_figures(reshape.tier_columns()),
+        "insights": indicators.insight_figures,
+    }
+    holders = set(HOLDERS) <= have
+    wanted = {
+        "latest": bool(shown),
+        "cap_vs_roi": {"CapMrktCurUSD", "ROI1yr"} <= have,
+        "correlations": len(correlated) >= 2,
+        "activity_extremes": "AdrActCnt" in have,
+        "consistency": holders,
+        "tier_distribution": holders,
+        "insights": holders and {"AdrActCnt", "CapMrktCurUSD", "PriceUSD", "CapMVRVCur", "SplyCur", "SplyAdrTop1Pct"} <= have,
+    }
+    # what describes the table comes along with the analyses, not in place of them
+    some = any(wanted.values())
+    wanted |= {"dataset": some} | dict.fromkeys(("zeros", "missing_values", "nonpositive_values"), some and bool(checked))
+    return {name: make() for name, make in of.items() if wanted[name]}
+
+
 def analyse(
     table: DataFrame, settings: Settings = Settings(), layout: str = "whole", on_missing: str = "skip"
 ) -> dict[str, DataFrame]:
     """Every analysis as a frame; an analysis whose metrics are absent or without values is left
     out, with a warning. With ``on_missing="raise"`` the call fails instead.
+
+    Results of one aggregate per series are found at once, in one scan of the table, and written
+    (a row per series); the other frames are lazy.
     """
     if on_missing not in ("raise", "skip"):
         raise ValueError(f"unknown on_missing: {on_missing}")
@@ -117,7 +159,7 @@ def analyse(
     missing = [n for n in ANALYSED if n not in have]
     if missing:
         logging.getLogger(__name__).warning("analyses of these metrics are left out, they have no values: %s", ", ".join(missing))
-    found: dict[str, DataFrame] = {}
+    found = together(table, single_pass(table, have, settings), KEYS)
     lag, window = settings.lag, settings.volatility_window
 
     if "PriceUSD" in have:
@@ -126,16 +168,12 @@ def analyse(
             "asset", "time",
             f"PriceUSD_return{lag}_mean{window}", f"PriceUSD_RV{window}_return{lag}",
         )
-    if {"CapMrktCurUSD", "ROI1yr"} <= have:
-        found["cap_vs_roi"] = stats.ols_fit(table, "CapMrktCurUSD", "ROI1yr")
     if {"PriceUSD", "CapMVRVCur"} <= have:
         zones = indicators.price_zones(table)
         found["price_zones"] = zones
         found["zone_spans"] = spans.zone_spans(zones, **how)
-    correlated = [n for n in CORRELATION_METRICS if n in have]
-    if len(correlated) >= 2:
-        found["correlations"] = stats.correlation_matrix(table, correlated)
-        found["top_correlations"] = stats.top_correlations(table, correlated)
+    if "correlations" in found:
+        found["top_correlations"] = stats.top_pairs(found["correlations"])
     if "AdrActCnt" in have:
         moved = windows.return_and_volatility(table, "AdrActCnt", lag, window, **how)
         found["activity_averages"] = windows.moving_average(
@@ -149,13 +187,9 @@ def analyse(
         )
         found["activity_histogram"] = stats.histogram_density(table, "AdrActCnt", **how)
         found["activity_density"] = stats.kde_grid(table, "AdrActCnt", **how)
-        found["activity_extremes"] = stats.peak_trough(table, "AdrActCnt")
         found["activity_by_year"] = reshape.yoy(table, "AdrActCnt")
-    if {"AdrBalCnt", "AdrBalUSD10KCnt", "AdrBalUSD100KCnt", "AdrBalUSD1MCnt"} <= have:
-        tiers = reshape.holder_tiers(table)
-        found["consistency"] = quality.consistency(table)
-        found["tiers"] = tiers
-        found["tier_distribution"] = reshape.tier_distribution(tiers)
+    if set(HOLDERS) <= have:
+        found["tiers"] = reshape.holder_tiers(table)
         found["tier_growth"] = windows.growth_from_base(
             table.withColumns(reshape.tier_columns()), ["AdrBalCnt", *reshape.TIERS], **how
         )
