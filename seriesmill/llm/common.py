@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words are runs of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -33,6 +34,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_sums_before(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
+    """A written table: df and, for every sums entry (new column -> column), the sum over the rows before in its group.
+
+    Rows are cut into sorted ranges, so neither a group nor all rows come into one task; what one
+    range hands to the next is a row per range and group. The order has to be without ties.
+    """
+    part, offset = free_names(df, "range_number", "range_offset")
+    groups = [named(x) for x in by]
+    ranged = df.repartitionByRange(*groups, *order).withColumn(part, F.spark_partition_id())
+    ranged = written(ranged, name)
+    so_far = Window.partitionBy(part, *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy(part, *groups).agg(*[F.sum(named(x)).alias(new) for new, x in sums.items()])
+    before = {new: F.coalesce(F.sum(new).over(earlier), F.lit(0)) for new in sums}
+    ranges = ranges.select(part, *groups, F.struct(*[x.alias(new) for new, x in before.items()]).alias(offset))
+    inside = ranged.withColumns({new: F.coalesce(F.sum(named(x)).over(so_far), F.lit(0)) for new, x in sums.items()})
+    found = inside.join(ranges, [part, *by])
+    found = found.withColumns({new: F.col(new) + F.col(offset)[new] for new in sums})
+    return written(found.drop(part, offset), f"{name}-sums")
+
+
 def named(column: str) -> Column:
     """A column by its plain name, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")

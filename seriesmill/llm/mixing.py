@@ -11,7 +11,8 @@ does not depend on the number of shards: each takes the part of the run that lie
 
 Scale: only (id, source, size) rows are shuffled, once, by (shard, source); a shard has about
 `shard_rows` rows, so a source with a third of all rows is many groups. Per-source figures are
-one row per source and shard.
+one row per source and shard. Sources may be as many as domains: their ranks, levels and quotients
+are running sums over sorted ranges, and two figures of all sources come to the driver.
 
 Defined results: a null source is a source of its own (the last by name); null and empty texts
 have size 0 and are never taken; rows with the same id are separate documents, ordered by id,
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seriesmill.llm.common import WORD, free_names, hex_number, named, word_count, written
+from seriesmill.llm.common import WORD, free_names, hex_number, named, with_sums_before, word_count, written
 
 WEIGHTS = (1.0, 2.0, 3.0)
 BLOCK_WORDS = 16
@@ -40,24 +41,23 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EP
     stay below their limit. In order of limit / weight, a source is at its limit as long as the
     level of the sources from here on would not be below limit / weight.
     """
-    everything = Window.partitionBy()
     kinds = F.array(*map(F.lit, map(float, weights)))
-    by_name = everything.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("source_rank", F.row_number().over(by_name))
+    whole = sources.withColumns({"all": F.lit(0), "one": F.lit(1).cast("long")})
+    ranked = with_sums_before(whole, ["all"], [F.col("source").asc_nulls_last()], {"rank_before": "one"}, "mix-ranks")
+    ranked = ranked.withColumn("source_rank", (F.col("rank_before") + 1).cast("int"))
     ranked = ranked.withColumn("weight", kinds[F.pmod(F.col("source_rank") - 1, F.lit(len(weights)))])
     limit = (F.col("source_size") * max_epochs).cast("double")
     ranked = ranked.withColumn("cap", limit).withColumn("full_at", F.col("cap") / F.col("weight"))
-    order = everything.orderBy("full_at", "source_rank")
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(everything)
-    levels = ranked.withColumn("level", (total - before) / rest)
-    open_level = F.when(F.col("full_at") > F.col("level"), F.struct("full_at", "source_rank", "level"))
-    levels = levels.withColumn("open_level", F.min(open_level).over(everything)["level"])
-    target = F.when(F.col("full_at") > F.col("level"), F.col("open_level") * F.col("weight"))
-    return levels.withColumn("target", F.coalesce(target, F.col("cap"))).select(
-        "source", "source_rank", "source_size", "weight", "target"
-    )
+    sums = {"caps_before": "cap", "weights_before": "weight"}
+    levels = with_sums_before(ranked, ["all"], [F.col("full_at"), F.col("source_rank")], sums, "mix-levels")
+    words, weight = levels.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(words or 0) - F.col("caps_before")) / (F.lit(weight or 0.0) - F.col("weights_before"))
+    levels = levels.withColumn("level", level)
+    below = F.col("full_at") > F.col("level")
+    # of the sources that stay below their limit, the first in order has the level of all
+    first = levels.where(below).agg(F.min_by("level", F.struct("full_at", "source_rank"))).first()[0]
+    target = F.when(below, F.lit(first) * F.col("weight")).otherwise(F.col("cap"))
+    return levels.withColumn("target", target).select("source", "source_rank", "source_size", "weight", "target")
 
 
 def apportion(votes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -67,20 +67,20 @@ def apportion(votes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     votes / (blocks - n / 2) for n sources. So each source's quota is known but for a short
     range, and only the quotients of these ranges are ranked: about three per source.
     """
-    shard = Window.partitionBy("shard")
-    totals = votes.withColumn("all_votes", F.sum("votes").over(shard)).withColumn(
-        "half", F.count(F.lit(1)).over(shard) / 2
-    )
+    all_votes, half = F.sum("votes").alias("all_votes"), (F.count(F.lit(1)) / 2).alias("half")
+    totals = votes.join(votes.groupBy("shard").agg(all_votes, half), "shard")
     totals = totals.withColumn("blocks", F.round(F.col("all_votes") / block_words).cast("long"))
     share = F.when(F.col("all_votes") > 0, F.col("votes") / F.col("all_votes")).otherwise(0.0)
     low = F.greatest(F.ceil(share * (F.col("blocks") - F.col("half")) - 0.5) - 1, F.lit(0)).cast("long")
     high = F.floor(share * (F.col("blocks") + F.col("half")) + 0.5).cast("long") + 1
     ranges = totals.withColumn("low", low).withColumn("high", F.greatest(high, F.col("low")))
-    ranges = ranges.withColumn("open", F.col("blocks") - F.sum("low").over(shard))
+    ranges = written(ranges, "mix-ranges")
+    vacant = ranges.groupBy("shard").agg((F.max("blocks") - F.sum("low")).alias("open"))
     seats = ranges.where("votes > 0").withColumn("seat", F.explode(F.expr("sequence(low, high)")))
-    seats = seats.withColumn("quotient", F.col("votes") / (2 * F.col("seat") + 1))
-    first = shard.orderBy(F.desc("quotient"), "source_rank")
-    won = seats.withColumn("place", F.row_number().over(first)).where("place <= open")
+    seats = seats.withColumn("quotient", F.col("votes") / (2 * F.col("seat") + 1)).withColumn("one", F.lit(1).cast("long"))
+    order = [F.desc("quotient"), F.col("source_rank"), F.col("seat")]
+    placed = with_sums_before(seats, ["shard"], order, {"place": "one"}, "mix-seats")
+    won = placed.join(vacant, "shard").where("place < open")
     gained = won.groupBy("shard", "source_rank").agg(F.count(F.lit(1)).alias("gained"))
     return ranges.join(gained, ["shard", "source_rank"], "left").select(
         "shard", "source_rank", (F.col("low") + F.coalesce("gained", F.lit(0))).alias("quota")
