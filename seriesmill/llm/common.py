@@ -50,7 +50,13 @@ def with_sums_before(df: DataFrame, by: list[str], order: list[Column], sums: di
     before = {new: F.coalesce(F.sum(new).over(earlier), F.lit(0)) for new in sums}
     ranges = ranges.select(part, *groups, F.struct(*[x.alias(new) for new, x in before.items()]).alias(offset))
     inside = ranged.withColumns({new: F.coalesce(F.sum(named(x)).over(so_far), F.lit(0)) for new, x in sums.items()})
-    found = inside.join(ranges, [part, *by])
+    # null is a group like any other
+    other = {x: f"{offset}_{i}" for i, x in enumerate(by)}
+    ranges = ranges.withColumnsRenamed({part: f"{offset}_part", **other})
+    same = F.col(part) == F.col(f"{offset}_part")
+    for x, renamed in other.items():
+        same &= named(x).eqNullSafe(F.col(renamed))
+    found = inside.join(ranges, same).drop(f"{offset}_part", *other.values())
     found = found.withColumns({new: F.col(new) + F.col(offset)[new] for new in sums})
     return written(found.drop(part, offset), f"{name}-sums")
 

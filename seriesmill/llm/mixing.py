@@ -118,7 +118,8 @@ def mix_sizes(
     blocks = F.greatest(F.round(F.col("source_size") / block_words).cast("long"), F.lit(1))
     targets = targets.withColumn("blocks", blocks)
     own = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
-    votes = targets.select(F.lit(0).alias("shard"), "source_rank", own.alias("votes"))
+    # written, so that the join on the one shard of all sources stays a join on a key
+    votes = written(targets.select(F.lit(0).alias("shard"), "source_rank", own.alias("votes")), "mix-votes")
     quotas = targets.join(apportion(votes, 1), "source_rank")
     quotas = quotas.withColumn("quota", F.least("quota", F.col("blocks") * max_epochs))
     name = F.concat_ws(":", F.lit(seed), F.lit("0"), F.col("source_rank").cast("string"))

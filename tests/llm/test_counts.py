@@ -7,8 +7,9 @@ from fractions import Fraction
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, mixing
+from seriesmill.llm import bpe, common, mixing
 from seriesmill.llm.queries import QUERIES
 
 
@@ -150,6 +151,35 @@ def test_mixed_documents_of_clashing_names(frame):
     assert {tuple(r)[3:] for r in mixed.collect()} == {(1, 2, 3, 4, 5, "t", 6)}
 
 
+def test_many_sources_are_ranked_and_levelled_in_ranges(spark):
+    """Thousands of sources over many ranges: no window over all of them, targets by their definition."""
+    sizes = [(None if i == 7 else f"s{i * 7919 % 3001:05d}", i * i % 977) for i in range(3000)]
+    table = spark.createDataFrame(sizes, "source string, source_size long").repartition(5)
+    targets = mixing.source_targets(table)
+    assert "SinglePartition" not in targets._jdf.queryExecution().executedPlan().toString()
+    found = {r.source: r for r in targets.collect()}
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    assert [found[s].source_rank for s, _ in order] == list(range(1, 3001))
+    weight = {s: mixing.WEIGHTS[i % 3] for i, (s, _) in enumerate(order)}
+    limit, left, still = {s: 3.0 * n for s, n in sizes}, float(sum(n for _, n in sizes)), set(weight)
+    while True:
+        level = left / sum(weight[s] for s in still)
+        full = {s for s in still if limit[s] <= level * weight[s]}
+        if not full:
+            break
+        left, still = left - sum(limit[s] for s in full), still - full
+    for s, _ in sizes:
+        assert abs(found[s].target - (level * weight[s] if s in still else limit[s])) < 1e-6
+
+
+def test_sums_before_a_row(frame):
+    rows = [(None if i % 3 == 0 else i % 3, i * 37 % 101, float(i)) for i in range(101)]
+    found = common.with_sums_before(frame(rows, "kind int, at int, v double"), ["kind"], [F.col("at")], {"before": "v"}, "sums").collect()
+    assert len(found) == 101
+    for r in found:
+        assert r.before == sum(v for kind, at, v in rows if kind == r.kind and at < r.at)
+
+
 def test_quotas_go_to_the_highest_quotients(spark):
     votes = [(s, i, float(v)) for s in range(3) for i, v in enumerate([1, 5, 17, 3000, 40, 41, 900 * s, 0])]
     found = mixing.apportion(spark.createDataFrame(votes, "shard long, source_rank int, votes double"), 10).collect()
