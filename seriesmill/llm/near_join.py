@@ -10,7 +10,9 @@
    the threshold) are no link. The other links are reduced to a forest in each task; sets that they
    connect form a cluster. Then sets go on past the members of their own cluster: where sets of
    different clusters share a prefix, one set of each is kept, and these are looked up again, until
-   no new link is found.
+   no new link is found. Rounds only save work: where they leave sets of different clusters with
+   one prefix uncompared, the signatures of all of these are compared, cluster against cluster, in
+   tiles of about `RUN_TILE` sets. So no two sets that share a prefix are missed, however many do.
 4. Verify. A cluster is compared exactly, all sets with all, in tiles of about `TILE` sets; a tile
    pair is one bounded step that counts links per set and gives a forest of the links found: one
    link per set for a tile with itself, one for each two parts it joins for two tiles.
@@ -23,7 +25,9 @@ Scale: texts are shuffled once, in step 4 (only texts in clusters are kept after
 are range-partitioned by prefix and set, so a prefix that a third of all sets have is spread over
 tasks. Clusters are chains of similar sets only, not of all that meet in a trie. Memory is bounded
 by a tile pair; the number of tile pairs of a cluster grows with the square of its different
-texts, not of its copies, and its links with the number of texts.
+texts, not of its copies, and its links with the number of texts. Where many clusters share one
+prefix, as texts around a common passage do, comparing their signatures grows with the square of
+their sets; a set's signature is shuffled once for each tile.
 
 Defined results: words are split at ASCII white space and lower-cased; a text of fewer than five
 words is one shingle; null, empty and blank texts are copies of each other; rows with the same id
@@ -34,7 +38,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,6 +58,7 @@ RECALL = 0.999
 MARGIN = 5.0
 FURTHER = 8
 TILE = 256
+RUN_TILE = 2048
 SEED = 7
 MOST_ROUNDS = 20
 VALUE_BYTES = 2
@@ -203,8 +208,71 @@ def likely_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "one", "other").mapInPandas(agreeing, "a long, b long")
 
 
+def in_tiles(rows: DataFrame, key: str, compare: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What `compare` gives for every pair of tiles (i <= j) of a key, from rows (key, node, tiles, ...).
+
+    The rows of a key are dealt to its number of tiles by node.
+    """
+    placed = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    other = placed.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    pairs = other.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("tiles", "other")
+    keys = [key, "i", "j"]
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted rows, one tile pair at a time."""
+        held: list[pd.DataFrame] = []
+        for rows in batches:
+            for _, some in rows.groupby(keys, sort=False):
+                if held and tuple(held[0][keys].iloc[0]) != tuple(some[keys].iloc[0]):
+                    yield compare(pd.concat(held))
+                    held = []
+                held.append(some)
+        if held:
+            yield compare(pd.concat(held))
+
+    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(runs, schema)
+
+
+def likely_between(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links (a, b) of clusters in a tile pair, no more than join them.
+
+    Two clusters are linked where the signatures of a set of one and a set of the other agree in a
+    share of `least` or more of their values.
+    """
+    rows = rows.sort_values("label", kind="stable")
+    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+    one, other = rows[rows["tile"] == i], rows[rows["tile"] == j]
+    joined, kept = Forest(), []
+    if len(one) and len(other):
+        ones, others = (np.frombuffer(b"".join(x["signature"]), np.uint16).reshape(len(x), -1) for x in (one, other))
+        labels, width = other["label"].to_numpy(), others.shape[1]
+        for label, values in zip(one["label"].tolist(), ones, strict=True):
+            low, high = np.searchsorted(labels, label), np.searchsorted(labels, label, "right")
+            # in a tile with itself, clusters before this one have been compared with it
+            for part in [slice(high, None)] if i == j else [slice(low), slice(high, None)]:
+                near = labels[part][(others[part] == values).sum(axis=1, dtype=np.int32) / width >= least]
+                kept += [(label, x) for x in np.unique(near).tolist() if joined.unite(label, x)]
+    return pd.DataFrame(kept, columns=["a", "b"], dtype=np.int64)
+
+
+def remaining_links(rows: DataFrame, sets: DataFrame, least: float, reach: int = FURTHER, tile: int = RUN_TILE) -> DataFrame:
+    """Links (a, b) of clusters among all rows (node, label, prefix) with one prefix.
+
+    Left out are only prefixes where the last round has compared all: those with one set of each
+    cluster and no more clusters than `reach` places hold.
+    """
+    counts = rows.groupBy("prefix", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("prefix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
+    runs = counts.where(f"labels > 1 and (n > labels or labels > {reach + 1})")
+    runs = written(runs.select("prefix", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "near-runs")
+    signed = rows.select("prefix", "node", "label").join(runs, "prefix").join(sets.select("node", "signature"), "node")
+    return in_tiles(signed, "prefix", lambda some: likely_between(some, least), "a long, b long")
+
+
 def clusters(sets: DataFrame, trees: int, depth: int, threshold: float, target: float) -> DataFrame:
-    """node, label: sets that links in the forest connect, directly or not."""
+    """node, label: sets that links in the forest connect, directly or not.
+
+    What the rounds find spares comparisons; the sets they leave apart are all compared at the end.
+    """
     least, agreement = least_depth(trees, depth, threshold, target), least_agreement(threshold, trees * depth)
     pairs, met = neighbours(trie_paths(sets, trees, depth), least)
     tested = written(pairs, "near-pairs")
@@ -217,14 +285,17 @@ def clusters(sets: DataFrame, trees: int, depth: int, threshold: float, target:
         several = kept.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix")
         open_rows = written(kept.join(several, "prefix", "left_semi").select("first.path", "first.node"), "near-open")
         if open_rows.isEmpty():
-            break
+            return labels
         pairs, _ = neighbours(open_rows, least, FURTHER)
         fresh = written(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         found = written(likely_links(fresh, sets, agreement), "near-likely")
         if found.isEmpty():
             break
         tested, links = tested.union(fresh), written(links.union(found), "near-likely")
-    return labels
+    rest = written(remaining_links(rows, sets, agreement), "near-rest")
+    if found.isEmpty() and rest.isEmpty():
+        return labels
+    return components(links.union(rest), "near-clusters")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -294,26 +365,8 @@ def verify(members: DataFrame, threshold: float, tile: int) -> DataFrame:
     """node, peer, links from members (label, node, copies, shingles)."""
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = written(sizes.select("label", F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "near-sizes")
-    placed = members.join(sizes, "label").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    other = placed.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    pairs = other.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    pairs = pairs.select("label", "i", "j", "tile", "node", "copies", "shingles")
-    keys = ["label", "i", "j"]
-
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sorted rows, one tile pair at a time."""
-        held: list[pd.DataFrame] = []
-        for rows in batches:
-            for _, some in rows.groupby(keys, sort=False):
-                if held and tuple(held[0][keys].iloc[0]) != tuple(some[keys].iloc[0]):
-                    yield compared(pd.concat(held), threshold)
-                    held = []
-                held.append(some)
-        if held:
-            yield compared(pd.concat(held), threshold)
-
-    dealt = pairs.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(runs, "node long, peer long, links long")
+    placed = members.join(sizes, "label").select("label", "node", "copies", "shingles", "tiles")
+    return in_tiles(placed, "label", lambda rows: compared(rows, threshold), "node long, peer long, links long")
 
 
 def near_classes(

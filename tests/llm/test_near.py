@@ -186,6 +186,77 @@ def test_common_passages_make_no_clusters(spark, monkeypatch):
     assert sizes["members"] < 20
 
 
+def crowded_passage(rng, strangers, copies):
+    """A passage alone (id 0), texts that are near it (the next ids) and strangers that have it too, none near another."""
+    passage = [f"s{i}" for i in range(64)]
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    return [" ".join(passage)] + [" ".join(passage + own(14)) for _ in range(copies)] + [" ".join(passage + own(20)) for _ in range(strangers)]
+
+
+def test_copies_among_many_strangers_with_one_passage(spark):
+    """Production parameters: hundreds of sets of other clusters lie between near copies in every trie."""
+    docs = list(enumerate(crowded_passage(random.Random(4), 1000, 25)))
+    found = near_join.near_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    expected = {i: (0, 1) if i <= 25 else (i, 0) for i, _ in docs} | {0: (0, 25)}
+    assert brute(docs[:60]) == {i: expected[i] for i in range(60)}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in found} == expected
+
+
+TREES, DEPTH, LEAST = 4, 5, 3
+
+
+def crowded_signatures(rng, groups):
+    """Signatures that share prefixes in the first trie, in groups, and are near others far away in it."""
+    out = []
+    for group, size in enumerate(groups):
+        bases = [rng.integers(1, 60000, TREES * DEPTH) for _ in range(1 + size // 3)]
+        for node in range(size):
+            values = bases[rng.integers(len(bases))].copy()
+            values[:LEAST] = group
+            values[LEAST:DEPTH] = rng.integers(1, 60000, DEPTH - LEAST)
+            for trie in range(1, TREES):  # no prefix in common in the other tries
+                values[trie * DEPTH] = rng.integers(1, 60000)
+            for at in rng.integers(DEPTH, TREES * DEPTH, rng.integers(3)):
+                values[at] = rng.integers(1, 60000)
+            out.append(values.astype(np.uint16))
+    return [out[i] for i in rng.permutation(len(out))]
+
+
+def test_clusters_hold_all_likely_links(spark, monkeypatch):
+    """Against all pairs that share a prefix, with rounds that do not come to their end, and in tiles of several sizes."""
+    threshold, target = 0.8, near_join.recall(LEAST, TREES, 0.8)
+    monkeypatch.setattr(near_join, "least_agreement", lambda *_: 0.55)
+    assert near_join.least_depth(TREES, DEPTH, threshold, target) == LEAST
+    signatures = crowded_signatures(np.random.default_rng(5), [70, 30, 12, 2, 3])
+    pairs = set()
+    for a, one in enumerate(signatures):
+        for b, other in enumerate(signatures[:a]):
+            meet = any((one[t : t + LEAST] == other[t : t + LEAST]).all() for t in range(0, TREES * DEPTH, DEPTH))
+            if meet and (one == other).mean() >= 0.55:
+                pairs.add((b, a))
+    expected = {x: label for x, label in walk(range(len(signatures)), pairs).items() if any(x in p for p in pairs)}
+    assert 20 < len(set(expected.values())) < len(expected)
+    sets = spark.createDataFrame([(i, x.astype("<u2").tobytes()) for i, x in enumerate(signatures)], "node long, signature binary").repartition(3)
+    plain = near_join.remaining_links
+    for rounds, tile in ((20, 2048), (1, 7)):
+        monkeypatch.setattr(near_join, "MOST_ROUNDS", rounds)
+        monkeypatch.setattr(near_join, "remaining_links", lambda *rows, tile=tile: plain(*rows, tile=tile))
+        found = {r.node: r.label for r in near_join.clusters(sets, TREES, DEPTH, threshold, target).collect()}
+        assert found == expected
+
+
+def test_likely_links_between_clusters_of_a_tile_pair():
+    one, other, lone = (np.full(10, x, np.uint16) for x in (1, 2, 3))
+    half = np.where(np.arange(10) < 6, one, other).astype(np.uint16)
+    rows = pd.DataFrame({"label": [5, 5, 7, 9, 7], "node": range(5), "tile": [0, 1, 1, 0, 0], "signature": [x.tobytes() for x in (other, one, half, lone, lone)]})
+    within = near_join.likely_between(rows[rows["tile"] == 0].assign(i=0, j=0), 0.6)
+    assert within.values.tolist() == [[7, 9]]
+    assert near_join.likely_between(rows.assign(i=0, j=1), 0.6).values.tolist() == []
+    assert near_join.likely_between(rows.assign(i=1, j=1), 0.6).values.tolist() == [[5, 7]]
+    assert near_join.likely_between(rows.assign(i=0, j=1), 0.4).values.tolist() == [[5, 7]]
+    assert near_join.likely_between(rows.assign(i=0, j=2), 0.4).empty
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_components(spark, seed):
     rng = random.Random(seed)
