@@ -1,11 +1,12 @@
 """The pipeline's stages, one after the other, against brute force on each stage's own input."""
 
+import random
 import re
 from collections import Counter
 
 import pytest
 from test_counts import check_mix
-from test_near import brute
+from test_near import brute, crowded_passage
 from test_packing import check
 
 import corpus_pipeline
@@ -49,6 +50,13 @@ def test_one_document_of_each_class_stays(stages):
     assert {(r.doc_id, r.text) for r in rows} <= set(before)
 
 
+def test_near_copies_among_many_strangers_go(spark, frame):
+    """Of 25 near copies of a passage that 1000 other documents have too, the passage alone stays."""
+    docs = [(i, text, "a") for i, text in enumerate(crowded_passage(random.Random(6), 1000, 25))]
+    kept = corpus_pipeline.keep_distinct(spark, frame(docs, "doc_id long, text string, source string"), "")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, *range(26, 1026)]
+
+
 def test_sources_are_mixed(stages):
     before = [(r.doc_id, r.source, r.text) for r in stages[2].collect()]
     decided = mixing.mix(stages[2]).collect()
