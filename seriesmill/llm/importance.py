@@ -13,10 +13,11 @@ are kept or not together.
 Words are lower-cased runs of letters or of marks; a repeated word is the same pair whatever the
 word. The target model is smoothed towards the raw one, so few labels give small ratios.
 
-Scale: each task combines its counts to `BUCKETS` numbers per model before the only shuffle. At
-most `LABELLED_ROWS` labelled rows (by hash of the id) are used, half of them for the target model
-and half for the cut; that table is bounded, so it is broadcast. Scoring is a scan. Only (id,
-importance) rows are written and sorted by sampled ranges; no task sees all of them.
+Scale: all labels are used, half of them (by hash of the id) for the target model and half for the
+cut, unless `labelled_rows` asks for fewer. Each task combines its counts to `BUCKETS` numbers per
+model. Labels grow with the documents, so texts are shuffled once by id to meet those of the target
+model. Scoring is a scan. Only (id, importance) rows are written; they are sorted by sampled ranges,
+and the best cut is found by running sums over ranges; no task sees all of them.
 
 Defined results: null and empty texts have importance 0; documents with null id are scored like
 others and never labelled; repeated ids have the same noise; of several labels of an id the lowest
@@ -33,13 +34,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import free_names, named, written
+from seriesmill.llm.common import free_names, named, with_sums_before, written
 from seriesmill.llm.hashing import batches_of, sequence_hashes, word_hashes
 from seriesmill.llm.target_sampling import ranked
 
 BUCKETS = 4096
 SMOOTHING = 4 * BUCKETS
-LABELLED_ROWS = 20_000
+LABELLED_ROWS = None  # all
 KEY_PARTS = 1_000_000
 SEED = 11
 
@@ -60,23 +61,21 @@ def features(texts: list[str | None], buckets: int) -> Iterator[tuple[np.ndarray
         yield found, np.concatenate([owner, np.repeat(number, np.diff(pair_offsets)), owner[1:][again]]), len(some)
 
 
-def model_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Raw and target counts per bucket from rows (text, target)."""
+def model_counts(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Counts per bucket over all rows (text)."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        counts = np.zeros(buckets, np.int64)
         for rows in batches:
-            for flag, out in ((False, (raw,)), (True, (raw, target))):
-                for found, _, _ in features(rows["text"][rows["target"] == flag].tolist(), buckets):
-                    for counts in out:
-                        counts += np.bincount(found, minlength=buckets)
-        yield pd.DataFrame({"bucket": np.arange(buckets), "raw": raw, "target": target})[raw > 0]
+            for found, _, _ in features(rows["text"].tolist(), buckets):
+                counts += np.bincount(found, minlength=buckets)
+        yield pd.DataFrame({"bucket": np.arange(buckets), "n": counts})[counts > 0]
 
-    counts = docs.mapInPandas(counted, "bucket long, raw long, target long")
-    sums = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
-    return raw, target
+    counts = docs.select("text").mapInPandas(counted, "bucket long, n long")
+    sums = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(buckets)
+    out[sums["bucket"]] = sums["n"]
+    return out
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float) -> np.ndarray:
@@ -100,11 +99,13 @@ def gumbel_noise(doc_id: Column, seed: int = SEED) -> Column:
     return -F.log(-F.log((bits + 0.5) / float(1 << 52)))
 
 
-def labelled_sample(labels: DataFrame, id_col: str, label_col: str, rows: int, seed: int) -> DataFrame:
-    """At most `rows` labelled ids by hash: id, good, held_out."""
+def labelled_sample(labels: DataFrame, id_col: str, label_col: str, rows: int | None, seed: int) -> DataFrame:
+    """All labelled ids, or at most `rows` of them by hash: id, good, held_out."""
     sample = labels.select(named(id_col).alias("label_id"), named(label_col).alias("label")).dropna()
     by_hash = F.xxhash64(F.lit(seed), F.col("label_id"))
-    sample = sample.groupBy("label_id").agg(F.min("label").alias("label")).orderBy(by_hash, "label_id").limit(rows)
+    sample = sample.groupBy("label_id").agg(F.min("label").alias("label"))
+    if rows is not None:
+        sample = sample.orderBy(by_hash, "label_id").limit(rows)
     return sample.select("label_id", (F.col("label") > 0).alias("good"), (F.pmod(by_hash, F.lit(2)) == 1).alias("held_out"))
 
 
@@ -122,6 +123,21 @@ def best_cut(keys: np.ndarray, good: np.ndarray) -> float:
     return float(keys[at - 1] + keys[at]) / 2
 
 
+def best_cut_of(held: DataFrame) -> float:
+    """`best_cut` of a table (importance, good) of any size; equal keys are kept or not together."""
+    bad = (~F.col("good")).cast("long")
+    levels = held.groupBy("importance").agg(F.sum(bad).alias("bad"), F.sum(F.col("good").cast("long")).alias("good"))
+    sums = {"bad_below": "bad", "good_below": "good"}
+    levels = with_sums_before(levels.withColumn("all", F.lit(0)), ["all"], [F.col("importance")], sums, "importance-levels")
+    n_bad, n_good = levels.agg(F.sum("bad"), F.sum("good")).first()
+    if not n_bad or not n_good:
+        return -np.inf
+    right = F.col("bad_below") / F.lit(n_bad) + (1 - F.col("good_below") / F.lit(n_good))
+    key = levels.orderBy(right.desc(), "importance").first()["importance"]
+    below = levels.where(F.col("importance") < key).agg(F.max("importance")).first()[0]
+    return -np.inf if below is None else (below + key) / 2
+
+
 class Resampler:
     """A fitted model: log ratios per bucket and the cut on importance that k is counted by."""
 
@@ -158,7 +174,7 @@ def is_kept(order: dict[str, Column], last: tuple[int, ...] | None) -> Column:
     return kept
 
 
-def fit(
+def fit_and_score(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
@@ -166,40 +182,38 @@ def fit(
     label_col: str = "quality",
     buckets: int = BUCKETS,
     smoothing: float = SMOOTHING,
-    labelled_rows: int = LABELLED_ROWS,
+    labelled_rows: int | None = LABELLED_ROWS,
     seed: int = SEED,
-) -> Resampler:
-    sample = F.broadcast(written(labelled_sample(labels, id_col, label_col, labelled_rows, seed), "importance-labels"))
+) -> tuple[Resampler, DataFrame]:
+    """A fitted model and a written table (doc_id, importance)."""
+    sample = written(labelled_sample(labels, id_col, label_col, labelled_rows, seed), "importance-labels")
     rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
-    known = rows.join(sample, F.col("doc_id") == F.col("label_id"), "left")
-    target = F.coalesce(F.col("good") & ~F.col("held_out"), F.lit(False))
-    ratios = log_ratios(*model_counts(known.select("text", target.alias("target")), buckets), smoothing)
-    model = Resampler(ratios, -np.inf, seed)
-    tested = rows.join(sample.where("held_out"), F.col("doc_id") == F.col("label_id"))
-    held = tested.select("doc_id", "good", model.importance(F.col("text")).alias("importance"))
-    held = held.groupBy("doc_id", "good").agg(F.min("importance").alias("importance")).toPandas()
-    model.cut = best_cut(held["importance"].to_numpy(float), held["good"].to_numpy(bool))
-    return model
+    # the list grows with the documents: never broadcast it, and do not sort texts
+    trained = sample.where("good and not held_out").select("label_id").hint("shuffle_hash")
+    target = rows.join(trained, F.col("doc_id") == F.col("label_id"), "left_semi")
+    model = Resampler(log_ratios(model_counts(rows, buckets), model_counts(target, buckets), smoothing), -np.inf, seed)
+    scored = written(rows.select("doc_id", model.importance(F.col("text")).alias("importance")), "importance-scores")
+    held = scored.join(sample.where("held_out"), F.col("doc_id") == F.col("label_id"))
+    held = held.groupBy("doc_id", "good").agg(F.min("importance").alias("importance"))
+    model.cut = best_cut_of(held)
+    return model, scored
 
 
-def scores(docs: DataFrame, model: Resampler, id_col: str, text_col: str) -> DataFrame:
-    """A written table (doc_id, importance)."""
-    scored = docs.select(named(id_col).alias("doc_id"), model.importance(named(text_col)).alias("importance"))
-    return written(scored, "importance-scores")
+def fit(docs: DataFrame, labels: DataFrame, *columns: str, **options) -> Resampler:
+    return fit_and_score(docs, labels, *columns, **options)[0]
 
 
 def importance(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """One row per document: doc_id, importance, sample_key and whether the sample has it."""
-    model = fit(docs, labels, id_col, text_col, **options)
-    scored = scores(docs, model, id_col, text_col)
+    model, scored = fit_and_score(docs, labels, id_col, text_col, **options)
     kept = is_kept(model.order(F.col("importance"), F.col("doc_id")), last_kept(scored, model))
     return scored.select("*", model.key(F.col("importance"), F.col("doc_id")).alias("sample_key"), kept.alias("kept"))
 
 
 def resampled(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """The documents in the sample, with all their columns."""
-    model = fit(docs, labels, id_col, text_col, **options)
-    last = last_kept(scores(docs, model, id_col, text_col), model)
+    model, scored = fit_and_score(docs, labels, id_col, text_col, **options)
+    last = last_kept(scored, model)
     (score,) = free_names(docs, "importance")
     scored = docs.withColumn(score, model.importance(named(text_col)))
     return scored.where(is_kept(model.order(F.col(score), named(id_col)), last)).drop(score)

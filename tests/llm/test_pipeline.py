@@ -4,10 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from test_counts import check_mix
 from test_near import brute, crowded_passage
-from test_packing import check
+from test_packing import brute_ratios, check
 
 import corpus_pipeline
 from seriesmill.llm import importance, mixing
@@ -43,6 +44,41 @@ def test_rejected_documents_go(spark, sf_dir, stages, rows_of):
     assert sum(known[i] == 1 for i in kept if i in known) >= 0.95 * sum(q == 1 for q in known.values())
 
 
+def test_every_label_counts(spark, tmp_path):
+    """More labels than any bounded sample of them: all are in the model or in the cut that k is counted by."""
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    docs = [(i, " ".join(rng.choice(words[25 * (i % 4 > 0) :]) for _ in range(8))) for i in range(24_000)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in docs], "doc_id long, quality int")
+    sample = importance.labelled_sample(labels, "doc_id", "quality", len(docs), importance.SEED).collect()
+    expected = brute_ratios(docs, {r.label_id for r in sample if r.good and not r.held_out}, importance.BUCKETS, importance.SMOOTHING)
+    held = [r for r in sample if r.held_out]
+    cut = importance.best_cut(np.array([expected[r.label_id] for r in held]), np.array([r.good for r in held]))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = importance.importance(table, labels).collect()
+    assert len(found) == len(docs) and all(abs(r.importance - expected[r.doc_id]) < 1e-9 for r in found)
+    assert abs(importance.fit(table, labels).cut - cut) < 1e-9
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.keep_quality(spark, table, str(tmp_path)).select("doc_id").collect()}
+    assert len(kept) == sum(x >= cut for x in expected.values()) and kept == {r.doc_id for r in found if r.kept}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_best_cut_of_a_table(spark, seed):
+    rng = random.Random(seed)
+    rows = [(round(rng.gauss(good, 1), 9 if seed else 1), good) for good in [rng.random() < 0.3 for _ in range(300)]]
+    if seed == 3:
+        rows = [(key, True) for key, _ in rows]
+    found = importance.best_cut_of(spark.createDataFrame([(float(k), g) for k, g in rows], "importance double, good boolean").repartition(5))
+    if seed:
+        assert found == importance.best_cut(np.array([k for k, _ in rows]), np.array([g for _, g in rows]))
+    else:  # equal keys go together
+        keys, bad, good = sorted({k for k, _ in rows}), *([k for k, g in rows if g == x] for x in (False, True))
+        right = [sum(k < x for k in bad) / len(bad) + 1 - sum(k < x for k in good) / len(good) for x in keys]
+        at = max(range(len(keys)), key=lambda i: (round(right[i], 12), -i))
+        assert at and found == (keys[at - 1] + keys[at]) / 2
+
+
 def test_one_document_of_each_class_stays(stages):
     before = [(r.doc_id, r.text) for r in stages[1].collect()]
     rows = stages[2].collect()
